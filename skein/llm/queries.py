@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import license_scan, quality_rules, url_filter
-from skein.llm.shared import table
+from skein.llm import ann, license_scan, mixing, packing, quality_classifier, quality_rules, url_filter, warc
+from skein.llm.shared import Scratch, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +28,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_license_scan, op8_quality_rules)}
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), queries=lambda vec_id: vec_id % 20 == 0, top=20)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{scratch.root}/warc", scratch=scratch)
+    return warc.read_archives(spark, index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op3_url_filter, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc)
+}
 
 SQL: dict[str, str] = {}
