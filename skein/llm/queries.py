@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, license_scan, mixing, packing, quality_classifier, quality_rules, url_filter, warc
+from skein.llm import ann, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, url_filter, warc
 from skein.llm.shared import Scratch, table
 
 
@@ -14,6 +14,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
@@ -48,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op3_url_filter, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc)
+    for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc)
 }
 
 SQL: dict[str, str] = {}
