@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, url_filter, warc
+from skein.llm import ann, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
 from skein.llm.shared import Scratch, table
 
 
@@ -22,6 +22,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("blocks").cast("long").alias("n_blocks"))
@@ -52,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc)
+    for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op4_suffix_dedup, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc)
 }
 
 SQL: dict[str, str] = {}
