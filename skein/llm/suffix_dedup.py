@@ -214,12 +214,13 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[at].tolist(), end[np.append(at[1:], len(start)) - 1].tolist(), strict=True))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
-    """(id_col, n_bytes, spans, kept) of each row of df: maximal removed runs [start, end) and the bytes that stay."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+    """(id_col, n_bytes, spans, kept) of each row of df: maximal removed runs [start, end) and the bytes that stay. carry: other columns of df to hand through."""
     scratch = scratch or Scratch(df.sparkSession)
     spans = repeated_spans(df, id_col, text_col, length, scratch)
     by_doc = spans.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    joined = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(by_doc, F.col("doc") == F.col("d"), "left").select("doc", "text", "found")
+    rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("others"))
+    joined = rows.join(by_doc, F.col("doc") == F.col("d"), "left").select("doc", "text", "found", "others")
 
     def run(batches):
         import pyarrow as pa
@@ -239,8 +240,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     size.append(len(raw))
                     runs.append([{"start": s, "end": e} for s, e in own])
                     kept.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), pa.array(runs, pa.list_(pair)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), pa.array(runs, pa.list_(pair)), pa.array(kept, pa.binary()), piece.column(3)], names=["id", "n_bytes", "spans", "kept", "others"])
 
-    out = joined.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = joined.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, others {rows.schema['others'].dataType.simpleString()}")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *(F.col("others")[c].alias(c) for c in carry))
 
