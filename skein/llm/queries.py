@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import ann, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
 from skein.llm.shared import Scratch, table
+from skein.llm.sql import SQL  # noqa: F401
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +61,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op4_suffix_dedup, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc)
 }
-
-SQL: dict[str, str] = {}
