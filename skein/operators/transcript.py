@@ -1,0 +1,134 @@
+"""Message histories: rows (conv_id, idx, role, content) ordered by idx within a conversation.
+
+Every operator partitions by conversation only, so they share one exchange when composed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from skein.functions.text import approx_tokens, strip
+
+CONV = W.partitionBy("conv_id")
+ORDERED = CONV.orderBy("idx")
+UPTO = ORDERED.rowsBetween(W.unboundedPreceding, 0)
+BEFORE = ORDERED.rowsBetween(W.unboundedPreceding, -1)
+BACKWARDS = CONV.orderBy(F.desc("idx"))
+
+
+def session_rollup(messages: DataFrame, title_chars: int = 50) -> DataFrame:
+    """Count, title (the first user text with something in it, cut) and last place of each conversation."""
+    titled = F.when((F.col("role") == "user") & (strip(F.col("content")) != ""), F.struct("idx", F.left("content", F.lit(title_chars)).alias("title")))
+    return messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.coalesce(F.min(titled)["title"], F.lit("")).alias("title"), F.max("idx").alias("last_active"))
+
+
+def token_estimates(messages: DataFrame) -> DataFrame:
+    """Each message by itself: floors do not add up to the conversation's."""
+    return messages.select("conv_id", "idx", approx_tokens(F.length("content")).alias("tokens"))
+
+
+def conversation_tokens(messages: DataFrame) -> DataFrame:
+    return messages.groupBy("conv_id").agg(approx_tokens(F.sum(F.length("content"))).alias("tokens"))
+
+
+def with_keep(messages: DataFrame, enough_tokens: int = 10_000, enough_rows: int = 5, most_tokens: int = 40_000) -> DataFrame:
+    """Adds tokens and keep: the tail that a walk from the end takes until it has enough of either, never over the most but for the last row."""
+    back = BACKWARDS.rowsBetween(W.unboundedPreceding, 0)
+    rows = messages.withColumn("tokens", approx_tokens(F.length("content"))).withColumns({"_sum": F.sum("tokens").over(back), "_n": F.count("*").over(back)})
+    more = (F.col("_sum") - F.col("tokens") < enough_tokens) & (F.col("_n") - 1 < enough_rows) & (F.col("_sum") <= most_tokens)
+    return rows.withColumn("keep", (F.col("_n") == 1) | more).drop("_sum", "_n")
+
+
+def keep_tail(messages: DataFrame, **limits: int) -> DataFrame:
+    return with_keep(messages, **limits).where("keep").drop("keep")
+
+
+def aligned_start(kept: DataFrame, has_use: str = "has_use", has_result: str = "has_result") -> DataFrame:
+    """(conv_id, start): the first kept place, moved back over pairs of a result row and the assistant row with its call.
+
+    kept: messages with keep and the two flags. A row joins its predecessor if it is a result after a call; the run of such joins is an island.
+    """
+    joins = F.col(has_result) & F.coalesce(F.lag(has_use).over(ORDERED), F.lit(False))
+    rows = kept.withColumn("_island", F.sum(F.when(joins, 0).otherwise(1)).over(UPTO))
+    first = rows.groupBy("conv_id").agg(F.min(F.when(F.col("keep"), F.struct("idx", "_island"))).alias("at"))
+    starts = rows.groupBy("conv_id", "_island").agg(F.min("idx").alias("start"))
+    return first.join(starts, ["conv_id"]).where(F.col("_island") == F.col("at")["_island"]).select("conv_id", "start")
+
+
+def merge_user_runs(messages: DataFrame, plain: Column | None = None) -> DataFrame:
+    """Adjacent plain user rows become one, joined by newlines; any other row breaks the run."""
+    plain = (F.col("role") == "user") if plain is None else (F.col("role") == "user") & plain
+    rows = messages.withColumn("_plain", plain)
+    same = F.col("_plain") & F.coalesce(F.lag("_plain").over(ORDERED), F.lit(False))
+    rows = rows.withColumn("_run", F.sum(F.when(same, 0).otherwise(1)).over(UPTO))
+    texts = F.array_sort(F.collect_list(F.struct("idx", "content")))
+    return rows.groupBy("conv_id", "_run", "role").agg(F.min("idx").alias("idx"), F.count("*").alias("n_rows"), F.array_join(F.transform(texts, lambda s: s["content"]), "\n").alias("content")).drop("_run")
+
+
+def turn_groups(messages: DataFrame, has_use: Column) -> DataFrame:
+    """Adds group, from 1: one ends with each assistant row that calls no tool; a rest at the end is a group too."""
+    ends = (F.col("role") == "assistant") & ~has_use
+    return messages.withColumn("group", (F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(BEFORE), F.lit(0)) + 1).cast("long"))
+
+
+def drop_oldest_groups(grouped: DataFrame) -> DataFrame:
+    """The oldest fifth of a conversation's groups goes, one at least."""
+    return grouped.withColumn("_n", F.max("group").over(CONV)).where(F.col("group") > F.greatest(F.lit(1), F.floor(F.col("_n") / 5))).drop("_n")
+
+
+def repair_pairs(uses: DataFrame, results: DataFrame, message: str = "No result recorded") -> DataFrame:
+    """(conv_id, idx, sub, kind, id, content) with each call followed by what it gave.
+
+    uses (conv_id, idx, id) and results (conv_id, idx, id, content). Results without a call go; a call without a result
+    gets an error row right behind it, once for each id however often it stands. Ids meet over the whole history.
+    """
+    known = uses.select("conv_id", "id").distinct()
+    kept = results.join(known, ["conv_id", "id"], "left_semi")
+    missing = uses.join(results.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
+    missing = missing.withColumn("_nth", F.row_number().over(W.partitionBy("conv_id", "id").orderBy("idx"))).where("_nth = 1")
+    row = lambda df, sub, kind, content: df.select("conv_id", "idx", F.lit(sub).alias("sub"), F.lit(kind).alias("kind"), "id", content.alias("content"))
+    return row(uses, 0, "use", F.lit("")).union(row(kept, 0, "result", F.col("content"))).union(row(missing, 1, "synthetic", F.lit(message)))
+
+
+def replay(records: DataFrame, is_marker: Column) -> DataFrame:
+    """Rows from a conversation's last marker on; all rows where it has none."""
+    last = F.max(F.when(is_marker, F.col("idx"))).over(CONV)
+    return records.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("idx") >= F.col("_last"))).drop("_last")
+
+
+def last_rows(messages: DataFrame, n: int, of: Column | None = None) -> DataFrame:
+    rows = messages if of is None else messages.where(of)
+    return rows.withColumn("_nth", F.row_number().over(BACKWARDS)).where(F.col("_nth") <= n).drop("_nth")
+
+
+def anchored_tokens(messages: DataFrame, anchor: str = "anchor") -> DataFrame:
+    """(conv_id, tokens): the last positive anchor plus an estimate of the rows behind it; without one, of all rows."""
+    at = F.max(F.when(F.col(anchor) > 0, F.struct("idx", F.col(anchor).alias("value")))).over(CONV)
+    rows = messages.withColumn("_at", at)
+    later = F.when(F.col("_at").isNull() | (F.col("idx") > F.col("_at")["idx"]), F.length("content")).otherwise(0)
+    return rows.groupBy("conv_id").agg((F.coalesce(F.max(F.col("_at")["value"]), F.lit(0)) + approx_tokens(F.sum(later))).alias("tokens"))
+
+
+def running_totals(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    return events.withColumn("running", F.sum(value).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def contains_marker(messages: DataFrame, text: str) -> DataFrame:
+    return messages.groupBy("conv_id").agg(F.coalesce(F.bool_or((F.col("role") == "user") & F.contains("content", F.lit(text))), F.lit(False)).alias("found"))
+
+
+def serialize_flat(messages: DataFrame, uses: DataFrame, results: DataFrame) -> DataFrame:
+    """One message as several items: its text, then its calls, then outputs: (conv_id, idx, item, type, body)."""
+    text = messages.where(F.col("content") != "").select("conv_id", "idx", F.lit(0).alias("item"), F.lit("message").alias("type"), F.col("content").alias("body"))
+    calls = uses.select("conv_id", "idx", F.lit(1).alias("item"), F.lit("function_call").alias("type"), F.col("id").alias("body"))
+    outputs = results.select("conv_id", "idx", F.lit(2).alias("item"), F.lit("function_call_output").alias("type"), F.col("id").alias("body"))
+    return text.union(calls).union(outputs)
+
+
+def fold_stream(deltas: DataFrame, key: str = "call_id", order: str = "seq", piece: str = "piece") -> DataFrame:
+    """Arguments of each call from its fragments in order; what is no JSON becomes an empty object."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, piece))), lambda s: s[piece])
+    whole = deltas.groupBy(key).agg(F.array_join(parts, "").alias("arguments"))
+    return whole.withColumn("arguments", F.when(F.try_parse_json("arguments").isNotNull() & (F.col("arguments") != ""), F.col("arguments")).otherwise("{}"))

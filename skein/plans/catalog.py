@@ -1,0 +1,152 @@
+"""Queries of catalogs and merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import patterns
+from skein.operators import catalog as c
+from skein.plans.registry import query
+from skein.plans.rules import values
+from skein.tables import load, rows_of
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand")
+    return p.select("p_partkey", "p_name", F.concat_ws(" ", "p_type", "p_brand").alias("description"))
+
+
+ASKED = ["steel", "promo steel steel", ""]
+
+
+def _score(q: str) -> str:
+    one = lambda col, part, n: f"CASE WHEN contains(lower({col}), '{part}') THEN {n} ELSE 0 END"
+    return " + ".join([one("p_name", q, 10), one("descr", q, 5), *(x for w in q.split() for x in (one("p_name", w, 3), one("descr", w, 1)))])
+
+
+@query(" UNION ALL ".join(f"(SELECT '{q}' AS query, p_partkey, CAST({_score(q)} AS BIGINT) AS score FROM (SELECT *, concat_ws(' ', p_type, p_brand) AS descr FROM part) WHERE {_score(q)} > 0 ORDER BY 3 DESC, 2 LIMIT 5)" for q in ASKED))
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = None
+    for q in ASKED:
+        best = c.search(parts(spark, sf_dir), q, "p_name", "description", "p_partkey").select(F.lit(q).alias("query"), "p_partkey", "score")
+        found = best if found is None else found.union(best)
+    return found
+
+
+NAMES = ["Customer#000000007", "Customer#000000003", "nobody"]
+
+
+@query(f"SELECT c_custkey, list_position({NAMES}, c_name) AS pos FROM customer WHERE c_name IN ({', '.join(repr(n) for n in NAMES)})")
+def select_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.select_names(load(spark, sf_dir, "customer", "c_custkey", "c_name"), NAMES, "c_name").select("c_custkey", "pos")
+
+
+@query("SELECT c_name FROM customer WHERE c_name LIKE 'Customer#00000001%' OR c_mktsegment LIKE 'AUTO%' ORDER BY c_name LIMIT 8")
+def prefix_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = load(spark, sf_dir, "customer", "c_name", "c_mktsegment").withColumn("aliases", F.array("c_mktsegment"))
+    pick = customers.withColumn("aliases", F.transform("aliases", lambda a: F.when(a.startswith("AUTO"), F.lit("Customer#00000001")).otherwise(a)))
+    return c.complete(pick, "Customer#00000001", "c_name", "aliases").select("c_name")
+
+
+@query("SELECT c_custkey AS name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey % 7 <> 0")
+def deferred_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = load(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("name"), (F.col("c_custkey") % 3 == 0).alias("deferred"))
+    found = load(spark, sf_dir, "orders", "o_custkey", "o_orderstatus").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("name"))
+    off = cat.where(F.col("name") % 7 == 0).select("name")
+    return c.deferred(cat, found, off).select("name")
+
+
+@query("SELECT p_partkey FROM part WHERE left(p_brand, 7) = 'Brand#5' OR (p_brand NOT IN ('Brand#11', 'Brand#12') AND p_brand IN ('Brand#11', 'Brand#13', 'Brand#21'))")
+def agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_brand")
+    name = F.when(F.col("p_brand").startswith("Brand#5"), F.concat(F.lit("mcp__"), "p_brand")).otherwise(F.col("p_brand"))
+    return p.where(c.agent_tools(name, ["Brand#11"], ["Brand#12"], ["Brand#11", "Brand#13", "Brand#21"])).select("p_partkey")
+
+
+TOOLS = [("mcp__a__list", "a", "list"), ("mcp__b__list", "b", "list"), ("mcp__b__get", "b", "get"), ("mcp__c__put", "c", "put")]
+CALLED = [("a", "list"), ("", "get"), ("", "list"), ("x", "mcp__c__put"), ("c", "nothing"), ("b", "put")]
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {values(TOOLS)}) v("full", server, short)), a AS (SELECT * FROM (VALUES {values(CALLED)}) v(server, tool))
+  SELECT server, tool, coalesce((SELECT "full" FROM t WHERE "full" = a.tool), (SELECT "full" FROM t WHERE t.server = a.server AND short = a.tool), (SELECT min("full") FROM t WHERE short = a.tool HAVING count(*) = 1)) AS "full" FROM a""")
+def resolve_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.resolve(rows_of(spark, "server string, tool string", CALLED), rows_of(spark, "full string, server string, short string", TOOLS))
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in three layers that overlap by key."""
+    cust = load(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
+    return cust.select((F.col("c_custkey") % 500).alias("key"), (F.col("c_custkey") % 3).alias("layer"), F.col("c_custkey").alias("seq"), F.col("c_acctbal").alias("value"))
+
+
+LAYERS = "l AS (SELECT c_custkey % 500 AS key, c_custkey % 3 AS layer, c_custkey AS seq, c_acctbal AS value FROM customer)"
+
+
+@query(f"WITH {LAYERS} SELECT key, layer, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY layer * 1000000000 + seq) AS n FROM l) WHERE n = 1")
+def merge_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = layers(spark, sf_dir).withColumn("priority", F.col("layer") * 1_000_000_000 + F.col("seq"))
+    return c.first_wins(rows, "key", "priority").select("key", "layer", "seq", "value")
+
+
+@query(f"WITH {LAYERS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY layer DESC, seq DESC) AS d, row_number() OVER (PARTITION BY key ORDER BY layer, seq) AS a FROM l) SELECT x.key, x.value, y.layer AS first_layer, y.seq AS first_seq FROM r x JOIN r y ON x.key = y.key AND x.d = 1 AND y.a = 1")
+def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.last_wins(layers(spark, sf_dir), "key", "layer", "seq", "value")
+
+
+@query("""WITH b AS (SELECT c_custkey AS key, c_acctbal AS value, c_custkey % 2 = 0 AS flag, c_custkey % 5 AS last FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT c_custkey, -c_acctbal AS v, c_custkey % 7 = 0 AS f, c_custkey % 4 AS l FROM customer WHERE c_custkey % 4 = 0)
+  SELECT coalesce(key, c_custkey) AS key, coalesce(v, value) AS value, coalesce(flag, false) OR coalesce(f, false) AS flag, coalesce(l, last) AS last FROM b FULL JOIN o ON key = c_custkey""")
+def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust = load(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
+    k = F.col("c_custkey")
+    base = cust.where(k % 3 != 0).select(k.alias("key"), F.col("c_acctbal").alias("value"), (k % 2 == 0).alias("flag"), (k % 5).alias("last"))
+    over = cust.where(k % 4 == 0).select(k.alias("key"), (-F.col("c_acctbal")).alias("value"), (k % 7 == 0).alias("flag"), (k % 4).alias("last"))
+    return c.merge_config(base, over, "key", "value", "flag", "last")
+
+
+MODELS = [(0, 0, "gpt-4o-mini"), (5, 9, "o1"), (0, 9, "o3"), (0, 0, "x-1m"), (0, 0, "other"), (0, 0, "GPT-4.1")]
+
+
+@query(f"""SELECT configured, fetched, model, CAST(CASE WHEN configured > 0 THEN configured WHEN fetched > 0 THEN fetched WHEN contains(lower(model), '1m') OR contains(lower(model), 'gpt-4.1') THEN 1000000 WHEN contains(lower(model), 'o1') OR contains(lower(model), 'o3') THEN 200000 ELSE 128000 END AS BIGINT) AS "window" FROM (VALUES {values(MODELS)}) v(configured, fetched, model)""")
+def window_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rows_of(spark, "configured int, fetched int, model string", MODELS)
+    return rows.withColumn("window", c.context_window(F.col("configured"), F.col("fetched"), F.col("model")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'native' WHEN chars <= 0 OR floor(chars / 2.5) < 200 * 10 / 100 THEN 'eager' WHEN p_partkey % 2 = 0 THEN 'native' ELSE 'dispatch' END AS mode FROM (SELECT *, length(p_name) * (p_partkey % 5) AS chars FROM part)")
+def loading_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    override = F.when(F.col("p_brand") == "Brand#11", "native").otherwise("")
+    chars = F.length("p_name") * (F.col("p_partkey") % 5)
+    return p.select("p_partkey", c.loading_mode(override, F.col("p_partkey") % 2 == 0, F.lit(200), chars).alias("mode"))
+
+
+@query("SELECT coalesce(sum(length(p_type)), 0) AS chars FROM part WHERE p_brand LIKE 'Brand#1%'")
+def catalog_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.schema_size(load(spark, sf_dir, "part", "p_type", "p_brand"), "p_type", "Brand#1", "p_brand")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+def newest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.newest(load(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), 200, "o_orderdate", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT user_id, event_type, last_use, rank FROM (SELECT user_id, event_type, max(event_id) AS last_use, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS rank FROM events GROUP BY user_id, event_type) WHERE rank <= 3")
+def recent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.recent_distinct(load(spark, sf_dir, "events", "user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", 3)
+
+
+@query("SELECT 'team-' || min(k) AS name FROM range(2, 1001) t(k) WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
+def free_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = load(spark, sf_dir, "supplier", "s_suppkey").select(F.concat(F.lit("team-"), F.col("s_suppkey").cast("string")).alias("name"))
+    return c.free_name(taken.union(rows_of(spark, "name string", [("team",)])), "team", "name")
+
+
+SERVERS = [("li near", "get-x"), ("", "mcp__a__get"), ("b", "mcp__b__put"), ("", "x")]
+
+
+@query(f"""SELECT server, tool, CASE WHEN s = '' THEN t ELSE s || '__' || t END AS name FROM (SELECT server, tool, regexp_replace(CASE WHEN server <> '' THEN server WHEN contains(tool, '__') THEN split_part(tool, '__', 2) ELSE '' END, '[^A-Za-z0-9_]', '_', 'g') AS s,
+  regexp_replace(CASE WHEN contains(tool, '__') THEN split_part(tool, '__', 3) ELSE tool END, '[^A-Za-z0-9_]', '_', 'g') AS t FROM (VALUES {values(SERVERS)}) v(server, tool))""")
+def canonical_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rows_of(spark, "server string, tool string", SERVERS)
+    return rows.withColumn("name", patterns.canonical_tool(F.col("server"), F.col("tool")))
