@@ -191,3 +191,51 @@ def subcommands(c: Column) -> Column:
 def size_label(n: Column) -> Column:
     """Bytes as B, KB or MB with one decimal."""
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024.0), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1048576.0), F.lit("MB")))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals, halves to even."""
+    return F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
+
+
+def relative_time(seconds: Column) -> Column:
+    unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(f" {name} ago"))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, unit(60, "min")).when(seconds < 86_400, unit(3600, "hours")).otherwise(unit(86_400, "days"))
+
+
+def elapsed(seconds: Column) -> Column:
+    return F.when(seconds >= 60, F.concat(fixed(seconds / 60, 1), F.lit("m"))).otherwise(F.concat(fixed(seconds, 0), F.lit("s")))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Whole percent, cut; 0 of nothing."""
+    return F.when(whole > 0, F.floor(100 * part / whole)).otherwise(0).cast("int")
+
+
+def repository_path(url: Column) -> Column:
+    """Struct (owner, repo, ref, subpath, name) of a URL to a folder of a repository, by its host's form; null for other URLs."""
+    text = strip(url)
+    host = F.lower(F.regexp_extract(text, r"\Ahttps?://([^/:?#]+)", 1))
+    parts = F.filter(F.split(F.regexp_extract(text, r"\Ahttps?://[^/?#]+([^?#]*)", 1), "/"), lambda p: p != "")
+
+    def of(ps: Column) -> Column:
+        last = F.element_at(ps, -1)
+        row = lambda ref, sub: F.struct(ps[0].alias("owner"), ps[1].alias("repo"), ref.alias("ref"), F.array_join(sub, "/").alias("subpath"), F.element_at(sub, -1).alias("name"))
+        rest = lambda n: F.slice(ps, n + 1, F.greatest(F.size(ps) - n, F.lit(0)))
+        raw = F.when(F.contains(last, F.lit(".")), F.slice(ps, 4, F.greatest(F.size(ps) - 4, F.lit(0)))).otherwise(rest(3))
+        return (
+            F.when(host.isin("skills.sh", "www.skills.sh") & (F.size(ps) >= 3), row(F.lit("main"), F.concat(F.array(F.lit("skills")), rest(2))))
+            .when((host == "github.com") & (F.size(ps) >= 5) & (F.get(ps, F.lit(2)) == "tree"), row(ps[3], rest(4)))
+            .when((host == "raw.githubusercontent.com") & (F.size(ps) >= 4) & (F.size(raw) > 0), row(ps[2], raw))
+        )
+
+    return let(parts, of)
+
+
+def is_name(c: Column, most: int = 64) -> Column:
+    """Lower-case letters, digits, ``_`` and ``-``, a letter or digit first."""
+    return c.rlike(r"\A[a-z0-9][a-z0-9_-]*\z") & (F.length(c) <= most)
+
+
+def slug(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")

@@ -112,3 +112,25 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.array_join(F.transform(x.lines(F.col("text")), lambda s, i: F.when(i == 1, F.concat(s, F.lit(" changed"))).otherwise(s)), "\n")
     d = documents(spark, sf_dir).withColumn("d", x.line_diff(F.col("text"), new))
     return d.select("doc_id", F.col("d")["additions"].alias("additions"), F.col("d")["removals"].alias("removals"), F.col("d")["text"].alias("text"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || ' hours ago' ELSE (s // 86400) || ' days ago' END AS ago,
+  CAST(100 * (event_id % 37) // 37 AS INTEGER) AS percent FROM (SELECT event_id, event_id * 37 AS s FROM events)""")
+def labels_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("event_id") * 37
+    return load(spark, sf_dir, "events", "event_id").select("event_id", x.relative_time(s).alias("ago"), x.percent(F.col("event_id") % 37, F.lit(37)).alias("percent"))
+
+
+URLS = [("https://github.com/o/r/tree/main/a/b",), ("https://www.skills.sh/o/r/s",), ("https://raw.githubusercontent.com/o/r/dev/x/y/SKILL.md",), ("https://github.com/o/r",), ("ftp://github.com/o/r/tree/m/a",), ("https://other.example/a/b/c",)]
+
+
+@query(f"""SELECT url, CASE n WHEN 1 THEN 'o/r@main:a/b' WHEN 2 THEN 'o/r@main:skills/s' WHEN 3 THEN 'o/r@dev:x/y' END AS source FROM (SELECT url, CASE WHEN url LIKE 'https://github.com/%/tree/%' THEN 1 WHEN url LIKE '%skills.sh%' THEN 2 WHEN url LIKE '%/SKILL.md' THEN 3 END AS n FROM (VALUES {values(URLS)}) v(url))""")
+def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = x.repository_path(F.col("url"))
+    rows = rows_of(spark, "url string", URLS).withColumn("r", r)
+    return rows.select("url", F.when(F.col("r").isNotNull(), F.format_string("%s/%s@%s:%s", "r.owner", "r.repo", "r.ref", "r.subpath")).alias("source"))
+
+
+@query("SELECT p_partkey, regexp_full_match(lower(p_name), '[a-z0-9][a-z0-9_-]*') AND length(p_name) <= 64 AS ok, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part", "p_partkey", "p_name", "p_type").select("p_partkey", x.is_name(F.lower("p_name")).alias("ok"), x.slug(F.col("p_type")).alias("slug"))
