@@ -48,7 +48,7 @@ def source_targets(histogram: DataFrame, weights=WEIGHTS, share: float = SHARE,
 
 def rate(cap: int):
     """Of a row with lambda, size and mean."""
-    return F.when((F.col("mean") > 0) & (F.col("size") > 0), F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), F.col("lambda") * F.col("size") / F.col("mean"))))).otherwise(1.0)
+    return F.when((F.col("mean") > 0) & (F.col("size") > 0), F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), F.try_divide(F.col("lambda") * F.col("size"), F.col("mean")))))).otherwise(1.0)
 
 
 def balance(scratch: Scratch, histogram: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
@@ -59,14 +59,14 @@ def balance(scratch: Scratch, histogram: DataFrame, targets: DataFrame, cap: int
     for step in range(1, MAX_STEPS + 1):
         joined = histogram.join(state.select(F.col("source").alias("at"), "lambda", "mean"), F.col("source").eqNullSafe(F.col("at")))
         words = F.col("n") * F.col("size") * rate(cap)
-        slope = F.when(rate(cap) < cap, words * F.col("size") / F.col("mean")).otherwise(0.0)
+        slope = F.coalesce(F.when(rate(cap) < cap, F.try_divide(words * F.col("size"), F.col("mean"))), F.lit(0.0))
         sums = joined.groupBy(F.col("source").alias("at")).agg(exact(words).alias("words"), exact(slope).alias("slope"))
         new = state.join(sums, F.col("source").eqNullSafe(F.col("at")), "left").withColumns({"words": F.coalesce("words", F.lit(0.0)), "slope": F.coalesce("slope", F.lit(0.0))})
         new = new.withColumns({
             "low": F.when(F.col("words") < F.col("target"), F.col("lambda")).otherwise(F.col("low")),
             "high": F.when(F.col("words") > F.col("target"), F.col("lambda")).otherwise(F.col("high")),
             "miss": F.when(full, 0.0).otherwise(F.abs(F.col("words") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))),
-            "newton": F.when(F.col("slope") > 0, F.col("lambda") - (F.col("words") - F.col("target")) / F.col("slope")),
+            "newton": F.when(F.col("slope") > 0, F.col("lambda") - F.try_divide(F.col("words") - F.col("target"), F.col("slope"))),
         })
         inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
         moved = F.when(F.col("miss") <= TOLERANCE, F.col("lambda")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
