@@ -5,17 +5,31 @@ Every operator partitions by conversation only, so they share one exchange when
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.text import approx_tokens, strip
 
-CONV = W.partitionBy("conv_id")
-ORDERED = CONV.orderBy("idx")
-UPTO = ORDERED.rowsBetween(W.unboundedPreceding, 0)
-BEFORE = ORDERED.rowsBetween(W.unboundedPreceding, -1)
-BACKWARDS = CONV.orderBy(F.desc("idx"))
+
+def conv() -> WindowSpec:
+    return W.partitionBy("conv_id")
+
+
+def ordered() -> WindowSpec:
+    return conv().orderBy("idx")
+
+
+def upto() -> WindowSpec:
+    return ordered().rowsBetween(W.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return ordered().rowsBetween(W.unboundedPreceding, -1)
+
+
+def backwards() -> WindowSpec:
+    return conv().orderBy(F.desc("idx"))
 
 
 def session_rollup(messages: DataFrame, title_chars: int = 50) -> DataFrame:
@@ -35,7 +49,7 @@ def conversation_tokens(messages: DataFrame) -> DataFrame:
 
 def with_keep(messages: DataFrame, enough_tokens: int = 10_000, enough_rows: int = 5, most_tokens: int = 40_000) -> DataFrame:
     """Adds tokens and keep: the tail that a walk from the end takes until it has enough of either, never over the most but for the last row."""
-    back = BACKWARDS.rowsBetween(W.unboundedPreceding, 0)
+    back = backwards().rowsBetween(W.unboundedPreceding, 0)
     rows = messages.withColumn("tokens", approx_tokens(F.length("content"))).withColumns({"_sum": F.sum("tokens").over(back), "_n": F.count("*").over(back)})
     more = (F.col("_sum") - F.col("tokens") < enough_tokens) & (F.col("_n") - 1 < enough_rows) & (F.col("_sum") <= most_tokens)
     return rows.withColumn("keep", (F.col("_n") == 1) | more).drop("_sum", "_n")
@@ -50,8 +64,8 @@ def aligned_start(kept: DataFrame, has_use: str = "has_use", has_result: str = "
 
     kept: messages with keep and the two flags. A row joins its predecessor if it is a result after a call; the run of such joins is an island.
     """
-    joins = F.col(has_result) & F.coalesce(F.lag(has_use).over(ORDERED), F.lit(False))
-    rows = kept.withColumn("_island", F.sum(F.when(joins, 0).otherwise(1)).over(UPTO))
+    joins = F.col(has_result) & F.coalesce(F.lag(has_use).over(ordered()), F.lit(False))
+    rows = kept.withColumn("_island", F.sum(F.when(joins, 0).otherwise(1)).over(upto()))
     first = rows.groupBy("conv_id").agg(F.min(F.when(F.col("keep"), F.struct("idx", "_island"))).alias("at"))
     starts = rows.groupBy("conv_id", "_island").agg(F.min("idx").alias("start"))
     return first.join(starts, ["conv_id"]).where(F.col("_island") == F.col("at")["_island"]).select("conv_id", "start")
@@ -61,8 +75,8 @@ def merge_user_runs(messages: DataFrame, plain: Column | None = None) -> DataFra
     """Adjacent plain user rows become one, joined by newlines; any other row breaks the run."""
     plain = (F.col("role") == "user") if plain is None else (F.col("role") == "user") & plain
     rows = messages.withColumn("_plain", plain)
-    same = F.col("_plain") & F.coalesce(F.lag("_plain").over(ORDERED), F.lit(False))
-    rows = rows.withColumn("_run", F.sum(F.when(same, 0).otherwise(1)).over(UPTO))
+    same = F.col("_plain") & F.coalesce(F.lag("_plain").over(ordered()), F.lit(False))
+    rows = rows.withColumn("_run", F.sum(F.when(same, 0).otherwise(1)).over(upto()))
     texts = F.array_sort(F.collect_list(F.struct("idx", "content")))
     return rows.groupBy("conv_id", "_run", "role").agg(F.min("idx").alias("idx"), F.count("*").alias("n_rows"), F.array_join(F.transform(texts, lambda s: s["content"]), "\n").alias("content")).drop("_run")
 
@@ -70,12 +84,12 @@ def merge_user_runs(messages: DataFrame, plain: Column | None = None) -> DataFra
 def turn_groups(messages: DataFrame, has_use: Column) -> DataFrame:
     """Adds group, from 1: one ends with each assistant row that calls no tool; a rest at the end is a group too."""
     ends = (F.col("role") == "assistant") & ~has_use
-    return messages.withColumn("group", (F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(BEFORE), F.lit(0)) + 1).cast("long"))
+    return messages.withColumn("group", (F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before()), F.lit(0)) + 1).cast("long"))
 
 
 def drop_oldest_groups(grouped: DataFrame) -> DataFrame:
     """The oldest fifth of a conversation's groups goes, one at least."""
-    return grouped.withColumn("_n", F.max("group").over(CONV)).where(F.col("group") > F.greatest(F.lit(1), F.floor(F.col("_n") / 5))).drop("_n")
+    return grouped.withColumn("_n", F.max("group").over(conv())).where(F.col("group") > F.greatest(F.lit(1), F.floor(F.col("_n") / 5))).drop("_n")
 
 
 def repair_pairs(uses: DataFrame, results: DataFrame, message: str = "No result recorded") -> DataFrame:
@@ -94,18 +108,18 @@ def repair_pairs(uses: DataFrame, results: DataFrame, message: str = "No result
 
 def replay(records: DataFrame, is_marker: Column) -> DataFrame:
     """Rows from a conversation's last marker on; all rows where it has none."""
-    last = F.max(F.when(is_marker, F.col("idx"))).over(CONV)
+    last = F.max(F.when(is_marker, F.col("idx"))).over(conv())
     return records.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("idx") >= F.col("_last"))).drop("_last")
 
 
 def last_rows(messages: DataFrame, n: int, of: Column | None = None) -> DataFrame:
     rows = messages if of is None else messages.where(of)
-    return rows.withColumn("_nth", F.row_number().over(BACKWARDS)).where(F.col("_nth") <= n).drop("_nth")
+    return rows.withColumn("_nth", F.row_number().over(backwards())).where(F.col("_nth") <= n).drop("_nth")
 
 
 def anchored_tokens(messages: DataFrame, anchor: str = "anchor") -> DataFrame:
     """(conv_id, tokens): the last positive anchor plus an estimate of the rows behind it; without one, of all rows."""
-    at = F.max(F.when(F.col(anchor) > 0, F.struct("idx", F.col(anchor).alias("value")))).over(CONV)
+    at = F.max(F.when(F.col(anchor) > 0, F.struct("idx", F.col(anchor).alias("value")))).over(conv())
     rows = messages.withColumn("_at", at)
     later = F.when(F.col("_at").isNull() | (F.col("idx") > F.col("_at")["idx"]), F.length("content")).otherwise(0)
     return rows.groupBy("conv_id").agg((F.coalesce(F.max(F.col("_at")["value"]), F.lit(0)) + approx_tokens(F.sum(later))).alias("tokens"))
