@@ -20,19 +20,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node but the centres has one edge, to a centre: then every component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("n")).union(edges.select(F.col("v").alias("node"), F.lit(None).cast("int").alias("n")))
+    odd = ends.groupBy("node").agg(F.count("n").alias("up"), F.count("*").alias("all")).where("up > 1 or (up = 1 and all > 1)")
+    return not odd.limit(1).count()
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of edges (u, v) that are not their component's smallest."""
     edges = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), f"{name}_0")
-    seen = None
     for k in range(1, rounds + 1):
-        after = scratch.save(_star(_star(edges, True), False), f"{name}_{k}")
-        scratch.drop(f"{name}_{k - 1}")
-        edges = after
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if _are_stars(edges):
             break
-        seen = now
+        edges = scratch.save(_star(_star(edges, True), False).distinct(), f"{name}_{k}")
+        scratch.drop(f"{name}_{k - 1}")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

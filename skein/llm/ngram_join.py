@@ -13,6 +13,10 @@ all others that are not in their component yet. A list is done when its members
 have been pivots, so no link between components is lost, and a group of thousands of near copies
 costs a star, not all its pairs.
 
+Few documents stay in lists that are not done after REFINE_AFTER rounds: those that share common passages. Among
+them all shingles are ordered anew, by how many of these documents hold them, and the rounds begin again on the
+shorter prefixes of that order.
+
 Two bitmaps of fixed size go to the executors: one of shingles that two documents hold, one of candidate
 documents. They only spare rows the shuffle; what they let through in error is joined away.
 
@@ -37,7 +41,8 @@ ORDERED = 0.28
 FRAGMENTS = 4
 #: log2 of the bits of the bitmaps.
 TOKEN_BITS, DOC_BITS = 27, 24
-GROWTH = 8
+GROWTH, REFINED_GROWTH = 8, 64
+REFINE_AFTER = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -165,7 +170,7 @@ def bitmap(df: DataFrame, column: str, log2: int) -> bytes:
     dealt = slots.repartition(F.shiftright("slot", part).cast("int"))
     out = bytearray(1 << (log2 - 3))
     size = 1 << (part - 3)
-    for r in dealt.mapInArrow(run, "part int, bits binary").toLocalIterator():
+    for r in dealt.mapInArrow(run, "part int, bits binary").collect():  # 2 ** log2 bits in all
         out[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
     return bytes(out)
 
@@ -248,25 +253,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").join(shared, "token")
     # a document's rare shingles come first in the order; of the others, those ordered by frequency, then the rest by hash
     by_doc = W.partitionBy("doc")
-    known = F.sum(F.when(F.col("place") < 0, 1).otherwise(0)).over(by_doc)
-    nth = F.row_number().over(by_doc.orderBy(F.col("place") >= 0, "df", "token"))
-    rows = rows.withColumns({"rare": F.col("low") - known, "nth": nth})
+    nth = F.dense_rank().over(by_doc.orderBy(F.col("place") >= 0, "df", "token"))  # a repeated row ranks with its first
+    rows = rows.withColumn("nth", nth)
+    known = F.coalesce(F.max(F.when(F.col("place") < 0, F.col("nth"))).over(by_doc), F.lit(0))
+    rows = rows.withColumn("rare", F.col("low") - known)
     rows = rows.withColumn("place", F.when(F.col("place") < 0, F.col("rare") + F.col("nth") - 1).otherwise(F.col("place")))
     rows = rows.where(F.col("place") < prefix_length_column(F.col("n"), percent)).select("token", "doc", "n", "place", (F.col("rare") / F.col("n")).alias("own"))
-    postings = scratch.save(rows.distinct(), "postings")
-    lists = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    postings = scratch.save(postings.join(lists, "token"), "lists")
-    scratch.drop("postings", "shared")
+    postings = scratch.save(rows, "postings")
+    scratch.drop("shared")
     scratch.free_shuffles()
     held.destroy()
 
-    wanted = spark.sparkContext.broadcast(bitmap(postings.select("doc").distinct(), "doc", DOC_BITS))
-    segments = _segments(texts, wanted, FRAGMENTS).join(postings.select("doc").distinct(), "doc", "left_semi")
+    members = _open_lists(postings.withColumn("group", F.col("doc")), 0)
+    members = scratch.save(members, "members_0")
+    scratch.drop("postings")
+    candidates = members.select("doc").distinct()
+    wanted = spark.sparkContext.broadcast(bitmap(candidates, "doc", DOC_BITS))
+    segments = _segments(texts, wanted, FRAGMENTS).join(candidates, "doc", "left_semi")
     segments = scratch.save(segments.dropDuplicates(["doc", "fragment"]), "segments")
     scratch.free_shuffles()
     wanted.destroy()
 
-    joined = _join_rounds(scratch, postings, segments, percent)
+    joined = _join_rounds(scratch, members, segments, percent)
     of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     out = docs.join(of_class, (F.col("n") == F.col("cn")) & (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")), "left")
     component = F.when(F.col("doc").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc"))
@@ -277,36 +285,67 @@ def prefix_length_column(n, percent: int = PERCENT):
     return n - F.floor((percent * n + 99) / 100) + 1
 
 
-def _join_rounds(scratch: Scratch, postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the classes that link."""
+def _open_lists(members: DataFrame, done: int) -> DataFrame:
+    """The posting lists (token, doc, group, ...) that are not done: more members than have been pivots, of more than one group."""
+    lists = members.groupBy("token").agg(F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    return members.join(lists.where((F.col("size") > done) & (F.col("g0") < F.col("g1"))).select("token"), "token", "left_semi")
+
+
+def _refined(scratch: Scratch, members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Postings (token, doc, n, place, own, group) of the members' documents, by an order of all shingles that these documents hold."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            tokens = [np.frombuffer(t, np.int64) for t in b.column(1).to_pylist()]
+            if tokens:
+                at = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), b.column(0).take(at)], names=["token", "doc"])
+
+    docs = scratch.save(members.groupBy("doc").agg(F.first("n").alias("n"), F.first("group").alias("group")), "open_docs")
+    rows = segments.join(docs.select("doc"), "doc", "left_semi").select("doc", "tokens").mapInArrow(run, "token long, doc long")
+    shared = scratch.save(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "open_shared")
+    rows = rows.join(shared, "token").join(docs, "doc")
+    by_doc = W.partitionBy("doc")
+    rows = rows.withColumns({"nth": F.row_number().over(by_doc.orderBy("df", "token")), "rare": F.col("n") - F.count("*").over(by_doc)})
+    rows = rows.withColumn("place", F.col("rare") + F.col("nth") - 1).where(F.col("place") < prefix_length_column(F.col("n"), percent))
+    return rows.select("token", "doc", "n", "place", (F.col("rare") / F.col("n")).alias("own"), "group")
+
+
+def _join_rounds(scratch: Scratch, members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that link. members: the open lists, saved as members_0, each class a group of its own."""
     joined = scratch.spark.createDataFrame([], "node long, component long")
     done, upto, k = 0, 1, 0
-    while True:
-        members = postings.where(F.col("size") > done).join(joined, F.col("doc") == F.col("node"), "left").withColumn("group", F.coalesce("component", "doc")).drop("node", "component")
-        open_lists = members.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
-        members = scratch.save(members.join(open_lists, "token", "left_semi"), f"members_{k}")
-        if not members.limit(1).count():
-            break
+    while members.limit(1).count():
+        if k == REFINE_AFTER:
+            members = scratch.save(_open_lists(_refined(scratch, members, segments, percent), 0), "members_refined")
+            done, upto = 0, 1
         nth = F.row_number().over(W.partitionBy("token").orderBy("own", "doc"))
         pivots = members.withColumn("nth", nth).where(F.col("nth") <= upto).where(F.col("nth") > done)
-        pivots = pivots.select("token", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("place").alias("pp"), F.col("group").alias("pg"))
+        pivots = pivots.select(F.col("token").alias("t"), F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("place").alias("pp"), F.col("group").alias("pg"))
         # what two sets of these sizes must share, and what is left of both from this shingle on
         needed = F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent))
         left = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp"))
         fits = (F.col("group") != F.col("pg")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (left >= needed)
-        pairs = members.join(pivots.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & fits)
+        pairs = members.join(pivots, (F.col("token") == F.col("t")) & fits)
         first = F.col("doc") < F.col("p")
         pairs = pairs.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (("a", "doc", "p"), ("b", "p", "doc"), ("na", "n", "pn"), ("nb", "pn", "n")))).distinct()
         pairs = scratch.save(pairs, f"pairs_{k}")
         links = scratch.save(verify(pairs, segments, percent).select("a", "b"), f"links_{k}")
-        at = lambda c: F.coalesce(F.col(f"{c}_to"), F.col(c))
-        edges = links
-        for c in ("a", "b"):
-            edges = edges.join(joined.select(F.col("node").alias(f"{c}_at"), F.col("component").alias(f"{c}_to")), F.col(c) == F.col(f"{c}_at"), "left")
-        new = components(scratch, edges.select(at("a").alias("u"), at("b").alias("v")), f"stars_{k}")
-        moved = joined.join(new.withColumnsRenamed({"node": "from", "component": "to"}), F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
-        joined = scratch.save(moved.union(new.join(joined.select(F.col("node").alias("old")), F.col("node") == F.col("old"), "left_anti")), f"joined_{k}")
+        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if k:
+            for c in ("u", "v"):
+                to = joined.select(F.col("node").alias("at"), F.col("component").alias("to"))
+                edges = edges.join(to, F.col(c) == F.col("at"), "left").withColumn(c, F.coalesce("to", c)).drop("at", "to")
+        new = components(scratch, edges, f"stars_{k}")
+        if k:
+            moved = joined.join(new.withColumnsRenamed({"node": "from", "component": "to"}), F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
+            new = moved.union(new.join(joined.select(F.col("node").alias("old")), F.col("node") == F.col("old"), "left_anti"))
+        joined = scratch.save(new, f"joined_{k}")
+        regrouped = members.drop("group").join(joined, F.col("doc") == F.col("node"), "left").withColumn("group", F.coalesce("component", "doc")).drop("node", "component")
+        members = scratch.save(_open_lists(regrouped, upto), f"members_{k + 1}")
         scratch.drop(f"members_{k}", f"pairs_{k}", f"links_{k}")
         scratch.free_shuffles()
-        done, upto, k = upto, upto * GROWTH, k + 1
+        done, upto, k = upto, upto * (GROWTH if k < REFINE_AFTER else REFINED_GROWTH), k + 1
     return joined
