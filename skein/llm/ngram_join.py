@@ -203,6 +203,19 @@ def _segments(texts: DataFrame, wanted, fragments: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, fragment int, tokens binary")
 
 
+def _by_size(columns, limit: int = 1 << 20):
+    """(first, end) of runs of rows whose bytes in the columns are about limit together: what a worker holds at a time."""
+    import pyarrow.compute as pc
+
+    sizes = sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, side="right")))
+        yield first, end
+        first = end
+
+
 def _overlaps(pairs: DataFrame) -> DataFrame:
     """(a, b, overlap) of rows (a, b, left, right): how many tokens both segments hold."""
 
@@ -210,8 +223,8 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
+            for first, end in _by_size([batch.column(2), batch.column(3)]):
+                b = batch.slice(first, end - first)
                 codes, rows = [], []
                 for side in (2, 3):
                     texts = b.column(side).to_pylist()
@@ -298,9 +311,9 @@ def _refined(scratch: Scratch, members: DataFrame, segments: DataFrame, percent:
         import pyarrow as pa
 
         for b in batches:
-            tokens = [np.frombuffer(t, np.int64) for t in b.column(1).to_pylist()]
-            if tokens:
-                at = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+            for first, end in _by_size([b.column(1)]):
+                tokens = [np.frombuffer(t, np.int64) for t in b.column(1).slice(first, end - first).to_pylist()]
+                at = pa.array(np.repeat(np.arange(first, end), [len(t) for t in tokens]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), b.column(0).take(at)], names=["token", "doc"])
 
     docs = scratch.save(members.groupBy("doc").agg(F.first("n").alias("n"), F.first("group").alias("group")), "open_docs")
