@@ -100,7 +100,7 @@ def include_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document includes others by fixed steps: chains, loops and unknown names."""
     d = load(spark, sf_dir, "documents", "doc_id", "text")
     name = lambda c: F.concat(F.lit("/d"), c.cast("string"))
-    text = F.concat_ws("\n", F.left("text", F.lit(40)), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("@"), name(F.floor(F.col("doc_id") / 3)))), F.when(F.col("doc_id") % 5 == 0, F.lit("@./nowhere")), F.lit("```\n@/d1\n```"))
+    text = F.concat_ws("\n", F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("@"), name(F.floor(F.col("doc_id") / 3)))), F.when(F.col("doc_id") % 5 == 0, F.lit("@./nowhere")), F.lit("```\n@/d1\n```"))
     return files.expand_includes(d.select(name(F.col("doc_id")).alias("file"), text.alias("content")))
 
 

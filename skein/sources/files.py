@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.text import frontmatter, lines, strip
+from skein.functions.text import frontmatter, let, lines, strip
 
 #: Fixed value: folders that listings leave out.
 SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "dist", "build")
@@ -88,28 +88,70 @@ def first_of_each_path(parts: DataFrame, path: str, seq: str) -> DataFrame:
     return parts.withColumn("_n", F.row_number().over(W.partitionBy(path).orderBy(seq))).where("_n = 1").drop("_n")
 
 
+#: Blanks that strip() takes off, and a line that includes a file, as patterns.
+BLANK = r"[ \t\x0b\f\r]"
+INCLUDE = rf"{BLANK}*@(?:\./|\.\./|~/|/)[^ \t\n]*{BLANK}*"
+
+
+def include_parts(content: Column) -> Column:
+    """Array of (line, target) that gives the text when put together: lines that include a file outside fences, and all text between them.
+
+    The text is cut before each fence, and what lies outside of fences before each include: nothing is exploded by line.
+    """
+    none = F.lit(None).cast("string")
+    part = lambda line, target=none: F.struct(line.alias("line"), target.alias("target"))
+
+    def of(piece: Column) -> Column:
+        rest = lambda line: F.array(part(line, F.substr(strip(line), F.lit(2))), part(F.substr(piece, F.length(line) + 1)))
+        found = lambda line: F.when(line == "", F.array(part(piece))).otherwise(rest(line))
+        return let(F.regexp_extract(piece, rf"\A({INCLUDE})(?=\n|\z)", 1), found)
+
+    pieces = lambda chunk: F.flatten(F.transform(F.split(chunk, rf"(?dm)^(?={INCLUDE}$)", -1), of))
+    first = F.when(content.rlike(rf"\A{BLANK}*```"), 1).otherwise(0)
+    outside = lambda i: (i + first) % 2 == 0
+    chunks = F.split(content, rf"(?dm)^(?={BLANK}*```)", -1)
+    return F.flatten(F.transform(chunks, lambda c, i: F.when(outside(i), pieces(c)).otherwise(F.array(part(c)))))
+
+
 def expand_includes(files: DataFrame, depth: int = 5, key: str = "file", content: str = "content") -> DataFrame:
     """(file, content) with lines ``@./other``, ``@../other``, ``@~/other`` or ``@/other`` replaced by a note and that file's lines, down to a depth.
 
     Lines inside fences stay. An unknown file gives a note; the include of a file that this one came from stays a line.
-    Each level is one join on the included name; a line's place is the list of its places on all levels.
+    Each level is one join on the included name, of include lines only; a line's place is the list of its places on all levels.
+    Texts join once, at the end, and files that include nothing stay where they are.
     """
-    fence = lambda s: s.startswith("```")
-    cut = files.select(F.col(key).alias("name"), F.posexplode(lines(F.col(content))).alias("pos", "line"))
-    inside = F.sum(F.when(fence(F.col("line")), 1).otherwise(0)).over(W.partitionBy("name").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    target = F.regexp_extract(strip(F.col("line")), r"\A@((?:\./|\.\./|~/|/)[^ \t]*)\z", 1)
-    cut = cut.withColumn("target", F.when((F.coalesce(inside, F.lit(0)) % 2 == 0) & (target != ""), target))
-    bodies = cut.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "target"))).alias("body"))
-    rows = cut.select(F.col("name").alias("root"), F.array("pos").alias("at"), F.array("name").alias("path"), "line", "target")
+    cut = files.where(F.col(content).isNotNull()).select(F.col(key).alias("name"), F.col(content).alias("text"), include_parts(F.col(content)).alias("parts"))
+    numbered = F.transform("parts", lambda p, i: F.struct(i.alias("pos"), p["line"].alias("line"), p["target"].alias("target")))
+    cut = cut.withColumn("parts", numbered)
+    links = cut.select("name", F.filter("parts", lambda p: p["target"].isNotNull()).alias("links"))
+    none = F.lit(None).cast("string")
+
+    def row(at: Column, path: Column, line: Column, target: Column = none, body: Column = none) -> Column:
+        return F.struct(at.alias("at"), path.alias("path"), line.alias("line"), target.alias("target"), body.alias("body"))
+
+    def under(at: Column, path: Column) -> Column:
+        return F.transform("links", lambda b: row(F.concat(at, F.array(b["pos"])), path, b["line"], b["target"]))
+
+    top, own = F.array().cast("array<int>"), F.array("name")
+    rows = links.where(F.size("links") > 0).select(F.col("name").alias("root"), F.explode(F.concat(F.array(row(top, own, F.lit(""), body=F.col("name"))), under(top, own))).alias("r")).select("root", "r.*")
+    at, path, target = F.col("at"), F.col("path"), F.col("target")
+    nowhere = F.concat(F.lit("\n"), F.col("root"))  # no file's name: spreads what has nothing to join
     for _ in range(depth):
-        known = bodies.select(F.col("name").alias("found"), "body")
-        joined = rows.join(known, F.col("target") == F.col("found"), "left")
-        loop = F.col("target").isNotNull() & F.array_contains("path", F.col("target"))
-        row = lambda line, at=None: F.struct((F.col("at") if at is None else at).alias("at"), F.col("path").alias("path"), line.alias("line"), F.lit(None).cast("string").alias("target"))
-        again = F.transform("body", lambda b: F.struct(F.concat("at", F.array(b["pos"])).alias("at"), F.concat("path", F.array(F.col("target"))).alias("path"), b["line"].alias("line"), b["target"].alias("target")))
-        note = row(F.concat(F.lit("<!-- included from "), F.col("target"), F.lit(" -->")), F.concat("at", F.array(F.lit(-1))))
-        missing = row(F.lit("<!-- @ skipped: file not found -->"))
-        new = F.when(F.col("target").isNull() | loop, F.array(row(F.col("line")))).when(F.col("found").isNull(), F.array(missing)).otherwise(F.concat(F.array(note), again))
+        known = links.select(F.col("name").alias("found"), "links")
+        joined = rows.join(known, F.coalesce(target, nowhere) == F.col("found"), "left")
+        loop = target.isNotNull() & F.array_contains("path", target)
+        longer = F.concat(path, F.array(target))
+        note = row(at, longer, F.concat(F.lit("<!-- included from "), target, F.lit(" -->\n")), body=target)
+        missing = row(at, path, F.lit("<!-- @ skipped: file not found -->"))
+        stays = row(at, path, F.col("line"), body=F.col("body"))
+        new = F.when(target.isNull() | loop, F.array(stays)).when(F.col("found").isNull(), F.array(missing)).otherwise(F.concat(F.array(note), under(at, longer)))
         rows = joined.select("root", F.explode(new).alias("r")).select("root", "r.*")
-    whole = rows.groupBy(F.col("root").alias(key)).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
-    return whole.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias(content))
+    texts = cut.select(F.col("name").alias("found"), F.filter("parts", lambda p: p["target"].isNull()).alias("texts"))
+    whole = rows.join(texts, F.coalesce("body", nowhere) == F.col("found"), "left")
+    placed = lambda at, line: F.struct(at.alias("at"), line.alias("line"))
+    below = F.coalesce(F.transform("texts", lambda t: placed(F.concat("at", F.array(t["pos"])), t["line"])), F.array().cast("array<struct<at:array<int>,line:string>>"))
+    whole = whole.select("root", F.concat(F.array(placed(at, F.col("line"))), below).alias("l"))
+    whole = whole.groupBy(F.col("root").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l"))
+    whole = whole.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "").alias(content))
+    same = cut.where(~F.exists("parts", lambda p: p["target"].isNotNull())).select(F.col("name").alias(key), F.col("text").alias(content))
+    return same.unionByName(whole)

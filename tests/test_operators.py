@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import approx_tokens
 from skein.operators import budget, catalog, coordination, rules, transcript
+from skein.plans import sources
 from skein.sources import files, json_files, session_log
 from skein.streaming import agents
 
@@ -130,6 +131,34 @@ def test_includes(spark):
     assert got["/a"] == f"1\n<!-- included from /b -->\n2\n<!-- included from /c -->\n3\n{missing}\n@user\n@/a\n```\n@/b\n```"
 
 
+def expanded(known, name, depth=5, path=()):
+    """The same by plain recursion: (text of a file, its includes put in, down to a depth)."""
+    out, fenced = [], False
+    for line in known[name].split("\n"):
+        bare = line.strip(" \t\x0b\x0c\r")
+        target = bare[1:]
+        if bare.startswith("```"):
+            fenced = not fenced
+        elif not fenced and bare[:1] == "@" and target.startswith(("./", "../", "~/", "/")) and " " not in target and "\t" not in target and target not in (*path, name):
+            if target not in known:
+                line = "<!-- @ skipped: file not found -->"
+            else:
+                body = expanded(known, target, depth - 1, (*path, name)) if depth else known[target]
+                line = f"<!-- included from {target} -->\n{body}"
+        out.append(line)
+    return "\n".join(out)
+
+
+def test_include_expand_reads_whole_texts(spark, tmp_path):
+    long = "word " * 30
+    texts = {0: long, 1: f"{long}\n@/d4\n  ```\n@/d2\n```\nend", 2: f"{long}\n\t@/d4 \r\n@@/d4\n@/d4 x\n@/none", 3: "", 4: f"```\n@/d2\n```\n@/d5\n\n{long}\n", 5: f"@/d6\n@/d6\n@ /d6{long}", 6: f"{long}\n```\n@/d1\nopen", 9: "\n@/d2\n"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    more = lambda k: ([f"@/d{k // 3}"] if k % 3 == 0 else []) + (["@./nowhere"] if k % 5 == 0 else []) + ["```\n@/d1\n```"]
+    known = {f"/d{k}": "\n".join([t, *more(k)]) for k, t in texts.items()}
+    got = {r["file"]: r["content"] for r in sources.include_expand(spark, str(tmp_path)).collect()}
+    assert got == {k: expanded(known, k) for k in known}
+
+
 def test_mailboxes_that_are_no_json_are_empty(spark):
     df = spark.createDataFrame([("a", '[{"from":"x","text":"t","read":true,"approve":null}]'), ("b", "broken")], "box string, text string")
     rows = json_files.messages(df, "box").collect()
