@@ -87,10 +87,15 @@ def append_absent(old: Column, new: Column) -> Column:
     return F.array_union(F.coalesce(old, F.array().cast("array<string>")), new)
 
 
-def free_name(names: DataFrame, wanted: str, name: str, most: int = 1000) -> DataFrame:
-    """The first free of wanted, wanted-2, wanted-3 ..."""
-    tries = names.sparkSession.range(1, most + 1).select(F.col("id").alias("k"), F.when(F.col("id") == 1, wanted).otherwise(F.concat(F.lit(f"{wanted}-"), F.col("id").cast("string"))).alias("name"))
-    return tries.join(names.select(F.col(name).alias("name")), "name", "left_anti").agg(F.min_by("name", "k").alias("name"))
+def free_name(names: DataFrame, wanted: str, name: str) -> DataFrame:
+    """The first free of wanted, wanted-2, wanted-3 ... without a limit: it is wanted or follows a taken one."""
+    suffix = F.substr(F.col(name), F.lit(len(wanted) + 2))
+    numbered = F.col(name).startswith(f"{wanted}-") & suffix.rlike(r"\A[1-9][0-9]*\z")
+    k = F.when(F.col(name) == wanted, F.lit(1).cast("long")).when(numbered & (suffix != "1"), suffix.try_cast("long"))
+    taken = names.select(k.alias("k")).where("k is not null").distinct()
+    tries = taken.select(F.try_add("k", F.lit(1)).alias("k")).union(names.sparkSession.range(1, 2, numPartitions=1).select(F.col("id").alias("k")))
+    first = tries.join(taken, "k", "left_anti").agg(F.min("k").alias("k"))
+    return first.select(F.when(F.col("k") == 1, wanted).otherwise(F.concat(F.lit(f"{wanted}-"), F.col("k").cast("string"))).alias("name"))
 
 
 def schema_size(catalog: DataFrame, schema: str, prefix: str | None = None, name: str = "name") -> DataFrame:

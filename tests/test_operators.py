@@ -96,6 +96,15 @@ def test_merges(spark):
     assert last == {"k": ("c", 0), "l": ("b", 1)}
 
 
+def test_free_name_has_no_limit(spark):
+    first = lambda taken: catalog.free_name(spark.createDataFrame([(n,) for n in taken], "name string"), "team", "name").first()["name"]
+    many = ["team", *(f"team-{k}" for k in range(1, 2501))]
+    assert first(many) == "team-2501"
+    assert first([n for n in many if n != "team-1700"]) == "team-1700"
+    assert first(["team-2", "team-3"]) == first([]) == "team"
+    assert first(["team", "team", None, "team-02", "team-x", "team-1", "team-9223372036854775807", "team-99999999999999999999", "team-3"]) == "team-2"
+
+
 def test_unknown_activity_is_active(spark):
     m = spark.createDataFrame([("t", None), ("t", False), ("u", False)], "team string, is_active boolean")
     assert {r["team"]: r["all_idle"] for r in coordination.all_idle(m, "team").collect()} == {"t": False, "u": True}
