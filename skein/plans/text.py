@@ -44,7 +44,7 @@ def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, trim(left(text, 60), {BLANKS}) AS summary, '{{\"id\": ' || doc_id || '}}' AS object, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, {BLANKS})), lambda s: s <> '')[1], '') AS first_line FROM documents")
 def extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    tagged = F.concat(F.lit("x <summary>"), F.left("text", F.lit(60)), F.lit("</summary> y"))
+    tagged = F.concat(F.lit("x <summary>"), F.col("text"), F.lit("</summary> y"))
     prose = F.concat(F.lit('Sure: {"id": '), F.col("doc_id").cast("string"), F.lit("} done"))
     return d.select("doc_id", x.tagged(tagged).alias("summary"), x.json_object(prose).alias("object"), x.first_line(F.col("text")).alias("first_line"))
 

@@ -45,6 +45,13 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
+def test_extracts_reads_whole_texts(spark, tmp_path):
+    texts = [" long " * 50, "a\n<summary>b</summary> c", "", "x" * 61 + "</summary>", "\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["summary"] for r in plans.QUERIES["extracts"](spark, str(tmp_path)).collect()}
+    assert got == {k: f"{t}</summary>".split("</summary>", 1)[0].strip() for k, t in enumerate(texts)}
+
+
 def test_entry(spark):
     import __spark_entry__
 
