@@ -114,7 +114,9 @@ def include_parts(content: Column) -> Column:
 
 
 def expand_includes(files: DataFrame, depth: int = 5, key: str = "file", content: str = "content") -> DataFrame:
-    """(file, content) with lines ``@./other``, ``@../other``, ``@~/other`` or ``@/other`` replaced by a note and that file's lines, down to a depth.
+    """(file, content) with lines ``@./other``, ``@../other``, ``@~/other`` or ``@/other`` replaced by a note and that file's lines.
+
+    Files down to a depth are expanded (a root has depth 0), so what the last of them includes is still put in, as it is.
 
     Lines inside fences stay. An unknown file gives a note; the include of a file that this one came from stays a line.
     Each level is one join on the included name, of include lines only; a line's place is the list of its places on all levels.
@@ -136,7 +138,7 @@ def expand_includes(files: DataFrame, depth: int = 5, key: str = "file", content
     rows = links.where(F.size("links") > 0).select(F.col("name").alias("root"), F.explode(F.concat(F.array(row(top, own, F.lit(""), body=F.col("name"))), under(top, own))).alias("r")).select("root", "r.*")
     at, path, target = F.col("at"), F.col("path"), F.col("target")
     nowhere = F.concat(F.lit("\n"), F.col("root"))  # no file's name: spreads what has nothing to join
-    for _ in range(depth):
+    for _ in range(depth + 1):
         known = links.select(F.col("name").alias("found"), "links")
         joined = rows.join(known, F.coalesce(target, nowhere) == F.col("found"), "left")
         loop = target.isNotNull() & F.array_contains("path", target)

@@ -168,6 +168,13 @@ def test_include_expand_reads_whole_texts(spark, tmp_path):
     assert got == {k: expanded(known, k) for k in known}
 
 
+def test_the_sixth_include_in_a_chain_is_put_in(spark):
+    known = {f"/{k}": f"{k}\n@/{k + 1}\nend {k}" for k in range(8)} | {"/8": "last"}
+    got = {r["file"]: r["content"] for r in files.expand_includes(spark.createDataFrame(list(known.items()), "file string, content string")).collect()}
+    assert got == {k: expanded(known, k) for k in known}
+    assert "\n<!-- included from /6 -->\n6\n@/7\nend 6\n" in got["/0"]
+
+
 def test_mailboxes_that_are_no_json_are_empty(spark):
     df = spark.createDataFrame([("a", '[{"from":"x","text":"t","read":true,"approve":null}]'), ("b", "broken")], "box string, text string")
     rows = json_files.messages(df, "box").collect()
