@@ -1,5 +1,6 @@
 """Quality rules, license scans and URL filters against plain Python."""
 
+import random
 import re
 
 from skein.llm import license_scan, quality_rules, url_filter
@@ -39,6 +40,18 @@ def test_quality_empty_table_and_clashing_columns(spark):
     assert row["n_words"] == 2 and row["other"] == "mine"
 
 
+def test_wrong_word_mix_alone_rejects(spark):
+    r = random.Random(4)
+    invented = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8)))
+    prose = lambda common: ". ".join(" ".join([invented(), *(w for _ in range(5) for w in (r.choice(common), invented()))]).capitalize() for _ in range(40)) + "."
+    mix = [w for w, n in quality_rules.WORD_REFERENCES["en"].items() for _ in range(n)]
+    df = spark.createDataFrame([(1, prose(mix)), (2, prose("for it with be by on as this are or from at".split()))], "doc_id long, text string")
+    good, bad = sorted(quality_rules.judge_quality(df).collect(), key=lambda x: x["doc_id"])
+    assert good["kept"] and not bad["kept"] and not bad["base_failed"]
+    assert bad["class_distance"] < quality_rules.MAX_CLASS_DISTANCE
+    assert good["word_distance"] < 0.5 < 0.55 < bad["word_distance"] < 0.70
+
+
 def test_license_base_and_templates(spark):
     docs = brute.odd_documents()
     rows = license_scan.scan_licenses(spark.createDataFrame(docs, brute.SCHEMA)).collect()
