@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.llm.shared import BASE, PrefixHash, Scratch, byte_slices, mix
+from skein.llm.shared import BASE, Scratch, Strings, byte_slices, mix
 
 WORDS, PERCENT = 5, 80
 #: Share of the hash range whose shingles are ordered by frequency: somewhat over the share of a prefix.
@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> t
     after = edge[1:].copy()
     after[:-1] |= gap[1:]
     last = np.flatnonzero(~gap & after) + 1
-    code = PrefixHash(_LOWER[data]).of(first, last)
+    code = Strings(_LOWER[data]).of(first, last)
     doc = np.searchsorted(offsets, first, side="right") - 1
     words = np.bincount(doc, minlength=n)
 

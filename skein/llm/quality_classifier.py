@@ -3,8 +3,9 @@
 Each text becomes FEATURES: logarithms and square roots of counts and shares. The two classes' means
 and covariances come from sums over all labelled training rows. Covariances shrink towards
 the pooled one and towards its diagonal. A text's score is the logistic of the difference of the
-classes' log densities, each from a Mahalanobis distance by triangular solve with the class's cached
-Cholesky factor, plus that of the priors.
+classes' log densities, each from a Mahalanobis distance by forward substitution with the class's cached
+Cholesky factor, plus that of the priors. A worker holds about 2 MB of texts at a time, or one longer text whole
+with some 15 bytes for each of its own.
 
 Null and empty texts have zero counts and get a score like any other. Labels other than 0 and 1 are left
 out; a label's repeated row counts again. If a class has no rows, all scores are the share of label 1 (0.5 without labels).
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.shared import BASE, PrefixHash, Scratch, byte_slices, mix
+from skein.llm.shared import BASE, Scratch, Strings, byte_slices, mix
 
 FEATURES = (
     "words", "word_length", "symbols", "capitals", "digits", "punctuation", "exclamations", "pipes", "line_length",
@@ -70,8 +71,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     stop[:-1] = gap
     stop[offsets] = True
     last = np.flatnonzero(~gap & stop[1:]) + 1
-    prefix = PrefixHash(data)
-    code = prefix.of(first, last)
+    strings = Strings(data)
+    code = strings.of(first, last)
     doc = np.searchsorted(offsets, first, side="right") - 1
     words = np.bincount(doc, minlength=n)
     repeated_words = _repeats(doc, code, n)
@@ -93,7 +94,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     body = line_end - line_start > 1
     lines = np.bincount(line_doc[body], minlength=n)
     trimmed = line_end[body] - (data[line_end[body] - 1] == 10)
-    repeated_lines = _repeats(line_doc[body], prefix.of(line_start[body], trimmed), n)
+    repeated_lines = _repeats(line_doc[body], strings.of(line_start[body], trimmed), n)
     chars, w = np.maximum(size, 1), np.maximum(words, 1)
     share = lambda x, of: np.sqrt(x / np.maximum(of, 1))
     return np.stack([
@@ -131,16 +132,19 @@ class Discriminant:
             return np.full(len(x), self.prior)
         log = []
         for m, factor, c in zip(self.means, self.factors, self.constants, strict=True):
-            z = np.linalg.solve(factor, (x - m).T)
+            z = (x - m).T
+            for k in range(len(factor)):  # forward substitution, all rows at once
+                z[k] = (z[k] - factor[k, :k] @ z[:k]) / factor[k, k]
             log.append(c - 0.5 * (z**2).sum(0))
         return 1 / (1 + np.exp(-np.clip(log[1] - log[0], -500, 500)))
 
 
 def fit(train: DataFrame, label_col: str = "label") -> Discriminant:
-    """From all rows of train (features and a label 0 or 1): two rows of sums come to the driver."""
+    """From all rows of train (features and a label 0 or 1): two rows of sums come to the driver. Sums of decimals are the same in any order."""
+    exact = lambda c: F.sum(c.cast("decimal(18,9)"))
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     sums = train.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("label")).agg(
-        F.count("*").alias("n"), *(F.sum(f).alias(f"s{k}") for k, f in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}_{j}") for i, j in pairs)
+        F.count("*").alias("n"), *(exact(F.col(f)).alias(f"s{k}") for k, f in enumerate(FEATURES)), *(exact(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}_{j}") for i, j in pairs)
     )
     rows = {r["label"]: r for r in sums.collect()}
     total = sum(r["n"] for r in rows.values())
@@ -149,10 +153,10 @@ def fit(train: DataFrame, label_col: str = "label") -> Discriminant:
     means, covs, counts = [], [], []
     for label in (0, 1):
         r = rows[label]
-        m = np.array([r[f"s{k}"] for k in range(len(FEATURES))]) / r["n"]
+        m = np.array([float(r[f"s{k}"]) for k in range(len(FEATURES))]) / r["n"]
         c = np.zeros((len(FEATURES), len(FEATURES)))
         for i, j in pairs:
-            c[i, j] = c[j, i] = r[f"c{i}_{j}"] / r["n"] - m[i] * m[j]
+            c[i, j] = c[j, i] = float(r[f"c{i}_{j}"]) / r["n"] - m[i] * m[j]
         means.append(m)
         covs.append(c)
         counts.append(r["n"])

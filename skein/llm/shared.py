@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import hashlib
 import tempfile
 import uuid
 
@@ -21,20 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, a folder of our own."""
+    """spark.checkpoint.dir of the session. Where that is unset: on a local master a folder of our own, else an error, as executors could not read it."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="skein-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
-    """Written tables that cut lineage: they survive lost executors, unlike cached blocks."""
+    """Written tables that cut lineage: they survive lost executors, unlike cached blocks. What is left of them goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -43,11 +54,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Forget tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            with contextlib.suppress(Exception):
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
 
     def free_shuffles(self) -> None:
         """Shuffle files of finished jobs go when the driver collects its garbage; ask for that now."""
@@ -57,6 +65,26 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def hot_limit(rows: int) -> int:
+    """Rows of one key over which it is dealt over several tasks: at most 20,000 keys can have more, so a list of them may be broadcast."""
+    return max(1024, rows // 20_000)
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, limit: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small, whose keys are unique and whose column `weight` bounds the rows of big that have the key (it is dropped).
+
+    Keys over `limit` rows are dealt by a hash of big's columns `spread`, so that no task gets one key's rows alone. They are broadcast:
+    the weights of big's N rows sum to N at most, so there are N / limit of them at most.
+    """
+    salts = F.ceil(F.col(weight) / limit).cast("int")
+    hot = small.where(F.col(weight) > limit).select(*(F.col(k).alias(f"_{k}") for k in keys), salts.alias("_salts"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    dealt = big.join(F.broadcast(hot), on, "left").drop(*(f"_{k}" for k in keys))
+    dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_salts")
+    each = small.withColumn("_salt", F.explode(F.when(F.col(weight) > limit, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0))))).drop(weight)
+    return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -97,15 +125,10 @@ def byte_slices(column, limit: int = 1 << 21):
             first = end
 
 
-#: Any odd multiplier of good dispersion serves; fixed so that reruns agree.
+#: An odd multiplier of good dispersion; fixed so that reruns agree.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def odd_powers(n: int) -> np.ndarray:
-    """BASE ** 0 .. BASE ** (n - 1) modulo 2 ** 64."""
-    out = np.full(n, BASE, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+#: Longer strings are hashed one by one.
+LONG = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,21 +140,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class PrefixHash:
-    """Rolling hashes of all substrings of a buffer from one pass of prefix sums."""
+class Strings:
+    """Hashes of substrings of a buffer: 8 bytes at a time through a mixer that is no polynomial, all strings side by side."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.power = odd_powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[data] * self.power[:n], out=self.sums[1:])
-        inverse = np.full(n + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
-        inverse[:1] = 1
-        self.inverse = np.multiply.accumulate(inverse)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:end]; equal strings have equal hashes wherever they stand."""
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * BASE)
+        self.data = data
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        #: The 8 bytes from each place on.
+        self.eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+    def of(self, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+        """64-bit hashes of data[start:end]; equal strings have equal hashes wherever they stand. Each lane is a hash function of its own."""
+        size = end - start
+        h = mix(size.astype(np.uint64) * BASE + np.uint64((0x632BE59BD9B4E019 * (lane + 1)) % 2**64))
+        live = np.arange(len(size))
+        far = size > LONG
+        if far.any():
+            live = live[~far]
+            raw = memoryview(np.ascontiguousarray(self.data))
+            for k in np.flatnonzero(far):
+                h[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]], digest_size=8, salt=bytes([lane])).digest(), "little")
+        live = live[size[live] > 0]
+        k = 0
+        while len(live):
+            rest = size[live] - k
+            word = self.eight[start[live] + k] & _MASKS[np.minimum(rest, 8)]
+            h[live] = mix((h[live] ^ word) * BASE + np.uint64(lane)) if lane else mix(h[live] ^ word)
+            live = live[rest > 8]
+            k += 8
+        return h
