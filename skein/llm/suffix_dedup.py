@@ -4,21 +4,27 @@ Removed is every byte of a text that a string of `length` bytes covers which als
 
 Parsing: a rolling hash of K bytes triggers where it is the least of `SPREAD` neighbours (leftmost of
 equals), so each window of `length` bytes has its trigger by its content alone, wherever it stands. A
-text thus falls into phrases: a trigger with all windows that it is the trigger of, from `before` bytes in front
-of it. The dictionary is the set of distinct phrases, the parse the sequence of them. What all
-windows of a trigger share, the bytes from it to the end of the earliest window, is its core.
-
-Order: windows are suffixes of dictionary phrases cut at `length` bytes. A phrase that the parse holds
-twice repeats in all its windows; a core that stands once repeats in none. What is left are cores
-that stand in different phrases: of those the dictionary's suffix array is built (prefix doubling over the
-phrases' bytes, ranks up to `length` bytes) and windows of equal rank in different phrases are repeats.
-Together this orders the corpus as far as repeats are concerned, without ever sorting what the parse
-already tells: in highly repetitive text the dictionary is small.
-
-Only pairs of hashes and places are shuffled for the parse; phrases' bytes only for the last case, once
-each. Phrases are keyed by two 64-bit hashes, the last case compares bytes. Null texts are empty; texts
-under `length` bytes stay whole; repeated rows of a document are texts of their own only if
-their ids differ: ids must be unique. Long texts are parsed in overlapping pieces.
+text thus falls into phrases: a trigger with all windows that it is the trigger of, from the first window's
+start to the last one's end. The dictionary is the set of distinct phrases, the parse the sequence of them.
+What all windows of a trigger share, the bytes from it to the end of the earliest window, is its core.
+
+Order: phrases overlap by `length` - 1 bytes, so no window reaches over two of them, and of the parse's suffix array
+cut at `length` bytes only the first symbol counts: a phrase that the parse holds twice repeats in all its
+windows. A core that stands once repeats in none. What is left are cores that stand in different phrases: of those
+the dictionary's suffix array is built (prefix doubling over the phrases' bytes, ranks up to `length` bytes), and
+windows of equal rank in different phrases are repeats. That is the corpus order as far as repeats show in it; windows that differ are
+ordered only within their bucket of the dictionary.
+
+The dictionary is sorted in buckets of whole cores. A core in more than CORE_PHRASES phrases is no bucket: its windows are
+refined by content instead, first by what RANGE neighbouring windows share, then one by one, as counts of hashes that
+are aggregated, never gathered. Joins by core or phrase deal common ones over several tasks.
+
+Texts are parsed once. For the parse hashes and places are shuffled; whole texts move twice, to their wanted phrases and to
+their spans. Phrases are known by 128 bits (core and phrase), buckets compare bytes, refined windows have 128 bits.
+
+Null texts are empty; texts under `length` bytes stay whole. Rows are told apart by id and text together, so null ids and one id with
+several texts are fine; rows that agree in both are texts of their own and repeat each other. Long texts
+are parsed in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -26,16 +32,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from skein.llm.shared import BASE, PrefixHash, Scratch, byte_slices, mix
+from skein.llm.shared import BASE, Scratch, Strings, byte_slices, hot_limit, join_hot, mix
 
 LENGTH = 200
 #: Bytes of the rolling hash and how many neighbours it is the least of. SPREAD is a power of two.
 K, SPREAD = 16, 128
 #: Windows that a long text is parsed at a time.
 PIECE = 1 << 20
-#: Distinct phrases whose suffixes are sorted at a time.
-BUCKET = 4096
+#: Distinct phrases whose suffixes are sorted at a time, and how many of one core may be among them.
+BUCKET, CORE_PHRASES = 4096, 1024
+#: Neighbouring windows of a phrase that are refined together.
+RANGE = 16
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,10 +65,10 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty, empty, empty, empty, empty, empty
-    prefix = PrefixHash(data)
-    at = np.arange(n - K + 1)
+    strings = Strings(data)
+    rolling = mix(strings.eight[: n - K + 1] * BASE + strings.eight[8 : n - K + 9] * np.uint64(0xC2B2AE3D27D4EB4F))
     # hash in front, place behind: the least is the leftmost of equals
-    key = (prefix.of(at, at + K) >> np.uint64(1) & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
+    key = (rolling >> np.uint64(1) & ~np.uint64((1 << 24) - 1)) | np.arange(n - K + 1, dtype=np.uint64)
     least = sliding_least(key.view(np.int64), SPREAD)
     start = np.arange(n - length + 1)
     text = np.searchsorted(offsets, start, side="right") - 1
@@ -72,8 +81,8 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(start)) - 1
     first, last, t = start[heads], start[tails], trigger[heads]
-    core = prefix.of(t, t + length - SPREAD + 1)
-    phrase = prefix.of(first, last + length)
+    core = strings.of(t, t + length - SPREAD + 1)
+    phrase = strings.of(first, last + length, 1)
     # where the trigger stands in the phrase is part of it
     phrase = mix(phrase + (t - first).astype(np.uint64) * BASE + (last - first).astype(np.uint64))
     of = np.searchsorted(offsets, first, side="right") - 1
@@ -92,45 +101,55 @@ def _pieces(column, length: int):
             yield first, end, data, offsets, 0
 
 
-def _phrases(texts: DataFrame, length: int, with_places: bool) -> DataFrame:
+#: place: a phrase's first window, the trigger's offset in the phrase and its last window's, which fit a byte each (SPREAD windows at most).
+PLACE = "k1 long, k2 long, place long"
+
+
+def _phrases(texts: DataFrame, length: int) -> DataFrame:
+    """(core, phrase, k1, k2, place) of each phrase of rows (k1, k2, text)."""
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for first, _, data, offsets, start in _pieces(b.column(1), length):
-                of, _, head, tail, core, phrase = parse(data, offsets, length)
-                if not len(of):
-                    continue
-                if with_places:
-                    ids = b.column(0).take(pa.array(of + first))
-                    # the number of windows fits a byte: a phrase has SPREAD of them at most
-                    yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(phrase), ids, pa.array((head + start) * 256 + (tail - head))], names=["core", "phrase", "doc", "place"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(phrase)], names=["core", "phrase"])
+            for first, _, data, offsets, start in _pieces(b.column(2), length):
+                of, trigger, head, tail, core, phrase = parse(data, offsets, length)
+                if len(of):
+                    rows = pa.array(of + first)
+                    place = (head + start) << 16 | (trigger - head) << 8 | (tail - head)
+                    yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(phrase), b.column(0).take(rows), b.column(1).take(rows), pa.array(place)], names=["core", "phrase", "k1", "k2", "place"])
 
-    return texts.mapInArrow(run, "core long, phrase long, doc long, place long" if with_places else "core long, phrase long")
+    return texts.mapInArrow(run, f"core long, phrase long, {PLACE}")
 
 
 def _take_phrases(joined: DataFrame, length: int) -> DataFrame:
-    """(core, phrase, single, doc, place, bytes) of rows (text, wanted): the bytes of the phrases wanted of each text."""
+    """(core, single, hot, k1, k2, place, bytes) of rows (k1, k2, text, wanted): the bytes of the phrases wanted of each text."""
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = (("core", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()), ("place", pa.int64()))
         for b in batches:
             for k in range(b.num_rows):
-                text = (b.column(0)[k].as_py() or "").encode()
-                rows = b.column(1)[k].as_py()
-                parts = [text[w["place"] >> 8 : (w["place"] >> 8) + (w["place"] & 255) + length] for w in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in rows], t) for c, t in (("core", pa.int64()), ("phrase", pa.int64()), ("single", pa.bool_()), ("doc", pa.int64()), ("place", pa.int64()))] + [pa.array(parts, pa.binary())], names=["core", "phrase", "single", "doc", "place", "bytes"])
+                text = (b.column(2)[k].as_py() or "").encode()
+                rows = b.column(3)[k].as_py()
+                for at in range(0, len(rows), 4096):
+                    some = rows[at : at + 4096]
+                    core, single, hot, place = (pa.array([w[c] for w in some], t) for c, t in kinds)
+                    same = pa.array([k] * len(some))
+                    parts = [text[w["place"] >> 16 : (w["place"] >> 16) + (w["place"] & 255) + length] for w in some]
+                    yield pa.RecordBatch.from_arrays([core, single, hot, b.column(0).take(same), b.column(1).take(same), place, pa.array(parts, pa.binary())], names=["core", "single", "hot", "k1", "k2", "place", "bytes"])
 
-    return joined.select("text", "wanted").mapInArrow(run, "core long, phrase long, single boolean, doc long, place long, bytes binary")
+    return joined.select("k1", "k2", "text", "wanted").mapInArrow(run, f"core long, single boolean, hot boolean, {PLACE}, bytes binary")
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Ranks of data[s:s + length] for the starts: the suffix array by prefix doubling, cut at length bytes."""
-    rank = data.astype(np.int64)
-    width = 1
+    rank, width = data.astype(np.int64), 1
+    if length >= 8:  # the first three doublings at once: 8 bytes as one number
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        rank, width = np.unique(np.ndarray((max(len(data) - 7, 0),), ">u8", padded, strides=(1,)), return_inverse=True)[1], 8
 
     def joined(rank: np.ndarray, shift: int) -> np.ndarray:
         pair = rank[: len(rank) - shift] * (rank.max(initial=0) + 1) + rank[shift:]
@@ -167,40 +186,113 @@ def _repeats_in_bucket(length: int):
         tail[:-1] &= ~(repeated[1:] & (phrase[1:] == phrase[:-1]))
         h, t = np.flatnonzero(head), np.flatnonzero(tail)
         at = rows["place"].to_numpy() >> 8
-        return pd.DataFrame({"doc": rows["doc"].to_numpy()[phrase[h]], "start": at[phrase[h]] + inner[h], "end": at[phrase[t]] + inner[t] + length})
+        at = rows["place"].to_numpy() >> 16
+        of = {c: rows[c].to_numpy()[phrase[h]] for c in ("k1", "k2")}
+        return pd.DataFrame(of | {"start": at[phrase[h]] + inner[h], "end": at[phrase[t]] + inner[t] + length})
 
     return run
 
 
+def _refined(scratch: Scratch, phrases: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, start, end) of the windows of single phrases that another phrase of rows (core, single, k1, k2, place, bytes) holds too.
+
+    Windows whose trigger lies l bytes behind their start, for l of a range [a, b], share a bytes in front of the trigger and length - b
+    from it on. Ranges without an equal in any other phrase go; the windows of those that are left are compared by themselves.
+    """
+    ranges = SPREAD // RANGE
+
+    def hashed(wanted):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                parts = b.column(b.schema.get_field_index("bytes")).to_pylist()
+                place = b.column(b.schema.get_field_index("place")).to_numpy()
+                core = b.column(b.schema.get_field_index("core")).to_numpy().view(np.uint64)
+                begin = np.cumsum([0, *map(len, parts)])[:-1]
+                strings = Strings(np.frombuffer(b"".join(parts), np.uint8))
+                most = place >> 8 & 255
+                least, trigger = most - (place & 255), begin + most
+                for k, (front, behind, row) in enumerate(wanted(b, most, least)):
+                    at = trigger[row]
+                    keys = [mix(strings.of(at - front, at + behind, lane) ^ mix(core[row] + np.uint64(k))).view(np.int64) for lane in (0, 1)]
+                    rows = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(b.column(b.schema.get_field_index(c)).take(rows) for c in ("k1", "k2", "place", "single")), pa.array(np.full(len(row), k, np.int32))], names=["key", "key2", "k1", "k2", "place", "single", "nth"])
+
+        return run
+
+    def by_range(b, most, least):
+        for k in range(ranges):
+            row = np.flatnonzero((most >= k * RANGE) & (least < (k + 1) * RANGE))
+            yield k * RANGE, length - (k + 1) * RANGE + 1, row
+
+    def by_window(b, most, least):
+        kept = b.column(b.schema.get_field_index("kept")).to_numpy()
+        for k in range(SPREAD):
+            yield k, length - k, np.flatnonzero((most >= k) & (least <= k) & (kept >> (k // RANGE) & 1 == 1))
+
+    def repeated(df: DataFrame, name: str) -> DataFrame:
+        df = scratch.save(df, name)
+        counts = scratch.save(df.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1"), f"{name}_counts")
+        return join_hot(df, counts, ["key", "key2"], "n", hot_limit(counts.agg(F.sum("n")).first()[0] or 0), ["k1", "k2", "place"])
+
+    schema = f"key long, key2 long, {PLACE}, single boolean, nth int"
+    near = repeated(phrases.mapInArrow(hashed(by_range), schema), "ranges")
+    near = near.groupBy("k1", "k2", "place").agg(F.bit_or(F.expr("shiftleft(1, nth)")).alias("kept"))
+    found = repeated(phrases.join(near, ["k1", "k2", "place"]).mapInArrow(hashed(by_window), schema), "windows").where("single")
+    start = F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255) - F.col("nth")
+    return scratch.save(found.select("k1", "k2", start.alias("start"), (start + length).alias("end")), "refined")
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df with k1 and k2, by which rows of one id and text, and only those, agree; the id alone would not tell null or repeated ones apart."""
+    number = F.col(id_col).cast("long")
+    return df.withColumns({"k1": F.coalesce(number, F.xxhash64(F.lit(1), F.col(text_col))), "k2": F.xxhash64(number, F.col(text_col))})
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
-    """(doc, start, end): byte spans of texts that are covered by repeated strings; they may overlap."""
+    """(k1, k2, start, end): byte spans of texts, by the keys of their rows, that are covered by repeated strings; they may overlap."""
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
-    cores = _phrases(texts, length, False).groupBy("core").agg(F.count("*").alias("n"), F.min("phrase").alias("p0"), F.max("phrase").alias("p1"))
-    cores = scratch.save(cores.where("n > 1").select(F.col("core").alias("c"), (F.col("p0") < F.col("p1")).alias("mixed")), "cores")
-    scratch.free_shuffles()
-    places = scratch.save(_phrases(texts, length, True).join(cores, F.col("core") == F.col("c")).drop("c"), "places")
+    texts = _keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length), "id", "text").select("k1", "k2", "text")
+    parsed = scratch.save(_phrases(texts, length), "parse")
+    cores = parsed.groupBy("core").agg(F.count("*").alias("n"), F.min("phrase").alias("p0"), F.max("phrase").alias("p1"))
+    cores = scratch.save(cores.where("n > 1").select("core", "n", (F.col("p0") < F.col("p1")).alias("mixed")), "cores")
+    limit = hot_limit(cores.agg(F.sum("n")).first()[0] or 0)
+    places = scratch.save(join_hot(parsed, cores, ["core"], "n", limit, ["k1", "k2", "place"]), "places")
+    scratch.drop("parse", "cores")
     scratch.free_shuffles()
 
     # mixed cores: what the parse holds twice repeats anyway, one of each phrase goes into the dictionary
     mixed = places.where("mixed").drop("mixed")
-    counts = mixed.groupBy(F.col("core").alias("c"), F.col("phrase").alias("p")).agg(F.count("*").alias("n"))
-    mixed = scratch.save(mixed.join(counts, (F.col("core") == F.col("c")) & (F.col("phrase") == F.col("p"))).select("core", "phrase", "doc", "place", (F.col("n") == 1).alias("single")), "mixed")
-    dictionary = mixed.where("single").union(mixed.where(~F.col("single")).dropDuplicates(["core", "phrase"]))
-    dictionary = scratch.save(dictionary, "dictionary")
-    wanted = dictionary.groupBy("doc").agg(F.collect_list(F.struct("core", "phrase", "single", "doc", "place")).alias("wanted"))
-    phrases = _take_phrases(texts.join(wanted.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")), length)
-    phrases = scratch.save(phrases, "phrases")
+    entries = mixed.groupBy("core", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+    entries = scratch.save(entries, "entries")
+    twice = join_hot(mixed, entries.where("n > 1").select("core", "phrase", "n"), ["core", "phrase"], "n", limit, ["k1", "k2", "place"])
+    whole = places.where(~F.col("mixed")).select("k1", "k2", "place").union(twice.select("k1", "k2", "place"))
+    start = F.shiftright("place", 16)
+    whole = scratch.save(whole.select("k1", "k2", start.alias("start"), (start + F.col("place").bitwiseAND(255) + length).alias("end")), "whole")
+
+    variety = scratch.save(entries.groupBy("core").agg(F.count("*").alias("m")).where(F.col("m") > CORE_PHRASES), "variety")
+    hot = variety.agg(F.sum("m")).first()[0] or 0
+    dictionary = entries.select("core", (F.col("n") == 1).alias("single"), "at.*")
+    if hot:
+        dictionary = join_hot(dictionary, variety.withColumn("hot", F.lit(True)), ["core"], "m", hot_limit(hot), ["k1", "k2", "place"], "left")
+    else:
+        dictionary = dictionary.withColumn("hot", F.lit(None).cast("boolean"))
+    wanted = dictionary.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "single", F.coalesce("hot", F.lit(False)).alias("hot"), "place")).alias("wanted"))
+    phrases = scratch.save(_take_phrases(texts.join(wanted, ["k1", "k2"]), length), "phrases")
+    scratch.drop("places", "entries")
+    scratch.free_shuffles()
+    spans = "k1 long, k2 long, start long, end long"
+    buckets = max(1, -(-phrases.where(~F.col("hot")).count() // BUCKET))
+    sorted_ = phrases.where(~F.col("hot")).withColumn("bucket", F.pmod("core", F.lit(buckets))).groupBy("bucket").applyInPandas(_repeats_in_bucket(length), spans)
+    found = whole.union(sorted_)
+    if hot:
+        found = found.union(_refined(scratch, phrases.where("hot"), length))
+    found = scratch.save(found, "spans")
+    scratch.drop("whole", "variety", "phrases", "ranges", "ranges_counts", "windows", "windows_counts", "refined")
     scratch.free_shuffles()
-    buckets = max(1, -(-phrases.count() // BUCKET))
-    partial = phrases.withColumn("bucket", F.pmod("core", F.lit(buckets))).groupBy("bucket").applyInPandas(_repeats_in_bucket(length), "doc long, start long, end long")
-    whole = places.where(~F.col("mixed")).select("doc", "place").union(mixed.where(~F.col("single")).select("doc", "place"))
-    start = F.shiftright("place", 8)
-    whole = whole.select("doc", start.alias("start"), (start + F.col("place").bitwiseAND(255) + length).alias("end"))
-    spans = scratch.save(whole.union(partial), "spans")
-    scratch.drop("cores", "places", "mixed", "dictionary", "phrases")
-    return spans
+    return found
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -214,13 +306,17 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[at].tolist(), end[np.append(at[1:], len(start)) - 1].tolist(), strict=True))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
-    """(id_col, n_bytes, spans, kept) of each row of df: maximal removed runs [start, end) and the bytes that stay. carry: other columns of df to hand through."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), within: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(id_col, n_bytes, spans, kept) of each row of df: maximal removed runs [start, end) and the bytes that stay.
+
+    carry: other columns of df to hand through, as columns of their names, which must differ from these, or as fields of one struct column `within`.
+    """
     scratch = scratch or Scratch(df.sparkSession)
     spans = repeated_spans(df, id_col, text_col, length, scratch)
-    by_doc = spans.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("others"))
-    joined = rows.join(by_doc, F.col("doc") == F.col("d"), "left").select("doc", "text", "found", "others")
+    by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("others")
+    rows = _keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), others), "id", "text")
+    joined = rows.join(by_text, ["k1", "k2"], "left").select("id", "text", "found", "others")
 
     def run(batches):
         import pyarrow as pa
@@ -242,6 +338,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), pa.array(runs, pa.list_(pair)), pa.array(kept, pa.binary()), piece.column(3)], names=["id", "n_bytes", "spans", "kept", "others"])
 
-    out = joined.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, others {rows.schema['others'].dataType.simpleString()}")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *(F.col("others")[c].alias(c) for c in carry))
-
+    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    shape = [StructField("id", df.schema[id_col].dataType), StructField("n_bytes", LongType()), StructField("spans", ArrayType(span)), StructField("kept", BinaryType()), rows.schema["others"]]
+    out = joined.mapInArrow(run, StructType(shape))
+    handed = [F.col("others").alias(within)] if within else [F.col("others")[c].alias(c) for c in carry]
+    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *handed)

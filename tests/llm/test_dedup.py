@@ -82,6 +82,37 @@ def test_suffix_dedup_empty_table_and_carried_columns(spark, tmp_path):
     assert (row["n_bytes"], row["s"], row["k"]) == (10, "mine", 4)
 
 
+def test_suffix_dedup_rows_without_or_with_equal_ids(spark, tmp_path):
+    r = random.Random(7)
+    letters = lambda n: "".join(r.choices("abcdef ", k=n))
+    t, u, v = letters(400), letters(500), letters(300)
+    rows = [(None, t), (1, t), (None, u), (None, v), (2, u[100:350] + letters(60)), (2, letters(700)), (3, v), (3, v), (None, None), (4, letters(250)), (4, None)]
+    want = brute.remove_repeats(enumerate(x for _, x in rows))
+    got = op4_suffix_dedup(spark, write(spark, tmp_path, [(d, x, None, None, None) for d, x in rows])).collect()
+    digest = lambda x: tuple(x)[1:]
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == sorted((str(rows[k][0]), *digest((k, *w))) for k, w in want.items())
+
+
+def test_suffix_dedup_one_core_in_many_contexts(spark, tmp_path, monkeypatch):
+    refined, plain = [], suffix_dedup._refined
+    monkeypatch.setattr(suffix_dedup, "_refined", lambda *x: refined.append(1) or plain(*x))
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    core, shared = letters(190), letters(150)
+    docs = [(k, letters(r.randint(90, 160)) + core + letters(r.randint(90, 160))) for k in range(3000)]
+    docs += [(5000 + k, letters(60) + shared[k:] + core + shared[: 20 * k] + letters(150)) for k in range(6)]
+    want = brute.remove_repeats(docs)
+    assert sum(x[1] > 0 for x in want.values()) >= 3
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in op4_suffix_dedup(spark, write(spark, tmp_path, [(k, t, None, None, None) for k, t in docs])).collect()}
+    assert got == want and refined
+
+
+def test_suffix_dedup_carries_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x" * 10, "mine", 4, 5)], "doc_id long, text string, spans string, kept int, `odd name` int")
+    row = suffix_dedup.remove_repeats(df, carry=("spans", "kept", "odd name"), within="row").first()
+    assert (row["n_bytes"], row["row"]["spans"], row["row"]["kept"], row["row"]["odd name"], bytes(row["kept"])) == (10, "mine", 4, 5, b"x" * 10)
+
+
 def test_suffix_ranks_order_windows():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     starts = np.arange(len(data) - 5)
