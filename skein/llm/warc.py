@@ -8,7 +8,8 @@ frame and offset within the plain frame. Records of equal payloads (SHA-256 and
 
 Bundles are written under names of their own by each attempt of a task, whole and then renamed; the index,
 committed by Spark, names only those of the attempts that counted. Null html is an empty payload; a null
-url gives no target header. Repeated rows give repeated records: equal smallest ids are all responses.
+url gives no target header. Repeated rows give repeated records: equal smallest ids are all responses. One id
+with different payloads is a record each, judged by its own payload. Null ids are responses and never referred to.
 An empty table gives no bundle and an empty index. The id is a long; null ids are written as records without one.
 """
 
@@ -18,31 +19,44 @@ import hashlib
 import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import Scratch
+from skein.llm.shared import Scratch, hot_limit, join_hot
 
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 MIN_REVISIT = 100
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
+#: Up to so many revisits (an id, a digest and an id, about 60 bytes each) are broadcast and payloads stay where they are; more take a shuffle of the pages.
+BROADCAST_REVISITS = 200_000
 DATE = "2026-01-01T00:00:00Z"
 INDEX = "page_id long, record_type string, path string, frame int, offset long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def classify(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(id, digest, bytes, refers_to) of each row: refers_to is null for responses. Only digests are shuffled."""
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    firsts = rows.where(F.col("bytes") >= min_revisit).groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1")
-    joined = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+def classify(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = MIN_REVISIT, scratch: Scratch | None = None) -> DataFrame:
+    """(id, digest, bytes, refers_to) of each row: refers_to is null for responses. Only digests are shuffled; a common payload is dealt over tasks."""
+    scratch = scratch or Scratch(df.sparkSession)
+    payload = _payload(payload_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), _digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    rows = scratch.save(rows, "warc_digests")
+    firsts = rows.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    firsts = scratch.save(firsts.where("n > 1"), "warc_firsts")
+    repeats = firsts.agg(F.sum("n")).first()[0] or 0
+    joined = join_hot(rows, firsts, ["digest", "bytes"], "n", hot_limit(repeats), ["id"], "left")
     return joined.select("id", "digest", "bytes", F.when(F.col("id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
+def _payload(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def _digest(payload: Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
 def record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
 
@@ -191,11 +205,16 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """Writes df's records into bundles in folder (a path or URI that executors share); returns the index."""
     scratch = scratch or Scratch(df.sparkSession)
-    revisits = classify(df, id_col, payload_col, min_revisit).where(F.col("refers_to").isNotNull()).select(F.col("id").alias("rid"), "refers_to").distinct()
+    found = classify(df, id_col, payload_col, min_revisit, scratch).where(F.col("refers_to").isNotNull())
+    # A row is a revisit by its id and its payload: the same id may stand with other bytes, which are a response.
+    revisits = scratch.save(found.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct(), "warc_revisits")
+    few = revisits.count() <= BROADCAST_REVISITS
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
-    # Revisits drop their payload before anything moves: only ids meet, and a revisit's digest is computed again where it is written.
-    rows = pages.join(revisits, F.col("id") == F.col("rid"), "left").select("id", "url", "html", "refers_to")
-    return scratch.save(rows.mapInArrow(_writer(folder, frame_bytes, bundle_bytes), INDEX), "warc_index")
+    same = (F.col("id") == F.col("rid")) & (_digest(_payload("html")) == F.col("rdigest"))
+    rows = pages.join(F.broadcast(revisits) if few else revisits, same, "left").select("id", "url", "html", "refers_to")
+    index = scratch.save(rows.mapInArrow(_writer(folder, frame_bytes, bundle_bytes), INDEX), "warc_index")
+    scratch.drop("warc_digests", "warc_firsts", "warc_revisits")
+    return index
 
 
 def read_archives(spark: SparkSession, index: DataFrame, with_payload: bool = True) -> DataFrame:
