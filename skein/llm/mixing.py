@@ -9,7 +9,9 @@ of size: the words taken miss a source's target by one document of it at most, a
 taken more than `cap` (a whole number) times.
 
 Null and empty texts have size 0, rate 1 and take nothing. Null is a source of its own, last in order. Repeated
-rows are documents of their own. The same rows in any order give the same copies.
+rows and rows of one id, null ids too, are documents of their own, told apart by their texts; rows that agree in
+both share what they are taken. The same rows in any order give the same copies. One task orders the sources
+(a row each); no row of a document meets it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2
 #: Rows of one size and source are ranked in so many parts, so that a hot size is no single task.
 PARTS = 256
-MAX_STEPS, TOLERANCE = 60, 1e-6
+MAX_STEPS, TOLERANCE = 200, 1e-6
 
 
 def source_targets(histogram: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -69,20 +71,21 @@ def balance(scratch: Scratch, histogram: DataFrame, targets: DataFrame, cap: int
             "newton": F.when(F.col("slope") > 0, F.col("lambda") - F.try_divide(F.col("words") - F.col("target"), F.col("slope"))),
         })
         inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+        inside = inside & F.lit(step % 3 != 0)  # each third step halves the bracket, so the end is sure
         moved = F.when(F.col("miss") <= TOLERANCE, F.col("lambda")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
         new = new.withColumn("lambda", moved).select(state.columns)
         state = scratch.save(new, f"dual_{step}")
         if not state.where((F.col("miss") > TOLERANCE) & (F.col("high") - F.col("low") > 1e-12)).limit(1).count():
-            break
+            return state
         scratch.drop(f"dual_{step - 1}")
-    return state
+    raise RuntimeError(f"no balance after {MAX_STEPS} steps")
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, scratch: Scratch | None = None) -> DataFrame:
-    """(id_col, source, size, source_size, target, rate, copies, taken) of each row of df."""
+    """(id_col, hash, source, size, source_size, target, rate, copies, taken) of each row of df; hash is the text's, xxhash64."""
     scratch = scratch or Scratch(df.sparkSession)
-    part = F.pmod(F.xxhash64(F.col("id")), F.lit(PARTS)).cast("int")
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    part = F.pmod(F.xxhash64("id", "hash"), F.lit(PARTS)).cast("int")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = scratch.save(rows.withColumn("part", part), "sizes")
     parts = scratch.save(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "parts")
     histogram = scratch.save(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "histogram")
@@ -108,14 +111,22 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     dealt = scratch.save(dealt.select("at", "at_size", F.col("part").alias("at_part"), "source_size", "target", "rate", "whole", "more_here"), "dealt")
 
     joined = rows.join(dealt, F.col("source").eqNullSafe(F.col("at")) & (F.col("size") == F.col("at_size")) & (F.col("part") == F.col("at_part")))
-    nth = F.row_number().over(W.partitionBy("source", "size", "part").orderBy(F.xxhash64("id", F.lit(9)), "id"))
+    nth = F.row_number().over(W.partitionBy("source", "size", "part").orderBy(F.xxhash64("id", "hash", F.lit(9)), "id", "hash"))
     taken = F.col("whole") + F.when(nth <= F.col("more_here"), 1).otherwise(0)
     out = joined.withColumn("copies", taken.cast("int"))
-    return out.select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "hash", F.col("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """df with each row as often as it is taken; ids must be unique."""
-    taken = copies(df, id_col, text_col, source_col, **settings).where(F.col("copies") > 0).select(F.col(id_col).alias("_id"), F.col("copies").alias("_copies"))
-    out = df.join(taken, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_copies", "_copy")
+    """df with each row as often as it is taken. Rows that agree in id, source and text deal what they are taken among themselves."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    key = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(source_col).cast("string").alias("source")]
+    per = copies(df, id_col, text_col, source_col, **settings).groupBy(F.col(id_col).alias("i"), F.col("hash").alias("h"), F.col("source").alias("s"))
+    per = per.agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")) & F.col("source").eqNullSafe(F.col("s"))
+    joined = df.select(*key, row).join(per, same)
+    alone = joined.where("rows = 1").select("row", F.col("copies").alias("times"))
+    several = joined.where("rows > 1").withColumn("nth", F.row_number().over(W.partitionBy("id", "hash", "source").orderBy(F.xxhash64("row"))))
+    several = several.select("row", (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).alias("times"))
+    out = alone.union(several).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")).select("row.*")

@@ -48,7 +48,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("hash")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -34,6 +36,44 @@ def test_classifier_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
 
 
+def plain_features(text):
+    """The statistics by their definitions, one text at a time."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for k, x in enumerate(raw.split(b"\n")) if len(x) + (k < raw.count(b"\n")) > 1]
+    windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+    again = lambda xs: len(xs) - len(set(xs))
+    share = lambda n, of: math.sqrt(n / max(of, 1))
+    count = lambda signs: sum(raw.count(c.encode()) for c in signs)
+    spaces = count(" \t\n\x0b\x0c\r")
+    return [
+        math.log1p(len(words)), math.log1p((len(raw) - spaces) / max(len(words), 1)), share(count("#*$%&|<>@^~_=+\\/{}[]"), len(raw)), share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), len(raw)),
+        share(count("0123456789"), len(raw)), share(count(".,;:'\"()-?"), len(raw)), share(count("!"), len(raw)), share(count("|"), len(raw)), math.log1p(len(raw) / max(len(lines), 1)),
+        share(again(lines), len(lines)), share(again(windows), len(words)), share(len(words) - again(words), len(words)),
+        share(sum(w[-1:] in (b".", b",", b";", b":", b"!", b"?") for w in words), len(words)), share(sum(len(w) <= 3 for w in words), len(words)),
+    ]
+
+
+def test_classifier_is_the_discriminant_of_its_definition(spark):
+    q = quality_classifier
+    docs, labels = labelled(200)
+    r = random.Random(9)
+    docs = [(k, t + r.choice(["", "\nSame line\nSame line\n", " A, B! | 12", "\n\n"]) + (" " + t if k % 7 == 0 else "")) for k, t in docs] + [(900, None), (901, ""), (902, " a"), (903, "é" * 2000)]
+    out = {x["doc_id"]: x["score"] for x in q.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = {d: np.array(plain_features(t)) for d, t in docs}
+    truth = {d: y for d, y in labels if zlib.crc32(str(d).encode()) % 5}
+    sets = [np.array([x[d] for d, y in truth.items() if y == c]) for c in (0, 1)]
+    covs = [np.cov(s.T, bias=True) for s in sets]
+    pooled = sum(len(s) * c for s, c in zip(sets, covs, strict=True)) / len(truth)
+    log = []
+    for s, c in zip(sets, covs, strict=True):
+        c = (1 - q.POOLED - q.DIAGONAL) * c + q.POOLED * pooled + q.DIAGONAL * np.diag(np.diag(pooled)) + q.RIDGE * np.eye(len(c))
+        far = lambda v, s=s, c=c: (v - s.mean(0)) @ np.linalg.inv(c) @ (v - s.mean(0))
+        log.append({d: math.log(len(s) / len(truth)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * far(v) for d, v in x.items()})
+    for d in x:
+        assert abs(out[d] - 1 / (1 + np.exp(-np.clip(log[1][d] - log[0][d], -500, 500)))) < 1e-5, d
+
+
 def test_classifier_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     rows = quality_classifier.classify(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none).collect()
@@ -162,6 +202,56 @@ def test_mixing_meets_its_targets(spark):
     assert sorted(map(tuple, ((x["doc_id"], x["taken"]) for x in rows))) == sorted((x["doc_id"], x["taken"]) for x in again)
 
 
+def test_mixing_rates_by_bisection(spark):
+    r = random.Random(18)
+    docs = [(k, " ".join(["w"] * r.randint(1, 90)), r.choice(["a"] * 6 + ["b", "c", None])) for k in range(400)]
+    rows = mixing.copies(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    of = {}
+    for x in rows:
+        of.setdefault(x["source"], []).append(x)
+    targets = plain_targets({s: sum(x["size"] for x in xs) for s, xs in of.items()})
+    for s, xs in of.items():
+        mean = sum(x["size"] for x in xs) / len(xs)
+        rate = lambda low, n, mean=mean: min(2.0, math.exp(low * n / mean))
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(x["size"] * rate(middle, x["size"]) for x in xs) < targets[s] else (low, middle)
+        full = targets[s] >= 2 * sum(x["size"] for x in xs)
+        for x in xs:
+            want = 2.0 if full else rate(high, x["size"])
+            assert abs(x["rate"] - want) < 1e-4 and x["copies"] in (math.floor(want + 1e-6), math.floor(want - 1e-6), math.floor(want - 1e-6) + 1)
+        for n in {x["size"] for x in xs}:  # the copies of all up to one size are what their rates give, rounded
+            upto = [x for x in xs if x["size"] <= n]
+            assert abs(sum(x["copies"] for x in upto) - sum(x["rate"] for x in upto)) < 0.51
+
+
+def test_mixing_sizes_and_targets_as_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    docs = pd.DataFrame([(d[0], d[1], d[3]) for d in brute.odd_documents()], columns=["doc_id", "text", "source"])
+    con = duckdb.connect()
+    con.register("documents", docs)
+    # no source but the smallest reaches its limit twice over: one round of sharing out the excess a source
+    want = con.execute(r"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+      p AS (SELECT source, sum(size) AS source_size FROM s GROUP BY source), o AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM p),
+      l AS (SELECT *, sum(2 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone, sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w, 1.5 * sum(source_size) OVER () AS every FROM o),
+      v AS (SELECT min(CASE WHEN (every - coalesce(gone, 0)) / left_w * w <= 2 * source_size THEN {'k': source_size / w, 'level': (every - coalesce(gone, 0)) / left_w} END).level AS level FROM l)
+      SELECT doc_id, size, source_size, least(2 * source_size, w * level) AS target FROM s JOIN o ON s.source IS NOT DISTINCT FROM o.source, v""").fetchall()
+    got = mixing.copies(spark.createDataFrame([tuple(None if isinstance(v, float) else v for v in x) for x in docs.astype(object).where(docs.notna(), None).itertuples(index=False)], "doc_id long, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == sorted((d, n, int(m), round(float(t), 6)) for d, n, m, t in want)
+
+
+def test_mix_takes_rows_without_or_with_equal_ids(spark):
+    docs = [(None, "w " * n, "a", n) for n in range(1, 30)] + [(None, "w " * 7, "a", 100 + k) for k in range(9)] + [(5, "x y", "b", 1), (5, "x y z", "b", 2), (5, "x y", "b", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, hash int").repartition(3)
+    chosen = sum(r["copies"] for r in mixing.copies(df).collect())
+    out = mixing.mix(df).collect()
+    assert len(out) == chosen and set(map(tuple, out)) <= set(docs)
+    assert all(out.count(x) <= 2 * docs.count(tuple(x)) for x in out)
+
+
 def test_mix_repeats_rows_and_takes_empty_tables(spark):
     docs = spark.createDataFrame([(k, "w " * 5, "a", k) for k in range(40)], "doc_id long, text string, source string, size int")
     out = mixing.mix(docs)
@@ -204,3 +294,20 @@ def test_bundles_are_plain_zstandard(tmp_path):
 def test_archives_of_nothing(spark, tmp_path):
     index = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/none")
     assert index.count() == 0 and warc.read_archives(spark, index).count() == 0
+
+
+def test_archives_keep_other_payloads_of_an_id(spark, tmp_path):
+    p, q = "p" * 150, "q" * 150
+    pages = [(3, "u", p), (7, "u", p), (7, "u", q), (7, "u", p), (None, "u", p), (None, "u", q), (9, "u", q), (3, "u", "r" * 99)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    for few in (200_000, 0):
+        warc.BROADCAST_REVISITS, kept = few, warc.BROADCAST_REVISITS
+        rows = warc.read_archives(spark, warc.write_archives(df, f"{tmp_path}/warc{few}")).collect()
+        warc.BROADCAST_REVISITS = kept
+        want = []
+        for page_id, _, html in pages:
+            first = min(i for i, _, h in pages if h == html and i is not None)
+            again = len(html) >= 100 and page_id is not None and first < page_id
+            want.append((page_id, hashlib.sha256(html.encode()).hexdigest(), "revisit" if again else "response", first if again else None, None if again else html.encode()))
+        got = [(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in rows]
+        assert sorted(got, key=str) == sorted(want, key=str)
