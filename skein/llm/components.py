@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.shared import Scratch
+from skein.llm.shared import Scratch, hot_limit, join_hot
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v), u > v. Each node hands its neighbours (large: those above it, small: those below) to its smallest one."""
+def _star(edges: DataFrame, large: bool, limit: int) -> DataFrame:
+    """edges: (u, v), u > v. Each node hands its neighbours (large: those above it, small: those below) to its smallest one.
+
+    The edges of a node with more than `limit` are dealt over several tasks.
+    """
     if large:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select("u", "v")
-    least = near.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
-    joined = near.join(least, F.col("u") == F.col("at")).withColumn("m", F.least("m", "u"))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = join_hot(near, least, ["u"], "n", limit, ["v"]).withColumn("m", F.least("m", "u"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -30,12 +33,12 @@ def _are_stars(edges: DataFrame) -> bool:
     return not odd.limit(1).count()
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes of edges (u, v) that are not their component's smallest."""
+def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+    """(node, component) of all nodes of edges (u, v) that are not their component's smallest. Goes on until every component is a star."""
     edges = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), f"{name}_0")
-    for k in range(1, rounds + 1):
-        if _are_stars(edges):
-            break
-        edges = scratch.save(_star(_star(edges, True), False).distinct(), f"{name}_{k}")
+    limit, k = hot_limit(2 * edges.count()), 0
+    while not _are_stars(edges):
+        k += 1
+        edges = scratch.save(_star(_star(edges, True, limit), False, limit).distinct(), f"{name}_{k}")
         scratch.drop(f"{name}_{k - 1}")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

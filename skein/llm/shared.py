@@ -65,19 +65,25 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def row_keys(id_: Column, text: Column) -> dict[str, Column]:
+    """k1 and k2, by which rows of one id and one text, and only those, agree; the id alone would not tell null or repeated ones apart."""
+    number = id_.cast("long")
+    return {"k1": F.coalesce(number, F.xxhash64(F.lit(1), text)), "k2": F.xxhash64(number, text)}
+
+
 def hot_limit(rows: int) -> int:
     """Rows of one key over which it is dealt over several tasks: at most 20,000 keys can have more, so a list of them may be broadcast."""
     return max(1024, rows // 20_000)
 
 
 def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, limit: int, spread: list[str], how: str = "inner") -> DataFrame:
-    """big joined with small, whose keys are unique and whose column `weight` bounds the rows of big that have the key (it is dropped).
+    """big joined with small, whose column `weight` bounds the rows of big that have the key (it is dropped).
 
     Keys over `limit` rows are dealt by a hash of big's columns `spread`, so that no task gets one key's rows alone. They are broadcast:
     the weights of big's N rows sum to N at most, so there are N / limit of them at most.
     """
     salts = F.ceil(F.col(weight) / limit).cast("int")
-    hot = small.where(F.col(weight) > limit).select(*(F.col(k).alias(f"_{k}") for k in keys), salts.alias("_salts"))
+    hot = small.where(F.col(weight) > limit).select(*(F.col(k).alias(f"_{k}") for k in keys), salts.alias("_salts")).distinct()
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     dealt = big.join(F.broadcast(hot), on, "left").drop(*(f"_{k}" for k in keys))
     dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_salts")
