@@ -1,33 +1,41 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
-Vectors are cut into halves, each half is quantised by its own centroids (k-means over a bounded
-sample: SAMPLE rows with the smallest id hashes), and a pair of centroids is a cell. A query pops cells
-from a heap in order of the summed distance of its halves to the pair until the cells hold `share` of the
-index, then all entries of those cells are ranked by their exact inner product, in double precision. The
-index holds every row. Equal vectors are one entry with its `top` + 1 smallest ids: no other copy can be
-among the nearest, as ties go to smaller ids. Entries of a first centroid form blocks of bounded size,
-hashed into chunks, and meet the queries in chunks too, so a hot vector or cell is no single task.
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part. Ids are assumed unique; rows that repeat an id are one candidate each. With fewer candidates
+Vectors are cut into halves, each half is quantised by its own centroids (k-means over a bounded sample: of the rows with
+the smallest id hashes SAMPLE at most, and SAMPLE_NUMBERS numbers), about the square root of the index's size of them, MOST_CENTROIDS
+at most; a pair of centroids is a cell. A query pops cells from a heap in order of the summed distance of its halves to the
+pair until the cells hold a share of the index, then all entries of those cells are ranked by their exact inner product, in
+double precision. After HEAP_POPS cells the rest are put in the same order by one sort. The share is a parameter or measured on the sample:
+the least that holds RECALL of its rows' exact neighbours. In a larger index neighbours are nearer, so it holds more there.
+
+The index holds every row. Equal vectors are one entry with its `top` + 1 smallest ids: no other copy can be
+among the nearest, as ties go to smaller ids. Entries of a group of first centroids form blocks of bounded size, hashed into chunks, and
+meet the queries in parts of PART, which carry only their vector and the distance up to which they read cells, so a hot vector
+or cell is no single task. The index is sent once for every PART queries.
+
+Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows without an id.
+Vectors of one number are quantised by that alone. Rows that repeat an id are one candidate each. With fewer candidates
 than asked for, all that are found are returned. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from skein.llm.shared import Scratch
+from skein.llm.shared import Scratch, hot_limit, join_hot
 
-SAMPLE, CENTROIDS, ROUNDS = 20_000, 32, 8
-#: Of the index, what a query's cells hold: nearly isotropic vectors need as much for a recall over 0.9.
-SHARE = 0.7
-CHUNK = 4096
+SAMPLE, SAMPLE_NUMBERS, ROUNDS = 20_000, 2_000_000, 8
+LEAST_CENTROIDS, MOST_CENTROIDS = 16, 256
+#: The share of the exact neighbours of CALIBRATORS rows of the sample that the cells must hold.
+RECALL, CALIBRATORS = 0.96, 256
+HEAP_POPS = 512
+BLOCKS, CHUNK, PART = 32, 4096, 1 << 15
 
 
 def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -35,7 +43,9 @@ def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
-    """k-means centroids of the rows of x; fewer where x has fewer distinct rows."""
+    """k-means centroids of the rows of x; fewer where x has fewer distinct rows, one where they have no numbers."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     rows = np.unique(x, axis=0)
     c = rows[np.random.default_rng(seed).permutation(len(rows))[:k]].copy()
     for _ in range(rounds):
@@ -47,13 +57,14 @@ def train(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.nda
     return c
 
 
-def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: float) -> list[tuple[int, int]]:
-    """Cells in ascending order of first[i] + second[j] until their counts reach want."""
+def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: float, pops: int = HEAP_POPS) -> list[tuple[int, int]]:
+    """Cells in ascending order of first[i] + second[j] until their counts reach want; empty cells are left out."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and held < want:
+    heap, seen, popped, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], [], 0
+    while heap and held < want and len(popped) < pops:
         _, i, j = heapq.heappop(heap)
         cell = int(a[i]), int(b[j])
+        popped.append(cell)
         if counts[cell]:
             out.append(cell)
             held += counts[cell]
@@ -61,6 +72,13 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: fl
             if x < len(a) and y < len(b) and (x, y) not in seen:
                 seen.add((x, y))
                 heapq.heappush(heap, (first[a[x]] + second[b[y]], x, y))
+    if heap and held < want:
+        sums, left = (first[:, None] + second[None, :]).ravel(), counts.ravel() > 0
+        left[[i * len(b) + j for i, j in popped]] = False
+        left = np.flatnonzero(left)
+        left = left[np.argsort(sums[left], kind="stable")]
+        ends = held + np.cumsum(counts.ravel()[left])
+        out += [(int(c) // len(b), int(c) % len(b)) for c in left[: int(np.searchsorted(ends, want)) + 1]]
     return out
 
 
@@ -68,28 +86,52 @@ def _stack(column) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries=None, top: int = 20, share: float = SHARE, centroids: int = CENTROIDS, scratch: Scratch | None = None) -> DataFrame:
+def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x to the centroids."""
+    return (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+
+
+def calibrate(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, top: int, recall: float = RECALL) -> float:
+    """The share of the rows of x that the nearest cells must hold so that `recall` of CALIBRATORS rows' exact neighbours are among them."""
+    top = min(top, len(x) - 1)
+    if top < 1 or len(x) <= 8 * top:
+        return 1.0
+    half = c1.shape[1]
+    asked = np.random.default_rng(5).permutation(len(x))[:CALIBRATORS]
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-scores, top - 1, axis=1)[:, :top]
+    sums = distances(x[asked, :half], c1)[:, nearest_centroid(x[:, :half], c1)] + distances(x[asked, half:], c2)[:, nearest_centroid(x[:, half:], c2)]
+    # what a query reads before it has read a neighbour's cell, of all rows but itself
+    before = [np.searchsorted(np.sort(s), s[n], side="right") / len(x) for s, n in zip(sums, near, strict=True)]
+    return float(np.quantile(np.concatenate(before), recall))
+
+
+def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries=None, top: int = 20, share: float | None = None, centroids: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows where `queries` (a condition over id_col's values; default all) holds."""
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull())
+    kind = "float" if isinstance(df.schema[vector_col].dataType.elementType, FloatType) else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where(F.col("vec_id").isNotNull())
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes or sizes[0]["d"] < 2:
-        return spark.createDataFrame([], schema)
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = sizes[0]["d"]
-    half = d // 2
+    half = max(1, d // 2)
     rows = rows.where(F.size("v") == d)
 
     # entries: distinct vectors; windows with a limit are cut down before they are shuffled
     nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     entries = rows.withColumn("nth", nth).where(F.col("nth") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = scratch.save(entries.withColumn("entry", F.col("ids")[0]), "entries")
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toPandas()
+    total = entries.count()
+    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // d))).select("v").toPandas()
     x = np.array(sample["v"].tolist(), np.float64)
-    c1, c2 = train(x[:, :half], centroids), train(x[:, half:], centroids)
+    k = centroids or min(MOST_CENTROIDS, max(LEAST_CENTROIDS, math.isqrt(total)))
+    c1, c2 = train(x[:, :half], k), train(x[:, half:], k)
+    want = (calibrate(x, c1, c2, top) if share is None else share) * total
 
     def assign(batches):
         import pyarrow as pa
@@ -99,45 +141,47 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 v = _stack(b.column(0))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest_centroid(v[:, :half], c1), pa.int32()), pa.array(nearest_centroid(v[:, half:], c2), pa.int32())], names=[*b.schema.names, "i", "j"])
 
-    cells = scratch.save(entries.select("v", "ids", "entry").mapInArrow(assign, "v array<float>, ids array<long>, entry long, i int, j int"), "cells")
+    cells = scratch.save(entries.select("v", "ids", "entry").mapInArrow(assign, f"v array<{kind}>, ids array<long>, entry long, i int, j int"), "cells")
+    scratch.drop("entries")
     counts = np.zeros((len(c1), len(c2)), np.int64)
     for r in cells.groupBy("i", "j").agg(F.count("*").alias("n")).collect():  # at most a row a cell
         counts[r["i"], r["j"]] = r["n"]
-    chunks = np.maximum(1, -(-counts.sum(1) // CHUNK))
-    want = share * counts.sum()
+    blocks = min(BLOCKS, len(c1))
+    sizes = np.bincount(np.arange(len(c1)) % blocks, counts.sum(1), blocks)
+    chunks = np.maximum(1, -(-sizes // CHUNK)).astype(int)
 
     asked = rows if queries is None else rows.where(queries(F.col("vec_id")))
-    asked = scratch.save(asked, "asked")
-    keys = cells.select("entry", "v").join(asked.select("v").distinct(), "v")
-    asked_entries = scratch.save(keys.select("entry", "v"), "queries")
-    parts = max(1, -(-asked_entries.count() // CHUNK))
+    vectors = asked.groupBy("v").agg(F.count("*").alias("weight"))
+    asked_entries = scratch.save(cells.select("entry", "v").join(vectors, "v"), "queries")
+    parts = max(1, -(-asked_entries.count() // PART))
 
     def dispatch(batches):
-        """A row for each query and block that it reads, with the second halves of its cells there."""
+        """A row for each query and chunk that it reads, with the distance up to which it reads cells."""
         import pyarrow as pa
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
                 v, ids = _stack(piece.column(1)), piece.column(0).to_pylist()
-                d1 = ((v[:, None, :half] - c1) ** 2).sum(2)
-                d2 = ((v[:, None, half:] - c2) ** 2).sum(2)
-                out = {"block": [], "chunk": [], "part": [], "entry": [], "v": [], "js": []}
-                for k, entry in enumerate(ids):
-                    by_block: dict[int, list[int]] = {}
-                    for i, j in traverse(d1[k], d2[k], counts, want):
-                        by_block.setdefault(i, []).append(j)
-                    vector = v[k].astype(np.float32)
-                    for i, js in by_block.items():
-                        for chunk in range(int(chunks[i])):
-                            for name, value in zip(out, (i, chunk, entry * 0x9E3779B1 % (1 << 31) % parts, entry, vector, js), strict=True):
-                                out[name].append(value)
-                if out["entry"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int32()), pa.array(out["chunk"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["entry"], pa.int64()), pa.array(out["v"], pa.list_(pa.float32())), pa.array(out["js"], pa.list_(pa.int32()))], names=list(out))
-
-    sent = asked_entries.mapInArrow(dispatch, "block int, chunk int, part int, entry long, v array<float>, js array<int>")
-    chunk_of = F.pmod(F.xxhash64("entry"), F.element_at(F.array(*(F.lit(int(c)) for c in chunks)), F.col("i") + 1)).cast("int")
-    held = cells.select(F.col("i").alias("block"), chunk_of.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "j", "entry", "v")
+                d1, d2 = distances(v[:, :half], c1), distances(v[:, half:], c2)
+                row, block, chunk, reach = [], [], [], []
+                for k in range(len(ids)):
+                    read = traverse(d1[k], d2[k], counts, want)
+                    last = max((float(d1[k][i] + d2[k][j]) for i, j in read[-1:]), default=-math.inf)
+                    for t in {i % blocks for i, _ in read}:
+                        row += [k] * chunks[t]
+                        block += [t] * chunks[t]
+                        chunk += range(chunks[t])
+                        reach += [last] * chunks[t]
+                if row:
+                    take = pa.array(row)
+                    part = pa.array([ids[k] * 0x9E3779B1 % (1 << 31) % parts for k in row], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), part, piece.column(0).take(take), piece.column(1).take(take), pa.array(reach, pa.float64())], names=["block", "chunk", "part", "entry", "v", "reach"])
+
+    sent = asked_entries.select("entry", "v").mapInArrow(dispatch, f"block int, chunk int, part int, entry long, v array<{kind}>, reach double")
+    block = F.col("i") % blocks
+    chunk_of = F.pmod(F.xxhash64("entry"), F.element_at(F.array(*(F.lit(int(c)) for c in chunks)), block + 1)).cast("int")
+    held = cells.select(block.alias("block"), chunk_of.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "i", "j", "entry", "v")
 
     def rank_block(left, right):
         import pandas as pd
@@ -145,17 +189,22 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         out = {"query": [], "entry": [], "score": []}
         if len(left) and len(right):
             order = np.argsort(left["entry"].to_numpy(), kind="stable")
-            e, j, x = left["entry"].to_numpy()[order], left["j"].to_numpy()[order], np.array(left["v"].tolist(), np.float64)[order]
+            e, i, j = (left[c].to_numpy()[order] for c in ("entry", "i", "j"))
+            x = np.array(left["v"].tolist(), np.float64)[order]
             q = np.array(right["v"].tolist(), np.float64)
-            probed = np.zeros((len(right), len(c2)), bool)
-            for k, js in enumerate(right["js"]):
-                probed[k, js] = True
-            for at in range(0, len(q), 512):
-                scores = np.where(probed[at : at + 512][:, j], q[at : at + 512] @ x.T, -np.inf)
+            reach, asker = right["reach"].to_numpy(), right["entry"].to_numpy()
+            for at in range(0, len(q), 256):
+                some = q[at : at + 256]
+                # the same sums as in the traversal, so the same cells
+                near = distances(some[:, :half], c1)[:, i] + distances(some[:, half:], c2)[:, j] <= reach[at : at + 256, None] * (1 + 1e-12) + 1e-12
+                scores = np.where(near, some @ x.T, -np.inf)
+                if scores.shape[1] > top + 1:  # ties at the end go to the smaller entry
+                    worst = -np.partition(-scores, top, axis=1)[:, top]
+                    scores[scores < worst[:, None]] = -np.inf
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
                 value = np.take_along_axis(scores, best, 1)
                 keep = value > -np.inf
-                out["query"].append(np.repeat(right["entry"].to_numpy()[at : at + 512], keep.sum(1)))
+                out["query"].append(np.repeat(asker[at : at + 256], keep.sum(1)))
                 out["entry"].append(e[best][keep])
                 out["score"].append(value[keep])
         return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
@@ -165,8 +214,9 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     nearest = found.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("nth") <= top + 1)
     nearest = nearest.join(cells.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
     nearest = nearest.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= top + 1)
-    nearest = scratch.save(nearest.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near")), "nearest")
-    # back to every asked row: at most top + 1 neighbours travel with its vector's entry
-    per = asked.join(asked_entries.select("v", F.col("entry").alias("query")), "v").select(F.col("vec_id").alias("query_id"), "query").join(nearest, "query")
+    nearest = nearest.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))
+    nearest = scratch.save(asked_entries.join(nearest, F.col("entry") == F.col("query")).select("v", "weight", "near"), "nearest")
+    # back to every asked row: at most top + 1 neighbours travel with its vector, a hot one dealt over tasks
+    per = join_hot(asked, nearest, ["v"], "weight", hot_limit(0), ["vec_id"]).withColumnRenamed("vec_id", "query_id")
     own = F.slice(F.filter("near", lambda s: s["vec_id"] != F.col("query_id")), 1, top)
     return per.select("query_id", F.posexplode(own)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col")["vec_id"].alias("vec_id"), F.col("col")["score"].alias("score"))
