@@ -31,7 +31,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("blocks").cast("long").alias("n_blocks"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size(F.filter("blocks", lambda b: b["lines"] == 1)).cast("long").alias("n_blocks"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,16 +52,20 @@ def _license_scan() -> str:
         at.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {here}), lambda i: {{'at': i - 1, 'label': '{label}'}})")
     met = []
     for label, text in license_scan.TEMPLATES:
-        ws = sorted(set(text.split()))
+        ws = license_scan.template_words(text)
         need = license_scan.needed(len(ws), license_scan.THRESHOLD)
         common = f"len(list_intersect(s, {_list(ws)}))"
-        met.append(f"CASE WHEN {common} >= {need} THEN {{'label': '{label}', 'c': {common} / {len(ws)}.0}} END")
+        met.append(f"CASE WHEN (r = 1 OR size <= {license_scan.SPAN * len(ws)}) AND {common} >= {need} THEN {{'label': '{label}', 'c': {common} / {len(ws)}.0}} END")
+    vocabulary = sorted({w for _, text in license_scan.TEMPLATES for w in license_scan.template_words(text)})
     return rf"""WITH t AS (SELECT doc_id, {LOW} AS low FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(low, '{word}') AS w FROM t),
 b AS (SELECT doc_id, len(w) AS n_words, list_concat({at[0]}, list_concat({at[1]}, {at[2]})) AS b FROM w),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{word}')) AS s FROM t),
-m AS (SELECT doc_id, unnest([{", ".join(met)}]) AS m FROM l),
-g AS (SELECT doc_id, list(m.label) AS labels, max(m.c) AS c, count(*) AS n FROM m WHERE m IS NOT NULL GROUP BY doc_id),
+l AS (SELECT doc_id, list_transform(string_split(low, chr(10)), lambda x: regexp_extract_all(x, '{word}')) AS ls FROM t),
+v AS (SELECT doc_id, list_transform(ls, lambda x: list_intersect(x, {_list(vocabulary)})) AS vs, list_transform(ls, lambda x: len(x)) AS sizes FROM l),
+i AS (SELECT doc_id, vs, sizes, r, unnest(range(1, greatest(1, len(vs) - r + 1) + 1)) AS i FROM v, (VALUES {", ".join(f"({r})" for r in license_scan.RUNS)}) x(r) WHERE r = 1 OR r < 2 * len(vs)),
+k AS (SELECT doc_id, r, list_distinct(flatten(vs[i:i + r - 1])) AS s, list_sum(sizes[i:i + r - 1]) AS size FROM i),
+m AS (SELECT doc_id, r, unnest([{", ".join(met)}]) AS m FROM k WHERE len(s) > 1),
+g AS (SELECT doc_id, list(m.label) AS labels, max(m.c) AS c, count(*) FILTER (r = 1) AS n FROM m WHERE m IS NOT NULL GROUP BY doc_id),
 j AS (SELECT b.doc_id, n_words, b, list_transform(b, lambda x: x.label) AS bl, list_transform(b, lambda x: x.at) AS ba, coalesce(labels, []) AS ml, c, coalesce(n, 0) AS n FROM b LEFT JOIN g ON g.doc_id = b.doc_id)
 SELECT doc_id, n_words, len(b) AS n_base, list_min(ba) AS first_word, list_max(ba) AS last_word, array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(bl, ml))), ',') AS labels, CASE WHEN len(b) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE END AS score, n AS n_blocks FROM j"""
@@ -85,7 +89,7 @@ def _quality_rules() -> str:
     return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 c AS (SELECT *, {WORDS.format(text="text")} AS w, regexp_replace(text, '[\p{{L}}\p{{M}}]+', '', 'g') AS rest FROM t),
 a AS (SELECT *, len(w) AS n_words, length(text) AS chars, length(rest) AS others, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS capitals, length(rest) - length(regexp_replace(rest, '[\x20\x09-\x0D]+', '', 'g')) AS spaces,
-  length(regexp_replace(rest, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(rest, '\P{{Nd}}+', '', 'g')) AS digits, list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, {blank})) AS ls, list_filter(w, lambda x: x IN {tuple(known)!r}) AS hits FROM c),
+  length(regexp_replace(rest, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(rest, '\P{{Nd}}+', '', 'g')) AS digits, list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, {blank})) AS ls, list_filter(list_transform(w, lambda x: trim(translate(x, '{UPPER}', '{LOWER}'), {_quoted(quality_rules.PUNCTUATION)})), lambda x: x IN {tuple(known)!r}) AS hits FROM c),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7])) AS g FROM a WHERE len(w) >= 8),
 d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM d, range(8) x(k)) GROUP BY doc_id),

@@ -126,6 +126,33 @@ def test_neighbours_of_few_and_no_rows(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_single_numbers_and_double_vectors(spark):
+    few = spark.createDataFrame([(0, [1.0]), (1, [-3.0]), (20, [2.0]), (3, [0.0])], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(few, queries=lambda c: c % 20 == 0).collect()}
+    assert got == {(0, 1, 20, 2.0), (0, 2, 1, -3.0), (20, 1, 0, 2.0), (20, 2, 1, -6.0)}
+    fine = [1.0, 1e-12, 0.3]
+    two = spark.createDataFrame([(0, fine), (1, [1.0, 0.0, 0.1])], "vec_id long, embedding array<double>")
+    assert ann.search(two, queries=lambda c: c == 0).first()["score"] == 1.0 + 0.3 * 0.1
+
+
+def test_heap_and_sort_give_one_order():
+    g = np.random.default_rng(3)
+    first, second, counts = g.normal(size=30), g.normal(size=20), g.integers(0, 3, (30, 20))
+    for want in (1, 100, 400, 10_000):
+        assert ann.traverse(first, second, counts, want, 10) == ann.traverse(first, second, counts, want, 10**6)
+
+
+def test_calibrated_share_falls_with_the_index(spark):
+    g = np.random.default_rng(12)
+    centres = g.normal(size=(40, 12))
+    x = centres[g.integers(0, 40, 8000)] + 0.2 * g.normal(size=(8000, 12))
+    read = []
+    for n in (500, 8000):
+        c1, c2 = ann.train(x[:n, :6], int(n**0.5)), ann.train(x[:n, 6:], int(n**0.5))
+        read.append(ann.calibrate(x[:n], c1, c2, 20))
+    assert read[1] < read[0] < 1 and read[1] < 0.2
+
+
 def test_heap_pops_cells_in_order():
     first, second = np.array([3.0, 1.0, 2.0]), np.array([0.5, 0.1])
     cells = ann.traverse(first, second, np.ones((3, 2), int), 6)

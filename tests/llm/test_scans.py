@@ -52,6 +52,30 @@ def test_wrong_word_mix_alone_rejects(spark):
     assert good["word_distance"] < 0.5 < 0.55 < bad["word_distance"] < 0.70
 
 
+def test_common_words_count_with_capitals_and_punctuation(spark):
+    r = random.Random(14)
+    mix = [w for w, n in quality_rules.WORD_REFERENCES["en"].items() for _ in range(n)]
+    text = " ".join(r.choice([w.capitalize(), f"{w},", f'"{w}"', w]) for w in (r.choice(mix) for _ in range(300)))
+    row = quality_rules.judge_quality(spark.createDataFrame([(text,)], "text string")).first()
+    assert row["word_distance"] < 0.2
+
+
+def test_references_fitted_on_a_corpus(spark):
+    r = random.Random(15)
+    docs = [("en", " ".join(r.choice(["The", "of,", "and", "stone", "7", "a#b"]) for _ in range(60))) for _ in range(8)] + [("de", "Der und der"), ("xx", "the the"), ("fr", None), (None, "the")]
+    classes, words = quality_rules.fit_references(spark.createDataFrame(docs, "lang string, text string"))
+    joined = "".join(t for lang, t in docs if lang == "en")
+    plain = [brute.lower(w).strip(quality_rules.PUNCTUATION) for lang, t in docs if lang == "en" for w in t.split()]
+    assert words["en"] == {w: plain.count(w) for w in quality_rules.WORD_REFERENCES["en"]} and set(words) == {"en", "de"}
+    capitals, digits, spaces, symbols = (sum(test(c) for c in joined) for test in (str.isupper, str.isdigit, str.isspace, "#".__eq__))
+    small = sum(c.islower() for c in joined)
+    want = [small, capitals, digits, spaces, len(joined) - small - capitals - digits - spaces - symbols, symbols]
+    assert set(classes) == {"en", "de"} and all(abs(x - y / len(joined)) < 1e-12 for x, y in zip(classes["en"], want, strict=True))
+    df = spark.createDataFrame([(docs[0][1] * 5,)], "text string")
+    own = quality_rules.judge_quality(df, class_references=classes, word_references=words).first()
+    assert own["class_distance"] < 0.05 and own["word_distance"] < 0.25
+
+
 def test_license_base_and_templates(spark):
     docs = brute.odd_documents()
     rows = license_scan.scan_licenses(spark.createDataFrame(docs, brute.SCHEMA)).collect()
@@ -67,18 +91,41 @@ def test_license_base_and_templates(spark):
             starts += found
             base |= {label} if found else set()
         labels, best = set(base), 1.0 if base else 0.0
-        for line in low.split("\n"):
-            block = set(re.findall(shape, line))
-            for label, t in license_scan.TEMPLATES:
-                ws = set(t.split())
-                if len(ws & block) >= license_scan.needed(len(ws), 0.8):
-                    labels.add(label)
-                    best = max(best, len(ws & block) / len(ws))
+        lines = [re.findall(shape, line) for line in low.split("\n")]
+        for n in license_scan.RUNS:
+            for k in range(max(1, len(lines) - n + 1)):
+                found = [w for line in lines[k : k + n] for w in line]
+                for label, t in license_scan.TEMPLATES:
+                    ws = set(re.findall("[a-z0-9]+", t.lower()))
+                    if len(ws & set(found)) >= license_scan.needed(len(ws), 0.8) and (n == 1 or len(found) <= 4 * len(ws)):
+                        labels.add(label)
+                        best = max(best, len(ws & set(found)) / len(ws))
         assert (r["n_words"], r["n_base"], r["base_labels"], r["labels"]) == (len(w), len(starts), ",".join(sorted(base)), ",".join(sorted(labels)))
         assert (r["first_word"], r["last_word"]) == (min(starts, default=None), max(starts, default=None))
         assert abs(r["score"] - best) < 1e-12
 
 
+def test_license_notices_over_several_lines(spark):
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit" and "merge" in t)
+    wrapped = "Some words first.\n/*\n" + "\n".join(" * " + " ".join(mit.split()[k : k + 9]) for k in range(0, len(mit.split()), 9)) + "\n */\nand code()\n" * 5
+    texts = {"apache": "Licensed under the Apache\nLicense, Version 2.0.", "mit": wrapped, "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "": "licensed\n" * 40 + "under a house\n" * 20 + "the apache version\n" + "of 2 and 0\n"}
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "want string, text string")).collect()
+    assert {r["want"]: r["labels"] for r in rows} == {k: k for k in texts}
+
+
+def test_scans_take_long_gaps(spark):
+    import time
+
+    text = "cc by" + " " * 1_000_000 + "all rights reserved" + "\n" * 300_000 + "x"
+    df = spark.createDataFrame([(1, text), (2, " " * 1_000_000)], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    judged = {r["doc_id"]: r for r in quality_rules.judge_quality(df).collect()}
+    assert time.time() - began < 60
+    assert (rows[1]["n_words"], rows[1]["base_labels"], rows[2]["n_words"]) == (6, "cc-by,reserved", 0)
+    assert (judged[1]["n_words"], judged[2]["n_words"], judged[1]["n_dup_lines"]) == (6, 0, 0)
+
+
 def test_license_empty_table_and_no_templates(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], brute.SCHEMA)).count() == 0
     df = spark.createDataFrame([("cc by", 5)], "text string, labels int")
