@@ -2,41 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 from skein.llm.shared import Scratch
 
-#: Up to so many ids (8 bytes each) are broadcast, so that texts stay where they are; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that none meets an operator's own of the same name."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.judge_quality(docs).where("kept").select(docs.columns)
+    judged = quality_rules.judge_quality(docs.select("text", whole_row(docs)))
+    return judged.where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Documents with a null id stay."""
-    scratch = Scratch(spark)
-    groups = ngram_join.near_duplicates(docs.select("doc_id", "text"), scratch=scratch)
-    gone = scratch.save(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates one document stays: the smallest id, null ones last, and of equal rows any one."""
+    return ngram_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; a character that loses some of its bytes becomes U+FFFD. A text may become empty, its document stays."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = suffix_dedup.remove_repeats(docs, carry=others)
-    out = out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = suffix_dedup.remove_repeats(docs, carry=others, within="row")
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it; a copy is a row."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
