@@ -28,6 +28,7 @@ def kept(text):
     far = min(js([c / len(t) for c in counts], [x / sum(ref) for x in ref]) for ref in q.CLASS_REFERENCES.values())
     if len(t) >= q.MIN_CHARS and far > q.MAX_CLASS_DISTANCE:
         return False
+    w = [brute.lower(x).strip(q.PUNCTUATION) for x in w]
     hits = {k: [x for x in w if x in ref] for k, ref in sorted(q.WORD_REFERENCES.items())}
     best = max(hits, key=lambda k: len(hits[k]))
     own, ref = hits[best], q.WORD_REFERENCES[best]
@@ -93,3 +94,42 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     df = spark.createDataFrame(documents()[4:9], brute.SCHEMA)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns, name
+
+
+def test_stages_keep_rows_without_ids_and_clashing_columns(spark, tmp_path):
+    docs = documents()
+    rows = [(None if k in (7, 9, 20, 21) else 30 if k == 31 else d[0], d[1], d[2], d[3], d[4], "mine", k, [k], k) for k, d in enumerate(docs)]
+    rows += [rows[25], rows[21]]
+    schema = brute.SCHEMA + ", kept string, spans int, n_words array<int>, k1 long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    (_, first), (_, second), (_, third), (_, fourth), _ = corpus_pipeline.STAGES
+    scratch = corpus_pipeline.Scratch(spark)
+
+    good = [r for r in rows if kept(r[1])]
+    one = scratch.save(first(spark, df, str(tmp_path)), "one")
+    assert one.columns == df.columns and sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, good))
+
+    groups = brute.near_duplicates(enumerate(r[1] for r in good))
+    members = {}
+    for k, (_, c) in groups.items():
+        members.setdefault(c, []).append(good[k])
+    two = scratch.save(second(spark, one, str(tmp_path)), "two")
+    left = two.collect()
+    assert two.columns == df.columns and len(left) == len(members)
+    for group in members.values():
+        stays = [r for r in left if tuple(r) in group]
+        assert len(stays) == 1 and stays[0]["doc_id"] == min((r[0] for r in group if r[0] is not None), default=None)
+
+    removed = brute.remove_repeats(enumerate(r["text"] for r in left))
+    three = scratch.save(third(spark, two, str(tmp_path)), "three")
+    after = {r["spans"]: r for r in three.collect()}
+    assert three.columns == df.columns and len(after) == len(left)
+    for k, r in enumerate(left):
+        got = after[r["spans"]]
+        assert tuple(got)[5:] == tuple(r)[5:] and got["doc_id"] == r["doc_id"] and got["n_chars"] == len(got["text"])
+        assert "\ufffd" in got["text"] or hashlib.sha256(got["text"].encode()).hexdigest() == removed[k][3]
+
+    four = fourth(spark, three, str(tmp_path))
+    chosen = sum(r["copies"] for r in corpus_pipeline.mixing.copies(three).collect())
+    assert four.columns == df.columns and four.count() == chosen
