@@ -16,7 +16,7 @@ windows of equal rank in different phrases are repeats. That is the corpus order
 ordered only within their bucket of the dictionary.
 
 The dictionary is sorted in buckets of whole cores. A core in more than CORE_PHRASES phrases is no bucket: its windows are
-refined by content instead, first by what RANGE neighbouring windows share, then one by one, as counts of hashes that
+refined by content instead, by what ever fewer neighbouring windows share and cover, as counts of hashes that
 are aggregated, never gathered. Joins by core or phrase deal common ones over several tasks.
 
 Texts are parsed once. For the parse hashes and places are shuffled; whole texts move twice, to their wanted phrases and to
@@ -31,10 +31,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from skein.llm.shared import BASE, Scratch, Strings, byte_slices, hot_limit, join_hot, mix
+from skein.llm.shared import BASE, Scratch, Strings, byte_slices, hot_limit, join_hot, mix, row_keys
 
 LENGTH = 200
 #: Bytes of the rolling hash and how many neighbours it is the least of. SPREAD is a power of two.
@@ -43,8 +44,6 @@ K, SPREAD = 16, 128
 PIECE = 1 << 20
 #: Distinct phrases whose suffixes are sorted at a time, and how many of one core may be among them.
 BUCKET, CORE_PHRASES = 4096, 1024
-#: Neighbouring windows of a phrase that are refined together.
-RANGE = 16
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -196,65 +195,68 @@ def _repeats_in_bucket(length: int):
 def _refined(scratch: Scratch, phrases: DataFrame, length: int) -> DataFrame:
     """(k1, k2, start, end) of the windows of single phrases that another phrase of rows (core, single, k1, k2, place, bytes) holds too.
 
-    Windows whose trigger lies l bytes behind their start, for l of a range [a, b], share a bytes in front of the trigger and length - b
-    from it on. Ranges without an equal in any other phrase go; the windows of those that are left are compared by themselves.
+    A window has its trigger l bytes behind its start. Windows with l in a range [a, b] share a bytes in front of the trigger and
+    length - b from it on, and cover together b in front and length - a behind. A range whose shared bytes no other phrase has repeats
+    in none of its windows; one whose covered bytes another has repeats in all, and one phrase with them stands for the others from there on.
+    What is left is halved, so a phrase has few ranges at a time and no group is ever gathered.
     """
-    ranges = SPREAD // RANGE
 
-    def hashed(wanted):
+    def hashed(size: int):
         def run(batches):
             import pyarrow as pa
 
             for b in batches:
-                parts = b.column(b.schema.get_field_index("bytes")).to_pylist()
-                place = b.column(b.schema.get_field_index("place")).to_numpy()
-                core = b.column(b.schema.get_field_index("core")).to_numpy().view(np.uint64)
+                column = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
+                parts, place, nth = column("bytes").to_pylist(), column("place").to_numpy(), column("nth").to_numpy().astype(np.int64)
+                core = column("core").to_numpy().view(np.uint64)
                 begin = np.cumsum([0, *map(len, parts)])[:-1]
                 strings = Strings(np.frombuffer(b"".join(parts), np.uint8))
                 most = place >> 8 & 255
                 least, trigger = most - (place & 255), begin + most
-                for k, (front, behind, row) in enumerate(wanted(b, most, least)):
-                    at = trigger[row]
-                    keys = [mix(strings.of(at - front, at + behind, lane) ^ mix(core[row] + np.uint64(k))).view(np.int64) for lane in (0, 1)]
-                    rows = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(b.column(b.schema.get_field_index(c)).take(rows) for c in ("k1", "k2", "place", "single")), pa.array(np.full(len(row), k, np.int32))], names=["key", "key2", "k1", "k2", "place", "single", "nth"])
+                first, last = nth * size, nth * size + size - 1
+                salt = mix(core + nth.astype(np.uint64))
+                whole = (most >= last) & (least <= first)  # else no phrase can have the same covered bytes as a range
+                row = mix(column("k1").to_numpy().view(np.uint64) ^ mix(column("k2").to_numpy().view(np.uint64) ^ mix(place.astype(np.uint64))))
+                front, behind = np.where(whole, last, 0), np.where(whole, length - first, 0)
+                keys = [mix(strings.of(trigger - first, trigger + length - last, lane) ^ salt) for lane in (0, 1)]
+                keys += [np.where(whole, mix(strings.of(trigger - front, trigger + behind, lane) + salt), mix(row ^ salt + np.uint64(lane))) for lane in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), *map(column, ("k1", "k2", "place", "settled", "nth"))], names=["key", "key2", "all", "all2", "k1", "k2", "place", "settled", "nth"])
 
         return run
 
-    def by_range(b, most, least):
-        for k in range(ranges):
-            row = np.flatnonzero((most >= k * RANGE) & (least < (k + 1) * RANGE))
-            yield k * RANGE, length - (k + 1) * RANGE + 1, row
-
-    def by_window(b, most, least):
-        kept = b.column(b.schema.get_field_index("kept")).to_numpy()
-        for k in range(SPREAD):
-            yield k, length - k, np.flatnonzero((most >= k) & (least <= k) & (kept >> (k // RANGE) & 1 == 1))
-
-    def repeated(df: DataFrame, name: str) -> DataFrame:
-        df = scratch.save(df, name)
-        counts = scratch.save(df.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1"), f"{name}_counts")
-        return join_hot(df, counts, ["key", "key2"], "n", hot_limit(counts.agg(F.sum("n")).first()[0] or 0), ["k1", "k2", "place"])
-
-    schema = f"key long, key2 long, {PLACE}, single boolean, nth int"
-    near = repeated(phrases.mapInArrow(hashed(by_range), schema), "ranges")
-    near = near.groupBy("k1", "k2", "place").agg(F.bit_or(F.expr("shiftleft(1, nth)")).alias("kept"))
-    found = repeated(phrases.join(near, ["k1", "k2", "place"]).mapInArrow(hashed(by_window), schema), "windows").where("single")
-    start = F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255) - F.col("nth")
-    return scratch.save(found.select("k1", "k2", start.alias("start"), (start + length).alias("end")), "refined")
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with k1 and k2, by which rows of one id and text, and only those, agree; the id alone would not tell null or repeated ones apart."""
-    number = F.col(id_col).cast("long")
-    return df.withColumns({"k1": F.coalesce(number, F.xxhash64(F.lit(1), F.col(text_col))), "k2": F.xxhash64(number, F.col(text_col))})
+    at = ["k1", "k2", "place"]
+    alive, spans, size = phrases.select(*at, (~F.col("single")).alias("settled"), F.lit(0).alias("nth")), None, SPREAD
+    while size:
+        rows = phrases.select(*at, "core", "bytes").join(alive, at).mapInArrow(hashed(size), f"key long, key2 long, all long, all2 long, {PLACE}, settled boolean, nth int")
+        rows = scratch.save(rows, f"ranges_{size}")
+        shared = rows.groupBy("key", "key2").agg(F.count("*").alias("n"), F.bool_and("settled").alias("known")).where("n > 1 and not known")
+        covered = rows.groupBy("all", "all2").agg(F.count("*").alias("m"), F.min(F.struct(*at)).alias("stands")).where("m > 1")
+        limit = hot_limit(rows.count())
+        rows = join_hot(rows, shared.select("key", "key2", "n"), ["key", "key2"], "n", limit, at)
+        rows = scratch.save(join_hot(rows, covered, ["all", "all2"], "m", limit, at, "left"), f"left_{size}")
+        most = F.shiftright("place", 8).bitwiseAND(255)
+        start = F.shiftright("place", 16) + most - (F.col("nth") + 1) * size + 1
+        found = rows.where(F.col("stands").isNotNull() & ~F.col("settled")).select("k1", "k2", start.alias("start"), (start + size - 1 + length).alias("end"))
+        found = scratch.save(found, f"found_{size}")
+        spans = found if spans is None else spans.union(found)
+        stays = rows.where(F.col("stands").isNull() | (F.col("stands") == F.struct(*at))).withColumn("settled", F.col("settled") | F.col("stands").isNotNull())
+        size //= 2
+        if size:
+            halves = stays.withColumn("nth", F.explode(F.array(2 * F.col("nth"), 2 * F.col("nth") + 1)))
+            halves = halves.where((most >= F.col("nth") * size) & (most - F.col("place").bitwiseAND(255) < (F.col("nth") + 1) * size))
+            alive = scratch.save(halves.select(*at, "settled", "nth"), f"alive_{size}")
+            scratch.drop(f"ranges_{2 * size}", f"left_{2 * size}", f"alive_{2 * size}")
+            if alive.isEmpty():
+                break
+    return spans
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
     """(k1, k2, start, end): byte spans of texts, by the keys of their rows, that are covered by repeated strings; they may overlap."""
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    texts = _keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length), "id", "text").select("k1", "k2", "text")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
+    texts = texts.withColumns(row_keys(F.col("id"), F.col("text"))).select("k1", "k2", "text")
     parsed = scratch.save(_phrases(texts, length), "parse")
     cores = parsed.groupBy("core").agg(F.count("*").alias("n"), F.min("phrase").alias("p0"), F.max("phrase").alias("p1"))
     cores = scratch.save(cores.where("n > 1").select("core", "n", (F.col("p0") < F.col("p1")).alias("mixed")), "cores")
@@ -280,7 +282,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         dictionary = dictionary.withColumn("hot", F.lit(None).cast("boolean"))
     wanted = dictionary.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "single", F.coalesce("hot", F.lit(False)).alias("hot"), "place")).alias("wanted"))
-    phrases = scratch.save(_take_phrases(texts.join(wanted, ["k1", "k2"]), length), "phrases")
+    once = texts.withColumn("nth", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))).where("nth = 1")  # equal rows have equal phrases
+    phrases = scratch.save(_take_phrases(once.join(wanted, ["k1", "k2"]), length), "phrases")
     scratch.drop("places", "entries")
     scratch.free_shuffles()
     spans = "k1 long, k2 long, start long, end long"
@@ -290,7 +293,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if hot:
         found = found.union(_refined(scratch, phrases.where("hot"), length))
     found = scratch.save(found, "spans")
-    scratch.drop("whole", "variety", "phrases", "ranges", "ranges_counts", "windows", "windows_counts", "refined")
+    scratch.drop("whole", "variety", "phrases", *(f"found_{1 << k}" for k in range(8)))
     scratch.free_shuffles()
     return found
 
@@ -315,7 +318,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(df, id_col, text_col, length, scratch)
     by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("others")
-    rows = _keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), others), "id", "text")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), others).withColumns(row_keys(F.col("id"), F.col("text")))
     joined = rows.join(by_text, ["k1", "k2"], "left").select("id", "text", "found", "others")
 
     def run(batches):

@@ -40,6 +40,44 @@ def test_ngram_join_empty_table(spark, tmp_path):
     assert op2_ngram_join(spark, write(spark, tmp_path, [])).count() == 0
 
 
+def test_ngram_join_rows_without_or_with_equal_ids(spark, tmp_path):
+    r = random.Random(11)
+    words = lambda n: [r.choice(["ab", "cd", "ef", "gh"]) + str(r.randrange(400)) for _ in range(n)]
+    ws = words(100)
+    rows = []
+    for k, d in enumerate((9, None, 4, None, 9)):  # a chain through rows without an id; one id with two texts
+        rows.append((d, " ".join(ws[2 * k :] + [f"n{j}" for j in range(2 * k)])))
+    rows += [(None, " ".join(words(50))), (4, "x y"), (None, "X Y"), (None, None), (None, ""), (3, " "), (3, " ".join(words(40)))]
+    numbered = brute.near_duplicates(enumerate(t for _, t in rows))
+    groups = {}
+    for k, (_, c) in numbered.items():
+        groups.setdefault(c, []).append(rows[k][0])
+    least = lambda c: min((d for d in groups[c] if d is not None), default=None)
+    got = op2_ngram_join(spark, write(spark, tmp_path, [(d, t, None, None, None) for d, t in rows])).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((rows[k][0], n, least(c))) for k, (n, c) in numbered.items())
+
+
+def test_ngram_join_long_words_that_a_polynomial_confuses(spark, tmp_path):
+    a = "a"
+    while len(a) < 1024:  # equal modulo 2 ** 64 under every odd base
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = [(1, a), (2, b), (3, a), (4, f"x {a} y z u v"), (5, f"x {b} y z u v")]
+    got = {x["doc_id"]: x["component_id"] for x in op2_ngram_join(spark, write(spark, tmp_path, [(d, t, None, None, None) for d, t in docs])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_ngram_join_deals_common_keys(spark, tmp_path, monkeypatch):
+    from skein.llm import shared
+
+    for module in (shared, ngram_join, components):
+        monkeypatch.setattr(module, "hot_limit", lambda rows: 3)
+    docs = brute.odd_documents()
+    docs += [(1000 + k, docs[7][1], None, None, None) for k in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_ngram_join(spark, write(spark, tmp_path, docs)).collect()}
+    assert got == brute.near_duplicates([(d[0], d[1]) for d in docs])
+
+
 def test_shingle_sets_need_no_neighbours():
     texts = ["a b c d e f", "", "A  b\tc", "x", "a b c d e f a b c d e f"]
     raw = [t.encode() for t in texts]
