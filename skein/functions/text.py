@@ -239,3 +239,41 @@ def is_name(c: Column, most: int = 64) -> Column:
 
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
+
+
+def expand_env(template: Column, values: dict[str, str]) -> Column:
+    """``${NAME}`` replaced where NAME is known, else left; what is put in is not looked at again."""
+    known = F.create_map(*(F.lit(x) for pair in values.items() for x in pair)) if values else F.create_map().cast("map<string,string>")
+    name = lambda part: F.regexp_extract(part, r"(?s)\A\$\{([^}]+)\}", 1)
+    put = lambda part: F.when(F.map_contains_key(known, name(part)), F.concat(known[name(part)], F.substr(part, F.length(name(part)) + 4))).otherwise(part)
+    return F.array_join(F.transform(F.split(template, r"(?=\$\{[^}]+\})", -1), put), "")
+
+
+def uncached(tokens: Column, cached: Column) -> Column:
+    """Input tokens that were not read from a cache, 0 at least; unknown counts are 0."""
+    return F.greatest(F.coalesce(tokens, F.lit(0)) - F.coalesce(cached, F.lit(0)), F.lit(0))
+
+
+def flatten_content(blocks: Column) -> Column:
+    """A tool's output, an array of (type, text, mime, uri), as one text."""
+    one = lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "image", F.concat(F.lit("[image: "), b["mime"], F.lit("]"))).when(b["type"] == "resource", F.coalesce(b["text"], F.concat(F.lit("[binary resource: "), b["uri"], F.lit("]"))))
+    parts = F.filter(F.transform(blocks, one), lambda x: x.isNotNull())
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise("(no output)")
+
+
+#: Column types of the types of a JSON schema; any other is text.
+SQL_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "object": "map<string,string>", "array": "array<string>"}
+
+
+def sql_type(json_type: Column) -> Column:
+    out = F.lit("string")
+    for name, kind in SQL_TYPES.items():
+        out = F.when(json_type == name, kind).otherwise(out)
+    return out
+
+
+def run_mode(mode: Column, context: Column) -> Column:
+    """Struct (mode, context) of a skill: a context of fork means the mode, which is inline if nothing else is said."""
+    fork = context.eqNullSafe("fork")
+    given = F.when(mode != "", mode)
+    return F.struct(F.coalesce(given, F.when(fork, "fork"), F.lit("inline")).alias("mode"), F.when(fork, "full").otherwise(F.coalesce(context, F.lit("full"))).alias("context"))

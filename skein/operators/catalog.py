@@ -17,9 +17,9 @@ def keyword_score(name: Column, description: Column, query: str) -> Column:
     return score
 
 
-def search(catalog: DataFrame, query: str, name: str, description: str, order: str, k: int = 5) -> DataFrame:
-    """The k best of positive score, ties in order of registration: a distributed top-k, no full sort."""
-    scored = catalog.withColumn("score", keyword_score(F.col(name), F.coalesce(F.col(description), F.lit("")), query).cast("long"))
+def search(catalog: DataFrame, query: str, name: str, description: str, order: str, k: int = 5, scorer=keyword_score) -> DataFrame:
+    """The k best of positive score, ties in order of registration: a distributed top-k, no full sort. scorer: a column of name, description and query."""
+    scored = catalog.withColumn("score", scorer(F.col(name), F.coalesce(F.col(description), F.lit("")), query).cast("long"))
     return scored.where("score > 0").orderBy(F.desc("score"), order).limit(k)
 
 
@@ -137,3 +137,61 @@ def recent_distinct(rows: DataFrame, key: str, item: str, order: str, k: int = 1
     """Of each key the k items used last, each once, with the place of the last use."""
     last = rows.groupBy(key, item).agg(F.max(order).alias("last_use"))
     return last.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("last_use"), item))).where(F.col("rank") <= k)
+
+
+#: Names of the tools that search for and call tools that are not loaded.
+SEARCH_TOOL, CALL_TOOL = "ToolSearch", "mcp_call"
+
+
+def tool_schemas(tools: DataFrame, discovered: DataFrame, disabled: DataFrame, protocol: str = "anthropic", mode: str = "dispatch", show_search: bool = True, show_call: bool = True) -> DataFrame:
+    """(seq, name, schema): what a model is told of each visible tool (name, description, input_schema, deferred, seq), as JSON.
+
+    Deferred tools that were not discovered are left out; where the endpoint defers by itself (mode native) they stay, marked.
+    """
+    native = mode == "native" and protocol == "anthropic"
+    hidden = [n for n, shown in ((SEARCH_TOOL, show_search), (CALL_TOOL, show_call)) if not shown]
+    rows = tools.where(~F.col("name").isin(*hidden)) if hidden else tools
+    rows = rows.join(disabled.select("name").distinct(), "name", "left_anti").join(discovered.select("name", F.lit(True).alias("_found")).distinct(), "name", "left")
+    rows = rows.withColumn("_late", F.col("deferred") & F.col("_found").isNull())
+    if not native:
+        rows = rows.where(~F.col("_late"))
+    if protocol in ("openai", "openai-compat"):
+        shape = F.struct(F.lit("function").alias("type"), "name", "description", F.col("input_schema").alias("parameters"))
+    else:
+        shape = F.struct("name", "description", "input_schema", F.when(F.col("_late"), F.lit(True)).alias("defer_loading"))
+    return rows.select("seq", "name", F.to_json(shape).alias("schema"))
+
+
+def mark_cached_tool(tools: DataFrame, order: str, deferred: str = "deferred") -> DataFrame:
+    """tools with cached: the last that is not deferred, if any. One aggregate of one row meets the tools, which are few."""
+    last = tools.where(~F.col(deferred)).agg(F.max(order).alias("_last"))
+    return tools.join(F.broadcast(last), F.col(order) == F.col("_last"), "left").withColumn("cached", F.col("_last").isNotNull()).drop("_last")
+
+
+def by_name(rows: DataFrame, name: str) -> DataFrame:
+    """In order of code points, so listings agree from run to run."""
+    return rows.orderBy(name)
+
+
+def merge_settings(base: Column, override: Column) -> Column:
+    """Two layers of settings, structs (providers, mode, servers: array of (name, value), hooks, fork, verify, team), as one.
+
+    Providers are replaced as a whole, servers by name where they stand and new ones behind, hooks appended; mode and team yield to what is not
+    the default; verify stays on; fork is always the override's.
+    """
+    wanted = F.transform(override["servers"], lambda s: s["name"])
+    # of servers that repeat a name the last counts, where the name came first
+    latest = lambda name: F.element_at(F.filter(override["servers"], lambda s: s["name"] == name), -1)
+    names = F.transform(base["servers"], lambda s: s["name"])
+    last_place = lambda s, i: ~F.array_contains(wanted, s["name"]) | (F.coalesce(F.array_position(F.slice(names, i + 2, F.size(names)), s["name"]), F.lit(0)) == 0)
+    kept = F.transform(base["servers"], lambda s, i: F.when(F.array_contains(wanted, s["name"]) & last_place(s, i), latest(s["name"])).otherwise(s))
+    new = F.transform(F.array_except(F.array_distinct(wanted), names), latest)
+    return F.struct(
+        F.when(F.size(override["providers"]) > 0, override["providers"]).otherwise(base["providers"]).alias("providers"),
+        F.when(override["mode"] != "default", override["mode"]).otherwise(base["mode"]).alias("mode"),
+        F.concat(kept, new).alias("servers"),
+        F.concat(base["hooks"], override["hooks"]).alias("hooks"),
+        override["fork"].alias("fork"),
+        (base["verify"] | override["verify"]).alias("verify"),
+        F.when(override["team"] != "", override["team"]).otherwise(base["team"]).alias("team"),
+    )

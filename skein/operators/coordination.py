@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,18 +52,37 @@ def trace_totals(nodes: DataFrame, trace: str, *values: str) -> DataFrame:
     return nodes.groupBy(trace).agg(F.count("*").alias("n_nodes"), *(F.sum(v).alias(f"total_{v}") for v in values))
 
 
-def trace_tree(nodes: DataFrame, depth: int) -> DataFrame:
-    """(id, root, depth, path) of adjacency rows (id, parent): roots have no known parent. One join a level; the tree is as deep as agents nest."""
+def trace_tree(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, root, depth, path) of adjacency rows (id, parent): roots have no known parent. One join a level, until a level is empty or, if given, to a depth.
+
+    Without a depth each level is checked by a small job and kept by a checkpoint, so the plan stays one level deep. Nodes on a loop have no root.
+    """
     known = nodes.select(F.col("id").alias("known"))
     level = nodes.join(known, F.col("parent") == F.col("known"), "left").where("known is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("id").alias("path"))
-    out = level
-    for d in range(1, depth + 1):
+    out, d = level, 0
+    while depth is None or d < depth:
+        d += 1
         up = level.select(F.col("id").alias("up"), "root", F.col("path").alias("above"))
         level = nodes.join(up, F.col("parent") == F.col("up")).select("id", "root", F.lit(d).alias("depth"), F.concat_ws("/", "above", "id").alias("path"))
+        if depth is None:
+            level = kept(level)
+            if level.isEmpty():
+                break
         out = out.union(level)
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, which on a cluster all executors share."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
+    return df.checkpoint()
+
+
 def rewind(backups: DataFrame, current: DataFrame, snapshot: int) -> DataFrame:
     """(path, action, version): as of a snapshot, the latest backup at or before it; none means the file came later and goes.
 
@@ -100,3 +121,54 @@ def surfaced(memories: DataFrame, seen: DataFrame, chosen: DataFrame, key: str)
 
 def full_reminder(iteration: Column, every: int = 5) -> Column:
     return (iteration - 1) % every == 0
+
+
+def by_path_or_name(chosen: DataFrame, memories: DataFrame, key: str = "key") -> DataFrame:
+    """chosen with path and mtime_ms of the memory (path, filename, mtime_ms, seq) whose path is the key, else of the first of that filename; others go."""
+    of_path = memories.groupBy(F.col("path").alias("_p")).agg(F.max_by(F.struct("path", "mtime_ms"), "seq").alias("_by_path"))
+    of_name = memories.groupBy(F.col("filename").alias("_f")).agg(F.min_by(F.struct("path", "mtime_ms"), "seq").alias("_by_name"))
+    joined = chosen.join(of_path, F.col(key) == F.col("_p"), "left").join(of_name, F.col(key) == F.col("_f"), "left")
+    found = joined.withColumn("_found", F.coalesce("_by_path", "_by_name")).where(F.col("_found").isNotNull())
+    return found.select(*chosen.columns, "_found.path", "_found.mtime_ms")
+
+
+def run_summary(events: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, result, num_turns, tool_calls, input_tokens, output_tokens) of each run's events (kind, text, tool, is_error, tokens_in, tokens_out).
+
+    The result is all text in order, the calls are (name, is_error) in order, the tokens are those reported last.
+    """
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    last = F.max(of("usage", F.struct(order, "tokens_in", "tokens_out")))
+    return events.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(of("text", F.struct(order, "text")))), lambda s: s["text"]), "").alias("result"),
+        F.count(of("turn", F.lit(1))).alias("num_turns"),
+        F.transform(F.array_sort(F.collect_list(of("call", F.struct(order, "tool", "is_error")))), lambda s: F.struct(s["tool"].alias("name"), s["is_error"].alias("is_error"))).alias("tool_calls"),
+        F.coalesce(last["tokens_in"], F.lit(0)).alias("input_tokens"),
+        F.coalesce(last["tokens_out"], F.lit(0)).alias("output_tokens"),
+    )
+
+
+def trace_state(nodes: DataFrame, updates: DataFrame, done: DataFrame) -> DataFrame:
+    """nodes (id, parent, status, tokens) after updates (id, seq, status, tokens): the last value given of each field, unknown ids ignored.
+
+    Running children of the parents in done (parent) are completed.
+    """
+    given = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c)))[c].alias(f"_{c}")
+    last = updates.groupBy("id").agg(given("status"), given("tokens"))
+    rows = nodes.join(last, "id", "left").withColumns({"status": F.coalesce("_status", "status"), "tokens": F.coalesce("_tokens", "tokens")}).drop("_status", "_tokens")
+    rows = rows.join(done.select("parent", F.lit(True).alias("_done")).distinct(), "parent", "left")
+    ends = F.col("_done").isNotNull() & (F.col("status") == "running")
+    return rows.withColumn("status", F.when(ends, "completed").otherwise(F.col("status"))).drop("_done")
+
+
+def completed(tasks: DataFrame, handed: DataFrame, key: str = "id") -> DataFrame:
+    """Ended tasks that were not handed over yet."""
+    return tasks.where(F.col("status").isin("completed", "failed", "cancelled")).join(handed.select(key), key, "left_anti")
+
+
+def changed(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, state) of files (path, mtime_ms, size) that are new, changed in either stamp, or gone since they were known."""
+    k = known.select(F.col("path").alias("_p"), F.col("mtime_ms").alias("_m"), F.col("size").alias("_s"))
+    both = listing.join(k, F.col("path") == F.col("_p"), "full_outer")
+    state = F.when(F.col("_p").isNull(), "new").when(F.col("path").isNull(), "gone").when((F.col("mtime_ms") != F.col("_m")) | (F.col("size") != F.col("_s")), "changed")
+    return both.select(F.coalesce("path", "_p").alias("path"), state.alias("state")).where("state is not null")

@@ -171,3 +171,52 @@ def read_before_edit(edits: DataFrame, reads: DataFrame) -> DataFrame:
     last = reads.groupBy("path").agg(F.max_by("mtime", "seq").alias("read_mtime"))
     joined = edits.join(last, "path", "left")
     return joined.withColumn("verdict", F.when(F.col("read_mtime").isNull(), "not read").when(F.col("read_mtime") != F.col("mtime"), "changed").otherwise("ok"))
+
+
+def absolute(path: Column, work_dir: str = "/") -> Column:
+    """A path without ``.``, ``..`` and double separators, below work_dir if it is relative; links are not followed."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(work_dir.rstrip("/") + "/"), path))
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def reads_back_spill(tool: Column, path: Column, folder: str, work_dir: str = "/") -> Column:
+    """Whether a call reads a text that was spilled into the folder: such a result is not spilled again."""
+    return F.coalesce((tool == "ReadFile") & (path != "") & absolute(path, work_dir).startswith(folder), F.lit(False))
+
+
+#: What Python calls the kinds of JSON values, by how their text begins.
+KINDS = [("{", "dict"), ("[", "list"), ('"', "str"), ("t", "bool"), ("f", "bool"), ("n", "NoneType")]
+EXPECTED = {"object": "dict", "array": "list", "string": "str"}
+
+
+def output_error(output: Column, schema: dict) -> Column:
+    """What is wrong with an output (JSON) by the type and the required fields of a schema; null if nothing."""
+    text = strip(output)
+    kind = F.coalesce(*(F.when(text.startswith(sign), name) for sign, name in KINDS), F.when(text.rlike("[.eE]"), "float").otherwise("int"))
+    error = F.lit(None).cast("string")
+    if schema.get("required"):
+        missing = F.array_except(F.array(*map(F.lit, schema["required"])), F.coalesce(F.json_object_keys(output), F.array().cast("array<string>")))
+        error = F.when((kind == "dict") & (F.size(missing) > 0), F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")))
+    want = schema.get("type")
+    if want in EXPECTED:
+        error = F.when(kind != EXPECTED[want], F.concat(F.lit(f"Expected {want}, got "), kind)).otherwise(error)
+    return error
+
+
+def matching_files(files: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
+    """Files that fit a pattern; a folder's closing separator does not count."""
+    bare = F.regexp_replace(F.col(path), r"/+\z", "")
+    fits = F.lit(False)
+    for p in patterns:
+        fits = fits | glob_match(bare, p)
+    return files.where(fits)
+
+
+def union_rules(*layers: DataFrame) -> DataFrame:
+    """(layer, seq, tool, pattern, effect) of all layers (seq, tool, pattern, effect), in order; rules of unknown effect go. The strictest counts, wherever it stands."""
+    out = None
+    for k, rows in enumerate(layers):
+        rows = rows.where(F.col("effect").isin(*SEVERITY)).select(F.lit(k).alias("layer"), "seq", "tool", "pattern", "effect")
+        out = rows if out is None else out.union(rows)
+    return out

@@ -146,3 +146,60 @@ def fold_stream(deltas: DataFrame, key: str = "call_id", order: str = "seq", pie
     parts = F.transform(F.array_sort(F.collect_list(F.struct(order, piece))), lambda s: s[piece])
     whole = deltas.groupBy(key).agg(F.array_join(parts, "").alias("arguments"))
     return whole.withColumn("arguments", F.when(F.try_parse_json("arguments").isNotNull() & (F.col("arguments") != ""), F.col("arguments")).otherwise("{}"))
+
+
+def serialize_blocks(messages: DataFrame, uses: DataFrame, results: DataFrame) -> DataFrame:
+    """One item a message, its blocks as one JSON array in body: (conv_id, idx, item, type, body). Results stand in a user's message, calls in an assistant's."""
+    text = messages.where(F.col("content") != "").select("conv_id", "idx", "role", F.lit(0).alias("at"), F.lit("").alias("by"), F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))).alias("block"))
+    block = lambda df, role, at, kind, name: df.select("conv_id", "idx", F.lit(role).alias("role"), F.lit(at).alias("at"), F.col("id").alias("by"), F.to_json(F.struct(F.lit(kind).alias("type"), F.col("id").alias(name))).alias("block"))
+    blocks = text.union(block(uses, "assistant", 1, "tool_use", "id")).union(block(results, "user", 2, "tool_result", "tool_use_id"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "by", "block"))), lambda s: s["block"]), ",")
+    return blocks.groupBy("conv_id", "idx", "role").agg(joined.alias("b")).select("conv_id", "idx", F.lit(0).alias("item"), F.col("role").alias("type"), F.concat(F.lit("["), "b", F.lit("]")).alias("body"))
+
+
+def serialize_chat(messages: DataFrame, uses: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv_id, idx, item, type, body): an assistant's calls ride in its message, each result is a message of its own, and a message with results has no other."""
+    calls = uses.groupBy("conv_id", "idx").agg(F.array_sort(F.collect_list("id")).alias("calls"))
+    plain = messages.join(results.select("conv_id", "idx").distinct(), ["conv_id", "idx"], "left_anti").join(calls, ["conv_id", "idx"], "left")
+    body = F.to_json(F.struct("content", F.col("calls").alias("tool_calls")))
+    rows = plain.select("conv_id", "idx", F.lit(0).alias("item"), F.col("role").alias("type"), body.alias("body"))
+    nth = F.row_number().over(W.partitionBy("conv_id", "idx").orderBy("id"))
+    return rows.union(results.select("conv_id", "idx", (nth - 1).alias("item"), F.lit("tool").alias("type"), F.to_json(F.struct(F.col("id").alias("tool_call_id"), "content")).alias("body")))
+
+
+PROTOCOLS = {"openai": serialize_flat, "openai-compat": serialize_chat}
+
+
+def serialize(messages: DataFrame, uses: DataFrame, results: DataFrame, protocol: str = "anthropic") -> DataFrame:
+    """(conv_id, idx, item, type, body) as a protocol wants it; an unknown one gets blocks."""
+    return PROTOCOLS.get(protocol, serialize_blocks)(messages, uses, results)
+
+
+def mark_cached_tail(messages: DataFrame) -> DataFrame:
+    """messages with cached: the last user row of each conversation, whose last block the provider may cache up to."""
+    last = F.max(F.when(F.col("role") == "user", F.col("idx"))).over(conv())
+    return messages.withColumn("cached", F.coalesce((F.col("role") == "user") & (F.col("idx") == last), F.lit(False)))
+
+
+def inject(messages: DataFrame, environment: DataFrame, memory: DataFrame) -> DataFrame:
+    """(conv_id, idx, role, content) with a conversation's environment first and its memory next, each once, and all rows numbered anew from 0.
+
+    environment and memory: (conv_id, content), a row a conversation.
+    """
+    row = lambda df, part: df.select("conv_id", F.lit(part).alias("part"), F.lit(0).cast("long").alias("idx"), F.lit("user").alias("role"), "content")
+    every = row(environment, 0).union(row(memory, 1)).union(messages.select("conv_id", F.lit(2).alias("part"), F.col("idx").cast("long"), "role", "content"))
+    nth = F.row_number().over(conv().orderBy("part", "idx"))
+    return every.select("conv_id", (nth - 1).alias("idx"), "role", "content")
+
+
+def since_cursor(messages: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(conv_id, seen, text): of each conversation the rows behind its cursor (conv_id, seen: rows handled so far, none at first) as lines, and the new cursor.
+
+    Rows without a text or of other roles give no line; a conversation without lines keeps its cursor and gives no row.
+    """
+    nth = F.row_number().over(ordered())
+    numbered = messages.withColumns({"_n": nth, "_all": F.count("*").over(conv())}).join(cursors, "conv_id", "left")
+    new = numbered.where((F.col("_n") > F.coalesce("seen", F.lit(0))) & (F.col("content") != "") & F.col("role").isin("user", "assistant"))
+    line = F.struct("_n", F.concat(F.lit("["), "role", F.lit("]: "), "content").alias("line"))
+    found = new.groupBy("conv_id").agg(F.max("_all").alias("seen"), F.array_sort(F.collect_list(line)).alias("lines"))
+    return found.select("conv_id", "seen", F.array_join(F.transform("lines", lambda s: s["line"]), "").alias("text"))

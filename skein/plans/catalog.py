@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import patterns
+from skein.functions.registry import Registry
 from skein.operators import catalog as c
 from skein.plans.registry import query
 from skein.plans.rules import values
@@ -136,7 +137,7 @@ def recent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.recent_distinct(load(spark, sf_dir, "events", "user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", 3)
 
 
-@query("SELECT 'team-' || min(k) AS name FROM range(2, 1001) t(k) WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
+@query("SELECT 'team-' || min(k) AS name FROM (SELECT 2 AS k UNION SELECT s_suppkey + 1 FROM supplier WHERE s_suppkey > 0) WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
 def free_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = load(spark, sf_dir, "supplier", "s_suppkey").select(F.concat(F.lit("team-"), F.col("s_suppkey").cast("string")).alias("name"))
     return c.free_name(taken.union(rows_of(spark, "name string", [("team",)])), "team", "name")
@@ -150,3 +151,61 @@ SERVERS = [("li near", "get-x"), ("", "mcp__a__get"), ("b", "mcp__b__put"), ("",
 def canonical_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows_of(spark, "server string, tool string", SERVERS)
     return rows.withColumn("name", patterns.canonical_tool(F.col("server"), F.col("tool")))
+
+
+SHAPES = [("anthropic", "native"), ("anthropic", "dispatch"), ("openai", "native")]
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{protocol}' AS protocol, '{mode}' AS mode, p_partkey AS seq, name, CAST({"json_object('type', 'function', 'name', name, 'description', p_type, 'parameters', p_brand)" if protocol == "openai" else "CASE WHEN late THEN json_object('name', name, 'description', p_type, 'input_schema', p_brand, 'defer_loading', true) ELSE json_object('name', name, 'description', p_type, 'input_schema', p_brand) END"} AS VARCHAR) AS schema
+    FROM (SELECT *, CASE p_partkey WHEN 1 THEN 'ToolSearch' WHEN 2 THEN 'mcp_call' ELSE 't' || p_partkey END AS name, p_partkey % 3 = 0 AND p_partkey % 6 <> 0 AS late FROM part) WHERE p_partkey % 10 <> 0 AND name <> 'mcp_call' {"" if (protocol, mode) == ("anthropic", "native") else "AND NOT late"}"""
+    for protocol, mode in SHAPES))
+def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_type", "p_brand")
+    k = F.col("p_partkey")
+    tools = p.select(F.when(k == 1, c.SEARCH_TOOL).when(k == 2, c.CALL_TOOL).otherwise(F.concat(F.lit("t"), k.cast("string"))).alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("input_schema"), (k % 3 == 0).alias("deferred"), k.alias("seq"))
+    found, off = tools.where("seq % 6 = 0"), tools.where("seq % 10 = 0")
+    out = None
+    for protocol, mode in SHAPES:
+        rows = c.tool_schemas(tools, found, off, protocol, mode, show_call=False).select(F.lit(protocol).alias("protocol"), F.lit(mode).alias("mode"), "seq", "name", "schema")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("SELECT p_partkey, p_partkey = (SELECT max(p_partkey) FROM part WHERE p_size % 3 <> 0) AS cached FROM part")
+def cached_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("deferred", F.col("p_size") % 3 == 0)
+    return c.mark_cached_tool(p, "p_partkey").select("p_partkey", "cached")
+
+
+@query("SELECT c_name, c_custkey FROM customer ORDER BY c_name")
+def name_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.by_name(load(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_name")
+
+
+@query("""SELECT k, CASE WHEN k % 4 = 0 THEN 'p' || n ELSE 'q,r' END AS providers, CASE WHEN k % 5 <> 0 THEN 'acceptEdits' WHEN k % 3 = 0 THEN 'default' ELSE 'plan' END AS mode,
+  CASE WHEN k % 3 = 0 THEN 'a=' || k || ',b=1' ELSE 'a=' || k || ',b=7,c=' || k END AS servers, 'h' || n || ',o' AS hooks, k % 7 <> 0 AS fork, k % 2 = 0 OR k % 3 = 1 AS verify, CASE WHEN k % 2 = 0 THEN 'x' ELSE 'w' END AS team
+  FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer)""")
+def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    texts = lambda *xs: F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    server = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    base = F.struct(texts(F.concat(F.lit("p"), n)).alias("providers"), F.when(k % 3 == 0, "default").otherwise("plan").alias("mode"), F.array(server("a", k), server("b", F.lit(1))).alias("servers"), texts(F.concat(F.lit("h"), n)).alias("hooks"), F.lit(True).alias("fork"), (k % 2 == 0).alias("verify"), F.lit("w").alias("team"))
+    over = F.struct(F.when(k % 4 == 0, none("string")).otherwise(texts("q", "r")).alias("providers"), F.when(k % 5 == 0, "default").otherwise("acceptEdits").alias("mode"), F.when(k % 3 == 0, none("struct<name:string,value:string>")).otherwise(F.array(server("b", -k), server("c", k), server("b", F.lit(7)))).alias("servers"), texts("o").alias("hooks"), (k % 7 != 0).alias("fork"), (k % 3 == 1).alias("verify"), F.when(k % 2 == 0, "x").otherwise("").alias("team"))
+    rows = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(k.alias("k"), c.merge_settings(base, over).alias("s"))
+    servers = F.transform("s.servers", lambda x: F.concat(x["name"], F.lit("="), x["value"]))
+    return rows.select("k", F.array_join("s.providers", ",").alias("providers"), "s.mode", F.array_join(servers, ",").alias("servers"), F.array_join("s.hooks", ",").alias("hooks"), "s.fork", "s.verify", "s.team")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 4 = 3 THEN NULL ELSE user_id || '!' END WHEN event_type = 'click' THEN CAST(user_id + event_id AS VARCHAR) END AS output, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 4 = 3 THEN 'bad arguments of view' END WHEN event_type <> 'click' THEN 'unknown tool: ' || event_type END AS error FROM events")
+def dispatch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two registered tools, called by the type of an event."""
+    tools = Registry()
+    tools.register("view", "says a text", {"type": "object", "properties": {"text": {"type": "string"}}, "required": ["text"]})(lambda a: F.concat(a["text"], F.lit("!")))
+    tools.register("click", "adds numbers", {"type": "object", "properties": {"of": {"type": "array", "items": {"type": "integer"}}}})(lambda a: F.aggregate(a["of"], F.lit(0).cast("long"), lambda n, x: n + x).cast("string"))
+    e = load(spark, sf_dir, "events", "event_id", "event_type", "user_id")
+    say = F.when(F.col("event_id") % 4 == 3, "{}").otherwise(F.format_string('{"text": "%d"}', "user_id"))
+    arguments = F.when(F.col("event_type") == "view", say).otherwise(F.format_string('{"of": [%d, %d]}', "user_id", "event_id"))
+    called = e.withColumn("r", tools.dispatch(F.col("event_type"), arguments))
+    return called.select("event_id", F.col("r")["output"].alias("output"), F.col("r")["error"].alias("error"))

@@ -61,7 +61,7 @@ def trace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = load(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
     nations = load(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent"))
     customers = load(spark, sf_dir, "customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"))
-    return c.trace_tree(regions.union(nations).union(customers), 2)
+    return c.trace_tree(regions.union(nations).union(customers))
 
 
 @query("""WITH b AS (SELECT user_id AS path, event_id // 1000 AS snapshot, event_id AS version FROM events WHERE event_type = 'purchase'), cur AS (SELECT path, max(version) AS version FROM b GROUP BY path),
@@ -125,3 +125,56 @@ def task_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, (event_id - 1) % 5 = 0 AS full_text FROM events")
 def reminder_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events", "event_id").select("event_id", c.full_reminder(F.col("event_id")).alias("full_text"))
+
+
+@query("""WITH m AS (SELECT doc_id AS seq, '/m/' || doc_id || '.md' AS path, 'f' || (doc_id % 50) || '.md' AS filename, doc_id * 11 AS mtime_ms FROM documents),
+  k AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/m/' || doc_id || '.md' WHEN 1 THEN 'f' || (doc_id % 70) || '.md' ELSE 'nothing' END AS key FROM labels),
+  f AS (SELECT filename, min(seq) AS seq FROM m GROUP BY filename)
+  SELECT k.doc_id, coalesce(p.path, n.path) AS path, coalesce(p.mtime_ms, n.mtime_ms) AS mtime_ms FROM k LEFT JOIN m p ON p.path = k.key LEFT JOIN f ON f.filename = k.key LEFT JOIN m n ON n.seq = f.seq WHERE p.path IS NOT NULL OR n.path IS NOT NULL""")
+def memory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda lead, k: F.concat(F.lit(lead), k.cast("string"), F.lit(".md"))
+    k = F.col("doc_id")
+    memories = load(spark, sf_dir, "documents", "doc_id").select(k.alias("seq"), name("/m/", k).alias("path"), name("f", k % 50).alias("filename"), (k * 11).alias("mtime_ms"))
+    chosen = load(spark, sf_dir, "labels", "doc_id").withColumn("key", F.when(k % 3 == 0, name("/m/", k)).when(k % 3 == 1, name("f", k % 70)).otherwise("nothing"))
+    return c.by_path_or_name(chosen, memories).select("doc_id", "path", "mtime_ms")
+
+
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 'text' WHEN 'click' THEN 'call' WHEN 'purchase' THEN 'usage' WHEN 'signup' THEN 'turn' END AS kind FROM events)
+  SELECT user_id, coalesce(string_agg(event_id % 10, '' ORDER BY event_id) FILTER (kind = 'text'), '') AS result, count(*) FILTER (kind = 'turn') AS num_turns,
+  coalesce(string_agg('t' || (event_id % 3) || ':' || (event_id % 5 = 0), ',' ORDER BY event_id) FILTER (kind = 'call'), '') AS tool_calls, coalesce(arg_max(event_id % 100, event_id) FILTER (kind = 'usage'), 0) AS input_tokens, coalesce(arg_max(event_id % 50, event_id) FILTER (kind = 'usage'), 0) AS output_tokens FROM e GROUP BY user_id""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    k, kind = F.col("event_id"), F.col("event_type")
+    rows = e.select("user_id", "event_id", F.when(kind == "view", "text").when(kind == "click", "call").when(kind == "purchase", "usage").when(kind == "signup", "turn").alias("kind"), (k % 10).cast("string").alias("text"), F.concat(F.lit("t"), (k % 3).cast("string")).alias("tool"), (k % 5 == 0).alias("is_error"), (k % 100).alias("tokens_in"), (k % 50).alias("tokens_out"))
+    calls = F.array_join(F.transform("tool_calls", lambda x: F.concat(x["name"], F.lit(":"), x["is_error"].cast("string"))), ",")
+    return c.run_summary(rows, "user_id", "event_id").withColumn("tool_calls", calls)
+
+
+@query("""WITH u AS (SELECT o_custkey AS id, arg_max(CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'paused' END, o_orderkey) FILTER (o_orderstatus IN ('F', 'P') AND o_orderkey % 4 = 0) AS status, arg_max(o_orderkey % 1000, o_orderkey) FILTER (o_orderkey % 3 = 0) AS tokens FROM orders GROUP BY 1),
+  s AS (SELECT c_custkey AS id, c_nationkey AS parent, coalesce(u.status, 'running') AS status, coalesce(u.tokens, 0) AS tokens FROM customer LEFT JOIN u ON u.id = c_custkey)
+  SELECT id, parent, CASE WHEN status = 'running' AND parent % 2 = 0 THEN 'completed' ELSE status END AS status, tokens FROM s""")
+def trace_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("parent"), F.lit("running").alias("status"), F.lit(0).cast("long").alias("tokens"))
+    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    k, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    updates = o.select(F.col("o_custkey").alias("id"), k.alias("seq"), F.when(k % 4 == 0, F.when(state == "F", "failed").when(state == "P", "paused")).alias("status"), F.when(k % 3 == 0, k % 1000).alias("tokens"))
+    done = load(spark, sf_dir, "nation", "n_nationkey").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("parent"))
+    return c.trace_state(nodes, updates, done).select("id", "parent", "status", "tokens")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def completed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
+    tasks = load(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("id"), status.alias("status"))
+    handed = load(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return c.completed(tasks, handed).select("id")
+
+
+@query("""SELECT p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'gone' WHEN p_partkey % 5 = 1 THEN 'new' ELSE 'changed' END AS state FROM part WHERE p_partkey % 5 < 2 OR p_partkey % 7 = 0 OR p_size % 2 = 1""")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of files by their stamps: some are new, some gone, some have another time or another size than was known."""
+    p = load(spark, sf_dir, "part", "p_partkey", "p_size")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    now = p.where(k % 5 != 0).select(k.alias("path"), k.alias("mtime_ms"), size.alias("size"))
+    known = p.where(k % 5 != 1).select(k.alias("path"), F.when(k % 7 == 0, k + 1).otherwise(k).alias("mtime_ms"), F.when(size % 2 == 1, size + 1).otherwise(size).alias("size"))
+    return c.changed(now, known)

@@ -1,0 +1,58 @@
+"""The queries whose inputs are a few literal rows, over all events: an event takes the input that its id points to."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import patterns
+from skein.functions import text as x
+from skein.operators import catalog as c
+from skein.operators import rules as r
+from skein.plans import catalog, rules, text
+from skein.plans.registry import QUERIES, SQL
+from skein.tables import load, rows_of
+
+
+def _events(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) -> DataFrame:
+    fields = [f.split() for f in schema.split(", ")]
+    inputs = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True))) for row in rows))
+    events = load(spark, sf_dir, "events", "event_id").withColumn("_in", F.element_at(inputs, (F.col("event_id") % len(rows) + 1).cast("int")))
+    return events.select("event_id", "_in.*")
+
+
+def _register(name: str, schema: str, rows: list[tuple], keys: list[str], run: Callable[[SparkSession, DataFrame], DataFrame], names: list[str] | None = None) -> None:
+    """keys: the inputs that the query of the literal rows returns too; names: the inputs as its SQL calls them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, _events(spark, sf_dir, schema, rows))
+
+    columns = ", ".join(names or [f.split()[0] for f in schema.split(", ")])
+    same = " AND ".join(f"q.{k} IS NOT DISTINCT FROM v.{k}" for k in keys)
+    QUERIES[f"{name}_events"] = query
+    SQL[f"{name}_events"] = f"WITH v AS (SELECT * FROM (VALUES {rules.values([(k, *row) for k, row in enumerate(rows)])}) v(i, {columns})), q AS ({SQL[name]}) SELECT event_id, q.* FROM events JOIN v ON event_id % {len(rows)} = i JOIN q ON {same}"
+
+
+TOOL_RULES = [*rules.CALL_RULES, ("Bash", "rm *", "deny")]
+
+_register(
+    "permission_chain", "tool string, category string, content string, mode string", rules.CALLS, ["tool", "category", "content", "mode"],
+    lambda spark, df: df.withColumn("effect", r.permission_chain(*(F.col(n) for n in ("tool", "category", "content", "mode")), rules.CALL_RULES)),
+)
+_register("subcommand_severity", "line string", rules.LINES, ["line"], lambda spark, df: df.withColumn("effect", r.evaluate_subcommands(F.lit("Bash"), F.col("line"), TOOL_RULES)))
+_register("command_checks", "command string", rules.COMMANDS, ["command"], lambda spark, df: df.withColumns({"reason": r.danger(F.col("command")), "safe": r.is_safe(F.col("command"))}))
+_register("hook_validation", "id string, event string, action string, reject boolean, async boolean", rules.HOOK_DEFS, ["id"], lambda spark, df: r.hook_errors(df, ["pre_tool_use", "post_tool_use"]).select("event_id", "id", "error"), ["id", "event", "action", "reject", "is_async"])
+_register("exit_code", "line string, code int", rules.EXITS, ["line", "code"], lambda spark, df: df.withColumn("failed", r.is_failure(F.col("line"), F.col("code"))))
+_register("mode_matrix", "mode string, category string", rules.MODES, ["mode", "category"], lambda spark, df: df.withColumn("effect", r.mode_effect(F.col("mode"), F.col("category"))))
+_register("rule_parse", "rule string", rules.TEXTS, ["rule"], lambda spark, df: df.withColumn("p", patterns.parse_rule(F.col("rule"))).select("event_id", "rule", "p.tool", "p.pattern"))
+_register("resolve_tool", "server string, tool string", catalog.CALLED, ["server", "tool"], lambda spark, df: c.resolve(df, rows_of(spark, "full string, server string, short string", catalog.TOOLS)))
+_register("window_ladder", "configured int, fetched int, model string", catalog.MODELS, ["configured", "fetched", "model"], lambda spark, df: df.withColumn("window", c.context_window(F.col("configured"), F.col("fetched"), F.col("model"))))
+_register("canonical_tool", "server string, tool string", catalog.SERVERS, ["server", "tool"], lambda spark, df: df.withColumn("name", patterns.canonical_tool(F.col("server"), F.col("tool"))))
+_register("coerce_scalar", "value string, want string", text.GIVEN, ["value", "want"], lambda spark, df: df.withColumn("kind", x.coerce_scalar(F.col("value"), F.col("want"))["kind"]))
+_register("parse_command", "line string", text.TYPED, ["line"], lambda spark, df: df.withColumn("p", x.parse_command(F.col("line"))).select("event_id", "line", "p.name", "p.args"))
+_register(
+    "repository_urls", "url string", text.URLS, ["url"],
+    lambda spark, df: df.withColumn("r", x.repository_path(F.col("url"))).select("event_id", "url", F.when(F.col("r").isNotNull(), F.format_string("%s/%s@%s:%s", "r.owner", "r.repo", "r.ref", "r.subpath")).alias("source")),
+)

@@ -173,3 +173,35 @@ def call_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     tool = F.when(F.col("event_type") == "click", "Bash").when(F.col("event_type") == "view", "ReadFile").otherwise("Other")
     args = F.when(F.col("event_type") == "click", F.format_string('{"command": "run %d"}', "user_id")).otherwise(F.format_string('{"file_path": "/f/%d"}', "user_id"))
     return e.select("event_id", patterns.call_content(tool, args).alias("content"))
+
+
+@query("""SELECT event_id, event_type <> 'error' AND event_id % 5 IN (0, 2, 3) AS reads_back FROM events""")
+def spill_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events", "event_id", "event_type")
+    name = F.col("event_id").cast("string")
+    path = F.element_at(F.array(F.concat(F.lit("/s/x/../spill//./"), name), F.concat(F.lit("/s/spill/../../s/other/"), name), F.concat(F.lit("spill/"), name), F.concat(F.lit("../s/spilled/"), name), F.lit("")), (F.col("event_id") % 5 + 1).cast("int"))
+    tool = F.when(F.col("event_type") == "error", "Bash").otherwise("ReadFile")
+    return e.select("event_id", r.reads_back_spill(tool, path, "/s/spill", "/s").alias("reads_back"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Missing required fields: extra' WHEN 1 THEN 'Expected object, got list' WHEN 2 THEN 'Expected object, got str' WHEN 4 THEN 'Expected object, got float' WHEN 5 THEN 'Expected object, got bool' END AS error FROM events")
+def output_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events", "event_id", "props")
+    whole = F.regexp_replace("props", r"\}\s*\z", ', "extra": null}')
+    output = F.element_at(F.array(F.col("props"), F.concat(F.lit("["), "props", F.lit("]")), F.lit('"text"'), whole, F.lit("-1.5"), F.lit("true")), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("event_id", r.output_error(output, {"type": "object", "required": ["k", "extra"]}).alias("error"))
+
+
+@query("SELECT p_partkey, path FROM (SELECT p_partkey, p_type || '/' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '' END AS path FROM part) WHERE regexp_full_match(rtrim(path, '/'), '(?s)PROMO/.*|.*/.old .*|.*[gk]et')")
+def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_type", "p_name")
+    files = p.select("p_partkey", F.concat("p_type", F.lit("/"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "/").otherwise("")).alias("path"))
+    return r.matching_files(files, ["PROMO/*", "*/?old *", "*[gk]et"])
+
+
+@query("""SELECT CAST(p_partkey % 3 AS INTEGER) AS layer, p_partkey AS seq, p_brand AS tool, p_name AS pattern, CASE p_size % 4 WHEN 0 THEN 'allow' WHEN 1 THEN 'ask' ELSE 'deny' END AS effect FROM part WHERE p_size % 4 <> 3""")
+def rule_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name", "p_size")
+    effect = F.element_at(F.array(*map(F.lit, ("allow", "ask", "deny", "maybe"))), (F.col("p_size") % 4 + 1).cast("int"))
+    rows = p.select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("tool"), F.col("p_name").alias("pattern"), effect.alias("effect"))
+    return r.union_rules(*(rows.where(F.col("seq") % 3 == k) for k in range(3)))

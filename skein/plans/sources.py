@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.coerce import coerce_json
+from skein.functions.text import substitute
 from skein.plans.registry import query
 from skein.sources import files, json_files, session_log
 from skein.tables import load
@@ -109,3 +110,81 @@ def coerce_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = {"type": "object", "properties": {"k": {"type": "string"}, "ids": {"type": "array", "items": {"type": "integer"}}, "flag": {"type": "boolean"}}}
     given = F.concat(F.regexp_replace("props", r"\}\s*\z", ""), F.lit(', "ids": "1, 2,x", "flag": "True"}'))
     return load(spark, sf_dir, "events", "event_id", "props").select("event_id", coerce_json(schema)(given).alias("arguments"))
+
+
+def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a part: entries in both orders, quoted or not, among such as count for nothing."""
+    text = F.concat(F.lit("# rules\n- rule: Bash("), "p_name", F.lit(" *)\n  effect: allow\n- effect: 'deny'\n  rule: \"Read(/x/*)\"\n- effect: maybe\n  rule: A(b)\n- nonsense\n- rule: no rule\n  effect: ask\n"))
+    return load(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 7 == 0, "name: not a list\n").otherwise(text).alias("content"))
+
+
+@query("SELECT p_partkey AS path, CAST(k AS INTEGER) AS seq, CASE k WHEN 0 THEN 'Bash' ELSE 'Read' END AS tool, CASE k WHEN 0 THEN p_name || ' *' ELSE '/x/*' END AS pattern, CASE k WHEN 0 THEN 'allow' ELSE 'deny' END AS effect FROM part, (VALUES (0), (1)) v(k) WHERE p_partkey % 7 <> 0")
+def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.rule_rows(rule_files(spark, sf_dir))
+
+
+@query("""SELECT p_partkey AS path, CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE k END AS INTEGER) AS seq, CASE k WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' ELSE 'Edit' END AS tool, CASE k WHEN 0 THEN p_name || ' *' WHEN 1 THEN '/x/*' ELSE 'it''s "' || p_partkey || '"' END AS pattern,
+  CASE k WHEN 0 THEN 'allow' WHEN 1 THEN 'deny' ELSE 'ask' END AS effect FROM part, (VALUES (0), (1), (2)) v(k) WHERE p_partkey % 7 <> 0 OR k = 2""")
+def rule_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file read, written with one rule more, and read again."""
+    text = rule_files(spark, sf_dir)
+    pattern = F.concat(F.lit("it's \""), F.col("path").cast("string"), F.lit('"'))
+    new = text.select("path", F.lit("Edit").alias("tool"), pattern.alias("pattern"), F.lit("ask").alias("effect"))
+    return files.rule_rows(files.append_rule(files.rule_rows(text), new))
+
+
+@query("""SELECT doc_id AS path, 'a' || doc_id AS name, 'in ' || lang AS description, 'Read,Grep' AS tools, CASE WHEN doc_id % 2 = 0 THEN 'Bash,Write it' ELSE '' END AS disallowed, CASE WHEN doc_id % 3 = 0 THEN 'inherit' ELSE 'm-1' END AS model, CASE WHEN doc_id % 5 = 1 THEN 7 ELSE 200 END AS max_turns,
+  CASE WHEN doc_id % 2 = 0 THEN 'acceptEdits' ELSE 'default' END AS permission_mode, doc_id % 3 = 0 AS background, ltrim(text, chr(10)) AS prompt FROM documents WHERE doc_id % 5 <> 2 AND doc_id % 7 <> 3 AND doc_id % 11 <> 4""")
+def agent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the prompt of an agent; some files are broken in one way or another."""
+    k, line = F.col("doc_id"), F.lit("\n")
+    either = lambda test, yes, no="": F.when(test, yes).otherwise(no)
+    head = F.concat(
+        F.lit("---\nname: a"), k.cast("string"), line, either(k % 7 != 3, F.concat(F.lit('description: "in '), "lang", F.lit('"\n'))), F.lit("# more\ntools: [Read, 'Grep']\n"), either(k % 2 == 0, "disallowedTools:\n  - Bash\n  - Write it\npermissionMode: acceptEdits\n"),
+        either(k % 3 == 0, "model: Inherit\nbackground: true\n", "model: m-1\n"), either(k % 5 == 1, "maxTurns: 7\n"), either(k % 5 == 2, "maxTurns: many\n"), either(k % 11 == 4, "just a line\n"), F.lit("---\n\n"), "text",
+    )
+    defs = files.agent_defs(load(spark, sf_dir, "documents", "doc_id", "lang", "text").select(k.alias("path"), head.alias("content")))
+    return defs.withColumns({"tools": F.array_join("tools", ","), "disallowed": F.array_join("disallowed", ",")})
+
+
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, E' \\t\\n\\x0b\\x0c\\r') <> ''")
+def prompt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return json_files.history(lines, "line")
+
+
+@query("SELECT 'PROMO/' || name || CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '' END AS shown FROM (SELECT *, CASE WHEN p_partkey % 9 = 0 THEN '.' ELSE '' END || p_name || '-' || p_partkey AS name FROM part) WHERE p_type = 'PROMO' AND starts_with(lower(name), 'c') ORDER BY name LIMIT 10")
+def path_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
+    name = F.concat(F.when(F.col("p_partkey") % 9 == 0, ".").otherwise(""), "p_name", F.lit("-"), F.col("p_partkey").cast("string"))
+    return files.complete_path(p.select(F.col("p_type").alias("folder"), name.alias("name"), (F.col("p_partkey") % 2 == 0).alias("is_folder")), "PROMO/C")
+
+
+@query("""SELECT p_partkey, lower(replace(p_type, ' ', '-')) || ':' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'about ' || p_brand ELSE 'Do ' || p_name || ': $ARGUMENTS' END AS description, 'Do ' || p_name || ': it now' AS prompt FROM part""")
+def command_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command files, and what each becomes with its arguments."""
+    p = load(spark, sf_dir, "part", "p_partkey", "p_type", "p_name", "p_brand")
+    path = F.concat(F.lit("file:///c/"), "p_type", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".md"))
+    head = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("---\ndescription: about "), "p_brand", F.lit("\n---\n"))).otherwise("# Title\n")
+    body = F.concat(F.lit("Do "), "p_name", F.lit(": $ARGUMENTS"))
+    defs = files.command_defs(p.select("p_partkey", path.alias("path"), F.concat(head, body).alias("content")), "/c")
+    # the carrier's key is in the name
+    key = F.substring_index("name", ":", -1).cast("long")
+    prompt = substitute(F.regexp_replace("template", r"\A# Title\n", ""), F.lit("it now"))
+    return defs.select(key.alias("p_partkey"), "name", "description", prompt.alias("prompt"))
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 4 <> 3) AS message_count, max(turn) AS last_active FROM conversations GROUP BY conv_id")
+def session_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir).select("conv_id", F.col("turn").alias("idx"), F.col("turn").alias("ts"), F.when(F.col("turn") % 4 == 3, session_log.MARKER).alias("type"))
+    return session_log.meta_of(rows)
+
+
+@query("""SELECT conv_id, turn AS idx, role, text || CASE WHEN turn % 2 = 0 THEN chr(10) || 'more' ELSE '' END AS content, CASE WHEN turn % 3 = 0 THEN '[{"type":"tool_use","text":"","id":"' || turn || '"}]' END AS tool_uses FROM conversations""")
+def message_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = lambda kind, text, id_="": F.struct(F.lit(kind).alias("type"), (F.lit(text) if isinstance(text, str) else text).alias("text"), (F.lit(id_) if isinstance(id_, str) else id_).alias("id"))
+    always = F.array(block("thinking", "hm"), block("text", F.col("text")))
+    some = lambda test, b: F.when(test, F.array(b)).otherwise(F.array().cast("array<struct<type:string,text:string,id:string>>"))
+    blocks = F.concat(always, some(F.col("turn") % 2 == 0, block("text", "more")), some(F.col("turn") % 3 == 0, block("tool_use", "", F.col("turn").cast("string"))))
+    rows = conversations(spark, sf_dir).select("conv_id", F.col("turn").alias("idx"), "role", F.lit(0).alias("ts"), blocks.alias("blocks"))
+    return session_log.to_records(rows).select("conv_id", "idx", "role", "content", "tool_uses")

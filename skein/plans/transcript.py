@@ -147,3 +147,49 @@ def fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 4
     piece = F.when(n == 0, '{"k":').when(n == 1, F.col("event_id").cast("string")).when(n == 2, ',"u":1').when(F.col("event_id") % 5 == 0, "").otherwise("}")
     return t.fold_stream(e.select(F.floor(F.col("event_id") / 4).cast("long").alias("call_id"), n.alias("seq"), piece.alias("piece")))
+
+
+TEXT_IDS = """u AS (SELECT conv_id, idx, CAST(id AS VARCHAR) AS id FROM uses), r AS (SELECT conv_id, idx, CAST(id AS VARCHAR) AS id, content FROM results)"""
+
+
+@query(f"""WITH {MSG}, {USES}, {RESULTS}, {TEXT_IDS},
+  b AS (SELECT conv_id, idx, role, 0 AS p, '' AS k, json_object('type', 'text', 'text', content) AS b FROM msg WHERE content <> '' UNION ALL SELECT conv_id, idx, 'assistant', 1, id, json_object('type', 'tool_use', 'id', id) FROM u
+    UNION ALL SELECT conv_id, idx, 'user', 2, id, json_object('type', 'tool_result', 'tool_use_id', id) FROM r),
+  c AS (SELECT conv_id, idx, list(id ORDER BY id) AS calls FROM u GROUP BY ALL)
+  SELECT 'anthropic' AS protocol, conv_id, idx, 0 AS item, role AS type, '[' || string_agg(CAST(b AS VARCHAR), ',' ORDER BY p, k) || ']' AS body FROM b GROUP BY conv_id, idx, role
+  UNION ALL SELECT 'openai-compat', m.conv_id, m.idx, 0, role, CAST(CASE WHEN calls IS NULL THEN json_object('content', content) ELSE json_object('content', content, 'tool_calls', calls) END AS VARCHAR) FROM msg m LEFT JOIN c ON c.conv_id = m.conv_id AND c.idx = m.idx
+    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = m.conv_id AND r.idx = m.idx)
+  UNION ALL SELECT 'openai-compat', conv_id, idx, CAST(row_number() OVER (PARTITION BY conv_id, idx ORDER BY id) - 1 AS INTEGER), 'tool', CAST(json_object('tool_call_id', id, 'content', content) AS VARCHAR) FROM r
+  UNION ALL SELECT 'openai', conv_id, idx, 0, 'message', content FROM msg WHERE content <> '' UNION ALL SELECT 'openai', conv_id, idx, 1, 'function_call', id FROM u UNION ALL SELECT 'openai', conv_id, idx, 2, 'function_call_output', id FROM r""")
+def serialize_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir)
+    as_text = lambda df: df.withColumn("id", F.col("id").cast("string"))
+    uses, results = as_text(derived_uses(m)), as_text(derived_results(m))
+    out = None
+    for protocol in ("anthropic", "openai", "openai-compat"):
+        rows = t.serialize(m, uses, results, protocol).select(F.lit(protocol).alias("protocol"), "conv_id", "idx", "item", "type", "body")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"WITH {MSG} SELECT conv_id, idx, coalesce(idx = max(CASE WHEN role = 'user' THEN idx END) OVER (PARTITION BY conv_id) AND role = 'user', false) AS cached FROM msg")
+def cached_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.mark_cached_tail(messages(spark, sf_dir)).select("conv_id", "idx", "cached")
+
+
+@query(f"""WITH {MSG}, c AS (SELECT DISTINCT conv_id FROM msg), e AS (SELECT conv_id, 0 AS part, 0 AS idx, 'user' AS role, 'at ' || conv_id AS content FROM c UNION ALL SELECT conv_id, 1, 0, 'user', 'known' FROM c WHERE conv_id % 3 <> 0 UNION ALL SELECT conv_id, 2, idx, role, content FROM msg)
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, idx) - 1 AS idx, role, content FROM e""")
+def inject_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is told where it is, and those that have a memory what is known."""
+    m = messages(spark, sf_dir)
+    every = m.select("conv_id").distinct()
+    return t.inject(m, every.withColumn("content", F.concat(F.lit("at "), F.col("conv_id").cast("string"))), every.where(F.col("conv_id") % 3 != 0).withColumn("content", F.lit("known")))
+
+
+@query(f"""WITH {MSG}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS n, count(*) OVER (PARTITION BY conv_id) AS every FROM msg)
+  SELECT conv_id, max(every) AS seen, string_agg('[' || role || ']: ' || content, '' ORDER BY n) AS text FROM n WHERE n > CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id % 3 END AND content <> '' GROUP BY conv_id""")
+def extraction_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the conversations have no cursor yet."""
+    m = messages(spark, sf_dir)
+    cursors = m.where(F.col("conv_id") % 3 != 0).select("conv_id", (F.col("conv_id") % 3).alias("seen")).distinct()
+    return t.since_cursor(m, cursors)

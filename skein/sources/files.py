@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.text import frontmatter, let, lines, strip
+from skein.functions.patterns import parse_rule
+from skein.functions.text import first_body_line, frontmatter, let, lines, run_mode, strip
 
 #: Fixed value: folders that listings leave out.
 SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "dist", "build")
@@ -77,8 +78,9 @@ def skill_defs(files: DataFrame, root: str) -> DataFrame:
     stem = F.when(rel.endswith("/SKILL.md"), F.element_at(F.split(rel, "/"), -2)).otherwise(F.regexp_replace(F.element_at(F.split(rel, "/"), -1), r"\.md\z", ""))
     get = lambda f: frontmatter(F.col("content"), f)
     name = F.when(get("name") == "", stem).otherwise(get("name"))
-    mode = F.when(get("mode") == "fork", "fork").otherwise("inline")
-    context = F.when(get("context").isin("full", "recent", "none"), get("context")).otherwise("none")
+    given = run_mode(get("mode"), F.when(get("context") != "", get("context")))
+    mode = F.when(given["mode"] == "fork", "fork").otherwise("inline")
+    context = F.when(given["context"].isin("full", "recent", "none"), given["context"]).otherwise("none")
     prompt = strip(F.regexp_replace("content", r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(\n|\z)", ""))
     return files.select(name.alias("name"), get("description").alias("description"), mode.alias("mode"), context.alias("context"), prompt.alias("prompt")).where(F.col("name").rlike(r"\A[a-z0-9][a-z0-9_-]*\z"))
 
@@ -157,3 +159,98 @@ def expand_includes(files: DataFrame, depth: int = 5, key: str = "file", content
     whole = whole.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "").alias(content))
     same = cut.where(~F.exists("parts", lambda p: p["target"].isNotNull())).select(F.col("name").alias(key), F.col("text").alias(content))
     return same.unionByName(whole)
+
+
+EFFECTS = ("allow", "deny", "ask")
+
+
+def yaml_scalar(c: Column) -> Column:
+    """A YAML scalar without quotes, comment and blanks around."""
+    bare = strip(c)
+    double, single = bare.rlike(r'(?s)\A".*"\z'), bare.rlike(r"(?s)\A'.*'\z")
+    inner = F.substr(bare, F.lit(2), F.length(bare) - 2)
+    plain = strip(F.regexp_replace(bare, r"(\A| )#[^\n]*\z", ""))
+    return F.when(double, F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))).when(single, F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(plain)
+
+
+def rule_rows(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, seq, tool, pattern, effect) of files that are a list of entries ``rule: Tool(pattern)`` and ``effect:``; what is no such entry goes.
+
+    Read is the flow of a flat list, as append_rule writes it: one ``- `` an entry, its fields on lines of their own, in any order.
+    """
+    entries = F.transform(F.split(F.concat(F.lit("\n"), F.col(content)), r"\n- ", -1), lambda e: F.concat(F.lit("\n"), e))
+    rows = files.where(F.concat(F.lit("\n"), F.col(content)).contains("\n- ")).select(key, F.posexplode(entries).alias("seq", "entry")).where("seq > 0")
+    field = lambda name: yaml_scalar(F.regexp_extract("entry", rf"\n[ \t]*{name}:[ \t]*([^\n]*)", 1))
+    parsed = rows.select(key, (F.col("seq") - 1).alias("seq"), parse_rule(field("rule")).alias("r"), field("effect").alias("effect"))
+    return parsed.where(F.col("r").isNotNull() & F.col("effect").isin(*EFFECTS)).select(key, "seq", F.col("r")["tool"].alias("tool"), F.col("r")["pattern"].alias("pattern"), "effect")
+
+
+def append_rule(rules: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
+    """(key, content): each file with its rules and the new ones (key, tool, pattern, effect) behind, as text that rule_rows reads."""
+    every = rules.select(key, "seq", "tool", "pattern", "effect").union(new.select(key, F.lit(1 << 30).alias("seq"), "tool", "pattern", "effect"))
+    quoted = F.concat(F.lit("'"), F.replace(F.concat("tool", F.lit("("), "pattern", F.lit(")")), F.lit("'"), F.lit("''")), F.lit("'"))
+    line = F.concat(F.lit("- effect: "), "effect", F.lit("\n  rule: "), quoted, F.lit("\n"))
+    texts = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
+    return every.groupBy(key).agg(F.array_join(F.transform(texts, lambda s: s["line"]), "").alias("content"))
+
+
+def strict_frontmatter(content: Column) -> Column:
+    """Struct (fields, body) of a text that begins with a ``---`` block of flat YAML: a map of scalars, and of lists as their items joined by newlines.
+
+    Null where the block is missing, not closed, or holds a line that is neither ``key: value``, an item of the key above, a comment nor blank.
+    """
+    text = F.ltrim(content, F.lit(" \t\n\x0b\x0c\r"))
+    inside = F.regexp_extract(text, r"(?s)\A---(.*?)---(.*)\z", 1)
+    body = F.regexp_replace(F.regexp_extract(text, r"(?s)\A---(.*?)---(.*)\z", 2), r"\A\n+", "")
+    rows = F.filter(F.split(inside, "\n", -1), lambda x: ~x.rlike(r"\A[ \t\r]*(#.*)?\z"))
+    is_key, is_item = lambda x: x.rlike(r"\A[A-Za-z_][A-Za-z0-9_-]*:([ \t].*)?\z"), lambda x: x.rlike(r"\A[ \t]*-[ \t]+\S")
+    valid = F.forall(rows, lambda x: is_key(x) | is_item(x)) & F.coalesce(is_key(F.get(rows, F.lit(0))), F.lit(False))
+    # each key with the items that follow it, as one piece
+    pieces = F.split(F.array_join(F.transform(rows, lambda x: F.when(is_key(x), F.concat(F.lit("\x01"), x)).otherwise(x)), "\n"), "\x01", -1)
+    items = lambda p: F.transform(F.filter(F.split(p, "\n", -1), is_item), lambda x: yaml_scalar(F.regexp_replace(x, r"\A[ \t]*-[ \t]+", "")))
+    own = lambda p: F.regexp_extract(p, r"\A[^:]*:[ \t]*([^\n]*)", 1)
+    flow = lambda v: F.array_join(F.transform(F.filter(F.split(F.regexp_extract(v, r"\A\[(.*)\][ \t]*\z", 1), ","), lambda x: strip(x) != ""), yaml_scalar), "\n")
+    value = lambda p: F.when(F.size(items(p)) > 0, F.array_join(items(p), "\n")).when(own(p).rlike(r"\A\[.*\][ \t]*\z"), flow(own(p))).otherwise(yaml_scalar(own(p)))
+    entries = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(F.regexp_extract(p, r"\A([^:]*):", 1).alias("k"), value(p).alias("v")))
+    # of a repeated key the last value counts
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
+    return F.when(text.startswith("---") & text.rlike(r"(?s)\A---.*?---") & valid, F.struct(F.map_from_entries(last).alias("fields"), body.alias("body")))
+
+
+#: Permission modes and isolations that a definition may name, and its turns where it names none.
+PERMISSION_MODES, ISOLATIONS, TURNS = ("default", "acceptEdits", "bypassPermissions", ""), ("", "worktree"), 200
+
+
+def agent_defs(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, name, description, tools, disallowed, model, max_turns, permission_mode, background, prompt) of agent files.
+
+    Those without a name or description, with an unknown mode or isolation, or with turns that are no positive number go.
+    Includes in the prompt are expand_includes' part, before this.
+    """
+    rows = files.select(path, strict_frontmatter(F.col(content)).alias("f")).where(F.col("f").isNotNull())
+    field = lambda name: F.col("f")["fields"][name]
+    get = lambda name, default="": F.coalesce(field(name), F.lit(default))
+    listed = lambda name: F.filter(F.split(get(name), "\n"), lambda x: x != "")
+    turns = F.coalesce(field("maxTurns").try_cast("int"), F.when(field("maxTurns").isNull(), TURNS))
+    model = F.when(F.lower(get("model", "inherit")) == "inherit", "inherit").otherwise(get("model", "inherit"))
+    out = rows.select(path, field("name").alias("name"), field("description").alias("description"), listed("tools").alias("tools"), listed("disallowedTools").alias("disallowed"), model.alias("model"), turns.alias("max_turns"), get("permissionMode", "default").alias("permission_mode"), (F.lower(get("background")) == "true").alias("background"), get("isolation").alias("_isolation"), F.col("f")["body"].alias("prompt"))
+    able = F.col("name").isNotNull() & F.col("description").isNotNull() & (F.col("max_turns") > 0) & F.col("permission_mode").isin(*PERMISSION_MODES) & F.col("_isolation").isin(*ISOLATIONS)
+    return out.where(able).drop("_isolation")
+
+
+def command_defs(files: DataFrame, root: str) -> DataFrame:
+    """(name, description, template) of command files; a command is run by text.substitute with its arguments."""
+    template = strip(F.regexp_replace("content", r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(\n|\z)", ""))
+    described = frontmatter(F.col("content"), "description")
+    return files.select(command_name(relative(F.col("path"), root)).alias("name"), F.when(described == "", first_body_line(template)).otherwise(described).alias("description"), template.alias("template"))
+
+
+def complete_path(listing: DataFrame, typed: str, most: int = 10) -> DataFrame:
+    """(shown) of the entries (folder, name, is_folder) of the folder typed whose name begins with what was typed behind the last ``/``, in any case.
+
+    Folders end in ``/``; hidden names and skipped folders are left out; the first so many by name.
+    """
+    folder, _, prefix = typed.rpartition("/")
+    fits = (F.col("folder") == folder) & ~F.col("name").isin(*SKIPPED) & ~F.col("name").startswith(".") & F.lower("name").startswith(prefix.lower())
+    shown = F.concat(F.lit(f"{folder}/" if folder else ""), "name", F.when(F.col("is_folder"), "/").otherwise(""))
+    return listing.where(fits).orderBy("name").limit(most).select(shown.alias("shown"))

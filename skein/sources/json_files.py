@@ -52,3 +52,12 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 def spill(rows: DataFrame, path: str, key: str) -> None:
     """Texts kept elsewhere, a row a key: what is there already stays."""
     rows.dropDuplicates([key]).write.mode("ignore").parquet(path)
+
+
+def history(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines of a prompt history without the blank ones."""
+    return lines.where(F.btrim(F.col(value), F.lit(" \t\n\x0b\x0c\r")) != "")
+
+
+def remember(prompts: DataFrame, path: str, value: str = "value") -> None:
+    prompts.select(value).write.mode("append").text(path)

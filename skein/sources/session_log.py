@@ -33,6 +33,36 @@ def to_lines(records: DataFrame, *fields: str) -> DataFrame:
     return records.select(F.to_json(F.struct(*map(blank, fields))).alias("value"))
 
 
+def to_records(messages: DataFrame, conv: str = "conv_id", order: str = "idx") -> DataFrame:
+    """(conv, order, role, content, ts, tool_uses, tool_results) of messages whose blocks, an array of (type, text, id), lose their thinking."""
+    of = lambda kind: F.filter("blocks", lambda b: b["type"] == kind)
+    listed = lambda kind: F.when(F.size(of(kind)) > 0, F.to_json(of(kind)))
+    text = F.array_join(F.transform(of("text"), lambda b: b["text"]), "\n")
+    return messages.select(conv, order, "role", text.alias("content"), "ts", listed("tool_use").alias("tool_uses"), listed("tool_result").alias("tool_results"))
+
+
+def marker(summaries: DataFrame, now: Column, conv: str = "conv_id") -> DataFrame:
+    """(conv, role, content, ts, type): the marker record of rows (conv, summary, keep: an array of (role, content))."""
+    content = F.to_json(F.struct("summary", "keep"))
+    return summaries.select(conv, F.lit("system").alias("role"), content.alias("content"), now.alias("ts"), F.lit(MARKER).alias("type"))
+
+
+def meta_of(records: DataFrame, conv: str = "conv_id", order: str = "idx") -> DataFrame:
+    """(conv, message_count, last_active) of records: markers move the last time but are no messages."""
+    plain = ~F.coalesce(F.col("type") == MARKER, F.lit(False))
+    return records.groupBy(conv).agg(F.count(F.when(plain, F.lit(1))).alias("message_count"), F.max("ts").alias("last_active"))
+
+
+def save_meta(meta: DataFrame, path: str) -> None:
+    meta.write.mode("overwrite").json(path)
+
+
+def load_meta(spark: SparkSession, path: str, conv: str = "conv_id") -> DataFrame:
+    """Rows of saved sessions, those that are no JSON left out."""
+    schema = f"{conv} long, message_count long, last_active long"
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def append(records: DataFrame, path: str, *fields: str) -> None:
     to_lines(records, *fields).write.mode("append").text(path)
 

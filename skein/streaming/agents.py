@@ -42,6 +42,25 @@ def drain(messages: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, in
     return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def hooked(deliver: Callable[[DataFrame, int], None], before: list[Callable] = (), after: list[Callable] = ()) -> Callable[[DataFrame, int], None]:
+    """deliver with listeners around it, for foreachBatch: each of before may hand back another batch, each of after sees what was delivered."""
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        for listen in before:
+            changed = listen(batch, epoch)
+            batch = batch if changed is None else changed
+        deliver(batch, epoch)
+        for listen in after:
+            listen(batch, epoch)
+
+    return handle
+
+
+def completions(tasks: DataFrame, key: str = "id") -> DataFrame:
+    """Ended tasks of a stream (id, status, ...), each handed over once."""
+    return tasks.where(F.col("status").isin("completed", "failed", "cancelled")).dropDuplicates([key])
+
+
 def usage_by_window(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Events and values by window and type, late ones dropped: a Spark built-in, no operator of the reference's kind."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))

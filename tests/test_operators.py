@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from skein.functions import registry
 from skein.functions.text import approx_tokens
 from skein.operators import budget, catalog, coordination, rules, transcript
 from skein.plans import sources
@@ -201,3 +202,100 @@ def test_drain_stream(spark, tmp_path):
     seen = []
     agents.drain(stream, str(tmp_path / "cp"), lambda df, _: seen.extend(r["id"] for r in df.collect())).awaitTermination(120)
     assert sorted(seen) == [2, 3]
+
+
+def test_trace_tree_goes_to_the_last_level(spark):
+    nodes = [("n0", None)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 9)] + [("x", "y"), ("y", "x"), ("z", "unknown")]
+    df = spark.createDataFrame(nodes, "id string, parent string")
+    got = {r["id"]: (r["root"], r["depth"], r["path"]) for r in coordination.trace_tree(df).collect()}
+    assert got == {f"n{k}": ("n0", k, "/".join(f"n{j}" for j in range(k + 1))) for k in range(9)} | {"z": ("z", 0, "z")}
+    assert coordination.trace_tree(df, 3).where("depth > 3").count() == 0
+
+
+def test_settings_merge_as_a_walk(spark):
+    r = random.Random(21)
+    layer = lambda: ([r.choice("pq") for _ in range(r.randint(0, 2))], r.choice(["default", "plan"]), [(r.choice("abc"), str(r.randrange(9))) for _ in range(r.randint(0, 4))], [r.choice("xy")], r.random() < 0.5, r.random() < 0.5, r.choice(["", "t"]))
+    kind = "struct<providers:array<string>,mode:string,servers:array<struct<name:string,value:string>>,hooks:array<string>,fork:boolean,verify:boolean,team:string>"
+    rows = [(k, layer(), layer()) for k in range(60)]
+    got = {x["k"]: x["m"] for x in spark.createDataFrame(rows, f"k int, b {kind}, o {kind}").select("k", catalog.merge_settings(F.col("b"), F.col("o")).alias("m")).collect()}
+    for k, b, o in rows:
+        servers, place = list(b[2]), {s[0]: i for i, s in enumerate(b[2])}
+        for s in o[2]:
+            if s[0] in place:
+                servers[place[s[0]]] = s
+            else:
+                place[s[0]] = len(servers)
+                servers.append(s)
+        m = got[k]
+        assert [tuple(s) for s in m["servers"]] == servers
+        assert (m["providers"], m["mode"], m["hooks"], m["fork"], m["verify"], m["team"]) == (o[0] or b[0], o[1] if o[1] != "default" else b[1], b[3] + o[3], o[4], b[5] or o[5], o[6] or b[6])
+
+
+def test_search_takes_a_scorer(spark):
+    df = spark.createDataFrame([(1, "aa", "x"), (2, "a", "y"), (3, "b", None)], "id int, name string, about string")
+    longest = lambda name, about, query: F.length(name) + F.length(about)
+    assert [r["id"] for r in catalog.search(df, "", "name", "about", "id", 2, longest).collect()] == [1, 2]
+
+
+def test_registry_types_and_dispatch(spark):
+    tools = registry.Registry()
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}, "of": {"type": "object", "properties": {"x": {"type": "number"}}}}, "required": ["n"]}
+    assert registry.ddl(schema) == "struct<`n`:bigint,`of`:struct<`x`:double>>"
+    tools.register("double", "twice a number", schema)(lambda a: (a["n"] * 2).cast("string"))
+    rows = [("double", '{"n": 4}'), ("double", "{}"), ("double", "no json"), ("other", "{}")]
+    out = spark.createDataFrame(rows, "tool string, args string").select("tool", "args", tools.dispatch(F.col("tool"), F.col("args")).alias("r")).collect()
+    assert [(x["r"]["output"], x["r"]["error"]) for x in out] == [("8", None), (None, "bad arguments of double"), (None, "bad arguments of double"), (None, "unknown tool: other")]
+
+
+def test_session_meta_and_markers(spark, tmp_path):
+    records = spark.createDataFrame([(1, 0, 5, None), (1, 1, 6, None), (2, 0, 9, None)], "conv_id long, idx long, ts long, type string")
+    kept = spark.createDataFrame([(1, "so far", [("user", "hi")])], "conv_id long, summary string, keep array<struct<role:string,content:string>>")
+    marked = session_log.marker(kept, F.lit(7).cast("long")).select("conv_id", F.lit(2).cast("long").alias("idx"), "role", "content", "ts", "type")
+    every = records.select("conv_id", "idx", F.lit("user").alias("role"), F.lit("x").alias("content"), "ts", "type").union(marked)
+    meta = session_log.meta_of(every)
+    assert sorted(map(tuple, meta.collect())) == [(1, 2, 7), (2, 1, 9)]
+    session_log.save_meta(meta, f"{tmp_path}/meta")
+    (tmp_path / "meta" / "bad.json").write_text("{broken")
+    assert sorted(map(tuple, session_log.load_meta(spark, f"{tmp_path}/meta").collect())) == [(1, 2, 7), (2, 1, 9)]
+    replayed = session_log.expand_markers(every.where("idx = 2")).collect()
+    assert [(x["role"], x["content"]) for x in sorted(replayed, key=lambda x: x["sub"])] == [("user", "so far"), ("user", "hi")]
+
+
+def test_strict_frontmatter(spark):
+    texts = {
+        "---\nname: a\ntools:\n  - b\n  - 'c d'\nflow: [x, \"y\"]\n# note\nname: z # late\n---\n\nbody --- more\n": ({"tools": "b\nc d", "flow": "x\ny", "name": "z"}, "body --- more\n"),
+        "  \n---\nk: 1\n---": ({"k": "1"}, ""),
+        "name: a\n---\n": None, "---\nname: a": None, "---\n- a\n---\n": None, "---\nname a\n---\nb": None, "---\n---\nb": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", files.strict_frontmatter(F.col("text")).alias("f"))
+    assert {r["text"]: r["f"] and (r["f"]["fields"], r["f"]["body"]) for r in df.collect()} == texts
+
+
+def test_agents_with_includes(spark):
+    rows = [("/a.md", "---\nname: a\ndescription: d\n---\n@/b.md\n"), ("/b.md", "inner")]
+    expanded = files.expand_includes(spark.createDataFrame(rows, "file string, content string"))
+    got = files.agent_defs(expanded, "file").collect()
+    assert [(r["name"], "inner" in r["prompt"], r["max_turns"]) for r in got] == [("a", True, 200)]
+
+
+def test_absolute_paths(spark):
+    import os.path
+
+    paths = ["/a/./b/../c", "a//b", "../../x", "/", "..", "/a/b/../../..", "./"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", rules.absolute(F.col("p"), "/w/d").alias("a"))
+    assert {r["p"]: r["a"] for r in df.collect()} == {p: os.path.normpath(os.path.join("/w/d", p)) for p in paths}
+
+
+def test_listeners_around_a_batch(spark, tmp_path):
+    seen = []
+    deliver = lambda batch, epoch: seen.append(("got", sorted(r["id"] for r in batch.collect())))
+    handle = agents.hooked(deliver, [lambda b, e: b.where("id > 1"), lambda b, e: seen.append(("before", e))], [lambda b, e: seen.append(("after", b.count()))])
+    handle(spark.createDataFrame([(1,), (2,), (3,)], "id int"), 4)
+    assert seen == [("before", 4), ("got", [2, 3]), ("after", 2)]
+
+
+def test_completions_come_once(spark, tmp_path):
+    spark.createDataFrame([("a", "running"), ("a", "completed"), ("b", "failed"), ("a", "completed")], "id string, status string").write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id string, status string").json(f"{tmp_path}/in")
+    agents.completions(stream).writeStream.format("memory").queryName("ended").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r["id"] for r in spark.table("ended").collect()) == ["a", "b"]
