@@ -41,7 +41,7 @@ def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", *(x.frontmatter(block, f).alias(f) for f in ("name", "description", "type")))
 
 
-@query(f"SELECT doc_id, trim(left(text, 60), {BLANKS}) AS summary, '{{\"id\": ' || doc_id || '}}' AS object, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, {BLANKS})), lambda s: s <> '')[1], '') AS first_line FROM documents")
+@query(f"SELECT doc_id, trim(split_part(text || '</summary>', '</summary>', 1), {BLANKS}) AS summary, '{{\"id\": ' || doc_id || '}}' AS object, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, {BLANKS})), lambda s: s <> '')[1], '') AS first_line FROM documents")
 def extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     tagged = F.concat(F.lit("x <summary>"), F.col("text"), F.lit("</summary> y"))
@@ -114,6 +114,14 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("d")["additions"].alias("additions"), F.col("d")["removals"].alias("removals"), F.col("d")["text"].alias("text"))
 
 
+@query("SELECT doc_id, CASE WHEN n >= 4 THEN 3 WHEN n >= 2 THEN 1 ELSE 0 END AS additions, CASE WHEN n >= 4 THEN 3 WHEN n >= 2 THEN 1 ELSE 0 END AS removals FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)")
+def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against itself with its second and fourth line changed: all between them counts."""
+    new = F.array_join(F.transform(x.lines(F.col("text")), lambda s, i: F.when(i.isin(1, 3), F.concat(s, F.lit(" changed"))).otherwise(s)), "\n")
+    d = documents(spark, sf_dir).withColumn("d", x.line_diff(F.col("text"), new))
+    return d.select("doc_id", F.col("d")["additions"].alias("additions"), F.col("d")["removals"].alias("removals"))
+
+
 @query("""SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || ' hours ago' ELSE (s // 86400) || ' days ago' END AS ago,
   CAST(100 * (event_id % 37) // 37 AS INTEGER) AS percent FROM (SELECT event_id, event_id * 37 AS s FROM events)""")
 def labels_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,3 +142,40 @@ def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, regexp_full_match(lower(p_name), '[a-z0-9][a-z0-9_-]*') AND length(p_name) <= 64 AS ok, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part", "p_partkey", "p_name", "p_type").select("p_partkey", x.is_name(F.lower("p_name")).alias("ok"), x.slug(F.col("p_type")).alias("slug"))
+
+
+@query("SELECT p_partkey, p_name || ' ${TYPE} ${NOPE} $ {TYPE} t$ ${' AS text FROM part")
+def env_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = F.concat("p_name", F.lit(" ${BRAND} ${NOPE} $ {TYPE} ${TYPE}$ ${"))
+    return load(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", x.expand_env(template, {"BRAND": "${TYPE}", "TYPE": "t"}).alias("text"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(CASE WHEN l_linenumber <> 3 THEN l_partkey ELSE 0 END - CASE WHEN l_linenumber <> 2 THEN l_suppkey ELSE 0 END, 0) AS tokens FROM lineitem")
+def usage_uncached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    rows = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return rows.select("l_orderkey", "l_linenumber", x.uncached(F.when(n != 3, F.col("l_partkey")), F.when(n != 2, F.col("l_suppkey"))).alias("tokens"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || chr(10) || '[image: image/png]' WHEN 1 THEN text || chr(10) || lang WHEN 2 THEN '[binary resource: mem://' || doc_id || ']' ELSE '(no output)' END AS text FROM documents""")
+def content_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = lambda kind, text=None, mime=None, uri=None: F.struct(F.lit(kind).alias("type"), *((F.lit(None).cast("string") if v is None else v).alias(n) for n, v in (("text", text), ("mime", mime), ("uri", uri))))
+    k, uri = F.col("doc_id") % 4, F.concat(F.lit("mem://"), F.col("doc_id").cast("string"))
+    text = block("text", F.col("text"))
+    blocks = F.when(k == 0, F.array(text, block("image", mime=F.lit("image/png")))).when(k == 1, F.array(text, block("odd"), block("resource", F.col("lang"), uri=uri))).when(k == 2, F.array(block("resource", uri=uri))).otherwise(F.array(block("odd")))
+    return documents(spark, sf_dir).select("doc_id", x.flatten_content(blocks).alias("text"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'bigint' WHEN 'click' THEN 'double' WHEN 'purchase' THEN 'boolean' WHEN 'signup' THEN 'array<string>' ELSE 'string' END AS kind FROM events")
+def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("event_type") == "view", "integer").when(F.col("event_type") == "click", "number").when(F.col("event_type") == "purchase", "boolean").when(F.col("event_type") == "signup", "array").otherwise("date")
+    return load(spark, sf_dir, "events", "event_id", "event_type").select("event_id", x.sql_type(name).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'inline' WHEN p_size % 3 = 1 THEN 'fork' WHEN p_size % 4 = 0 THEN 'fork' ELSE 'inline' END AS mode, CASE p_size % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'recent' WHEN 2 THEN 'none' ELSE 'full' END AS context FROM part")
+def skill_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    mode = F.when(size % 3 == 0, "inline").when(size % 3 == 1, "fork").otherwise("")
+    context = F.when(size % 4 == 0, "fork").when(size % 4 == 1, "recent").when(size % 4 == 2, "none")
+    rows = load(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("m", x.run_mode(mode, context))
+    return rows.select("p_partkey", "m.mode", "m.context")
