@@ -3,8 +3,9 @@
 The histogram of all lengths is cut into buckets whose texts are padded to the longest of them; dynamic
 programming chooses the boundaries that pad least. Inside a bucket texts form batches of as many as the
 token budget holds at the padded length, one at least, so that longer texts than the budget stand alone.
-Lengths up to FINE keep cells of their own; above, a cell spans 1 / FINE of its power of two, so the
-histogram has a few ten thousand rows however long texts are. The boundaries are optimal among ends of cells.
+Lengths up to `fine` keep cells of their own; above, a cell spans 1 / fine of its power of two, so the
+histogram that comes to the driver has about fine rows for each power of two, however long texts are. The boundaries are optimal among
+ends of cells; with fine=None every length is a cell, they are optimal among all, and the histogram has a row for each length that occurs.
 
 Null and empty texts have length 0. Repeated rows are texts of their own. An empty table gives no rows.
 Batches hold texts in an order of hashed ids; reruns agree.
@@ -23,10 +24,12 @@ BUCKETS, BUDGET = 16, 16_384
 PARTS = 256
 
 
-def cell(length: Column) -> Column:
+def cell(length: Column, fine: int | None = FINE) -> Column:
     """The histogram cell of a length."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / FINE)) + 1).cast("long")
-    return F.when(length < FINE, length).otherwise(F.floor(length / step) * step).cast("long")
+    if fine is None:
+        return length.cast("long")
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / fine)) + 1).cast("long")
+    return F.when(length < fine, length).otherwise(F.floor(length / step) * step).cast("long")
 
 
 def best_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
@@ -74,7 +77,7 @@ def best_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int
     return sorted(ends)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, fine: int | None = FINE, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, n_tokens, bucket, bucket_tokens, batch, slot) of each row: batch numbers count within the bucket, slots within the batch.
 
     length: a column that gives the length in tokens; else the number of words.
@@ -82,7 +85,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     scratch = scratch or Scratch(df.sparkSession)
     size = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     rows = scratch.save(df.select(F.col(id_col).alias("id"), size.alias("n_tokens")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")), "lengths")
-    cells = rows.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("total"))
+    cells = rows.groupBy(cell(F.col("n_tokens"), fine).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("total"))
     ends = best_boundaries([(r["longest"], r["n"], r["total"]) for r in sorted(cells.collect(), key=lambda r: r["cell"])], buckets) or [0]
     ends_col = F.array(*(F.lit(e).cast("long") for e in ends))
     rows = rows.withColumn("bucket", F.size(F.filter(ends_col, lambda e: e < F.col("n_tokens"))).cast("int"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skein.llm import ann, mixing, packing, quality_classifier, warc
 from skein.llm.shared import Scratch
@@ -193,6 +194,16 @@ def test_packing_batches(spark):
     assert packing.pack(spark.createDataFrame([], brute.SCHEMA)).count() == 0
 
 
+def test_packing_with_every_length_a_cell_is_optimal(spark):
+    r = random.Random(16)
+    lengths = [r.randint(1, 30_000) for _ in range(12)]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, n long")
+    padding = lambda **fine: sum(x["bucket_tokens"] - x["n_tokens"] for x in packing.pack(df, text_col="n", buckets=3, length=F.col("n"), **fine).collect())
+    ends = sorted(set(lengths))
+    best = min(sum(min(e for e in some if e >= n) - n for n in lengths) for some in itertools.combinations(ends, 3) if some[-1] == ends[-1])
+    assert padding(fine=None) == best <= padding(fine=4)
+
+
 def plain_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
