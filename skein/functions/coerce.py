@@ -4,52 +4,56 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-_SHAPES = {"integer": (re.compile(r"[+-]?[0-9]+"), int), "number": (re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"), float)}
-_FLAGS = {"true": True, "false": False}
+#: What a text must look like to become a value of a kind, and how it does.
+_SHAPES = {
+    "integer": (re.compile(r"[+-]?[0-9]+"), int),
+    "number": (re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"), float),
+    "boolean": (re.compile(r"(?i)true|false"), lambda text: text.lower() == "true"),
+}
 
 
-def coerce(value, schema):
-    """value, as schema wants it where that is certain: numbers in strings, flags, wrapped or comma-separated lists. Else as it is."""
+def compile_schema(schema) -> Callable:
+    """A function that bends a value to the schema where that is certain: numbers in texts, flags, wrapped or comma-separated lists. Built once a schema."""
     kind = schema.get("type") if isinstance(schema, dict) else None
     if kind == "object":
-        return _object(value, schema.get("properties") or {})
+        fields = {k: compile_schema(v) for k, v in (schema.get("properties") or {}).items()}
+        return lambda value: {k: fields[k](v) if k in fields else v for k, v in value.items()} if isinstance(value, dict) else value
     if kind == "array":
-        return _array(value, schema.get("items") or {})
+        item = compile_schema(schema.get("items") or {})
+        return lambda value: [item(v) for v in xs] if isinstance(xs := _as_list(value), list) else value
     if kind == "string":
-        return str(value) if type(value) in (int, float) else value
-    if not isinstance(value, str):
-        return value
-    if kind == "boolean":
-        return _FLAGS.get(value.strip().lower(), value)
-    if kind in _SHAPES:
-        shape, make = _SHAPES[kind]
-        return make(value.strip()) if shape.fullmatch(value.strip()) else value
-    return value
+        return lambda value: str(value) if type(value) in (int, float) else value
+    if kind not in _SHAPES:
+        return lambda value: value
+    shape, make = _SHAPES[kind]
+    return lambda value: make(value.strip()) if isinstance(value, str) and shape.fullmatch(value.strip()) else value
 
 
-def _object(value, fields):
-    return {k: coerce(v, fields.get(k)) for k, v in value.items()} if isinstance(value, dict) else value
+def _as_list(value):
+    """A text cut at commas, or the list that an object wraps as its only value."""
+    if isinstance(value, str):
+        return [p.strip() for p in value.split(",") if p.strip()]
+    wrapped = list(value.values()) if isinstance(value, dict) and len(value) == 1 else []
+    return wrapped[0] if wrapped and isinstance(wrapped[0], list) else value
 
 
-def _array(value, item):
-    if isinstance(value, str):
-        value = [p for p in map(str.strip, value.split(",")) if p]
-    elif isinstance(value, dict):
-        inner = list(value.values())
-        value = inner[0] if len(inner) == 1 and isinstance(inner[0], list) else value
-    return [coerce(v, item) for v in value] if isinstance(value, list) else value
+def coerce(value, schema):
+    return compile_schema(schema)(value)
 
 
 def coerce_json(schema: dict):
     """An Arrow-batched function of JSON texts; a text that is no JSON is returned as it is."""
 
+    bend = compile_schema(schema)
+
     def one(text):
         try:
-            return json.dumps(coerce(json.loads(text), schema), ensure_ascii=False, sort_keys=True)
+            return json.dumps(bend(json.loads(text)), ensure_ascii=False, sort_keys=True)
         except (TypeError, ValueError):
             return text
 

@@ -113,22 +113,22 @@ def compile_condition(text: str | None, tool: Column, event: Column, arguments:
     return out
 
 
-def _compile_part(text: str, tool: Column, event: Column, arguments: Column) -> Column:
-    op = next((o for o in OPERATORS if o in text), None)
-    if op is None:
-        raise ConditionError(f"no operator: {text}")
-    name, value = (x.strip() for x in text.split(op, 1))
-    if len(value) > 1 and value[0] == value[-1] == '"':
-        value = value[1:-1]
-    field = field_value(name, tool, event, arguments)
-    if op in ("==", "!="):
-        return field == value if op == "==" else field != value
-    if op == "~=":
-        return glob_match(field, value)
-    if len(value) > 1 and value[0] == value[-1] == "/":
-        value = value[1:-1]
+def _found(field: Column, pattern: str) -> Column:
+    bare = re.fullmatch(r"(?s)/(.*)/", pattern)
     try:
-        re.compile(value)
+        return field.rlike(re.compile(bare[1] if bare else pattern).pattern)
     except re.error:
         return F.lit(False)
-    return field.rlike(value)
+
+
+TESTS = {"==": lambda field, value: field == value, "!=": lambda field, value: field != value, "=~": _found, "~=": glob_match}
+#: An operator counts only if none of those before it stands further on.
+_AN_OPERATOR = "|".join((f"(?!.*(?:{'|'.join(OPERATORS[:k])}))" if k else "") + op for k, op in enumerate(OPERATORS))
+_PART = re.compile(rf"(?s)\s*(?P<field>.*?)\s*(?P<operator>{_AN_OPERATOR})\s*(?P<quote>\"(?=.*\"\s*\Z))?(?P<value>.*?)(?(quote)\")\s*")
+
+
+def _compile_part(text: str, tool: Column, event: Column, arguments: Column) -> Column:
+    part = _PART.fullmatch(text)
+    if not part:
+        raise ConditionError(f"no operator: {text}")
+    return TESTS[part["operator"]](field_value(part["field"], tool, event, arguments), part["value"])

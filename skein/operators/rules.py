@@ -51,13 +51,13 @@ DANGEROUS = [
 
 #: Commands that only read.
 SAFE = (
-    "ls dir pwd echo cat head tail wc find which whereis whoami hostname uname date cal uptime df du free env printenv "
-    "file stat readlink realpath basename dirname sort uniq tr cut awk sed grep egrep fgrep diff comm tee xargs true false test npx"
-).split() + [
+    "ls", "dir", "pwd", "echo", "cat", "head", "tail", "wc", "find", "which", "whereis", "whoami", "hostname", "uname", "date", "cal", "uptime",
+    "df", "du", "free", "env", "printenv", "file", "stat", "readlink", "realpath", "basename", "dirname", "sort", "uniq", "tr", "cut", "awk",
+    "sed", "grep", "egrep", "fgrep", "diff", "comm", "tee", "xargs", "true", "false", "test", "npx",
     "git status", "git log", "git diff", "git show", "git branch", "git tag", "git remote", "git rev-parse", "git ls-files", "git blame",
     "git stash list", "go version", "go env", "node -v", "npm -v", "python --version", "pip list", "cargo --version", "rustc --version",
     "java -version", "java --version",
-]
+)
 #: Signs that make any command unsafe.
 UNSAFE_SIGNS = ("|", ";", "&&", ">", "$(", "`")
 

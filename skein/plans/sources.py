@@ -105,7 +105,7 @@ def include_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.expand_includes(d.select(name(F.col("doc_id")).alias("file"), text.alias("content")))
 
 
-@query()
+@query("""SELECT event_id, '{"flag": true, "ids": [1, 2, "x"], "k": "' || json_extract_string(props, '$.k') || '"}' AS arguments FROM events""")
 def coerce_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = {"type": "object", "properties": {"k": {"type": "string"}, "ids": {"type": "array", "items": {"type": "integer"}}, "flag": {"type": "boolean"}}}
     given = F.concat(F.regexp_replace("props", r"\}\s*\z", ""), F.lit(', "ids": "1, 2,x", "flag": "True"}'))

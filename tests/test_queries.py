@@ -45,6 +45,24 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
+def test_diff_lines_as_a_walk(spark):
+    def diff(a, b):
+        p = s = 0
+        while p < min(len(a), len(b)) and a[p] == b[p]:
+            p += 1
+        while s < min(len(a), len(b)) - p and a[-1 - s] == b[-1 - s]:
+            s += 1
+        rows = [f"  {k + 1:4}  {x}" for k, x in enumerate(a) if max(0, p - 3) <= k < p]
+        rows += [f"- {k + 1:4}  {x}" for k, x in enumerate(a) if p <= k < len(a) - s]
+        rows += [f"+ {k + 1:4}  {x}" for k, x in enumerate(b) if p <= k < len(b) - s]
+        rows += [f"  {k + 1:4}  {x}" for k, x in enumerate(a) if len(a) - s <= k < len(a) - s + 3]
+        return len(b) - p - s, len(a) - p - s, "\n".join(rows[:200] + ["  … (diff truncated at 200 lines)"] * (len(rows) > 200))
+
+    texts = {r["doc_id"]: r["text"].split("\n") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: (r["additions"], r["removals"], r["text"]) for r in plans.QUERIES["diff_lines"](spark, SF).collect()}
+    assert got == {k: diff(a, [x + " changed" if i == 1 else x for i, x in enumerate(a)]) for k, a in texts.items()}
+
+
 def test_extracts_reads_whole_texts(spark, tmp_path):
     texts = [" long " * 50, "a\n<summary>b</summary> c", "", "x" * 61 + "</summary>", "\n"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
