@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.shared import Scratch, hot_limit, join_hot
+from skein.llm.shared import FEW, Scratch, hot_limit, join_hot
 
 
 def _star(edges: DataFrame, large: bool, limit: int) -> DataFrame:
@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool, limit: int) -> DataFrame:
     else:
         near = edges.select("u", "v")
     least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    joined = join_hot(near, least, ["u"], "n", limit, ["v"]).withColumn("m", F.least("m", "u"))
+    joined = join_hot(near, least, ["u"], "n", limit, ["v"], most=FEW if limit == FEW else None).withColumn("m", F.least("m", "u"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -36,7 +36,8 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of all nodes of edges (u, v) that are not their component's smallest. Goes on until every component is a star."""
     edges = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), f"{name}_0")
-    limit, k = hot_limit(2 * edges.count()), 0
+    n, k = 2 * edges.count(), 0
+    limit = hot_limit(n) if n > FEW else FEW
     while not _are_stars(edges):
         k += 1
         edges = scratch.save(_star(_star(edges, True, limit), False, limit).distinct(), f"{name}_{k}")

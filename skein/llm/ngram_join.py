@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.llm.shared import BASE, Scratch, Strings, byte_slices, hot_limit, join_hot, mix, row_keys
+from skein.llm.shared import BASE, FEW, Scratch, Strings, byte_slices, hot_limit, join_hot, mix, row_keys
 
 WORDS, PERCENT = 5, 80
 #: Share of the hash range whose shingles are ordered by frequency: somewhat over the share of a prefix.
@@ -156,8 +156,8 @@ def _sets(texts: DataFrame, fragments: int) -> DataFrame:
 class Bitmap:
     """Sent to the executors: whether a hash may be among some values; never false for those that are."""
 
-    def __init__(self, values: DataFrame, column: str):
-        self.log2 = int(min(MOST_BITS, max(16, math.ceil(math.log2(8 * values.count() + 1)))))
+    def __init__(self, values: DataFrame, column: str, count: int):
+        self.log2 = int(min(MOST_BITS, max(16, math.ceil(math.log2(8 * count + 1)))))
         self.sent = values.sparkSession.sparkContext.broadcast(bitmap(values, column, self.log2))
 
     def test(self):
@@ -288,13 +288,17 @@ def verify(scratch: Scratch, pairs: DataFrame, segments: DataFrame, name: str, p
 
     The first fragment's overlap and what the others could add at most decide which pairs go on to those.
     """
-    limit = hot_limit(pairs.count())
     weights = pairs.groupBy("p").agg(F.count("*").alias("w"))
-    right = segments.select(F.col("row").alias("p"), "fragment", F.col("low").alias("plow"), F.col("tokens").alias("right")).join(weights, "p")
+    total, most = weights.agg(F.sum("w"), F.max("w")).first()
+    if not total:
+        return pairs.select("d", "p")
+    limit = hot_limit(total)
+    right = segments.select(F.col("row").alias("p"), "fragment", F.col("low").alias("plow"), F.col("tokens").alias("right"))
+    right = right.join(weights, "p") if most > limit else right.withColumn("w", F.lit(0))
     left = segments.select(F.col("row").alias("d"), "fragment", "low", F.col("tokens").alias("left"))
 
     def both(some: DataFrame, part) -> DataFrame:
-        return join_hot(some.join(left.where(part), "d"), right.where(part), ["p", "fragment"], "w", limit, ["d"])
+        return join_hot(some.join(left.where(part), "d"), right.where(part), ["p", "fragment"], "w", limit, ["d"], most=most)
 
     first = both(pairs, F.col("fragment") == 0).withColumn("rest", F.least(F.col("n") - F.col("low"), F.col("pn") - F.col("plow")))
     needed = needed_column(F.col("n"), F.col("pn"), percent)
@@ -340,14 +344,16 @@ def _groups(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Sc
     docs = sets.where("fragment = 0").select("row", "doc", "k1", "k2", "n", "fp1", "fp2")
     classes = docs.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("row").alias("rep"), F.min("doc").alias("least"), F.count("*").alias("members"))
     classes = scratch.save(classes, "classes")
-    reps = Bitmap(classes, "rep")
+    n_classes, members, most = classes.agg(F.count("*"), F.sum("members"), F.max("members")).first()
+    reps = Bitmap(classes, "rep", n_classes)
 
     shared = _prefix_tokens(sets, percent, reps).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = scratch.save(shared, "shared")
     scratch.free_shuffles()
-    held = Bitmap(shared, "token")
+    n_shared, total, widest = shared.agg(F.count("*"), F.sum("df"), F.max("df")).first()
+    held = Bitmap(shared, "token", n_shared)
     rows = _prefix_tokens(sets, percent, reps, held)
-    rows = join_hot(rows, shared.withColumn("weight", F.col("df")), ["token"], "weight", hot_limit(shared.agg(F.sum("df")).first()[0] or 0), ["row"])
+    rows = join_hot(rows, shared.withColumn("weight", F.col("df")), ["token"], "weight", hot_limit(total or 0), ["row"], most=widest or 0)
     rows = rows.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     # a document's rare shingles come first in the order; of the others, those ordered by frequency, then the rest by hash
     by_row = W.partitionBy("row")
@@ -362,11 +368,10 @@ def _groups(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Sc
     held.destroy()
     reps.destroy()
 
-    members = _open_lists(postings.withColumn("group", F.col("row")), 0)
-    members = scratch.save(members, "members_0")
+    lists = scratch.save(_open_lists(postings.withColumn("group", F.col("row")), 0), "members_0")
     scratch.drop("postings")
-    candidates = scratch.save(members.select("row").distinct(), "candidates")
-    wanted = Bitmap(candidates, "row")
+    candidates = scratch.save(lists.select("row").distinct(), "candidates")
+    wanted = Bitmap(candidates, "row", candidates.count())
     segments = scratch.save(_candidates(sets, wanted).join(candidates, "row", "left_semi"), "segments")
     # of the sets only sizes and fingerprints are read from here on
     docs = scratch.save(docs, "docs")
@@ -374,13 +379,14 @@ def _groups(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Sc
     scratch.free_shuffles()
     wanted.destroy()
 
-    joined = _join_rounds(scratch, members, segments, percent)
+    joined = _join_rounds(scratch, lists, segments, percent)
     of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
+    least = scratch.save(of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("weight")), "least")
     at = of_class.select("n", "fp1", "fp2", "members", "component")
-    total = docs.count()
-    named = join_hot(at, least, ["component"], "weight", hot_limit(total), ["fp1"]).select("n", "fp1", "fp2", "members", "component", "component_id")
-    some = join_hot(docs.where("n > 0"), named, ["n", "fp1", "fp2"], "members", hot_limit(total), ["row"])
+    limit = hot_limit(members or 0)
+    named = join_hot(at, least, ["component"], "weight", limit, ["fp1"]).select("n", "fp1", "fp2", "members", "component", "component_id")
+    named = scratch.save(named, "named")
+    some = join_hot(docs.where("n > 0"), named, ["n", "fp1", "fp2"], "members", limit, ["row"], most=most or 0)
     none = docs.where("n = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc")})
     columns = ["doc", "k1", "k2", "n", "component", "component_id"]
     return some.select(*columns).union(none.select(*columns))
@@ -419,24 +425,26 @@ def _refined(scratch: Scratch, members: DataFrame, segments: DataFrame, percent:
     docs = scratch.save(members.groupBy("row").agg(F.first("n").alias("n"), F.first("group").alias("group")), "open_docs")
     rows = segments.join(docs.select("row"), "row", "left_semi").select("row", "tokens").mapInArrow(run, "token long, row long")
     shared = scratch.save(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "open_shared")
-    limit = hot_limit(shared.agg(F.sum("df")).first()[0] or 0)
-    rows = join_hot(rows, shared.withColumn("weight", F.col("df")), ["token"], "weight", limit, ["row"]).join(docs, "row")
+    total, most = shared.agg(F.sum("df"), F.max("df")).first()
+    rows = join_hot(rows, shared.withColumn("weight", F.col("df")), ["token"], "weight", hot_limit(total or 0), ["row"], most=most or 0).join(docs, "row")
     by_row = W.partitionBy("row")
     rows = rows.withColumns({"nth": F.row_number().over(by_row.orderBy("df", "token")), "rare": F.col("n") - F.count("*").over(by_row)})
     rows = rows.withColumn("place", F.col("rare") + F.col("nth") - 1).where(F.col("place") < prefix_length_column(F.col("n"), percent))
     return rows.select("token", "row", "n", "place", (F.col("rare") / F.col("n")).alias("own"), "group", "df")
 
 
-def _renamed(df: DataFrame, joined: DataFrame, column: str, other: str) -> DataFrame:
-    """df (column, other) with the values of column that are nodes of joined replaced by their components; a common value is dealt over tasks."""
-    to = joined.select(F.col("node").alias(column), F.col("component").alias("to")).join(df.groupBy(column).agg(F.count("*").alias("weight")), column)
-    return join_hot(df, to, [column], "weight", hot_limit(0), [other], "left").withColumn(column, F.coalesce("to", column)).select(df.columns)
+def _renamed(df: DataFrame, joined: DataFrame, column: str, other: str, few: bool) -> DataFrame:
+    """df (column, other) with the values of column that are nodes of joined replaced by their components; a common value is dealt over tasks unless rows are few."""
+    to = joined.select(F.col("node").alias(column), F.col("component").alias("to"))
+    to = to.withColumn("weight", F.lit(0)) if few else to.join(df.groupBy(column).agg(F.count("*").alias("weight")), column)
+    named = join_hot(df, to, [column], "weight", hot_limit(0), [other], "left", most=0 if few else None)
+    return named.withColumn(column, F.coalesce("to", column)).select(df.columns)
 
 
 def _join_rounds(scratch: Scratch, members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that link. members: the open lists, saved as members_0, each class a group of its own."""
     joined = scratch.spark.createDataFrame([], "node long, component long")
-    done, upto, k, limit = 0, 1, 0, hot_limit(0)
+    done, upto, k, limit, n_joined = 0, 1, 0, hot_limit(0), 0
     while members.limit(1).count():
         if k == REFINE_AFTER:
             members = scratch.save(_open_lists(_refined(scratch, members, segments, percent), 0), "members_refined")
@@ -450,15 +458,18 @@ def _join_rounds(scratch: Scratch, members: DataFrame, segments: DataFrame, perc
         fits = (F.col("group") != F.col("pg")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (left >= needed_column(F.col("n"), F.col("pn"), percent))
         pairs = scratch.save(pairs.where(fits).select(F.col("row").alias("d"), "p", "n", "pn").distinct(), f"pairs_{k}")
         links = scratch.save(verify(scratch, pairs, segments, f"links_{k}", percent), f"links_{k}")
-        edges = links.select(F.col("d").alias("u"), F.col("p").alias("v"))
-        if k:
-            for c, other in (("u", "v"), ("v", "u")):
-                edges = _renamed(edges, joined, c, other)
-        new = components(scratch, edges, f"stars_{k}")
-        if k:
-            moved = _renamed(joined, new, "component", "node")
-            new = moved.union(new.join(joined.select(F.col("node").alias("old")), F.col("node") == F.col("old"), "left_anti"))
-        joined = scratch.save(new, f"joined_{k}")
+        n_links = links.count()
+        if n_links:
+            edges, few = links.select(F.col("d").alias("u"), F.col("p").alias("v")), n_links + n_joined <= FEW
+            if n_joined:
+                for c, other in (("u", "v"), ("v", "u")):
+                    edges = _renamed(edges, joined, c, other, few)
+            new = components(scratch, edges, f"stars_{k}")
+            if n_joined:
+                moved = _renamed(joined, new, "component", "node", few)
+                new = moved.union(new.join(joined.select(F.col("node").alias("old")), F.col("node") == F.col("old"), "left_anti"))
+            joined = scratch.save(new, f"joined_{k}")
+            n_joined += n_links  # no fewer than have joined
         regrouped = members.drop("group").join(joined, F.col("row") == F.col("node"), "left").withColumn("group", F.coalesce("component", "row")).drop("node", "component")
         members = scratch.save(_open_lists(regrouped, upto), f"members_{k + 1}")
         scratch.drop(f"members_{k}", f"pairs_{k}", f"links_{k}", f"links_{k}_able")

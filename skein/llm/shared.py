@@ -76,12 +76,18 @@ def hot_limit(rows: int) -> int:
     return max(1024, rows // 20_000)
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, limit: int, spread: list[str], how: str = "inner") -> DataFrame:
-    """big joined with small, whose column `weight` bounds the rows of big that have the key (it is dropped).
+#: Up to so many rows in all, of a few numbers each, are no burden to a single task, whatever their keys.
+FEW = 100_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, limit: int, spread: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """big joined with small, whose column `weight` bounds the rows of big that have the key (it is dropped). most: the largest weight, where it is known.
 
     Keys over `limit` rows are dealt by a hash of big's columns `spread`, so that no task gets one key's rows alone. They are broadcast:
     the weights of big's N rows sum to N at most, so there are N / limit of them at most.
     """
+    if most is not None and most <= limit:
+        return big.join(small.drop(weight), keys, how)
     salts = F.ceil(F.col(weight) / limit).cast("int")
     hot = small.where(F.col(weight) > limit).select(*(F.col(k).alias(f"_{k}") for k in keys), salts.alias("_salts")).distinct()
     on = [F.col(k) == F.col(f"_{k}") for k in keys]

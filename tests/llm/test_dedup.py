@@ -72,6 +72,7 @@ def test_ngram_join_deals_common_keys(spark, tmp_path, monkeypatch):
 
     for module in (shared, ngram_join, components):
         monkeypatch.setattr(module, "hot_limit", lambda rows: 3)
+        monkeypatch.setattr(module, "FEW", 0)
     docs = brute.odd_documents()
     docs += [(1000 + k, docs[7][1], None, None, None) for k in range(40)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_ngram_join(spark, write(spark, tmp_path, docs)).collect()}
