@@ -40,6 +40,8 @@ from skein.llm.shared import BASE, Scratch, Strings, byte_slices, hot_limit, joi
 LENGTH = 200
 #: Bytes of the rolling hash and how many neighbours it is the least of. SPREAD is a power of two.
 K, SPREAD = 16, 128
+#: Neighbouring windows that are refined together, round by round; each divides the one before.
+RANGES = (32, 8, 2, 1)
 #: Windows that a long text is parsed at a time.
 PIECE = 1 << 20
 #: Distinct phrases whose suffixes are sorted at a time, and how many of one core may be among them.
@@ -198,7 +200,7 @@ def _refined(scratch: Scratch, phrases: DataFrame, length: int) -> DataFrame:
     A window has its trigger l bytes behind its start. Windows with l in a range [a, b] share a bytes in front of the trigger and
     length - b from it on, and cover together b in front and length - a behind. A range whose shared bytes no other phrase has repeats
     in none of its windows; one whose covered bytes another has repeats in all, and one phrase with them stands for the others from there on.
-    What is left is halved, so a phrase has few ranges at a time and no group is ever gathered.
+    What is left is cut smaller, so a phrase has few ranges at a time and no group is ever gathered.
     """
 
     def hashed(size: int):
@@ -225,8 +227,16 @@ def _refined(scratch: Scratch, phrases: DataFrame, length: int) -> DataFrame:
         return run
 
     at = ["k1", "k2", "place"]
-    alive, spans, size = phrases.select(*at, (~F.col("single")).alias("settled"), F.lit(0).alias("nth")), None, SPREAD
-    while size:
+    most = F.shiftright("place", 8).bitwiseAND(255)
+
+    def cut(df: DataFrame, into: int, size: int) -> DataFrame:
+        """df's ranges, each cut into parts of size windows; those that no window of the phrase is in go."""
+        parts = df.withColumn("nth", F.explode(F.array(*(into * F.col("nth") + k for k in range(into)))))
+        return parts.where((most >= F.col("nth") * size) & (most - F.col("place").bitwiseAND(255) < (F.col("nth") + 1) * size))
+
+    whole = phrases.select(*at, (~F.col("single")).alias("settled"), F.lit(0).alias("nth"))
+    alive, spans = cut(whole, SPREAD // RANGES[0], RANGES[0]), None
+    for size, smaller in zip(RANGES, (*RANGES[1:], 0), strict=True):
         rows = phrases.select(*at, "core", "bytes").join(alive, at).mapInArrow(hashed(size), f"key long, key2 long, all long, all2 long, {PLACE}, settled boolean, nth int")
         rows = scratch.save(rows, f"ranges_{size}")
         shared = rows.groupBy("key", "key2").agg(F.count("*").alias("n"), F.bool_and("settled").alias("known")).where("n > 1 and not known")
@@ -234,20 +244,16 @@ def _refined(scratch: Scratch, phrases: DataFrame, length: int) -> DataFrame:
         limit = hot_limit(rows.count())
         rows = join_hot(rows, shared.select("key", "key2", "n"), ["key", "key2"], "n", limit, at)
         rows = scratch.save(join_hot(rows, covered, ["all", "all2"], "m", limit, at, "left"), f"left_{size}")
-        most = F.shiftright("place", 8).bitwiseAND(255)
         start = F.shiftright("place", 16) + most - (F.col("nth") + 1) * size + 1
         found = rows.where(F.col("stands").isNotNull() & ~F.col("settled")).select("k1", "k2", start.alias("start"), (start + size - 1 + length).alias("end"))
         found = scratch.save(found, f"found_{size}")
         spans = found if spans is None else spans.union(found)
         stays = rows.where(F.col("stands").isNull() | (F.col("stands") == F.struct(*at))).withColumn("settled", F.col("settled") | F.col("stands").isNotNull())
-        size //= 2
-        if size:
-            halves = stays.withColumn("nth", F.explode(F.array(2 * F.col("nth"), 2 * F.col("nth") + 1)))
-            halves = halves.where((most >= F.col("nth") * size) & (most - F.col("place").bitwiseAND(255) < (F.col("nth") + 1) * size))
-            alive = scratch.save(halves.select(*at, "settled", "nth"), f"alive_{size}")
-            scratch.drop(f"ranges_{2 * size}", f"left_{2 * size}", f"alive_{2 * size}")
-            if alive.isEmpty():
-                break
+        if smaller:
+            alive = scratch.save(cut(stays, size // smaller, smaller).select(*at, "settled", "nth"), f"alive_{smaller}")
+        scratch.drop(f"ranges_{size}", f"left_{size}", f"alive_{size}")
+        if smaller and alive.isEmpty():
+            break
     return spans
 
 
@@ -293,7 +299,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if hot:
         found = found.union(_refined(scratch, phrases.where("hot"), length))
     found = scratch.save(found, "spans")
-    scratch.drop("whole", "variety", "phrases", *(f"found_{1 << k}" for k in range(8)))
+    scratch.drop("whole", "variety", "phrases", *(f"found_{k}" for k in RANGES))
     scratch.free_shuffles()
     return found
 
