@@ -89,7 +89,7 @@ def _quality_rules() -> str:
     return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 c AS (SELECT *, {WORDS.format(text="text")} AS w, regexp_replace(text, '[\p{{L}}\p{{M}}]+', '', 'g') AS rest FROM t),
 a AS (SELECT *, len(w) AS n_words, length(text) AS chars, length(rest) AS others, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS capitals, length(rest) - length(regexp_replace(rest, '[\x20\x09-\x0D]+', '', 'g')) AS spaces,
-  length(regexp_replace(rest, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(rest, '\P{{Nd}}+', '', 'g')) AS digits, list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, {blank})) AS ls, list_filter(list_transform(w, lambda x: trim(translate(x, '{UPPER}', '{LOWER}'), {_quoted(quality_rules.PUNCTUATION)})), lambda x: x IN {tuple(known)!r}) AS hits FROM c),
+  length(regexp_replace(rest, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(rest, '\P{{Nd}}+', '', 'g')) AS digits, list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, {blank})) AS ls, list_filter(list_transform(w, lambda x: trim(lower(x), {_quoted(quality_rules.PUNCTUATION)})), lambda x: x IN {tuple(known)!r}) AS hits FROM c),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7])) AS g FROM a WHERE len(w) >= 8),
 d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM d, range(8) x(k)) GROUP BY doc_id),
