@@ -31,10 +31,10 @@ from pyspark.sql.types import FloatType
 from skein.llm.shared import Scratch, hot_limit, join_hot
 
 SAMPLE, SAMPLE_NUMBERS, ROUNDS = 20_000, 2_000_000, 8
-LEAST_CENTROIDS, MOST_CENTROIDS = 16, 256
+LEAST_CENTROIDS, MOST_CENTROIDS = 16, 128
 #: The share of the exact neighbours of CALIBRATORS rows of the sample that the cells must hold.
 RECALL, CALIBRATORS = 0.96, 256
-HEAP_POPS = 512
+HEAP_POPS = 256
 BLOCKS, CHUNK, PART = 32, 4096, 1 << 15
 
 
