@@ -7,13 +7,15 @@ pair until the cells hold a share of the index, then all entries of those cells
 double precision. After HEAP_POPS cells the rest are put in the same order by one sort. The share is a parameter or measured on the sample:
 the least that holds RECALL of its rows' exact neighbours. In a larger index neighbours are nearer, so it holds more there.
 
-The index holds every row. Equal vectors are one entry with its `top` + 1 smallest ids: no other copy can be
-among the nearest, as ties go to smaller ids. Entries of a group of first centroids form blocks of bounded size, hashed into chunks, and
+The index holds every row. Equal vectors are one entry with its `top` + 1 smallest distinct ids, each up to `top` times: no other copy can be
+among the nearest, as ties go to smaller ids. A query's own id is no candidate however often it stands, so lists that are cut
+before the query's id is known keep `top` + 1 distinct ids, each up to `top` times. Entries of a group of first centroids form blocks of bounded size, hashed into chunks, and
 meet the queries in parts of PART, which carry only their vector and the distance up to which they read cells, so a hot vector
 or cell is no single task. The index is sent once for every PART queries.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows without an id.
-Vectors of one number are quantised by that alone. Rows that repeat an id are one candidate each. With fewer candidates
+Vectors of one number are quantised by that alone. Rows that repeat an id are a query each, a candidate each for
+other ids and none for their own. With fewer candidates
 than asked for, all that are found are returned. An empty table gives no rows.
 """
 
@@ -36,6 +38,8 @@ LEAST_CENTROIDS, MOST_CENTROIDS = 16, 128
 RECALL, CALIBRATORS = 0.96, 256
 HEAP_POPS = 256
 BLOCKS, CHUNK, PART = 32, 4096, 1 << 15
+#: Queries of a part that are multiplied at a time.
+PIECE = 512
 
 
 def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -107,6 +111,44 @@ def calibrate(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, top: int, recall: f
     return float(np.quantile(np.concatenate(before), recall))
 
 
+def first_groups(ask: np.ndarray, place: np.ndarray, score: np.ndarray, tie: np.ndarray, grp: np.ndarray, top: int) -> np.ndarray:
+    """Which rows stay of each query `ask`: by falling score and rising tie those of the first top + 1 groups, each group's first `top`. No query's own id can leave it with less than top."""
+    n = np.bincount(ask)
+    bound = np.full(len(n), -np.inf)
+    order = np.lexsort((-score, ask))
+    begin = np.concatenate([[0], np.cumsum(n)])
+    if len(np.unique(grp[np.unique(place, return_index=True)[1]])) == len(np.unique(place)):  # no group twice, so top + 1 rows are enough
+        far = np.flatnonzero(n > top)
+        bound[far] = score[order[begin[far] + top]]
+        rows = np.flatnonzero(score >= bound[ask])
+        rows = rows[np.lexsort((tie[rows], -score[rows], ask[rows]))]
+        nth = np.arange(len(rows)) - np.searchsorted(ask[rows], ask[rows])
+        return rows[nth <= top]
+    rows = np.lexsort((tie, -score, ask))
+    by_group = rows[np.lexsort((np.arange(len(rows)), grp[rows], ask[rows]))]
+    new = np.append(True, (ask[by_group[1:]] != ask[by_group[:-1]]) | (grp[by_group[1:]] != grp[by_group[:-1]]))
+    nth = np.arange(len(rows)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    number, lead = np.empty(len(score), np.int64), np.zeros(len(score), bool)
+    number[by_group], lead[by_group] = nth, new
+    rank = np.cumsum(lead[rows])  # groups opened so far, over all queries
+    opened = rank - np.concatenate([[0], rank])[begin[ask[rows]]]  # of this query
+    at = np.empty(len(score), np.int64)
+    at[rows] = opened
+    leader = np.empty(len(score), np.int64)
+    leader[by_group] = at[by_group[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+    return rows[(leader[rows] <= top + 1) & (number[rows] < top)]
+
+
+def _first_groups(df: DataFrame, grp: str, ties: list[str], top: int) -> DataFrame:
+    """The same of rows (query, score, ...) of a table, by windows over each query's few rows."""
+    best = [F.desc("score"), *ties]
+    nth = F.row_number().over(W.partitionBy("query", grp).orderBy(*best))
+    cut = df.repartition("query").withColumn("_nth", nth).where(F.col("_nth") <= top)
+    opens = F.count(F.when(F.col("_nth") == 1, 1)).over(W.partitionBy("query").orderBy(*best, grp, "_nth").rowsBetween(W.unboundedPreceding, 0))
+    leader = F.min("_opened").over(W.partitionBy("query", grp))
+    return cut.withColumn("_opened", opens).withColumn("_leader", leader).where(F.col("_leader") <= top + 1).drop("_nth", "_opened", "_leader")
+
+
 def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries=None, top: int = 20, share: float | None = None, centroids: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows where `queries` (a condition over id_col's values; default all) holds."""
     spark = df.sparkSession
@@ -123,9 +165,12 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     rows = rows.where(F.size("v") == d)
 
     # entries: distinct vectors; windows with a limit are cut down before they are shuffled
+    repeats = rows.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(top)).alias("n"))
     nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
-    entries = rows.withColumn("nth", nth).where(F.col("nth") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    entries = scratch.save(entries.withColumn("entry", F.col("ids")[0]), "entries")
+    entries = repeats.withColumn("nth", nth).where(F.col("nth") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+    entries = entries.withColumn("only", F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]))
+    # a number of its own for each entry: several vectors may share their smallest id
+    entries = scratch.save(entries.withColumn("first", F.col("ids")[0]["vec_id"]).withColumn("entry", F.xxhash64("first", "v")), "entries")
     total = entries.count()
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // d))).select("v").toPandas()
     x = np.array(sample["v"].tolist(), np.float64)
@@ -141,7 +186,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 v = _stack(b.column(0))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest_centroid(v[:, :half], c1), pa.int32()), pa.array(nearest_centroid(v[:, half:], c2), pa.int32())], names=[*b.schema.names, "i", "j"])
 
-    cells = scratch.save(entries.select("v", "ids", "entry").mapInArrow(assign, f"v array<{kind}>, ids array<long>, entry long, i int, j int"), "cells")
+    cells = scratch.save(entries.select("v", "ids", "only", "first", "entry").mapInArrow(assign, f"v array<{kind}>, ids array<struct<vec_id:bigint,n:bigint>>, only long, first long, entry long, i int, j int"), "cells")
     scratch.drop("entries")
     counts = np.zeros((len(c1), len(c2)), np.int64)
     for r in cells.groupBy("i", "j").agg(F.count("*").alias("n")).collect():  # at most a row a cell
@@ -181,42 +226,50 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     sent = asked_entries.select("entry", "v").mapInArrow(dispatch, f"block int, chunk int, part int, entry long, v array<{kind}>, reach double")
     block = F.col("i") % blocks
     chunk_of = F.pmod(F.xxhash64("entry"), F.element_at(F.array(*(F.lit(int(c)) for c in chunks)), block + 1)).cast("int")
-    held = cells.select(block.alias("block"), chunk_of.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "i", "j", "entry", "v")
+    held = cells.select(block.alias("block"), chunk_of.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "i", "j", "entry", "first", F.coalesce("only", F.col("entry")).alias("grp"), "v")
 
     def rank_block(left, right):
         import pandas as pd
 
-        out = {"query": [], "entry": [], "score": []}
+        out = {"query": [], "entry": [], "first": [], "grp": [], "score": []}
         if len(left) and len(right):
-            order = np.argsort(left["entry"].to_numpy(), kind="stable")
-            e, i, j = (left[c].to_numpy()[order] for c in ("entry", "i", "j"))
-            x = np.array(left["v"].tolist(), np.float64)[order]
+            left = left.sort_values(["i", "j", "first", "entry"])
+            e, i, j, first, grp = (left[c].to_numpy() for c in ("entry", "i", "j", "first", "grp"))
+            tie = np.empty(len(e), np.int64)
+            tie[np.lexsort((e, first))] = np.arange(len(e))
+            x = np.array(left["v"].tolist(), np.float64)
+            starts = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            ends = np.append(starts[1:], len(i))
             q = np.array(right["v"].tolist(), np.float64)
             reach, asker = right["reach"].to_numpy(), right["entry"].to_numpy()
-            for at in range(0, len(q), 256):
-                some = q[at : at + 256]
-                # the same sums as in the traversal, so the same cells
-                near = distances(some[:, :half], c1)[:, i] + distances(some[:, half:], c2)[:, j] <= reach[at : at + 256, None] * (1 + 1e-12) + 1e-12
-                scores = np.where(near, some @ x.T, -np.inf)
-                if scores.shape[1] > top + 1:  # ties at the end go to the smaller entry
-                    worst = -np.partition(-scores, top, axis=1)[:, top]
-                    scores[scores < worst[:, None]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
-                value = np.take_along_axis(scores, best, 1)
-                keep = value > -np.inf
-                out["query"].append(np.repeat(asker[at : at + 256], keep.sum(1)))
-                out["entry"].append(e[best][keep])
-                out["score"].append(value[keep])
+            for at in range(0, len(q), PIECE):
+                some = q[at : at + PIECE]
+                # the same sums as in the traversal, so the same cells; only they are multiplied
+                near = distances(some[:, :half], c1)[:, i[starts]] + distances(some[:, half:], c2)[:, j[starts]] <= reach[at : at + PIECE, None] * (1 + 1e-12) + 1e-12
+                asks, places, scores = [], [], []
+                for c, (start, end) in enumerate(zip(starts, ends, strict=True)):
+                    who = np.flatnonzero(near[:, c])
+                    if len(who):
+                        asks.append(np.repeat(who, end - start))
+                        places.append(np.tile(np.arange(start, end), len(who)))
+                        scores.append((some[who] @ x[start:end].T).ravel())
+                if asks:
+                    ask, place, score = np.concatenate(asks), np.concatenate(places), np.concatenate(scores)
+                    keep = first_groups(ask, place, score, tie[place], grp[place], top)
+                    out["query"].append(asker[at : at + PIECE][ask[keep]])
+                    for name, column in (("entry", e), ("first", first), ("grp", grp)):
+                        out[name].append(column[place[keep]])
+                    out["score"].append(score[keep])
         return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
 
     by = ["block", "chunk", "part"]
-    found = held.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(rank_block, "query long, entry long, score double")
-    nearest = found.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("nth") <= top + 1)
-    nearest = nearest.join(cells.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
-    nearest = nearest.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= top + 1)
-    nearest = nearest.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))
+    found = held.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(rank_block, "query long, entry long, first long, grp long, score double")
+    nearest = _first_groups(found, "grp", ["first", "entry"], top).drop("grp", "first").join(cells.select("entry", "ids"), "entry").select("query", "score", F.inline("ids"))
+    each = F.explode(F.array_repeat("vec_id", F.col("n").cast("int")))
+    nearest = _first_groups(nearest.select("query", "score", each.alias("vec_id")), "vec_id", ["vec_id"], top)
+    nearest = nearest.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "score"))).alias("near"))
     nearest = scratch.save(asked_entries.join(nearest, F.col("entry") == F.col("query")).select("v", "weight", "near"), "nearest")
-    # back to every asked row: at most top + 1 neighbours travel with its vector, a hot one dealt over tasks
+    # back to every asked row: few neighbours travel with its vector (top + 1 where no id is repeated), a hot one dealt over tasks
     per = join_hot(asked, nearest, ["v"], "weight", hot_limit(0), ["vec_id"]).withColumnRenamed("vec_id", "query_id")
     own = F.slice(F.filter("near", lambda s: s["vec_id"] != F.col("query_id")), 1, top)
     return per.select("query_id", F.posexplode(own)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col")["vec_id"].alias("vec_id"), F.col("col")["score"].alias("score"))
