@@ -8,7 +8,8 @@ histogram that comes to the driver has about fine rows for each power of two, ho
 ends of cells; with fine=None every length is a cell, they are optimal among all, and the histogram has a row for each length that occurs.
 
 Null and empty texts have length 0. Repeated rows are texts of their own. An empty table gives no rows.
-Batches hold texts in an order of hashed ids; reruns agree.
+Batches hold texts in an order of hashed (id, length), in which rows that agree in both are alike: reruns agree, in whatever order the rows come.
+Rows of one id, null among them, are dealt over the parts by their length too; those alike in both are counted, ranked as one and numbered at the end, PIECE of them a task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from skein.llm.shared import Scratch, word_count
 
 FINE = 4096
 BUCKETS, BUDGET = 16, 16_384
-PARTS = 256
+PARTS, PART_ROWS = 256, 1_000_000
+PIECE = 16_384
 
 
 def cell(length: Column, fine: int | None = FINE) -> Column:
@@ -84,16 +86,25 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     """
     scratch = scratch or Scratch(df.sparkSession)
     size = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
-    rows = scratch.save(df.select(F.col(id_col).alias("id"), size.alias("n_tokens")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")), "lengths")
-    cells = rows.groupBy(cell(F.col("n_tokens"), fine).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("total"))
-    ends = best_boundaries([(r["longest"], r["n"], r["total"]) for r in sorted(cells.collect(), key=lambda r: r["cell"])], buckets) or [0]
+    rows = df.select(F.col(id_col).alias("id"), size.alias("n_tokens")).groupBy("id", "n_tokens").agg(F.count("*").alias("alike"))
+    rows = scratch.save(rows.withColumn("hash", F.xxhash64("id", "n_tokens", F.lit(7))), "lengths")
+    cells = rows.groupBy(cell(F.col("n_tokens"), fine).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.sum("alike").alias("n"), F.sum(F.col("n_tokens") * F.col("alike")).alias("total"), F.max("alike").alias("most"))
+    cells = sorted(cells.collect(), key=lambda r: r["cell"])
+    ends = best_boundaries([(r["longest"], r["n"], r["total"]) for r in cells], buckets) or [0]
     ends_col = F.array(*(F.lit(e).cast("long") for e in ends))
-    rows = rows.withColumn("bucket", F.size(F.filter(ends_col, lambda e: e < F.col("n_tokens"))).cast("int"))
-    counts = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))  # at most buckets * PARTS rows
-    before = F.sum("n").over(W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.select(F.col("bucket").alias("b"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("before"))
-    nth = F.row_number().over(W.partitionBy("bucket", "part").orderBy(F.xxhash64("id", F.lit(7)), "id")) - 1
-    ranked = rows.withColumn("nth", nth).join(F.broadcast(counts), (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")))
+    parts = max(PARTS, sum(r["n"] for r in cells) // PART_ROWS)
+    rows = rows.withColumns({"bucket": F.size(F.filter(ends_col, lambda e: e < F.col("n_tokens"))).cast("int"), "part": F.pmod("hash", F.lit(parts))})
+    counts = rows.groupBy("bucket", "part").agg(F.sum("alike").alias("n"))  # at most buckets * parts rows
+    before = lambda of, by, order: F.coalesce(F.sum(of).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("bucket", "part", before("n", ["bucket"], ["part"]).alias("before"))
+    ranked = rows.withColumn("nth", before("alike", ["bucket", "part"], ["hash", "id", "n_tokens"])).join(counts, ["bucket", "part"])
     ranked = ranked.withColumn("bucket_tokens", F.element_at(ends_col, F.col("bucket") + 1)).withColumn("rank", F.col("before") + F.col("nth"))
+    # rows alike in id and length are told by their number alone; many of them go to several tasks
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1, F.lit(PIECE).cast("long"))).alias("piece")
+    ranked = ranked.select("id", "n_tokens", "bucket", "bucket_tokens", "rank", "alike", piece)
+    if max((r["most"] for r in cells), default=0) > PIECE:
+        ranked = ranked.repartition("id", "n_tokens", "piece")
+    one = F.explode(F.sequence(F.col("piece"), F.least(F.col("piece") + PIECE, F.col("alike")) - 1)).alias("one")
+    ranked = ranked.select("id", "n_tokens", "bucket", "bucket_tokens", "rank", one).withColumn("rank", F.col("rank") + F.col("one"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1)))).cast("long")
     return ranked.select(F.col("id").alias(id_col), "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).cast("long").alias("slot"))

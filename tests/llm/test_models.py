@@ -136,6 +136,49 @@ def test_neighbours_of_single_numbers_and_double_vectors(spark):
     assert ann.search(two, queries=lambda c: c == 0).first()["score"] == 1.0 + 0.3 * 0.1
 
 
+def plain_neighbours(rows, top):
+    """By brute force: rows of the query's own id are no candidates, repeated rows are candidates each."""
+    x = np.array([v for _, v in rows])
+    out = []
+    for q, v in rows:
+        if q % 20 == 0:
+            near = sorted((-float(s), c) for s, (c, _) in zip(x @ np.array(v), rows, strict=True) if c != q)[:top]
+            out += [(q, k, c, -s) for k, (s, c) in enumerate(near, 1)]
+    return sorted(out)
+
+
+def test_neighbours_of_ids_that_are_repeated_more_than_top_times(spark):
+    g = np.random.default_rng(8)
+    whole = lambda n: g.integers(-4, 5, (n, 6)).astype(float) + 0.0  # small whole numbers: exact scores and many ties
+    hot = [1.0, 2.0, 0.0, 0.0, 1.0, 3.0]
+    rows = [(20, hot)] * 30 + [(1000 + k, hot) for k in range(30)] + [(2000 + k, v.tolist()) for k, v in enumerate(whole(30))]
+    rows += [(40, v.tolist()) for v in whole(40)] + [(41, v.tolist()) for v in whole(40)] + [(60, hot), (60, [-1.0] + hot[1:])]
+    rows = [r for r in rows if any(r[1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    for top in (3, 20):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, queries=lambda c: c % 20 == 0, top=top, share=1.0).collect())
+        assert got == plain_neighbours(rows, top)
+
+
+def test_neighbours_multiply_only_the_cells_read():
+    """Kept rows against a plain walk, with and without repeated groups."""
+    g = np.random.default_rng(15)
+    for groups in (1000, 6):
+        ask, place = np.divmod(g.permutation(8 * 40)[:200], 40)
+        score, tie = g.integers(0, 9, 200).astype(float), place
+        grp = g.integers(0, groups, 40)[place] if groups < 1000 else place
+        got = set(ann.first_groups(ask, place, score, tie, grp, 4).tolist())
+        want = set()
+        for q in range(8):
+            seen = {}
+            for k in sorted(np.flatnonzero(ask == q), key=lambda k: (-score[k], tie[k])):
+                if grp[k] in seen or len(seen) < 5:
+                    seen[grp[k]] = seen.get(grp[k], 0) + 1
+                    if seen[grp[k]] <= 4:
+                        want.add(int(k))
+        assert got == want
+
+
 def test_heap_and_sort_give_one_order():
     g = np.random.default_rng(3)
     first, second, counts = g.normal(size=30), g.normal(size=20), g.integers(0, 3, (30, 20))
@@ -194,6 +237,20 @@ def test_packing_batches(spark):
     assert packing.pack(spark.createDataFrame([], brute.SCHEMA)).count() == 0
 
 
+def test_packing_is_the_same_in_any_order_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECE", 16)
+    r = random.Random(6)
+    rows = [(None, n) for n in r.choices(range(300), k=200)] + [(7, n) for n in r.choices(range(9), k=90)] + [(None, 5)] * 100 + [(k, r.randrange(300)) for k in range(100)]
+    seen = []
+    for order in range(3):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, n long").repartition(1 + 4 * order)
+        seen.append(sorted((tuple(x) for x in packing.pack(df, text_col="n", length=F.col("n"), budget=900).collect()), key=str))
+    assert seen[0] == seen[1] == seen[2]
+    assert sorted((d, n) for d, n, *_ in seen[0] if d is not None) == sorted(x for x in rows if x[0] is not None) and len(seen[0]) == len(rows)
+    assert len({x[2:3] + x[4:] for x in seen[0]}) == len(rows)  # one place each
+
+
 def test_packing_with_every_length_a_cell_is_optimal(spark):
     r = random.Random(16)
     lengths = [r.randint(1, 30_000) for _ in range(12)]
