@@ -8,12 +8,16 @@ tokens fetch the rules filed under them, and no other rule runs its regular expr
 
 Null URLs and URLs without ``://`` have an empty host and path; no pattern rule sees a null URL; the
 method's verdict of a URL that no rule matches is allow. Rules are parameters, so their number
-is the caller's; they travel inside the plan as literals.
+is the caller's; they travel inside the plan as one literal, an array of buckets by the key's checksum, so
+that a lookup looks at one bucket however many rules there are.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +86,23 @@ def token_counts(df: DataFrame, url_col: str, patterns: list[Pattern]) -> dict[s
     wanted = sorted({t for p in patterns for t in p.tokens})
     if not wanted:
         return {}
-    hits = df.select(F.explode(F.array_intersect(F.array_distinct(_url_tokens(F.col(url_col))), F.array(*map(F.lit, wanted)))).alias("token"))
-    return {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    is_wanted = lookup({t: [t] for t in wanted}, "string")
+    tokens = F.filter(F.array_distinct(_url_tokens(F.col(url_col))), lambda t: F.size(is_wanted(t)) > 0)
+    return {r["token"]: r["n"] for r in df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+
+
+def lookup(entries: dict[str, list], kind: str) -> Callable[[Column], Column]:
+    """A function from a key to the array of its entries (of a column type), empty for others: twice as many buckets as keys, all in one literal."""
+    buckets: list[list] = [[] for _ in range(1 << max(1, (2 * len(entries) - 1).bit_length()))]
+    for key, values in entries.items():
+        buckets[zlib.crc32(key.encode()) % len(buckets)].append({"key": key, "values": values})
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<key:string,values:array<{kind}>>>>")
+
+    def fetch(key: Column) -> Column:
+        bucket = F.get(table, (F.crc32(key.cast("binary")) % len(buckets)).cast("int"))
+        return F.flatten(F.transform(F.filter(bucket, lambda e: e["key"] == key), lambda e: e["values"]))
+
+    return fetch
 
 
 def rule_index(patterns: list[Pattern], counts: dict[str, int]) -> dict[str, list[Pattern]]:
@@ -100,10 +119,11 @@ def _host_rule(host: Column, path: Column, host_rules) -> Column:
     by_host: dict[str, list] = {}
     for verdict, at, prefix in host_rules:
         by_host.setdefault(at.lower(), []).append((prefix, f"{at}{prefix}", verdict))
-    rules = F.create_map(*(x for at, rs in by_host.items() for x in (F.lit(at), F.array(*(F.struct(F.lit(len(r)).alias("size"), F.lit(r).alias("rule"), F.lit(p).alias("prefix"), F.lit(v).alias("verdict")) for p, r, v in rs)))))
+    found = {at: [{"size": len(rule), "rule": rule, "prefix": prefix, "verdict": verdict} for prefix, rule, verdict in rs] for at, rs in by_host.items()}
+    fetch = lookup(found, "struct<size:int,rule:string,prefix:string,verdict:string>")
     labels = F.split(host, r"\.", -1)
     suffixes = let(labels, lambda ls: F.transform(F.sequence(F.lit(1), F.size(ls)), lambda i: F.array_join(F.slice(ls, i, F.size(ls)), ".")))
-    fetched = F.flatten(F.transform(F.filter(suffixes, lambda s: F.map_contains_key(rules, s)), lambda s: rules[s]))
+    fetched = F.flatten(F.transform(suffixes, fetch))
     return F.array_max(F.filter(fetched, lambda r: path.startswith(r["prefix"])))
 
 
@@ -122,10 +142,9 @@ def filter_urls(df: DataFrame, url_col: str = "url", host_rules=HOST_RULES, patt
         out = out.withColumn("_fit", F.lit(None).cast("struct<size:int,rule:string,prefix:string,verdict:string>"))
     url = lower_ascii(F.coalesce(F.col(url_col), F.lit("")))
     if index:
-        entry = lambda p: F.struct(F.lit(p.allow).alias("allow"), F.lit(p.text).alias("text"), F.lit(p.regex).alias("regex"))
-        rules = F.create_map(*(x for t, ps in sorted(index.items()) for x in (F.lit(t), F.array(*map(entry, ps)))))
+        found = {t: [{"allow": p.allow, "text": p.text, "regex": p.regex} for p in ps] for t, ps in index.items()}
         keys = F.concat(F.array(F.lit("")), F.filter(F.array_distinct(_url_tokens(F.col(url_col))), lambda t: t != ""))
-        fetched = F.flatten(F.transform(F.filter(keys, lambda t: F.map_contains_key(rules, t)), lambda t: rules[t]))
+        fetched = F.flatten(F.transform(keys, lookup(found, "struct<allow:boolean,text:string,regex:string>")))
         out = out.withColumn("_hits", let(url, lambda u: F.array_sort(F.filter(fetched, lambda r: F.rlike(u, r["regex"])))))
         blocks = F.when(~F.exists("_hits", lambda r: r["allow"]), F.get(F.col("_hits"), F.lit(0))["text"])
     else:

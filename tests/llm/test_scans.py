@@ -168,3 +168,20 @@ def test_urls_empty_table_no_rules_and_clashing_columns(spark):
     df = spark.createDataFrame([("http://a.net/", "mine")], "url string, rule string")
     row = url_filter.filter_urls(df, host_rules=[], patterns=[]).first()
     assert row["rule"] is None and row["verdict"] == "allow"
+
+
+def test_ten_thousand_url_rules_give_what_each_alone_gives(spark):
+    r = random.Random(21)
+    words = [f"k{k}" for k in range(6000)] + ["ads", "shop", "www"]
+    patterns = [f"||{r.choice(words)}." if k % 3 == 0 else f"/{r.choice(words)}/*/{r.choice(words)}^" if k % 3 == 1 else f"@@||{r.choice(words)}.*/{r.choice(words)}/" for k in range(10_000)]
+    hosts = [("block" if k % 2 else "allow", f"h{k % 700}.net", f"/p{k % 5}/") for k in range(3000)]
+    urls = [f"http://{r.choice(words)}.h{r.randrange(800)}.net/p{r.randrange(6)}/{r.choice(words)}/x/{r.choice(words)}" + r.choice(["", "/", "?q=1"]) for _ in range(150)]
+    rows = url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), host_rules=dict.fromkeys(hosts), patterns=list(dict.fromkeys(patterns))).collect()
+    compiled = [(p.text, p.allow, re.compile(p.regex.replace(r"\z", r"\Z"))) for p in map(url_filter.compile_pattern, dict.fromkeys(patterns))]
+    for row in rows:
+        hits = [(text, allow) for text, allow, regex in compiled if regex.search(row["url"])]
+        want = None if any(allow for _, allow in hits) else min((text for text, _ in hits), default=None)
+        fits = [(len(h + p), h + p, v) for v, h, p in hosts if (row["host"] == h or row["host"].endswith("." + h)) and row["path"].startswith(p)]
+        assert row["pattern"] == want
+        assert row["rule"] == max(fits, default=(0, None, None))[1]
+    assert any(row["pattern"] for row in rows) and any(row["rule"] for row in rows)
