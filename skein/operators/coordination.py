@@ -24,6 +24,15 @@ def broadcast(messages: DataFrame, members: DataFrame, sender: str = "sender", m
     return messages.join(members, F.col(sender) != F.col(member)).withColumnRenamed(member, "recipient")
 
 
+def recipients(messages: DataFrame, members: DataFrame, team: str, to: str = "recipient") -> DataFrame:
+    """messages with member_id: the member (team, id, name, seq) of its team whose id is named, else the first registered of that name; null for unknown ones."""
+    ids = members.select(F.col(team).alias("_t1"), F.col("id").alias("_id")).distinct()
+    names = members.groupBy(F.col(team).alias("_t2"), F.col("name").alias("_name")).agg(F.min_by("id", "seq").alias("_named"))
+    by_id = messages.join(ids, (F.col(team) == F.col("_t1")) & (F.col(to) == F.col("_id")), "left")
+    both = by_id.join(names, (F.col(team) == F.col("_t2")) & (F.col(to) == F.col("_name")), "left")
+    return both.withColumn("member_id", F.coalesce("_id", "_named")).drop("_t1", "_t2", "_id", "_name", "_named")
+
+
 def after_shutdown(batch: DataFrame, key: str, is_shutdown: Column) -> DataFrame:
     """Of a drained batch with a shutdown request only the requests remain."""
     flagged = batch.withColumn("_down", F.coalesce(is_shutdown, F.lit(False)))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from skein.functions import patterns
 from skein.functions.registry import Registry
 from skein.operators import catalog as c
+from skein.operators import coordination
 from skein.plans.registry import query
-from skein.plans.rules import values
+from skein.plans.rules import made, made_sql
 from skein.tables import load, rows_of
 
 
@@ -65,14 +66,32 @@ def agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(c.agent_tools(name, ["Brand#11"], ["Brand#12"], ["Brand#11", "Brand#13", "Brand#21"])).select("p_partkey")
 
 
-TOOLS = [("mcp__a__list", "a", "list"), ("mcp__b__list", "b", "list"), ("mcp__b__get", "b", "get"), ("mcp__c__put", "c", "put")]
-CALLED = [("a", "list"), ("", "get"), ("", "list"), ("x", "mcp__c__put"), ("c", "nothing"), ("b", "put")]
+SHORT, FULL = "replace(p_name, ' ', '_')", "'mcp__' || p_brand || '__' || replace(p_name, ' ', '_')"
+ASKED = {
+    "server": "CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN '' WHEN 2 THEN 'x' ELSE 'Brand#' || p_size % 25 END",
+    "tool": f"CASE p_partkey % 5 WHEN 2 THEN {FULL} WHEN 3 THEN 'nothing' ELSE {SHORT} END",
+}
 
 
-@query(f"""WITH t AS (SELECT * FROM (VALUES {values(TOOLS)}) v("full", server, short)), a AS (SELECT * FROM (VALUES {values(CALLED)}) v(server, tool))
-  SELECT server, tool, coalesce((SELECT "full" FROM t WHERE "full" = a.tool), (SELECT "full" FROM t WHERE t.server = a.server AND short = a.tool), (SELECT min("full") FROM t WHERE short = a.tool HAVING count(*) = 1)) AS "full" FROM a""")
+@query(f"""WITH t AS (SELECT DISTINCT {FULL} AS "full", p_brand AS server, {SHORT} AS short FROM part WHERE p_size % 16 = 0), a AS ({made_sql(**ASKED)})
+  SELECT p_partkey, coalesce((SELECT "full" FROM t WHERE "full" = a.tool), (SELECT "full" FROM t WHERE t.server = a.server AND short = a.tool), (SELECT min("full") FROM t WHERE short = a.tool HAVING count(*) = 1)) AS "full" FROM a""")
 def resolve_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.resolve(rows_of(spark, "server string, tool string", CALLED), rows_of(spark, "full string, server string, short string", TOOLS))
+    tools = load(spark, sf_dir, "part", "p_name", "p_brand", "p_size").where("p_size % 16 = 0").select(F.expr(FULL).alias("full"), F.col("p_brand").alias("server"), F.expr(SHORT).alias("short")).distinct()
+    return c.resolve(made(spark, sf_dir, **ASKED), tools).select("p_partkey", "full")
+
+
+@query("""WITH m AS (SELECT c_nationkey AS team, c_custkey || '' AS id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name FROM customer),
+  a AS (SELECT o_orderkey, o_custkey % 25 AS team, CASE o_orderkey % 3 WHEN 0 THEN o_custkey || '' WHEN 1 THEN 'BUILDING' ELSE 'Customer#' || lpad(o_custkey || '', 9, '0') END AS recipient FROM orders),
+  n AS (SELECT team, name, arg_min(id, CAST(id AS BIGINT)) AS id FROM m GROUP BY ALL)
+  SELECT o_orderkey, coalesce(m.id, n.id) AS member_id FROM a LEFT JOIN m ON m.team = a.team AND m.id = recipient LEFT JOIN n ON n.team = a.team AND n.name = recipient""")
+def resolve_recipient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust, orders = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"), load(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    members = cust.select(F.col("c_nationkey").alias("team"), F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("name"), F.col("c_custkey").alias("seq"))
+    k = F.col("o_orderkey") % 3
+    key = F.col("o_custkey").cast("string")
+    to = F.when(k == 0, key).when(k == 1, "BUILDING").otherwise(F.concat(F.lit("Customer#"), F.lpad(key, 9, "0")))
+    asked = orders.select("o_orderkey", (F.col("o_custkey") % 25).alias("team"), to.alias("recipient"))
+    return coordination.recipients(asked, members, "team").select("o_orderkey", "member_id")
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +124,16 @@ def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.merge_config(base, over, "key", "value", "flag", "last")
 
 
-MODELS = [(0, 0, "gpt-4o-mini"), (5, 9, "o1"), (0, 9, "o3"), (0, 0, "x-1m"), (0, 0, "other"), (0, 0, "GPT-4.1")]
+LADDER = {
+    "configured": "CASE WHEN p_size % 5 = 0 THEN p_size * 1000 ELSE 0 END", "fetched": "CASE WHEN p_size % 7 = 0 THEN p_partkey ELSE 0 END",
+    "model": "CASE p_partkey % 10 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'O1-' || p_type WHEN 2 THEN 'o3' WHEN 3 THEN p_type || '-1M' WHEN 4 THEN 'GPT-4.1' WHEN 5 THEN 'gpt-3.5-' || p_type WHEN 6 THEN 'claude ' || p_type WHEN 7 THEN 'gpt-4-turbo' WHEN 8 THEN 'o4-mini' ELSE p_type END",
+}
 
 
-@query(f"""SELECT configured, fetched, model, CAST(CASE WHEN configured > 0 THEN configured WHEN fetched > 0 THEN fetched WHEN contains(lower(model), '1m') OR contains(lower(model), 'gpt-4.1') THEN 1000000 WHEN contains(lower(model), 'o1') OR contains(lower(model), 'o3') THEN 200000 ELSE 128000 END AS BIGINT) AS "window" FROM (VALUES {values(MODELS)}) v(configured, fetched, model)""")
+@query(f"""SELECT p_partkey, CAST(CASE WHEN configured > 0 THEN configured WHEN fetched > 0 THEN fetched WHEN contains(m, '1m') OR contains(m, 'gpt-4.1') THEN 1000000 WHEN contains(m, 'gpt-4o') OR contains(m, 'gpt-4-turbo') THEN 128000
+  WHEN contains(m, 'o1') OR contains(m, 'o3') OR contains(m, 'o4') THEN 200000 WHEN contains(m, 'gpt-3.5') THEN 16385 WHEN contains(m, 'claude') THEN 200000 ELSE 128000 END AS BIGINT) AS "window" FROM (SELECT *, lower(model) AS m FROM ({made_sql(**LADDER)}))""")
 def window_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rows_of(spark, "configured int, fetched int, model string", MODELS)
-    return rows.withColumn("window", c.context_window(F.col("configured"), F.col("fetched"), F.col("model")))
+    return made(spark, sf_dir, **LADDER).select("p_partkey", c.context_window(F.col("configured"), F.col("fetched"), F.col("model")).alias("window"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'native' WHEN chars <= 0 OR floor(chars / 2.5) < 200 * 10 / 100 THEN 'eager' WHEN p_partkey % 2 = 0 THEN 'native' ELSE 'dispatch' END AS mode FROM (SELECT *, length(p_name) * (p_partkey % 5) AS chars FROM part)")
@@ -143,14 +165,16 @@ def free_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.free_name(taken.union(rows_of(spark, "name string", [("team",)])), "team", "name")
 
 
-SERVERS = [("li near", "get-x"), ("", "mcp__a__get"), ("b", "mcp__b__put"), ("", "x")]
+NAMED = {
+    "server": "CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN '' ELSE 'li near ' || p_type END",
+    "tool": "CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN 'mcp__' || p_type || '__' || p_name ELSE p_type || '__' || p_name END",
+}
 
 
-@query(f"""SELECT server, tool, CASE WHEN s = '' THEN t ELSE s || '__' || t END AS name FROM (SELECT server, tool, regexp_replace(CASE WHEN server <> '' THEN server WHEN contains(tool, '__') THEN split_part(tool, '__', 2) ELSE '' END, '[^A-Za-z0-9_]', '_', 'g') AS s,
-  regexp_replace(CASE WHEN contains(tool, '__') THEN split_part(tool, '__', 3) ELSE tool END, '[^A-Za-z0-9_]', '_', 'g') AS t FROM (VALUES {values(SERVERS)}) v(server, tool))""")
+@query(f"""SELECT p_partkey, CASE WHEN s = '' THEN t ELSE s || '__' || t END AS name FROM (SELECT p_partkey, regexp_replace(CASE WHEN server <> '' THEN server WHEN cut > 0 THEN substr(bare, 1, cut - 1) ELSE '' END, '[^A-Za-z0-9_]', '_', 'g') AS s,
+  regexp_replace(CASE WHEN cut > 0 THEN substr(bare, cut + 2) ELSE bare END, '[^A-Za-z0-9_]', '_', 'g') AS t FROM (SELECT *, position('__' IN bare) AS cut FROM (SELECT *, regexp_replace(tool, '^mcp__', '') AS bare FROM ({made_sql(**NAMED)}))))""")
 def canonical_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rows_of(spark, "server string, tool string", SERVERS)
-    return rows.withColumn("name", patterns.canonical_tool(F.col("server"), F.col("tool")))
+    return made(spark, sf_dir, **NAMED).select("p_partkey", patterns.canonical_tool(F.col("server"), F.col("tool")).alias("name"))
 
 
 SHAPES = [("anthropic", "native"), ("anthropic", "dispatch"), ("openai", "native")]

