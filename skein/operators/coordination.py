@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.operators.skew import LIMIT, join_dealt
+from skein.tables import new_folder, shared_folder
+
 
 def unread(messages: DataFrame) -> DataFrame:
     """What a consumer gets: messages that are not known to be read."""
@@ -61,34 +62,45 @@ def trace_totals(nodes: DataFrame, trace: str, *values: str) -> DataFrame:
     return nodes.groupBy(trace).agg(F.count("*").alias("n_nodes"), *(F.sum(v).alias(f"total_{v}") for v in values))
 
 
-def trace_tree(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """(id, root, depth, path) of adjacency rows (id, parent): roots have no known parent. One join a level, until a level is empty or, if given, to a depth.
+def trace_tree(nodes: DataFrame, depth: int | None = None, paths: bool = True, limit: int = LIMIT) -> DataFrame:
+    """(id, root, depth, path) of adjacency rows (id, parent), down to a depth if one is given: roots have no known parent. path is left out if not asked for: along a chain paths grow with its depth.
 
-    Without a depth each level is checked by a small job and kept by a checkpoint, so the plan stays one level deep. Nodes on a loop have no root.
+    Pointer doubling: each node knows an ancestor and how far it is; each round it asks that one for its own, so the distance doubles and a depth of n takes log n joins. Rounds are
+    tables in the shared folder. A parent that many nodes ask is dealt over tasks. Nodes on a loop, or below one, have no root: root, depth and path are null.
     """
-    known = nodes.select(F.col("id").alias("known"))
-    level = nodes.join(known, F.col("parent") == F.col("known"), "left").where("known is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("id").alias("path"))
-    out, d = level, 0
-    while depth is None or d < depth:
-        d += 1
-        up = level.select(F.col("id").alias("up"), "root", F.col("path").alias("above"))
-        level = nodes.join(up, F.col("parent") == F.col("up")).select("id", "root", F.lit(d).alias("depth"), F.concat_ws("/", "above", "id").alias("path"))
-        if depth is None:
-            level = kept(level)
-            if level.isEmpty():
-                break
-        out = out.union(level)
-    return out
+    spark, folder = nodes.sparkSession, new_folder(nodes.sparkSession)
+    columns = ["id", "up", "root", "depth", *(["path"] if paths else [])]
+    known = nodes.select(F.col("id").alias("_known")).distinct()
+    start = nodes.select("id", "parent").join(known, F.col("parent") == F.col("_known"), "left")
+    top = F.col("_known").isNull()
+    start = start.select("id", F.col("_known").alias("up"), F.when(top, F.col("id")).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.col("id").cast("string").alias("path")).select(*columns)
+    rounds = []
+
+    def keep(df: DataFrame) -> None:
+        rounds.append(f"{folder}/round_{len(rounds)}")
+        df.write.parquet(rounds[-1])
+
+    keep(start)
+    read = lambda *at: spark.read.schema(start.schema).parquet(*at)
+    most = read(rounds[0]).where("root is null").count().bit_length()  # of rounds that a tree can need; what is open then hangs on a loop
+    while len(rounds) <= most and not read(rounds[-1]).where("root is null").isEmpty():
+        # nodes whose root is known answer with it, the others with how far they are
+        open_ = read(rounds[-1]).where("root is null")
+        asked = open_.groupBy("up").agg(F.count("*").alias("_n")).withColumnRenamed("up", "_id")
+        above = read(*rounds).where("root is not null").unionByName(open_).join(asked, F.col("id") == F.col("_id"))
+        above = above.select(F.col("id").alias("up"), *(F.col(c).alias(f"_{c}") for c in columns[1:]), "_n")
+        step = join_dealt(open_.drop("root"), above, ["up"], "_n", limit=limit)
+        path = [F.concat_ws("/", "_path", "path").alias("path")] if paths else []
+        keep(step.select("id", F.when(F.col("_root").isNull(), F.col("_up")).alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), *path))
+    lost = [F.when(F.col("root").isNotNull(), F.col(c)).alias(c) for c in columns[3:]]
+    out = read(*rounds).where("root is not null").unionByName(read(rounds[-1]).where("root is null")).select("id", "root", *lost)
+    out = out.withColumn("depth", F.col("depth").cast("int"))
+    return out if depth is None else out.where(F.col("depth") <= depth)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, which on a cluster all executors share."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

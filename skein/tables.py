@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,20 @@ def rows_of(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
         return F.struct(*(F.lit(v).cast(k).alias(n) for v, n, k in zip(row, names, kinds, strict=True)))
 
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*map(struct, rows))))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which on a cluster all executors share; on a local master one is made where none is set."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or tempfile.mkdtemp(prefix="skein-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name of its own below the shared folder."""
+    return f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"

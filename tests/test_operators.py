@@ -208,8 +208,24 @@ def test_trace_tree_goes_to_the_last_level(spark):
     nodes = [("n0", None)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 9)] + [("x", "y"), ("y", "x"), ("z", "unknown")]
     df = spark.createDataFrame(nodes, "id string, parent string")
     got = {r["id"]: (r["root"], r["depth"], r["path"]) for r in coordination.trace_tree(df).collect()}
-    assert got == {f"n{k}": ("n0", k, "/".join(f"n{j}" for j in range(k + 1))) for k in range(9)} | {"z": ("z", 0, "z")}
-    assert coordination.trace_tree(df, 3).where("depth > 3").count() == 0
+    assert got == {f"n{k}": ("n0", k, "/".join(f"n{j}" for j in range(k + 1))) for k in range(9)} | {"z": ("z", 0, "z"), "x": (None, None, None), "y": (None, None, None)}
+    assert coordination.trace_tree(df, 3).agg(F.max("depth")).first()[0] == 3
+
+
+def test_trace_tree_of_a_chain_of_a_hundred_thousand(spark):
+    n = 100_000
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    star = spark.range(n, n + 20_000).select("id", F.lit(n // 2).cast("long").alias("parent"))  # a hot parent, deep down
+    loop = spark.createDataFrame([(-1, -2), (-2, -3), (-3, -1), (-4, -3)], "id long, parent long")
+    out = coordination.trace_tree(chain.union(star).union(loop), paths=False, limit=1000)
+    right = F.when(F.col("id") < 0, F.col("root").isNull() & F.col("depth").isNull()).otherwise((F.col("root") == 0) & (F.col("depth") == F.when(F.col("id") < n, F.col("id")).otherwise(n // 2 + 1)))
+    assert out.groupBy(right.alias("right")).count().collect() == [(True, n + 20_004)]
+
+
+def test_trace_tree_of_no_nodes_and_of_roots_alone(spark):
+    empty = spark.createDataFrame([], "id string, parent string")
+    assert coordination.trace_tree(empty).collect() == []
+    assert [tuple(r) for r in coordination.trace_tree(spark.createDataFrame([("a", None)], "id string, parent string")).collect()] == [("a", "a", 0, "a")]
 
 
 def test_settings_merge_as_a_walk(spark):
