@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.patterns import parse_rule
+from skein.functions.yaml import frontmatter_variant
 from skein.functions.text import first_body_line, frontmatter, let, lines, run_mode, strip
 
 #: Fixed value: folders that listings leave out.
@@ -221,21 +222,55 @@ def strict_frontmatter(content: Column) -> Column:
 PERMISSION_MODES, ISOLATIONS, TURNS = ("default", "acceptEdits", "bypassPermissions", ""), ("", "worktree"), 200
 
 
+def definitions(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, meta, body, error) of files with a header: any YAML that functions.yaml reads, as a VARIANT; what it does not read has an error."""
+    return files.select(path, frontmatter_variant(F.col(content)).alias("f")).select(path, "f.meta", "f.body", "f.error")
+
+
+def _agents(files: DataFrame, path: str, content: str) -> DataFrame:
+    """Definitions with the fields of an agent, and the first reason against it."""
+    text = lambda name: strip(F.try_variant_get("meta", f"$.{name}", "string"))
+    get = lambda name, default="": F.coalesce(text(name), F.lit(default))
+    some = lambda name: F.filter(F.coalesce(F.try_variant_get("meta", f"$.{name}", "array<string>"), F.array(text(name))), lambda x: F.coalesce(x != "", F.lit(False)))
+    given = F.try_variant_get("meta", "$.maxTurns", "string")
+    turns = F.when(given.isNull(), TURNS).otherwise(given.try_cast("int"))
+    model = F.when(F.lower(get("model", "inherit")) == "inherit", "inherit").otherwise(get("model", "inherit"))
+    rows = definitions(files, path, content).withColumns({
+        "name": text("name"), "description": text("description"), "tools": some("tools"), "disallowed": some("disallowedTools"), "model": model, "max_turns": turns,
+        "permission_mode": get("permissionMode", "default"), "background": F.lower(get("background")) == "true", "_isolation": get("isolation"),
+    })
+    missing = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    reason = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(missing("name"), "no name")
+        .when(missing("description"), "no description")
+        .when(~F.coalesce(F.col("max_turns") > 0, F.lit(False)), "maxTurns is no positive number")
+        .when(~F.col("permission_mode").isin(*PERMISSION_MODES), "unknown permissionMode")
+        .when(~F.col("_isolation").isin(*ISOLATIONS), "unknown isolation")
+    )
+    return rows.withColumn("error", reason)
+
+
 def agent_defs(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, name, description, tools, disallowed, model, max_turns, permission_mode, background, prompt) of agent files.
 
-    Those without a name or description, with an unknown mode or isolation, or with turns that are no positive number go.
+    Those without a name or description, with an unknown mode or isolation, or with turns that are no positive number go; agent_errors says why.
     Includes in the prompt are expand_includes' part, before this.
     """
-    rows = files.select(path, strict_frontmatter(F.col(content)).alias("f")).where(F.col("f").isNotNull())
-    field = lambda name: F.col("f")["fields"][name]
-    get = lambda name, default="": F.coalesce(field(name), F.lit(default))
-    listed = lambda name: F.filter(F.split(get(name), "\n"), lambda x: x != "")
-    turns = F.coalesce(field("maxTurns").try_cast("int"), F.when(field("maxTurns").isNull(), TURNS))
-    model = F.when(F.lower(get("model", "inherit")) == "inherit", "inherit").otherwise(get("model", "inherit"))
-    out = rows.select(path, field("name").alias("name"), field("description").alias("description"), listed("tools").alias("tools"), listed("disallowedTools").alias("disallowed"), model.alias("model"), turns.alias("max_turns"), get("permissionMode", "default").alias("permission_mode"), (F.lower(get("background")) == "true").alias("background"), get("isolation").alias("_isolation"), F.col("f")["body"].alias("prompt"))
-    able = F.col("name").isNotNull() & F.col("description").isNotNull() & (F.col("max_turns") > 0) & F.col("permission_mode").isin(*PERMISSION_MODES) & F.col("_isolation").isin(*ISOLATIONS)
-    return out.where(able).drop("_isolation")
+    fine = _agents(files, path, content).where(F.col("error").isNull())
+    return fine.select(path, "name", "description", "tools", "disallowed", "model", "max_turns", "permission_mode", "background", F.col("body").alias("prompt"))
+
+
+def agent_errors(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, error) of the files that are no agent."""
+    return _agents(files, path, content).where(F.col("error").isNotNull()).select(path, "error")
+
+
+def agent_hooks(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, seq, event, condition, type, command, once) of the hooks inside definitions: a row an entry of their list."""
+    hooks = F.try_variant_get("meta", "$.hooks", "array<struct<event:string,condition:string,action:struct<type:string,command:string>,once:boolean>>")
+    rows = definitions(files, path, content).select(path, F.posexplode(hooks).alias("seq", "h"))
+    return rows.select(path, "seq", "h.event", "h.condition", "h.action.type", "h.action.command", F.coalesce("h.once", F.lit(False)).alias("once"))
 
 
 def command_defs(files: DataFrame, root: str) -> DataFrame:
