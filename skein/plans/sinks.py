@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import typed
@@ -77,6 +78,21 @@ def team_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_files.members(s.groupBy(F.col("s_nationkey").alias("team_key")).agg(text.alias("text")), "team_key")
 
 
+@query("""SELECT conv_id, CAST(turn AS INT) AS idx, role, text AS content, CASE WHEN role = 'assistant' THEN 'conv ' || conv_id || ' turn ' || turn END AS argument, CASE WHEN role = 'user' AND turn % 2 = 0 THEN turn % 3 = 0 END AS failed FROM conversations WHERE role IN ('user', 'assistant')""")
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as transcripts and read again: a nested argument by its path, an error by its flag."""
+    rows = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").where(F.col("role").isin("user", "assistant"))
+    argument = F.parse_json(F.to_json(F.struct(F.struct(F.array(F.format_string("conv %d turn %d", "conv_id", "turn")).alias("values")).alias("deep"))))
+    use = F.struct(F.lit("t").alias("tool_use_id"), F.lit("Bash").alias("tool_name"), argument.alias("arguments"))
+    result = F.struct(F.lit("t").alias("tool_use_id"), F.lit("out").alias("content"), (F.col("turn") % 3 == 0).alias("is_error"))
+    rows = rows.select("conv_id", F.col("turn").alias("idx"), "role", F.col("text").alias("content"), F.when(F.col("role") == "assistant", F.array(use)).alias("tool_uses"), F.when((F.col("role") == "user") & (F.col("turn") % 2 == 0), F.array(result)).alias("tool_results"))
+    read = json_files.transcripts(json_files.to_transcripts(rows, "conv_id"), "conv_id")
+    at = F.dense_rank().over(W.partitionBy("conv_id").orderBy("idx"))
+    order = rows.select("conv_id", F.col("idx").alias("turn"), (at - 1).alias("idx"))
+    deep = F.try_variant_get(F.get("tool_uses", F.lit(0))["arguments"], "$.deep.values[0]", "string")
+    return read.join(order, ["conv_id", "idx"]).select("conv_id", F.col("turn").cast("int").alias("idx"), "role", "content", deep.alias("argument"), F.get("tool_results", F.lit(0))["is_error"].alias("failed"))
+
+
 LISTED = {
     "path": "CASE p_size % 6 WHEN 0 THEN '/w/.git/' WHEN 1 THEN '/w/src/node_modules/' WHEN 2 THEN '/w/distant/' ELSE '/w/' END || p_type || '/' || p_partkey",
     "mtime_ms": "p_size * 1000",

@@ -140,3 +140,12 @@ def test_files_that_change_go_and_come_back(rocks, tmp_path):
     assert feed.push([("/a", 30, 6, True), ("/b", 5, 9, False)]) == [("/a", 30, 6, "gone")]
     assert feed.push([("/a", 25, 7, False)]) == []  # late, older than the deletion
     assert feed.push([("/a", 40, 7, False), ("/b", 10, 6, False)]) == [("/a", 40, 7, "back"), ("/b", 10, 6, "changed")]
+
+
+def test_transcripts_keep_nested_arguments(spark):
+    from skein.sources import json_files
+
+    good = '[{"role": "user", "content": "hi"}, {"role": "assistant", "tool_uses": [{"tool_use_id": "1", "tool_name": "T", "arguments": {"a": [{"b": 2}]}}]}, {"content": "no role"}, {"role": "user", "content": "", "tool_results": [{"tool_use_id": "1", "content": "r"}]}]'
+    rows = json_files.transcripts(spark.createDataFrame([("a", good), ("b", "{}"), ("c", "no"), ("d", None), ("e", "[]")], "k string, text string"), "k")
+    got = [(r["k"], r["idx"], r["role"], r["content"], r["n"], r["failed"]) for r in rows.select("*", F.try_variant_get(F.get("tool_uses", F.lit(0))["arguments"], "$.a[0].b", "int").alias("n"), F.get("tool_results", F.lit(0))["is_error"].alias("failed")).orderBy("idx").collect()]
+    assert got == [("a", 0, "user", "hi", None, None), ("a", 1, "assistant", "", 2, None), ("a", 3, "user", "", None, False)]
