@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.shared import Scratch, word_count
+from skein.llm.shared import Scratch, hot_limit, join_hot, word_count
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2
 #: Rows of one size and source are ranked in so many parts, so that a hot size is no single task.
 PARTS = 256
+#: Rows of a run that a task gives out.
+RUN = 8192
 MAX_STEPS, TOLERANCE = 200, 1e-6
 
 
@@ -81,13 +83,23 @@ def balance(scratch: Scratch, histogram: DataFrame, targets: DataFrame, cap: int
     raise RuntimeError(f"no balance after {MAX_STEPS} steps")
 
 
+def numbered(rows: DataFrame, hot: bool, spread: list[str]) -> DataFrame:
+    """Each row n (long, at least 1) times. If some n may be over RUN, the runs are dealt over tasks first."""
+    pieces = rows.withColumn("_piece", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(RUN).cast("long"))))
+    if hot:
+        pieces = pieces.repartition(F.xxhash64(*spread), "_piece")
+    times = F.least(F.col("n") - F.col("_piece") + 1, F.lit(RUN).cast("long"))
+    return pieces.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("n", "_piece", "_one")
+
+
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, hash, source, size, source_size, target, rate, copies, taken) of each row of df; hash is the text's, xxhash64."""
     scratch = scratch or Scratch(df.sparkSession)
     part = F.pmod(F.xxhash64("id", "hash"), F.lit(PARTS)).cast("int")
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = scratch.save(rows.withColumn("part", part), "sizes")
-    parts = scratch.save(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "parts")
+    # rows that agree in all of these are counted: they are ranked as one and told by their number at the end
+    rows = scratch.save(rows.groupBy("id", "hash", "source", "size").agg(F.count("*").alias("alike")).withColumn("part", part), "sizes")
+    parts = scratch.save(rows.groupBy("source", "size", "part").agg(F.sum("alike").alias("n"), F.max("alike").alias("most")), "parts")
     histogram = scratch.save(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "histogram")
     duals = balance(scratch, histogram, source_targets(histogram, weights, share, cap), cap)
 
@@ -111,22 +123,41 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     dealt = scratch.save(dealt.select("at", "at_size", F.col("part").alias("at_part"), "source_size", "target", "rate", "whole", "more_here"), "dealt")
 
     joined = rows.join(dealt, F.col("source").eqNullSafe(F.col("at")) & (F.col("size") == F.col("at_size")) & (F.col("part") == F.col("at_part")))
-    nth = F.row_number().over(W.partitionBy("source", "size", "part").orderBy(F.xxhash64("id", "hash", F.lit(9)), "id", "hash"))
-    taken = F.col("whole") + F.when(nth <= F.col("more_here"), 1).otherwise(0)
-    out = joined.withColumn("copies", taken.cast("int"))
+    order = W.partitionBy("source", "size", "part").orderBy(F.xxhash64("id", "hash", F.lit(9)), "id", "hash").rowsBetween(W.unboundedPreceding, -1)
+    nth = F.coalesce(F.sum("alike").over(order), F.lit(0))
+    extra = F.greatest(F.lit(0), F.least(nth + F.col("alike"), F.col("more_here")) - F.least(nth, F.col("more_here")))
+    joined = joined.withColumn("extra", extra)
+    # of rows that are alike the first `extra` are taken once more
+    runs = F.array(F.struct(F.col("extra").alias("n"), (F.col("whole") + 1).alias("copies")), F.struct((F.col("alike") - F.col("extra")).alias("n"), F.col("whole").alias("copies")))
+    out = joined.select("id", "hash", "source", "size", "source_size", "target", "rate", F.inline(F.filter(runs, lambda r: r["n"] > 0)))
+    out = numbered(out, (parts.agg(F.max("most")).first()[0] or 0) > RUN, ["id", "hash"]).withColumn("copies", F.col("copies").cast("int"))
     return out.select(F.col("id").alias(id_col), "hash", F.col("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """df with each row as often as it is taken. Rows that agree in id, source and text deal what they are taken among themselves."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None, **settings) -> DataFrame:
+    """df with each row as often as it is taken. Rows that agree in id, source and text deal what they are taken among themselves.
+
+    Such rows are dealt over tasks, both where they meet what they are taken and where they are numbered; wholly equal ones are counted first and given out in runs.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    key = lambda id_, hash_, source: {"ki": F.coalesce(F.concat(F.lit("1"), id_.cast("string")), F.lit("0")), "kh": hash_, "ks": F.coalesce(F.concat(F.lit("1"), source.cast("string")), F.lit("0"))}
+    names = ["ki", "kh", "ks"]
+    taken = copies(df, id_col, text_col, source_col, scratch=scratch, **settings)
+    per = taken.select(*(c.alias(n) for n, c in key(F.col(id_col), F.col("hash"), F.col(source_col)).items()), "copies")
+    per = scratch.save(per.groupBy(*names).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")), "per_row")
+    found = per.agg(F.sum("rows"), F.max("rows"), F.max("copies")).first()
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
-    key = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(source_col).cast("string").alias("source")]
-    per = copies(df, id_col, text_col, source_col, **settings).groupBy(F.col(id_col).alias("i"), F.col("hash").alias("h"), F.col("source").alias("s"))
-    per = per.agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
-    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")) & F.col("source").eqNullSafe(F.col("s"))
-    joined = df.select(*key, row).join(per, same)
+    rows = df.select(*(c.alias(n) for n, c in key(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(source_col)).items()), row).withColumn("place", F.monotonically_increasing_id())
+    joined = join_hot(rows, per.where("copies > 0").withColumn("weight", F.col("rows")), names, "weight", hot_limit(found[0] or 0), ["place"], most=found[1] or 0)
     alone = joined.where("rows = 1").select("row", F.col("copies").alias("times"))
-    several = joined.where("rows > 1").withColumn("nth", F.row_number().over(W.partitionBy("id", "hash", "source").orderBy(F.xxhash64("row"))))
-    several = several.select("row", (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).alias("times"))
-    out = alone.union(several).where("times > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")).select("row.*")
+    # equal rows are counted on the spot; the first `copies % rows` of a key's rows, in an order of their hashes, are taken once more
+    alike = joined.where("rows > 1").groupBy(*names, F.xxhash64("row").alias("h1"), F.xxhash64("row", F.lit(1)).alias("h2")).agg(F.first("row").alias("row"), F.first("rows").alias("rows"), F.first("copies").alias("copies"), F.count("*").alias("n"))
+    alike = alike.withColumn("part", F.pmod("h1", F.lit(PARTS)))
+    before = lambda by, order: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = alike.groupBy(*names, "part").agg(F.sum("n").alias("n")).withColumn("start", before(names, ["part"])).drop("n")  # PARTS rows a key at most
+    alike = alike.withColumn("nth", before([*names, "part"], ["h1", "h2"])).join(parts, [*names, "part"])
+    first, extra = F.col("start") + F.col("nth"), F.col("copies") % F.col("rows")
+    more = F.greatest(F.lit(0), F.least(first + F.col("n"), extra) - F.least(first, extra))
+    several = alike.select("row", (F.floor(F.col("copies") / F.col("rows")) * F.col("n") + more).cast("long").alias("times"))
+    every = alone.union(several).where("times > 0").select("row", F.col("times").cast("long").alias("n"))
+    return numbered(every, (found[2] or 0) > RUN, ["row"]).select("row.*")

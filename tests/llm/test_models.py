@@ -406,3 +406,32 @@ def test_archives_keep_other_payloads_of_an_id(spark, tmp_path):
             want.append((page_id, hashlib.sha256(html.encode()).hexdigest(), "revisit" if again else "response", first if again else None, None if again else html.encode()))
         got = [(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in rows]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_mix_deals_a_hot_text_under_null_ids(spark, monkeypatch):
+    """One text as a third of all rows, without ids: the same copies in any order, and no task with more than a tenth of the rows."""
+    monkeypatch.setattr(mixing, "RUN", 512)
+    r = random.Random(31)
+    docs = [(None, "the same text again", "a", k % 3) for k in range(30_000)] + [(k if k % 7 else None, " ".join(["w"] * r.randint(1, 40)) + f" {k}", r.choice("aab"), 0) for k in range(60_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars int")
+    seen = []
+    for parts in (3, 16):
+        out = mixing.copies(df.repartition(parts))
+        per = out.groupBy("doc_id", "hash", "source", "copies").count().collect()
+        seen.append(sorted((tuple(x) for x in per), key=str))
+    assert seen[0] == seen[1] and sum(x[-1] for x in seen[0]) == len(docs)
+    chosen = {(x[1], x[3]): x[4] for x in seen[0] if x[0] is None}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        mixed = mixing.mix(df.repartition(16))
+        sizes = [x["count"] for x in mixed.groupBy(F.spark_partition_id()).count().collect()]
+        hot = mixed.where("text = 'the same text again'").groupBy("n_chars").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    taken = sum(k * n for (h, k), n in chosen.items() if n > 1000)
+    assert abs(sum(x["count"] for x in hot) - taken) <= 60_000 and sum(sizes) == sum(x[3] * x[4] for x in seen[0])
+    assert max(sizes) <= 0.1 * sum(sizes)
+    assert len({x["n_chars"] for x in hot}) == 3
