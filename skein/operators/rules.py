@@ -49,14 +49,13 @@ DANGEROUS = [
     (r">\s*/dev/sd", "overwrites a disk"),
 ]
 
-#: Commands that only read.
+#: Commands that only read, by name.
 SAFE = (
-    "ls", "dir", "pwd", "echo", "cat", "head", "tail", "wc", "find", "which", "whereis", "whoami", "hostname", "uname", "date", "cal", "uptime",
-    "df", "du", "free", "env", "printenv", "file", "stat", "readlink", "realpath", "basename", "dirname", "sort", "uniq", "tr", "cut", "awk",
-    "sed", "grep", "egrep", "fgrep", "diff", "comm", "tee", "xargs", "true", "false", "test", "npx",
-    "git status", "git log", "git diff", "git show", "git branch", "git tag", "git remote", "git rev-parse", "git ls-files", "git blame",
-    "git stash list", "go version", "go env", "node -v", "npm -v", "python --version", "pip list", "cargo --version", "rustc --version",
-    "java -version", "java --version",
+    "awk", "basename", "cal", "cargo --version", "cat", "comm", "cut", "date", "df", "diff", "dir", "dirname", "du", "echo", "egrep", "env", "false",
+    "fgrep", "file", "find", "free", "git blame", "git branch", "git diff", "git log", "git ls-files", "git remote", "git rev-parse", "git show",
+    "git stash list", "git status", "git tag", "go env", "go version", "grep", "head", "hostname", "java --version", "java -version", "ls", "node -v",
+    "npm -v", "npx", "pip list", "printenv", "pwd", "python --version", "readlink", "realpath", "rustc --version", "sed", "sort", "stat", "tail",
+    "tee", "test", "tr", "true", "uname", "uniq", "uptime", "wc", "whereis", "which", "whoami", "xargs",
 )
 #: Signs that make any command unsafe.
 UNSAFE_SIGNS = ("|", ";", "&&", ">", "$(", "`")
