@@ -13,7 +13,7 @@ from skein.operators import catalog
 from skein.plans.registry import query
 from skein.plans.rules import made
 from skein.sources import files, json_files, keyed, skills
-from skein.streaming import state
+from skein.streaming import hooks, state
 from skein.tables import load, new_folder
 
 
@@ -180,3 +180,40 @@ def mailbox_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(state.INBOX_OUT).parquet(f"{folder}/out").select(F.col("recipient").cast("long").alias("recipient"), "seq")
+
+
+EFFECT_HOOKS = [
+    {"id": "tell", "event": "click", "condition": "args.k =~ /^[1-4]/", "action": {"type": "prompt", "message": "$EVENT of $TOOL_NAME: $ARGUMENTS"}},
+    {"id": "send", "event": "purchase", "action": {"type": "http", "url": "http://hooks/$TOOL_NAME", "body": "$ARGUMENTS", "method": "PUT"}},
+    {"id": "run", "event": "click", "condition": "tool == u7", "action": {"type": "command", "command": "note $TOOL_NAME"}},
+]
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 3 AS epoch, event_type, 'u' || user_id AS tool, props, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events)
+  SELECT event_id, epoch, 'tell' AS hook_id, 'prompt' AS kind, NULL AS target, event_type || ' of ' || tool || ': ' || props AS text, NULL AS method FROM e WHERE event_type = 'click' AND regexp_matches(k, '^[1-4]')
+  UNION ALL SELECT event_id, epoch, 'send', 'http', 'http://hooks/' || tool, props, 'PUT' FROM e WHERE event_type = 'purchase' UNION ALL SELECT event_id, epoch, 'run', 'command', NULL, 'note ' || tool, NULL FROM e WHERE event_type = 'click' AND tool = 'u7'""")
+def hook_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of events in three epochs, the second one twice, as after a failure: each is kept once."""
+    folder = new_folder(spark)
+    e = load(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props").withColumn("tool", F.format_string("u%d", "user_id"))
+    handle = hooks.with_effects(lambda batch, epoch: None, EFFECT_HOOKS, folder, "event_type", "tool", "props", ("event_id",))
+    for epoch in (0, 1, 1, 2):
+        handle(e.where(F.col("event_id") % 3 == epoch), epoch)
+    return hooks.kept_effects(spark, folder, f"event_id long, {hooks.EFFECT}").drop("nth")
+
+
+@query("""SELECT '/u/' || user_id AS path, max(event_id) AS mtime_ms, 'new' AS state FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'""")
+def watched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of a file a user, an error deleting it: what one run of the stream says to load."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, folder = spark.conf.get(key), new_folder(spark)
+    state.use_rocksdb(spark)
+    try:
+        columns = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        rows = spark.readStream.schema(columns).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
+        listing = rows.select(F.format_string("/u/%d", "user_id").alias("path"), F.col("event_id").alias("mtime_ms"), F.lit(1).cast("long").alias("size"), (F.col("event_type") == "error").alias("deleted"))
+        query = state.watch(listing).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(state.WATCH_OUT).parquet(f"{folder}/out").select("path", "mtime_ms", "state")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -43,6 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A name of its own below the shared folder."""
-    return f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one; what is in it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
