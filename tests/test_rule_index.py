@@ -59,6 +59,8 @@ def test_a_hundred_thousand_rules_in_a_plan_of_the_same_size(spark):
     rules = [(f"t{r.randrange(5)}", r.choice(shape)(), r.choice(list(SEVERITY))) for _ in range(100_000)]
     calls = [(k, f"t{r.randrange(6)}", r.choice([f"{word()} {word()} {word()}", f"{word()}/{word()}", f"{word()}.{word()}"])) for k in range(400)]
     assert got(spark, calls, rules) == plain(calls, rules)
+    plan = rule_index.severity(spark.createDataFrame(calls, CALL), spark.createDataFrame(rules, RULE))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     size = lambda n: len(rule_index.severity(spark.createDataFrame(calls, CALL), spark.createDataFrame(rules[:n], RULE).repartition(2))._jdf.queryExecution().optimizedPlan().toString())
     assert abs(size(1000) - size(50_000)) < 2000
 
