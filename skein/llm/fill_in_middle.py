@@ -28,6 +28,8 @@ GAP, WORD, SIGN, SIGN_LETTER, SEEN_GAP, SEEN_WORD = range(6)
 STATES, CLASSES, GRAM = 6, 6, 4
 #: Bytes of a chunk, a multiple of GRAM; bytes of a block of a giant text, a multiple of CHUNK.
 CHUNK, GIANT = 512, 1 << 16
+#: Texts whose chunks are run side by side at a time.
+TEXTS = 4096
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM, SPM_BELOW = 90, 20
 
@@ -142,6 +144,14 @@ class Chunks:
         return byte, char
 
 
+def _slices(column):
+    """byte_slices of at most TEXTS texts: a chunk's row is CHUNK bytes wide however short its text is."""
+    for first, end, data, offsets in byte_slices(column):
+        for at in range(0, end - first, TEXTS):
+            some = offsets[at : at + TEXTS + 1]
+            yield first + at, first + at + len(some) - 1, data[some[0] : some[-1]], some - some[0]
+
+
 CUTS = "struct<n:bigint,marked:boolean,byte1:bigint,byte2:bigint,char1:bigint,char2:bigint>"
 
 
@@ -153,7 +163,7 @@ def _cuts_column(text: Column, h1: Column, h2: Column) -> Column:
 
         parts = []
         h1, h2 = h1.to_numpy(zero_copy_only=False), h2.to_numpy(zero_copy_only=False)
-        for first, end, data, offsets in byte_slices(texts):
+        for first, end, data, offsets in _slices(texts):
             chunks = Chunks(data, offsets)
             chunks.enter()
             every, n = np.arange(end - first), chunks.tokens
@@ -172,7 +182,7 @@ def _blocks(batches):
     import pyarrow as pa
 
     for b in batches:
-        for first, end, data, offsets in byte_slices(b.column(4)):
+        for first, end, data, offsets in _slices(b.column(4)):
             after, starts, chars = Chunks(data, offsets).totals()
             lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (after, starts)]
             yield pa.RecordBatch.from_arrays([*(b.column(k).slice(first, end - first) for k in range(4)), *lists, pa.array(chars)], names=["row", "block", "h1", "h2", "after", "starts", "chars"])
@@ -210,7 +220,7 @@ def _find_column(body: Column, state: Column, rank: Column) -> Column:
 
         parts = []
         states, ranks = states.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
-        for first, end, data, offsets in byte_slices(bodies):
+        for first, end, data, offsets in _slices(bodies):
             chunks = Chunks(data, offsets)
             # a block's first chunk is entered in the block's state: move the start state there
             for k in range(end - first):

@@ -87,15 +87,13 @@ class Parser:
         table[edges[:, 0], self.column[edges[:, 1]]] = edges[:, 2] * self.width
         self.table, self.bits = table.ravel(), np.log2(size + 2)
 
-    def phrases(self, pieces: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """How many phrases each piece (a row of symbols, sizes of them valid; longest pieces first) is cut into."""
+    def phrases(self, body: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How many phrases each piece body[start:start + size] is cut into; longest pieces first."""
         n = len(sizes)
         state, count = np.zeros(n, np.intp), np.zeros(n, np.int64)
-        live = np.searchsorted(-sizes, -np.arange(pieces.shape[1]), side="left")  # pieces with a k-th symbol
+        live = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left")  # pieces with a k-th symbol
         for k, live_k in enumerate(live):
-            if not live_k:
-                break
-            at = self.column[pieces[:live_k, k]]
+            at = self.column[body[start[:live_k] + k]]
             to = self.table[state[:live_k] + at]
             stuck = np.flatnonzero(to == 0)
             ended = stuck[state[stuck] > 0]
@@ -106,25 +104,22 @@ class Parser:
         return count + (state > 0)
 
 
-def cut(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pieces, sizes, text of each piece), longest pieces first."""
+def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, text) of the pieces of texts, longest first."""
     size = np.diff(offsets)
     per_text = -(-size // PIECE)
     text = np.repeat(np.arange(len(size)), per_text)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    start = offsets[:-1][text] + nth * PIECE
     sizes = np.minimum(PIECE, size[text] - nth * PIECE)
     order = np.argsort(-sizes, kind="stable")
-    start, sizes, text = start[order], sizes[order], text[order]
-    at = np.minimum(start[:, None] + np.arange(sizes.max(initial=0)), max(len(body) - 1, 0))
-    return (body[at] if len(body) else np.zeros((0, 0), np.uint8)), sizes, text
+    return (offsets[:-1][text] + nth * PIECE)[order], sizes[order], text[order]
 
 
 def entropies(parsers: list[Parser], body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits a symbol of each text (rows) under each language (columns)."""
-    pieces, sizes, text = cut(body, offsets)
+    start, sizes, text = cut(offsets)
     size = np.maximum(np.diff(offsets), 1)
-    return np.stack([np.bincount(text, p.phrases(pieces, sizes), minlength=len(size)) * p.bits / size for p in parsers], axis=1)
+    return np.stack([np.bincount(text, p.phrases(body, start, sizes), minlength=len(size)) * p.bits / size for p in parsers], axis=1)
 
 
 def held_out(id_: Column) -> Column:

@@ -53,6 +53,24 @@ def test_fill_in_middle_cuts_as_plain_python_does(spark, giant):
     assert {r["form"] for r in restored} == {"plain", "psm", "spm"}
 
 
+def test_many_short_texts_beside_a_long_one_take_little_memory():
+    """What is held at a time goes by bytes and texts, not by their product."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [b"a b"] * 60_000 + [b"x y " * 20_000]
+    tracemalloc.start()
+    sizes = [end - first for first, end, data, offsets in fill_in_middle._slices(pa.array(texts)) if fill_in_middle.Chunks(data, offsets)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    parser = language_id.Parser(language_id.automaton(b"a b x y"), 7)
+    bits = language_id.entropies([parser], *language_id.symbols(raw, offsets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == len(texts) == len(bits) and max(sizes) <= fill_in_middle.TEXTS
+    assert peak < 200 << 20
+
+
 def test_fill_in_middle_of_an_empty_table_and_a_wrong_block(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fill_in_middle.transform(empty).collect() == []
@@ -165,9 +183,9 @@ def test_phrases_are_the_longest_matches(spark):
         train = bytes(r.choices(b"abc\0", k=r.randint(1, 80)))
         texts = [bytes(r.choices(b"abcd\0", k=r.choice([0, 1, 7, 60]))) for _ in range(6)]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        pieces, sizes, text = language_id.cut(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        start, sizes, text = language_id.cut(offsets)
         parser = language_id.Parser(language_id.automaton(train), len(train))
-        assert np.bincount(text, parser.phrases(pieces, sizes), minlength=6).astype(int).tolist() == [plain_phrases(train, t) for t in texts]
+        assert np.bincount(text, parser.phrases(np.frombuffer(b"".join(texts), np.uint8), start, sizes), minlength=6).astype(int).tolist() == [plain_phrases(train, t) for t in texts]
 
 
 def test_automaton_accepts_substrings_alone():
