@@ -67,17 +67,17 @@ def agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHORT, FULL = "replace(p_name, ' ', '_')", "'mcp__' || p_brand || '__' || replace(p_name, ' ', '_')"
-ASKED = {
+NAMES_ASKED = {
     "server": "CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN '' WHEN 2 THEN 'x' ELSE 'Brand#' || p_size % 25 END",
     "tool": f"CASE p_partkey % 5 WHEN 2 THEN {FULL} WHEN 3 THEN 'nothing' ELSE {SHORT} END",
 }
 
 
-@query(f"""WITH t AS (SELECT DISTINCT {FULL} AS "full", p_brand AS server, {SHORT} AS short FROM part WHERE p_size % 16 = 0), a AS ({made_sql(**ASKED)})
+@query(f"""WITH t AS (SELECT DISTINCT {FULL} AS "full", p_brand AS server, {SHORT} AS short FROM part WHERE p_size % 16 = 0), a AS ({made_sql(**NAMES_ASKED)})
   SELECT p_partkey, coalesce((SELECT "full" FROM t WHERE "full" = a.tool), (SELECT "full" FROM t WHERE t.server = a.server AND short = a.tool), (SELECT min("full") FROM t WHERE short = a.tool HAVING count(*) = 1)) AS "full" FROM a""")
 def resolve_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = load(spark, sf_dir, "part", "p_name", "p_brand", "p_size").where("p_size % 16 = 0").select(F.expr(FULL).alias("full"), F.col("p_brand").alias("server"), F.expr(SHORT).alias("short")).distinct()
-    return c.resolve(made(spark, sf_dir, **ASKED), tools).select("p_partkey", "full")
+    return c.resolve(made(spark, sf_dir, **NAMES_ASKED), tools).select("p_partkey", "full")
 
 
 @query("""WITH m AS (SELECT c_nationkey AS team, c_custkey || '' AS id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name FROM customer),
