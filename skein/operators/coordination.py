@@ -82,16 +82,18 @@ def trace_tree(nodes: DataFrame, depth: int | None = None, paths: bool = True, l
 
     keep(start)
     read = lambda *at: spark.read.schema(start.schema).parquet(*at)
-    most = read(rounds[0]).where("root is null").count().bit_length()  # of rounds that a tree can need; what is open then hangs on a loop
-    while len(rounds) <= most and not read(rounds[-1]).where("root is null").isEmpty():
+    left = read(rounds[0]).where("root is null").count()
+    most = left.bit_length()  # of rounds that a tree can need; what is open then hangs on a loop
+    while left and len(rounds) <= most:
         # nodes whose root is known answer with it, the others with how far they are
         open_ = read(rounds[-1]).where("root is null")
         asked = open_.groupBy("up").agg(F.count("*").alias("_n")).withColumnRenamed("up", "_id")
         above = read(*rounds).where("root is not null").unionByName(open_).join(asked, F.col("id") == F.col("_id"))
         above = above.select(F.col("id").alias("up"), *(F.col(c).alias(f"_{c}") for c in columns[1:]), "_n")
-        step = join_dealt(open_.drop("root"), above, ["up"], "_n", limit=limit)
+        step = join_dealt(open_.drop("root"), above, ["up"], "_n", limit=limit, most=left)
         path = [F.concat_ws("/", "_path", "path").alias("path")] if paths else []
         keep(step.select("id", F.when(F.col("_root").isNull(), F.col("_up")).alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), *path))
+        left = read(rounds[-1]).where("root is null").count()
     lost = [F.when(F.col("root").isNotNull(), F.col(c)).alias(c) for c in columns[3:]]
     out = read(*rounds).where("root is not null").unionByName(read(rounds[-1]).where("root is null")).select("id", "root", *lost)
     out = out.withColumn("depth", F.col("depth").cast("int"))

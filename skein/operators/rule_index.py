@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.rules import SEVERITY, _worst
 from skein.operators.skew import join_dealt
+from skein.tables import new_folder
 
 #: Lengths of first and last letters under which globs are filed.
 SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
@@ -98,8 +99,11 @@ def _keys(tool: Column, content: Column, ways: list[tuple[str, int]]) -> Column:
 
 
 def severity(calls: DataFrame, rules: DataFrame, tool: str = "tool", content: str = "content", effect: str = "effect", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """calls with `effect`: the strictest of the rules (tool, pattern, effect) that fit, null if none does. Two small jobs over the rules decide how they are joined."""
+    """calls with `effect`: the strictest of the rules (tool, pattern, effect) that fit, null if none does. The index is written once; two small jobs over it decide how it is joined."""
+    spark, at = rules.sparkSession, new_folder(rules.sparkSession)
     index = index_rules(rules)
+    index.write.parquet(at)
+    index = spark.read.schema(index.schema).parquet(at)
     ways = [(r["kind"], r["size"]) for r in index.select("kind", "size").distinct().collect()]  # at most 27
     pairs = calls.groupBy(F.col(tool).alias("_tool"), F.col(content).alias("_content")).agg(F.count("*").alias("_n")).where("_tool is not null and _content is not null")
     asked = pairs.select("_tool", "_content", F.explode(_keys(F.col("_tool"), F.col("_content"), sorted(ways))).alias("filed"))

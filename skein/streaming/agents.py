@@ -59,8 +59,3 @@ def hooked(deliver: Callable[[DataFrame, int], None], before: list[Callable] = (
 def completions(tasks: DataFrame, key: str = "id") -> DataFrame:
     """Ended tasks of a stream (id, status, ...), each handed over once."""
     return tasks.where(F.col("status").isin("completed", "failed", "cancelled")).dropDuplicates([key])
-
-
-def usage_by_window(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Events and values by window and type, late ones dropped: a Spark built-in, no operator of the reference's kind."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
