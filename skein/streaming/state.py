@@ -1,7 +1,7 @@
 """Stateful streams over typed state: mailboxes that are consumed once, and files that are watched.
 
-Both keep their state in the session's state store, which must be RocksDB's (`use_rocksdb`). A key's rows are taken one by one and its list is read as it was written, so no key's
-batch or backlog lies in memory whole; of ids, those of the last hour of one recipient do when they are forgotten.
+Both keep their state in the session's state store, which must be RocksDB's (`use_rocksdb`). A key's rows are taken one by one, written in runs of bounded size, and its list is read as it
+was written, so no key's batch or backlog lies in memory whole; of ids, MOST_IDS do at most, and those of the last hour of one recipient when they are forgotten.
 """
 
 from __future__ import annotations
@@ -25,8 +25,22 @@ MESSAGE = "id string, seq long, kind string, sender string, text string"
 INBOX_OUT = f"recipient string, {MESSAGE}, waited boolean"
 
 
+#: So many ids of a recipient are kept as one list that a batch reads and extends at once; those beyond are looked up one by one.
+MOST_IDS = 20_000
+#: Messages, and characters of their texts, that are held before they go to the state in one call.
+HELD, HELD_CHARS = 1000, 1 << 20
+
+
+def _packed(ids: list[tuple]) -> tuple:
+    return [i for i, _ in ids], [at for _, at in ids]
+
+
 class Inbox(StatefulProcessor):
-    """Unread messages of a recipient: kept until a poll or the idle timer, handed over once."""
+    """Unread messages of a recipient: kept until a poll or the idle timer, handed over once.
+
+    A call to the state is a round trip to the JVM, so calls are made by key and not by message. Two rules spare more of them: there is something unread in the state only while
+    the idle timer is set, and there are known ids only while the forget timer is.
+    """
 
     def __init__(self, idle_ms: int, forget_ms: int):
         self.idle_ms, self.forget_ms = idle_ms, forget_ms
@@ -35,56 +49,87 @@ class Inbox(StatefulProcessor):
         self.handle = handle
         self.unread = handle.getListState("unread", MESSAGE)
         self.down = handle.getValueState("down", MESSAGE)
+        self.recent = handle.getListState("recent", "ids array<string>, ts_ms array<long>")  # an element a batch: each is converted by itself
         self.seen = handle.getMapState("seen", "id string", "ts_ms long")
         self.due = handle.getValueState("due", "idle long, forget long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        idle, forget = self.due.get() if self.due.exists() else (None, None)
-        polled, first = False, None
+        before = self._due()
+        idle, forget = before
+        stored, polled, first, known, many = idle is not None, False, None, None, False
+        down, told, mail, chars, fresh = None, False, [], 0, []
         for r in rows:
             if r.kind == "poll":
                 polled = True
                 continue
             if r.id is not None:
-                if self.seen.containsKey((r.id,)):
+                if known is None:
+                    known = {i for ids, _ in self.recent.get() for i in ids} if forget is not None else set()
+                    many = forget is not None and self.seen.exists()
+                if r.id in known or (many and self.seen.containsKey((r.id,))):
                     continue  # a message that came before, say of a source that was read again
-                self.seen.updateValue((r.id,), (r.ts_ms,))
+                if len(known) < MOST_IDS:
+                    known.add(r.id)
+                    fresh.append((r.id, r.ts_ms))
+                else:
+                    self.seen.updateValue((r.id,), (r.ts_ms,))
+                    many = True
             message = tuple(r[f] for f in FIELDS)
             if r.kind == SHUTDOWN_KIND or (r.text or "").startswith(SHUTDOWN_TEXT):
-                known = self.down.get() if self.down.exists() else None
-                if known is None or (known[1] or 0) <= (r.seq or 0):
-                    self.down.update(message)
+                if down is None and stored and self.down.exists():
+                    down = tuple(self.down.get())
+                if down is None or (down[1] or 0) <= (r.seq or 0):
+                    down, told = message, True
             else:
-                self.unread.appendValue(message)
+                mail.append(message)
+                chars += len(r.text or "")
+                if len(mail) >= HELD or chars >= HELD_CHARS:
+                    self.unread.appendList(mail)
+                    stored, mail, chars = True, [], 0
             first = r.ts_ms if first is None else min(first, r.ts_ms)
+        if fresh:
+            self.recent.appendValue(_packed(fresh))
         if polled:
-            yield from self._hand_over(key, False)
+            yield from self._hand_over(key, False, stored, down, mail)
             if idle is not None:
                 self.handle.deleteTimer(idle)
             idle = None
-        elif first is not None and idle is None:
-            idle = first + self.idle_ms
-            self.handle.registerTimer(idle)
+        else:
+            if told:
+                self.down.update(down)
+            if mail:
+                self.unread.appendList(mail)
+            if first is not None and idle is None:
+                idle = first + self.idle_ms
+                self.handle.registerTimer(idle)
         if first is not None and forget is None:
             forget = first + self.forget_ms
             if forget != idle:
                 self.handle.registerTimer(forget)
-        self.due.update((idle, forget))
+        if (idle, forget) != before:
+            self.due.update((idle, forget))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        idle, forget = self.due.get() if self.due.exists() else (None, None)  # an earlier timer of this batch may have done it all
+        idle, forget = self._due()  # an earlier timer of this batch may have done it all
         now = timerValues.getCurrentWatermarkInMs()
         if idle is not None and idle <= now:
-            yield from self._hand_over(key, True)
+            yield from self._hand_over(key, True, True)
             idle = None
         if forget is not None and forget <= now:
             # a message before the watermark cannot come again, so its id need not be known
-            known = [(k[0], v[0]) for k, v in self.seen.iterator()]
-            for i, at in known:
-                if at < now:
-                    self.seen.removeKey((i,))
-            left = [at for _, at in known if at >= now]
-            forget = min(left) + self.forget_ms if left else None
+            known = [x for ids, ats in self.recent.get() for x in zip(ids, ats, strict=True)]
+            left = [x for x in known if x[1] >= now]
+            if left and len(left) < len(known):
+                self.recent.put([_packed(left)])
+            elif known and not left:
+                self.recent.clear()
+            if self.seen.exists():
+                more = [(k[0], v[0]) for k, v in self.seen.iterator()]
+                for i, at in more:
+                    if at < now:
+                        self.seen.removeKey((i,))
+                left += [x for x in more if x[1] >= now]
+            forget = min(at for _, at in left) + self.forget_ms if left else None
             if forget is not None:
                 self.handle.registerTimer(forget)
         if idle is None and forget is None:
@@ -92,15 +137,22 @@ class Inbox(StatefulProcessor):
         else:
             self.due.update((idle, forget))
 
-    def _hand_over(self, key, waited: bool) -> Iterator[Row]:
-        """A shutdown request alone, the last one, if there is any; else all unread messages. Either way nothing stays unread."""
-        if self.down.exists():
-            yield Row(recipient=key[0], **dict(zip(FIELDS, self.down.get(), strict=True)), waited=waited)
-        elif self.unread.exists():
-            for m in self.unread.get():
-                yield Row(recipient=key[0], **dict(zip(FIELDS, m, strict=True)), waited=waited)
-        self.down.clear()
-        self.unread.clear()
+    def _due(self) -> tuple:
+        return tuple(self.due.get() or (None, None))
+
+    def _hand_over(self, key, waited: bool, stored: bool, down: tuple | None = None, mail: list[tuple] = ()) -> Iterator[Row]:
+        """A shutdown request alone, the last one, if there is any; else all unread messages: those in the state, if any are stored, then mail. Either way nothing stays unread."""
+        if stored and down is None and self.down.exists():
+            down = tuple(self.down.get())
+        if down is not None:
+            yield Row(recipient=key[0], **dict(zip(FIELDS, down, strict=True)), waited=waited)
+        else:
+            for some in (self.unread.get() if stored else (), mail):
+                for m in some:
+                    yield Row(recipient=key[0], **dict(zip(FIELDS, m, strict=True)), waited=waited)
+        if stored:
+            self.down.clear()
+            self.unread.clear()
 
     def close(self) -> None:
         pass

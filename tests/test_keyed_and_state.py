@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skein.sources import keyed
@@ -133,6 +134,101 @@ def test_idle_recipients_get_their_messages_by_timer_and_ids_are_forgotten(rocks
     assert {r["key"]["recipient"] for r in kept.collect()} <= {"cid"}
 
 
+class Kept:
+    """A state variable of one key in plain memory that counts the calls made to it; `get` of nothing is empty for lists and None for values."""
+
+    def __init__(self, calls, value):
+        self.calls, self.empty, self.value = calls, value, value
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return getattr(self, f"_{name}")(*args)
+
+        return call
+
+    def _exists(self):
+        return bool(self.value)
+
+    def _get(self):
+        return iter(list(self.value)) if isinstance(self.value, list) else self.value
+
+    def _update(self, value):
+        self.value = value
+
+    def _clear(self):
+        self.value = type(self.empty)() if self.empty is not None else None
+
+    def _appendValue(self, value):
+        self.value = [*self.value, value]
+
+    def _appendList(self, values):
+        self.value = [*self.value, *values]
+
+    def _put(self, values):
+        self.value = list(values)
+
+    def _containsKey(self, key):
+        return key in self.value
+
+    def _updateValue(self, key, value):
+        self.value = {**self.value, key: value}
+
+    def _removeKey(self, key):
+        self.value = {k: v for k, v in self.value.items() if k != key}
+
+    def _iterator(self):
+        return iter(list(self.value.items()))
+
+    def _registerTimer(self, at):
+        pass
+
+    _deleteTimer = _registerTimer
+
+
+class Handle(Kept):
+    def getListState(self, name, schema):
+        return Kept(self.calls, [])
+
+    def getMapState(self, name, key, value):
+        return Kept(self.calls, {})
+
+    def getValueState(self, name, schema):
+        return Kept(self.calls, None)
+
+
+def inbox(calls):
+    box = state.Inbox(1000, 3_600_000)
+    box.init(Handle(calls, None))
+    row = lambda i, kind="text", text="hi": Row(id=i and f"m{i}", seq=i, kind=kind, sender="lead", text=text, ts_ms=i or 0)
+    return row, lambda *rows: [r.seq for r in box.handleInputRows(("ann",), iter(rows), None)], box
+
+
+def test_calls_to_the_state_do_not_grow_with_a_batch():
+    """Each is a round trip between Python and the JVM."""
+    made = []
+    for n in (10, 900):
+        calls = []
+        row, take, _ = inbox(calls)
+        assert take(*map(row, range(1, n))) == []
+        assert take(*map(row, range(1, 2 * n)), row(None, "poll")) == list(range(1, 2 * n))
+        made.append(len(calls))
+    assert made[0] == made[1] < 20
+
+
+def test_ids_beyond_the_list_are_known_too(monkeypatch):
+    monkeypatch.setattr(state, "MOST_IDS", 3)
+    monkeypatch.setattr(state, "HELD", 2)
+    row, take, box = inbox([])
+    assert take(row(1), row(2), row(1), row(3), row(4), row(5), row(5), row(4)) == []
+    assert take(row(5), row(6), row(2), row(None, "poll"), row(6)) == [1, 2, 3, 4, 5, 6]
+    assert take(row(4), row(6), row(1), row(None, "poll")) == []
+    assert take(row(9, state.SHUTDOWN_KIND), row(8, state.SHUTDOWN_KIND), row(7), row(None), row(None)) == []
+    assert take(row(10), row(None, "poll")) == [9] and take(row(None, "poll"), row(7), row(10)) == []
+    after = type("Timers", (), {"getCurrentWatermarkInMs": lambda self: 4_000_000})()
+    assert list(box.handleExpiredTimer(("ann",), after, None)) == [] and take(row(1), row(6), row(None, "poll")) == [1, 6]
+
+
 def test_files_that_change_go_and_come_back(rocks, tmp_path):
     feed = Feed(rocks, tmp_path, "path string, mtime_ms long, size long, deleted boolean", state.watch, "watch")
     assert feed.push([("/a", 10, 5, False), ("/b", 10, 5, None), ("/c", 1, 1, True), ("/a", 9, 4, False)]) == [("/a", 10, 5, "new"), ("/b", 10, 5, "new")]
