@@ -45,7 +45,7 @@ WORDS, PERCENT = 5, 80
 #: Share of the hash range whose shingles are ordered by frequency: somewhat over the share of a prefix.
 ORDERED = 0.28
 FRAGMENTS = 4
-#: log2 of the most bits of a bitmap; it has 8 bits a value up to that.
+#: log2 of the most bits of a bitmap; up to that it has 8 bits a value, or more where what it lets through in error is shuffled.
 MOST_BITS = 27
 GROWTH, REFINED_GROWTH = 8, 64
 REFINE_AFTER = 2
@@ -156,8 +156,8 @@ def _sets(texts: DataFrame, fragments: int) -> DataFrame:
 class Bitmap:
     """Sent to the executors: whether a hash may be among some values; never false for those that are."""
 
-    def __init__(self, values: DataFrame, column: str, count: int):
-        self.log2 = int(min(MOST_BITS, max(16, math.ceil(math.log2(8 * count + 1)))))
+    def __init__(self, values: DataFrame, column: str, count: int, bits: int = 8):
+        self.log2 = int(min(MOST_BITS, max(16, math.ceil(math.log2(bits * count + 1)))))
         self.sent = values.sparkSession.sparkContext.broadcast(bitmap(values, column, self.log2))
 
     def test(self):
@@ -210,8 +210,8 @@ def _prefix_tokens(sets: DataFrame, percent: int, reps: Bitmap, held: Bitmap | N
 
 
 def bitmap(df: DataFrame, column: str, log2: int) -> bytes:
-    """2 ** log2 bits; bit x & (2 ** log2 - 1) is set for each value x. Parts of 4 KB are made apart: nothing else reaches the driver."""
-    part = min(15, log2)
+    """2 ** log2 bits; bit x & (2 ** log2 - 1) is set for each value x. 64 parts or more, of at most 4 KB, are made apart: nothing else reaches the driver."""
+    part = min(15, log2 - 6)
 
     def run(batches):
         import pyarrow as pa
@@ -284,29 +284,36 @@ def _overlaps(joined: DataFrame) -> DataFrame:
 
 
 def verify(scratch: Scratch, pairs: DataFrame, segments: DataFrame, name: str, percent: int = PERCENT) -> DataFrame:
-    """The pairs (d, p, n, pn) that link, as (d, p). p, the pivot, may have any number of partners.
+    """The pairs (d, p, n, pn) that link, as (d, p), saved by that name. p, the pivot, may have any number of partners.
 
-    The first fragment's overlap and what the others could add at most decide which pairs go on to those.
+    The first fragment's overlap and what the others could add at most decide which pairs go on to those. Of the segments only
+    those that pairs name are shuffled, and the few others that a bitmap lets through.
     """
     weights = pairs.groupBy("p").agg(F.count("*").alias("w"))
     total, most = weights.agg(F.sum("w"), F.max("w")).first()
     if not total:
         return pairs.select("d", "p")
     limit = hot_limit(total)
-    right = segments.select(F.col("row").alias("p"), "fragment", F.col("low").alias("plow"), F.col("tokens").alias("right"))
-    right = right.join(weights, "p") if most > limit else right.withColumn("w", F.lit(0))
-    left = segments.select(F.col("row").alias("d"), "fragment", "low", F.col("tokens").alias("left"))
+    sent = []
 
-    def both(some: DataFrame, part) -> DataFrame:
-        return join_hot(some.join(left.where(part), "d"), right.where(part), ["p", "fragment"], "w", limit, ["d"], most=most)
+    def both(some: DataFrame, count: int, part) -> DataFrame:
+        of_d, of_p = (Bitmap(some, c, count, 16) for c in "dp")
+        sent.extend((of_d, of_p))
+        left = _candidates(segments.where(part), of_d).select(F.col("row").alias("d"), "fragment", "low", F.col("tokens").alias("left"))
+        right = _candidates(segments.where(part), of_p).select(F.col("row").alias("p"), "fragment", F.col("low").alias("plow"), F.col("tokens").alias("right"))
+        right = right.join(weights, "p") if most > limit else right.withColumn("w", F.lit(0))
+        return join_hot(some.join(left, "d"), right, ["p", "fragment"], "w", limit, ["d"], most=most)
 
-    first = both(pairs, F.col("fragment") == 0).withColumn("rest", F.least(F.col("n") - F.col("low"), F.col("pn") - F.col("plow")))
+    first = both(pairs, total, F.col("fragment") == 0).withColumn("rest", F.least(F.col("n") - F.col("low"), F.col("pn") - F.col("plow")))
     needed = needed_column(F.col("n"), F.col("pn"), percent)
     able = scratch.save(_overlaps(first).where(F.col("overlap") + F.col("rest") >= needed), f"{name}_able")
-    others = _overlaps(both(able.drop("overlap"), F.col("fragment") > 0)).groupBy("d", "p").agg(F.sum("overlap").alias("more"))
+    others = _overlaps(both(able.drop("overlap"), able.count(), F.col("fragment") > 0)).groupBy("d", "p").agg(F.sum("overlap").alias("more"))
     total = able.join(others, ["d", "p"], "left").withColumn("overlap", F.col("overlap") + F.coalesce("more", F.lit(0)))
     linked = total.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("pn") - F.col("overlap")))
-    return linked.select("d", "p")
+    linked = scratch.save(linked.select("d", "p"), name)
+    for each in sent:
+        each.destroy()
+    return linked
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -354,7 +361,8 @@ def _groups(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Sc
     held = Bitmap(shared, "token", n_shared)
     rows = _prefix_tokens(sets, percent, reps, held)
     rows = join_hot(rows, shared.withColumn("weight", F.col("df")), ["token"], "weight", hot_limit(total or 0), ["row"], most=widest or 0)
-    rows = rows.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    # an inner join stays behind the one above, where the window's shuffle serves it too; a semi join would be moved ahead of that, with a shuffle of its own
+    rows = rows.join(classes.select(F.col("rep").alias("row")), "row")
     # a document's rare shingles come first in the order; of the others, those ordered by frequency, then the rest by hash
     by_row = W.partitionBy("row")
     rows = rows.withColumn("nth", F.row_number().over(by_row.orderBy(F.col("place") >= 0, "df", "token")))
@@ -371,8 +379,9 @@ def _groups(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Sc
     lists = scratch.save(_open_lists(postings.withColumn("group", F.col("row")), 0), "members_0")
     scratch.drop("postings")
     candidates = scratch.save(lists.select("row").distinct(), "candidates")
-    wanted = Bitmap(candidates, "row", candidates.count())
-    segments = scratch.save(_candidates(sets, wanted).join(candidates, "row", "left_semi"), "segments")
+    # the few others that the bitmap lets through are in no pair, so they need no shuffle here to be left out
+    wanted = Bitmap(candidates, "row", candidates.count(), 64)
+    segments = scratch.save(_candidates(sets, wanted), "segments")
     # of the sets only sizes and fingerprints are read from here on
     docs = scratch.save(docs, "docs")
     scratch.drop("sets")
@@ -457,7 +466,7 @@ def _join_rounds(scratch: Scratch, members: DataFrame, segments: DataFrame, perc
         left = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp"))
         fits = (F.col("group") != F.col("pg")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (left >= needed_column(F.col("n"), F.col("pn"), percent))
         pairs = scratch.save(pairs.where(fits).select(F.col("row").alias("d"), "p", "n", "pn").distinct(), f"pairs_{k}")
-        links = scratch.save(verify(scratch, pairs, segments, f"links_{k}", percent), f"links_{k}")
+        links = verify(scratch, pairs, segments, f"links_{k}", percent)
         n_links = links.count()
         if n_links:
             edges, few = links.select(F.col("d").alias("u"), F.col("p").alias("v")), n_links + n_joined <= FEW

@@ -79,6 +79,18 @@ def test_ngram_join_deals_common_keys(spark, tmp_path, monkeypatch):
     assert got == brute.near_duplicates([(d[0], d[1]) for d in docs])
 
 
+def test_ngram_join_shuffles_only_segments_that_pairs_name(spark, monkeypatch):
+    tokens = {row: np.arange(row % 5, row % 5 + 20, dtype=np.uint64) for row in range(200)}
+    rows = [(row, f, 10, t[10 * f : 10 * f + 10].tobytes()) for row, t in tokens.items() for f in (0, 1)]
+    segments = spark.createDataFrame(rows, "row long, fragment int, low int, tokens binary")
+    pairs = spark.createDataFrame([(5, 0, 20, 20), (6, 0, 20, 20), (9, 0, 20, 20), (7, 2, 20, 20)], "d long, p long, n int, pn int")
+    shuffled, candidates = [], ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "_candidates", lambda some, wanted: shuffled.append(candidates(some, wanted).count()) or candidates(some, wanted))
+    linked = ngram_join.verify(Scratch(spark), pairs, segments, "links")
+    assert sorted(map(tuple, linked.collect())) == [(5, 0), (6, 0), (7, 2)]
+    assert len(shuffled) == 4 and max(shuffled) < 20  # of 200 segments, the four of one side and those that fall on their bits
+
+
 def test_shingle_sets_need_no_neighbours():
     texts = ["a b c d e f", "", "A  b\tc", "x", "a b c d e f a b c d e f"]
     raw = [t.encode() for t in texts]
