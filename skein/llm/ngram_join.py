@@ -47,6 +47,8 @@ ORDERED = 0.28
 FRAGMENTS = 4
 #: log2 of the most bits of a bitmap; up to that it has 8 bits a value, or more where what it lets through in error is shuffled.
 MOST_BITS = 27
+#: Bytes of texts that a worker shingles at a time: its arrays are some 40 times that.
+SLICE = 1 << 18
 GROWTH, REFINED_GROWTH = 8, 64
 REFINE_AFTER = 2
 BROADCAST_KEYS = 1_000_000
@@ -128,7 +130,7 @@ def _sets(texts: DataFrame, fragments: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for first, end, data, offsets in byte_slices(b.column(4)):
+            for first, end, data, offsets in byte_slices(b.column(4), SLICE):
                 h, g, counts = _shingles(data, offsets)
                 sums = np.zeros((2, len(h) + 1), np.uint64)
                 np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=sums[0, 1:])
@@ -287,7 +289,8 @@ def verify(scratch: Scratch, pairs: DataFrame, segments: DataFrame, name: str, p
     """The pairs (d, p, n, pn) that link, as (d, p), saved by that name. p, the pivot, may have any number of partners.
 
     The first fragment's overlap and what the others could add at most decide which pairs go on to those. Of the segments only
-    those that pairs name are shuffled, and the few others that a bitmap lets through.
+    those that pairs name are shuffled, and the few others that a bitmap lets through. They are shuffled for few pairs too: after
+    broadcast joins the bitmap's test and the overlaps would share a stage, with two Python workers for each task of an executor.
     """
     weights = pairs.groupBy("p").agg(F.count("*").alias("w"))
     total, most = weights.agg(F.sum("w"), F.max("w")).first()
@@ -302,7 +305,7 @@ def verify(scratch: Scratch, pairs: DataFrame, segments: DataFrame, name: str, p
         left = _candidates(segments.where(part), of_d).select(F.col("row").alias("d"), "fragment", "low", F.col("tokens").alias("left"))
         right = _candidates(segments.where(part), of_p).select(F.col("row").alias("p"), "fragment", F.col("low").alias("plow"), F.col("tokens").alias("right"))
         right = right.join(weights, "p") if most > limit else right.withColumn("w", F.lit(0))
-        return join_hot(some.join(left, "d"), right, ["p", "fragment"], "w", limit, ["d"], most=most)
+        return join_hot(some.hint("merge").join(left, "d"), right.hint("merge"), ["p", "fragment"], "w", limit, ["d"], most=most)
 
     first = both(pairs, total, F.col("fragment") == 0).withColumn("rest", F.least(F.col("n") - F.col("low"), F.col("pn") - F.col("plow")))
     needed = needed_column(F.col("n"), F.col("pn"), percent)

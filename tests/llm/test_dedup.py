@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from skein.llm import components, ngram_join, suffix_dedup
 from skein.llm.queries import op2_ngram_join, op4_suffix_dedup
@@ -91,6 +92,51 @@ def test_ngram_join_shuffles_only_segments_that_pairs_name(spark, monkeypatch):
     assert len(shuffled) == 4 and max(shuffled) < 20  # of 200 segments, the four of one side and those that fall on their bits
 
 
+def test_ngram_join_has_one_python_worker_for_a_task(spark, monkeypatch):
+    tokens = {row: np.arange(row % 5, row % 5 + 20, dtype=np.uint64) for row in range(40)}
+    rows = [(row, f, 10, t[10 * f : 10 * f + 10].tobytes()) for row, t in tokens.items() for f in (0, 1)]
+    scratch = Scratch(spark)
+    segments = scratch.save(spark.createDataFrame(rows, "row long, fragment int, low int, tokens binary"), "segments")
+    pairs = scratch.save(spark.createDataFrame([(row, 0, 20, 20) for row in range(5, 40)], "d long, p long, n int, pn int"), "pairs")
+    plans, overlaps = [], ngram_join._overlaps
+
+    def planned(joined):
+        df = overlaps(joined)
+        df.collect()  # the plan as it is after what Spark changes while it runs
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return df
+
+    monkeypatch.setattr(ngram_join, "_overlaps", planned)
+    for most in (1024, 3):  # few partners of the pivot, and some that are dealt
+        monkeypatch.setattr(ngram_join, "hot_limit", lambda rows, most=most: most)
+        linked = ngram_join.verify(scratch, pairs, segments, f"links_{most}")
+        assert sorted(map(tuple, linked.collect())) == [(row, 0) for row in range(5, 40) if row % 5 < 2]
+    assert len(plans) == 4
+    for plan in plans:
+        above: list[tuple[int, bool]] = []  # of the nodes above: depth, and whether Python runs in their stage
+        for line in plan.splitlines():
+            name = line.lstrip(" :+-*(0123456789)")
+            depth = len(line) - len(line.lstrip(" :+-"))
+            while above and above[-1][0] >= depth:
+                above.pop()
+            python = bool(above) and above[-1][1] and not name.startswith(("Exchange", "BroadcastExchange"))
+            assert not (python and name.startswith("MapInArrow")), plan
+            above.append((depth, python or name.startswith("MapInArrow")))
+        assert plan.count("MapInArrow") >= 3, plan
+
+
+def test_ngram_join_shingles_little_at_a_time(monkeypatch):
+    sizes, shingles = [], ngram_join._shingles
+    monkeypatch.setattr(ngram_join, "_shingles", lambda data, offsets: sizes.append(len(data)) or shingles(data, offsets))
+    texts = [f"{k} " * 5000 for k in range(200)]
+    frame = type("Frame", (), {"mapInArrow": lambda self, run, schema: run})()
+    run = ngram_join._sets(frame, 4)
+    ids = pa.array(range(200), pa.int64())
+    out = list(run([pa.RecordBatch.from_arrays([ids, ids, ids, ids, pa.array(texts)], names=["row", "doc", "k1", "k2", "text"])]))
+    assert sum(b.num_rows for b in out) >= 200 and sum(sizes) == sum(map(len, texts))
+    assert max(sizes) <= 1 << 18
+
+
 def test_shingle_sets_need_no_neighbours():
     texts = ["a b c d e f", "", "A  b\tc", "x", "a b c d e f a b c d e f"]
     raw = [t.encode() for t in texts]
