@@ -38,3 +38,14 @@ def test_another_missing_module_is_an_error(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path / "__spark_entry__.py")
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
     assert "no_such_module" in registered(tmp_path)
+
+
+def test_a_pipeline_elsewhere_on_the_path_is_not_taken(tmp_path, monkeypatch):
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere/corpus_pipeline.py").write_text("def run(spark, sf_dir): ...\n")
+    (tmp_path / "here").mkdir()
+    shutil.copytree(REPO / "skein", tmp_path / "here/skein", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path / "here/__spark_entry__.py")
+    monkeypatch.setenv("PYTHONPATH", str(tmp_path / "elsewhere"))
+    names, _ = registered(tmp_path / "here")
+    assert "pipeline" not in names and "keep_tail" in names
